@@ -2,8 +2,19 @@
 
 from __future__ import annotations
 
+from .html_text import op5_html
+from .mixing import op8_mixing
+from .ngram_lm import op1_lm
 from .packing import op3_packing
+from .quality import op7_quality
 from .syncmers import op10_fingerprints
 
-QUERIES = {"op3_packing": op3_packing, "op10_fingerprints": op10_fingerprints}
+QUERIES = {
+    "op1_lm": op1_lm,
+    "op3_packing": op3_packing,
+    "op5_html": op5_html,
+    "op7_quality": op7_quality,
+    "op8_mixing": op8_mixing,
+    "op10_fingerprints": op10_fingerprints,
+}
 ORACLE: dict[str, str] = {}

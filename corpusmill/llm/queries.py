@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .html_text import op5_html
+from .jaccard import op9_jaccard
 from .mixing import op8_mixing
 from .ngram_lm import op1_lm
 from .packing import op3_packing
@@ -15,6 +16,7 @@ QUERIES = {
     "op5_html": op5_html,
     "op7_quality": op7_quality,
     "op8_mixing": op8_mixing,
+    "op9_jaccard": op9_jaccard,
     "op10_fingerprints": op10_fingerprints,
 }
 ORACLE: dict[str, str] = {}

@@ -23,7 +23,7 @@ condition are read.
 from __future__ import annotations
 
 import math
-from collections import Counter
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -72,7 +72,7 @@ def _chunks(docs: DataFrame, chunk_bytes: int) -> DataFrame:
             held = np.packbits(np.array([*train, *nulls], bool))
             out = {
                 "chunk": [(task << 24) + made], "ids": [np.array([x or 0 for x in ids], np.int64).tobytes()], "held": [held.tobytes()],
-                "ends": [np.cumsum(sizes).tobytes()], "words": [hashes[order].tobytes()], "tokens": [rank[flat].tobytes()],
+                "ends": [np.cumsum(sizes).tobytes()], "words": [hashes[order].tobytes()], "tokens": [_planes(rank[flat])],
             }
             made += 1
             for x in (ids, train, sizes, tokens, number):
@@ -101,6 +101,16 @@ def _chunks(docs: DataFrame, chunk_bytes: int) -> DataFrame:
     return docs.mapInArrow(run, _CHUNK)
 
 
+def _planes(numbers: np.ndarray) -> bytes:
+    """32-bit numbers as their low halves and then their high ones, which are mostly zero and pack well."""
+    return (numbers & 0xFFFF).astype(np.uint16).tobytes() + (numbers >> 16).astype(np.uint16).tobytes()
+
+
+def _numbers(planes: bytes) -> np.ndarray:
+    low, high = np.frombuffer(planes, np.uint16).reshape(2, -1).astype(np.uint32)
+    return low | high << np.uint32(16)
+
+
 class Chunk:
     """A chunk with its n-gram keys: per order k, the key at each token of the n-gram that ends there (0: none)."""
 
@@ -111,7 +121,7 @@ class Chunk:
         self.train, self.null_ids = flags[:n], flags[n:]
         self.ends = np.frombuffer(row["ends"], np.int64)
         self.words = np.frombuffer(row["words"], U64)
-        self.tokens = np.frombuffer(row["tokens"], np.uint32)
+        self.tokens = _numbers(row["tokens"])
         starts = np.concatenate([[0], self.ends[:-1]])
         in_train = np.repeat(self.train, self.ends - starts)
         self.place = np.arange(len(self.tokens)) - np.repeat(starts, self.ends - starts)  # within the text
@@ -230,10 +240,10 @@ class Automaton:
                 before = np.concatenate([[0], after[:-1]])
                 state = after
                 first_id += len(own)
-        self.expected = lower
-        self.fail, self.back = np.concatenate(fail).tolist(), np.concatenate(back).tolist()
-        self.weight, self.into = np.concatenate(weight).tolist(), np.concatenate(into).tolist()
-        self.arcs = dict(zip(np.concatenate(key).tolist(), range(len(self.weight)), strict=True))
+        # plain arrays instead of lists: a chunk has as many arcs as distinct n-grams
+        self.fail, self.weight = (array("d", np.concatenate(x).tobytes()) for x in (fail, weight))
+        self.back, self.into = (array("q", np.concatenate(x).astype(np.int64).tobytes()) for x in (back, into))
+        self.arcs = dict(zip(array("q", np.concatenate(key).astype(np.int64).tobytes()), range(len(self.weight)), strict=True))
 
     def traverse(self) -> np.ndarray:
         """log10 probability of each text: one pass over its tokens, carrying the state and the sum."""
@@ -258,7 +268,7 @@ class Automaton:
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def scored(docs: DataFrame, held_out: Column, order: int = 2, prior: float = 200.0, chunk_bytes: int = 12 << 20, keys_a_bucket: int = 1 << 20) -> DataFrame:
+def scored(docs: DataFrame, held_out: Column, order: int = 2, prior: float = 200.0, chunk_bytes: int = 6 << 20, keys_a_bucket: int = 1 << 20) -> DataFrame:
     """docs(doc_id, text) -> doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
     chunks = stored(_chunks(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(~held_out, F.lit(True)).alias("train"), "text"), chunk_bytes), "chunks")

@@ -7,13 +7,19 @@ from .jaccard import op9_jaccard
 from .mixing import op8_mixing
 from .ngram_lm import op1_lm
 from .packing import op3_packing
+from .pii import op6_pii
 from .quality import op7_quality
+from .suffix_dedup import op4_suffix
 from .syncmers import op10_fingerprints
+from .vectors import op2_vectors
 
 QUERIES = {
     "op1_lm": op1_lm,
+    "op2_vectors": op2_vectors,
     "op3_packing": op3_packing,
+    "op4_suffix": op4_suffix,
     "op5_html": op5_html,
+    "op6_pii": op6_pii,
     "op7_quality": op7_quality,
     "op8_mixing": op8_mixing,
     "op9_jaccard": op9_jaccard,

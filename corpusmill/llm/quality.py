@@ -22,13 +22,14 @@ from operator import eq
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import stored, table
 
 FEATURES, BINS, SEED = 384, 1000, 11
+MOST_BROADCAST = 2_000_000  # ids (16 MB)
 STATISTICS = (
     "log_bytes log_words word_bytes upper digit space punct symbol newline nonascii distinct_words repeated_next top_word caps_words end_symbol_words "
     "distinct_lines log_line_bytes sentence_marks words_a_sentence one_letter_words long_words packed letters_entropy first_upper_after_mark bar_hash"
@@ -177,22 +178,49 @@ def fitted(rows: DataFrame, ridge: float = 1e-2) -> Model:
     return model
 
 
-def scored(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The kept columns of docs (doc_id among them), held_out, score and predicted; learned from the other folds' labels."""
-    held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
-    stats = stored(document_statistics(docs, keep), "statistics")
+def _rows(stats: DataFrame, labels: DataFrame) -> DataFrame:
+    """stats(doc_id, stats) with labels of the training rows: stats, label, fold."""
     known = labels.filter(F.col("quality").isin(0, 1)).select(F.col("doc_id").alias("labelled"), F.col("quality").alias("label"))
-    rows = stats.filter(~held).join(known, F.col("doc_id") == F.col("labelled")).select("stats", "label", (F.crc32(F.col("doc_id").cast("string")) % 5 == 0).cast("int").alias("fold"))
-    model = fitted(stored(rows, "labelled"))
+    fold = (F.crc32(F.col("doc_id").cast("string")) % 5 == 0).cast("int").alias("fold")
+    return stored(stats.join(known, F.col("doc_id") == F.col("labelled")).select("stats", "label", fold), "labelled")
+
+
+def held_out() -> Column:
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
+
+
+def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """docs(doc_id, text) -> doc_id, held_out, score, predicted; learned from the other rows' labels. One scan of the text."""
+    stats = stored(document_statistics(docs, ("doc_id",)), "statistics")
+    model = fitted(_rows(stats.filter(~held_out()), labels))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            score = model.score(np.array(b.column(1).to_pylist(), float).reshape(-1, len(STATISTICS)))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], names=["doc_id", "score", "predicted"])
+
+    schema = T.StructType([stats.schema["doc_id"], T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
+    return stats.mapInArrow(run, schema).select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
+def accepted(docs: DataFrame, labels: DataFrame, least: float = 0.5) -> DataFrame:
+    """The rows of docs that score `least` or more, all columns as they are; nothing but the labelled statistics moves.
+
+    Statistics of labelled rows only are taken first where the labels' ids can be broadcast, else those of all rows.
+    """
+    training = docs.filter(~held_out())
+    if labels.count() <= MOST_BROADCAST:
+        training = training.join(F.broadcast(labels.select("doc_id").distinct()), "doc_id", "left_semi")
+    model = fitted(_rows(document_statistics(training, ("doc_id",)), labels))
+    at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = np.array(b.column(len(keep)).to_pylist(), float).reshape(-1, len(STATISTICS))
-            score = model.score(x)
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(score), pa.array((score >= 0.5).astype(np.int32))], names=[*keep, "score", "predicted"])
+            if b.num_rows:
+                score = model.score(np.array([statistics(x.as_py()) for x in b.column(at)], float))
+                yield b.filter(pa.array(score >= least))
 
-    schema = T.StructType([*(stats.schema[c] for c in keep), T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
-    return stats.mapInArrow(run, schema).select(*keep, held.alias("held_out"), "score", "predicted")
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op7_quality(spark, sf_dir):

@@ -1,0 +1,3 @@
+"""Queries by name; importing this package registers them."""
+
+from . import event_queries, star, text_queries  # noqa: F401

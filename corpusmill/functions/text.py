@@ -127,19 +127,34 @@ def lines(c: Column) -> Column:
     return F.filter(F.transform(F.split(c, "\n"), strip), lambda x: x != "")
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with value worked out once a row: inside a lambda, an expression would be worked out for each element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def ngrams(tokens: Column, n: int) -> Column:
     """Word n-grams, each joined by a space; none for shorter texts."""
-    return F.when(F.size(tokens) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.size(tokens) - (n - 1), F.lit(1))), lambda i: F.array_join(F.slice(tokens, i, F.lit(n)), " "))).otherwise(F.array().cast("array<string>"))
+
+    def of(w: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.size(w) - (n - 1), F.lit(1)))
+        return F.when(F.size(w) >= n, F.transform(starts, lambda i: F.array_join(F.slice(w, i, F.lit(n)), " "))).otherwise(F.array().cast("array<string>"))
+
+    return let(tokens, of)
 
 
 def shingles(c: Column, k: int = 5, stride: int = 2) -> Column:
     """Distinct k-character shingles at every second place; short texts give themselves, an empty one the empty string."""
-    return F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest(F.length(c) - k, F.lit(0)), F.lit(stride)), lambda i: F.substring(c, i + 1, F.lit(k))))
+
+    def of(chars: Column) -> Column:
+        last = F.greatest(F.size(chars) - k, F.lit(0))
+        return F.array_distinct(F.transform(F.sequence(F.lit(0), last, F.lit(stride)), lambda i: F.array_join(F.slice(chars, i + 1, F.lit(k)), "")))
+
+    return let(F.filter(F.split(c, ""), lambda x: x != ""), of)
 
 
 def repeated_fraction(items: Column) -> Column:
     """Share of items beyond the first of their kind."""
-    return F.when(F.size(items) > 0, 1 - F.size(F.array_distinct(items)) / F.size(items)).otherwise(F.lit(0.0))
+    return let(items, lambda x: F.when(F.size(x) > 0, 1 - F.size(F.array_distinct(x)) / F.size(x)).otherwise(F.lit(0.0)))
 
 
 def script_ratio(c: Column, script: Script = LATIN) -> Column:
@@ -167,7 +182,7 @@ def repeated_line_fraction(c: Column) -> Column:
 
 
 def repeated_ngram_fraction(tokens: Column, n: int = 5) -> Column:
-    return F.when(F.size(tokens) < n + 1, F.lit(0.0)).otherwise(repeated_fraction(ngrams(tokens, n)))
+    return let(tokens, lambda w: F.when(F.size(w) < n + 1, F.lit(0.0)).otherwise(repeated_fraction(ngrams(w, n))))
 
 
 def is_binary(c: Column, url: Column | None = None) -> Column:

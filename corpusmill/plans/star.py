@@ -13,6 +13,11 @@ def D(text: str):
     return F.lit(text).cast("timestamp")
 
 
+def revenue():
+    """Summed as decimals, so that the result does not depend on the order of rows."""
+    return F.sum((F.col("l_extendedprice") * (1 - F.col("l_discount"))).cast("decimal(18,4)")).cast("double")
+
+
 @query("star_filter_project", "SELECT l_orderkey, l_linenumber, l_quantity, l_shipdate FROM lineitem WHERE l_shipdate >= TIMESTAMP '1994-01-01' AND l_shipdate < TIMESTAMP '1995-01-01' AND l_discount BETWEEN 0.05 AND 0.07 AND l_quantity < 24")
 def filter_project(spark, d):
     x = t(spark, d, "lineitem").filter((F.col("l_shipdate") >= D("1994-01-01")) & (F.col("l_shipdate") < D("1995-01-01")) & F.col("l_discount").between(0.05, 0.07) & (F.col("l_quantity") < 24))
@@ -21,36 +26,36 @@ def filter_project(spark, d):
 
 @query(
     "star_pricing_summary",
-    "SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(sum(l_extendedprice), 2) AS sum_base, round(sum(l_extendedprice * (1 - l_discount)), 2) AS sum_disc, round(avg(l_quantity), 4) AS avg_qty, count(*) AS n FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY ALL",
+    "SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(sum(l_extendedprice), 2) AS sum_base, CAST(sum(CAST(l_extendedprice * (1 - l_discount) AS DECIMAL(18,4))) AS DOUBLE) AS sum_disc, round(avg(l_quantity), 4) AS avg_qty, count(*) AS n FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY ALL",
 )
 def pricing_summary(spark, d):
     x = t(spark, d, "lineitem").filter(F.col("l_shipdate") <= D("1998-09-02"))
     return x.groupBy("l_returnflag", "l_linestatus").agg(
-        F.round(F.sum("l_quantity"), 2).alias("sum_qty"), F.round(F.sum("l_extendedprice"), 2).alias("sum_base"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("sum_disc"), F.round(F.avg("l_quantity"), 4).alias("avg_qty"), F.count(F.lit(1)).alias("n")
+        F.round(F.sum("l_quantity"), 2).alias("sum_qty"), F.round(F.sum("l_extendedprice"), 2).alias("sum_base"), revenue().alias("sum_disc"), F.round(F.avg("l_quantity"), 4).alias("avg_qty"), F.count(F.lit(1)).alias("n")
     )
 
 
 @query(
     "star_shipping_priority",
-    "SELECT o_orderkey, o_orderdate, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey WHERE c_mktsegment = 'BUILDING' AND o_orderdate < TIMESTAMP '1996-01-01' GROUP BY ALL ORDER BY revenue DESC, o_orderkey LIMIT 10",
+    "SELECT o_orderkey, o_orderdate, CAST(sum(CAST(l_extendedprice * (1 - l_discount) AS DECIMAL(18,4))) AS DOUBLE) AS revenue FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey WHERE c_mktsegment = 'BUILDING' AND o_orderdate < TIMESTAMP '1996-01-01' GROUP BY ALL ORDER BY revenue DESC, o_orderkey LIMIT 10",
 )
 def shipping_priority(spark, d):
     c = t(spark, d, "customer").filter("c_mktsegment = 'BUILDING'").select("c_custkey")
     o = t(spark, d, "orders").filter(F.col("o_orderdate") < D("1996-01-01")).select("o_orderkey", "o_custkey", "o_orderdate")
     x = c.join(o, c.c_custkey == o.o_custkey).join(t(spark, d, "lineitem"), F.col("l_orderkey") == F.col("o_orderkey"))
-    return x.groupBy("o_orderkey", "o_orderdate").agg(F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue")).orderBy(F.desc("revenue"), "o_orderkey").limit(10)
+    return x.groupBy("o_orderkey", "o_orderdate").agg(revenue().alias("revenue")).orderBy(F.desc("revenue"), "o_orderkey").limit(10)
 
 
 @query(
     "star_local_suppliers",
-    "SELECT n_name, count(*) AS n, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM customer, orders, lineitem, supplier, nation, region WHERE c_custkey = o_custkey AND l_orderkey = o_orderkey AND l_suppkey = s_suppkey AND c_nationkey = s_nationkey AND s_nationkey = n_nationkey AND n_regionkey = r_regionkey GROUP BY ALL",
+    "SELECT n_name, count(*) AS n, CAST(sum(CAST(l_extendedprice * (1 - l_discount) AS DECIMAL(18,4))) AS DOUBLE) AS revenue FROM customer, orders, lineitem, supplier, nation, region WHERE c_custkey = o_custkey AND l_orderkey = o_orderkey AND l_suppkey = s_suppkey AND c_nationkey = s_nationkey AND s_nationkey = n_nationkey AND n_regionkey = r_regionkey GROUP BY ALL",
 )
 def local_suppliers(spark, d):
     n = t(spark, d, "nation").join(t(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     s = t(spark, d, "supplier").join(n, F.col("s_nationkey") == F.col("n_nationkey"))
     x = t(spark, d, "lineitem").join(s, F.col("l_suppkey") == F.col("s_suppkey")).join(t(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
     x = x.join(t(spark, d, "customer"), (F.col("o_custkey") == F.col("c_custkey")) & (F.col("c_nationkey") == F.col("s_nationkey")))
-    return x.groupBy("n_name").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"))
+    return x.groupBy("n_name").agg(F.count(F.lit(1)).alias("n"), revenue().alias("revenue"))
 
 
 def _customers(spark, d):

@@ -12,8 +12,11 @@ likely; documents with more also give the sketch of another seed, in which both
 after the last seed the empty segments are keys too. So no pair is missed.
 
 Documents with equal sets are one node. Of a group that meets on a segment, first every node is compared with the
-least; where all are linked then, nothing is left to do. Where components still meet in a group, the pairs across them
-are compared, unless their distances from the least node rule it out (Jaccard distance is a metric).
+least, its pivot; where all are linked then, nothing is left to do. Where a pivot has met nodes of several components,
+the pairs across components are weighed in blocks of those nodes, and of them only pairs leave a block that neither the
+distances from the pivot (Jaccard distance is a metric) nor wide parity sketches, of four bits or more a shingle, rule
+out. Of the pairs that are left, each node is first compared with the likeliest of every other component; links merge
+components, and rounds go on until no pair across components is left that has not been compared.
 
 Defined results: null and empty texts and texts without words have no shingles, link with nothing and are their own
 component. Texts of fewer words than a shingle have the whole sequence as one. Repeated rows are copies of one
@@ -35,7 +38,7 @@ from pyspark.sql import functions as F
 from .common import MULT, U64, mix, stored, table
 from .components import components
 
-SEEDS, BITS = 6, 512
+SEEDS, BITS, MOST_BITS = 6, 512, 1 << 17
 MOST_BROADCAST = 2_000_000  # ids (16 MB); beyond it the text is shuffled instead
 
 
@@ -79,8 +82,13 @@ class Sets:
         second = np.array([np.bitwise_xor.reduce(mix(x ^ U64(0xBE5466CF))) if len(x) else U64(0) for x in self.sets], U64)
         return first ^ mix(self.sizes.astype(U64)), second + self.sizes.astype(U64)
 
-    def parities(self) -> list[bytes]:
-        return [np.packbits(np.bincount((x & U64(BITS - 1)).astype(np.int64), minlength=BITS).astype(np.uint8) & 1).tobytes() for x in self.sets]
+    def parities(self, wide: bool = False) -> list[bytes]:
+        """Parity bits of each set: BITS of them, or a power of two of at least four a shingle."""
+        out = []
+        for x in self.sets:
+            bits = min(MOST_BITS, max(BITS, 1 << int(4 * len(x) - 1).bit_length())) if wide and len(x) else BITS
+            out.append(np.packbits(np.bincount((x & U64(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1, bitorder="little").tobytes())
+        return out
 
 
 def band_edges(percent: int, top: int) -> np.ndarray:
@@ -212,9 +220,9 @@ def _fetched(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _small(batches):
             s = Sets(b.column(1), words)
-            yield pa.RecordBatch.from_arrays([b.column(2), pa.array([x.view(np.int64) for x in s.sets], pa.list_(pa.int64()))], names=["node", "shingles"])
+            yield pa.RecordBatch.from_arrays([b.column(2), pa.array([x.view(np.int64) for x in s.sets], pa.list_(pa.int64())), pa.array(s.sizes), pa.array(s.parities(True), pa.binary())], names=["node", "shingles", "n", "wide"])
 
-    return rows.select("doc_id", "text", "node").mapInArrow(run, "node long, shingles array<long>").dropDuplicates(["node"])
+    return rows.select("doc_id", "text", "node").mapInArrow(run, "node long, shingles array<long>, n long, wide binary").dropDuplicates(["node"])
 
 
 def _compared(pairs: DataFrame, bits: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -232,32 +240,71 @@ def _compared(pairs: DataFrame, bits: DataFrame, sets: DataFrame, percent: int)
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(keep)], names=["a", "b", "na", "nb", "likely"])
 
     known = stored(known.select("a", "b", "na", "nb", "bitsa", "bitsb").mapInArrow(hamming, "a long, b long, na long, nb long, likely boolean"), "pairs")
-    held = known.filter("likely").join(sets.withColumnRenamed("node", "a").withColumnRenamed("shingles", "sa"), "a").join(sets.withColumnRenamed("node", "b").withColumnRenamed("shingles", "sb"), "b")
+    held = known.filter("likely").join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
     both = F.size(F.array_intersect("sa", "sb"))
     whole = F.col("na") + F.col("nb") - F.col("both")
     sure = held.select("a", "b", "na", "nb", both.alias("both")).select("a", "b", (F.col("both") * 100 >= whole * percent).alias("near"), (1 - F.col("both") / whole).alias("far"))
     return sure.unionByName(known.filter("NOT likely").select("a", "b", F.lit(False).alias("near"), F.lit(1.0).alias("far")))
 
 
+def _folded(wide: list[bytes]) -> np.ndarray:
+    """Parity sketches as rows of 64-bit words, all of the least width: parities of a half add up to those of the whole."""
+    least = min(map(len, wide))
+    rows = []
+    for x in wide:
+        y = np.frombuffer(x, np.uint8)
+        while len(y) > least:
+            y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+        rows.append(y)
+    return np.array(rows).view(U64)
+
+
 def _across(percent: int):
-    """Pairs of different components in a group whose distances from its least node do not rule a link out."""
+    """Pairs of different components among a pivot's nodes (of one block, or of two) that nothing rules out yet.
+
+    For each node and each other component the pair of least Hamming distance is marked as the first to compare.
+    """
     reach = 1 - percent / 100 + 1e-9
 
     def run(part: pa.Table) -> pa.Table:
-        node, comp, far = (part.column(c).to_numpy() for c in ("node", "component", "far"))
-        order = np.argsort(node)
-        node, comp, far = node[order], comp[order], far[order]
-        a, b = [], []
-        for i in range(1, len(node) - 1):  # the least has been compared with all
-            j = i + 1 + np.flatnonzero((comp[i + 1 :] != comp[i]) & ((far[i + 1 :] >= 1) | (far[i] >= 1) | (np.abs(far[i + 1 :] - far[i]) <= reach)))
-            a.append(np.full(len(j), node[i]))
-            b.append(node[j])
-        return pa.table({"a": np.concatenate(a) if a else np.zeros(0, np.int64), "b": np.concatenate(b) if b else np.zeros(0, np.int64)})
+        node, comp, far, n, block = (part.column(c).to_numpy() for c in ("node", "component", "far", "n", "block"))
+        i, j = part.column("i")[0].as_py(), part.column("j")[0].as_py()
+        sketch = _folded(part.column("wide").to_pylist())
+        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        a, b, ham = [], [], []
+        for x in left:
+            y = right[right > x] if i == j else right
+            y = y[(comp[y] != comp[x]) & (np.maximum(n[y], n[x]) * percent <= np.minimum(n[y], n[x]) * 100)]
+            y = y[(far[y] >= 1) | (far[x] >= 1) | (np.abs(far[y] - far[x]) <= reach)]
+            if not len(y):
+                continue
+            least = np.bitwise_count(sketch[y] ^ sketch[x]).sum(1).astype(np.int64)
+            keep = least * (100 + percent) <= (100 - percent) * (n[x] + n[y])
+            a.append(np.full(keep.sum(), x)), b.append(y[keep]), ham.append(least[keep])
+        a, b, ham = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (a, b, ham))
+        first = np.zeros(len(a), bool)
+        for one, other in ((a, b), (b, a)):
+            order = np.lexsort((ham, comp[other], one))
+            new = np.ones(len(order), bool)
+            new[1:] = (one[order][1:] != one[order][:-1]) | (comp[other][order][1:] != comp[other][order][:-1])
+            first[order[new]] = True
+        low, high = np.minimum(node[a], node[b]), np.maximum(node[a], node[b])
+        return pa.table({"a": low, "b": high, "first": first})
 
     return run
 
 
-def grouped(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFrame:
+def _split(many: DataFrame, components_: DataFrame, seen: DataFrame, sets: DataFrame, block: int) -> DataFrame:
+    """Nodes of each pivot that has met several components, dealt to pairs of blocks of about `block` nodes."""
+    placed = many.join(components_, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    sizes = placed.groupBy("pivot").agg(F.count(F.lit(1)).alias("nodes"), F.countDistinct("component").alias("parts")).filter("parts > 1").select("pivot", F.ceil(F.col("nodes") / block).cast("int").alias("blocks"))
+    placed = placed.join(sizes, "pivot").join(seen.select(F.col("a").alias("pivot"), F.col("b").alias("node"), "far"), ["pivot", "node"]).join(sets.select("node", "n", "wide"), "node")
+    own = F.pmod(F.xxhash64("node"), "blocks").cast("int")
+    placed = placed.withColumn("block", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return placed.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).groupBy("pivot", "i", "j")
+
+
+def grouped(docs: DataFrame, words: int = 4, percent: int = 85, block: int = 1500) -> DataFrame:
     """docs(doc_id, text) -> doc_id, n_shingles, component_id (the smallest doc_id that links reach)."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -270,25 +317,29 @@ def grouped(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFrame:
         raise ValueError("two different shingle sets have the same 64-bit hash")
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(total * 0.4) >> 21, 1)
     runs = _keyed(docs, words, percent, edges, buckets).groupBy("bucket").applyInArrow(_met, "members array<long>")
-    runs = stored(runs.groupBy(F.xxhash64("members").alias("run"), F.size("members").alias("size")).agg(F.first("members").alias("members")), "groups")
+    runs = stored(runs.distinct(), "groups")
     links = None
     if runs.limit(1).count():
-        member = runs.select("run", "size", F.col("members")[0].alias("a"), F.explode("members").alias("node"))
-        first = stored(member.filter("node <> a").select("a", F.col("node").alias("b")).distinct(), "first")
+        member = runs.select(F.col("members")[0].alias("a"), F.explode("members").alias("b"))
+        first = stored(member.filter("a <> b").distinct(), "first")
         wanted = first.select(F.col("a").alias("node")).unionByName(first.select(F.col("b").alias("node"))).distinct()
         sets = stored(_fetched(docs, stored(nodes.join(wanted, "node", "left_semi").filter("rep IS NOT NULL").select(F.col("rep").alias("doc_id"), "node"), "wanted"), words), "shingles")
         seen = stored(_compared(first, nodes, sets, percent), "compared")
         links = seen.filter("near").select("a", "b")
-        many = member.filter("size > 2")
-        if many.limit(1).count():
+        # a pivot's nodes beyond the first; a pair that met in a group is among the nodes of the group's pivot
+        many = first.select(F.col("a").alias("pivot"), F.col("b").alias("node"))
+        whole = components(links)
+        left = _split(many, whole, seen, sets, block).applyInArrow(_across(percent), "a long, b long, first boolean")
+        left = stored(left.groupBy("a", "b").agg(F.max("first").alias("first")).join(seen, ["a", "b"], "left_anti"), "across")
+        while left.limit(1).count():
+            turn = left.filter("first")
+            turn = turn if turn.limit(1).count() else left
+            more = stored(_compared(turn.select("a", "b"), nodes, sets, percent), "compared")
+            links = links.unionByName(more.filter("near").select("a", "b"))
             whole = components(links)
-            placed = many.join(whole, "node", "left").withColumn("component", F.coalesce("component", "node"))
-            placed = placed.join(seen.select("a", F.col("b").alias("node"), "far"), ["a", "node"], "left").withColumn("far", F.coalesce("far", F.lit(0.0)))
-            parted = placed.groupBy("run", "size").agg(F.countDistinct("component").alias("parts")).filter("parts > 1").select("run", "size")
-            more = placed.join(parted, ["run", "size"], "left_semi").groupBy("run", "size").applyInArrow(_across(percent), "a long, b long").distinct()
-            more = stored(more.join(seen, ["a", "b"], "left_anti"), "across")
-            if more.limit(1).count():
-                links = links.unionByName(_compared(more, nodes, sets, percent).filter("near").select("a", "b"))
+            ends = [whole.select(F.col("node").alias(x), F.col("component").alias(f"c{x}")) for x in "ab"]
+            rest = left.join(more, ["a", "b"], "left_anti").join(ends[0], "a", "left").join(ends[1], "b", "left")
+            left = stored(rest.filter("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b", F.lit(False).alias("first")), "across")
         whole = components(links)
         labelled = nodes.select("node", "rep").join(whole, "node", "left").withColumn("component", F.coalesce("component", "node"))
         least = labelled.groupBy("component").agg(F.min("rep").alias("component_id"))

@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Characters, extensions and headers that results must agree on.
-INVISIBLE = "​‌‍‎‏⁠﻿­"
+INVISIBLE = "\u200b\u200c\u200d\u200e\u200f\u2060\ufeff\u00ad"
 DIGITS = ("०१२३४५६७८९", "0123456789")
 IMAGE_EXTENSIONS = ("jpg", "jpeg", "png", "gif", "webp", "svg", "pdf")
 BINARY_URL_EXTENSIONS = (".jpg", ".jpeg", ".png", ".gif", ".webp", ".svg", ".pdf", ".ico", ".bmp", ".tif", ".tiff")
@@ -83,7 +83,7 @@ def collapse_danda(c: Column) -> Column:
 
 
 def collapse_space(c: Column) -> Column:
-    c = F.regexp_replace(c, r"[ \t ]+", " ")
+    c = F.regexp_replace(c, r"[ \t\u00a0]+", " ")
     c = F.regexp_replace(c, r" *\n *", "\n")
     return F.regexp_replace(c, r"\n{3,}", "\n\n")
 

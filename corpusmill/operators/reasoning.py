@@ -116,7 +116,7 @@ def reversed_facts(text: Column) -> Column:
 def swapped(text: Column, a: Column, b: Column) -> Column:
     """Two names exchanged, where each stands exactly once; null elsewhere."""
     once = lambda x: F.length(text) - F.length(F.replace(text, x, F.lit(""))) == F.length(x)
-    return F.when(once(a) & once(b), F.replace(F.replace(F.replace(text, a, F.lit("")), b, a), F.lit(""), b))
+    return F.when(once(a) & once(b), F.replace(F.replace(F.replace(text, a, F.lit("\x00")), b, a), F.lit("\x00"), b))
 
 
 def probe_summary(pairs: DataFrame) -> DataFrame:

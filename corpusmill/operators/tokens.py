@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Stands between symbols while pairs are merged; no symbol holds it.
+SEP = "\x1f"
 BYTE_PIECE = "^<0x[0-9A-F]{2}>$"
 
 
@@ -163,10 +165,9 @@ def byte_pairs(word_counts: DataFrame, merges: int) -> list[tuple[str, str]]:
             break
         a, b = best[0]["p"]
         out.append((a, b))
-        sep = ""
-        joined = F.concat(F.lit(sep), F.array_join("symbols", sep + sep), F.lit(sep))
-        merged = F.regexp_replace(joined, F.lit(f"{sep}\\Q{a}\\E{sep}{sep}\\Q{b}\\E{sep}"), F.lit(f"{sep}{(a + b)}{sep}".replace("\\", "\\\\").replace("$", "\\$")))
-        words = words.select("n", F.split(F.regexp_replace(merged, f"^{sep}|{sep}$", ""), sep + sep).alias("symbols"))
+        joined = F.concat(F.lit(SEP), F.array_join("symbols", SEP + SEP), F.lit(SEP))
+        merged = F.regexp_replace(joined, F.lit(f"{SEP}\\Q{a}\\E{SEP}{SEP}\\Q{b}\\E{SEP}"), F.lit(SEP + (a + b).replace("\\", "\\\\").replace("$", "\\$") + SEP))
+        words = words.select("n", F.split(F.regexp_replace(merged, f"^{SEP}|{SEP}$", ""), SEP + SEP).alias("symbols"))
         if k % 20 == 19:
             words = words.checkpoint()
     return out

@@ -17,7 +17,7 @@ from ..sources.tables import table as t
 from ..streaming.jobs import folder
 
 #: Literal rows for steps that the tables never exercise; both sides read the same text.
-FIXTURES = {1: "a​b­c‌", 2: "x y\fz", 3: "राम १२३ ||  क | ।।। ॥॥", 4: "  a \t  b  \n\n\n\n c ", 5: "क़ é हिन्दी", 6: "पानी है। this is english. ठीक है?\nसब ठीक।"}
+FIXTURES = {1: "a\u200bb\u00adc\u200c", 2: "x\x07y\u00a0\u00a0z\x85", 3: "राम १२३ ||  क | ।।। ॥॥", 4: "  a \t  b  \n\n\n\n c ", 5: "\u0958 e\u0301 हिन्दी", 6: "पानी है। this is english. ठीक है?\nसब ठीक।"}
 
 
 def _quoted(s: str) -> str:

@@ -137,7 +137,7 @@ def _by_document(left: pa.Table, right: pa.Table) -> Iterator[tuple[int, int, in
     order = np.lexsort((marks, ids))
     ids, marks = ids[order], marks[order]
     edge = np.flatnonzero(np.concatenate([[True], (ids[1:] != ids[:-1]) | (marks[1:] != marks[:-1])])) if len(ids) else np.zeros(0, int)
-    where = {(i, m): order[a:b] for i, m, a, b in zip(ids[edge].tolist(), marks[edge].tolist(), edge.tolist(), [*edge[1:].tolist(), len(ids)], strict=True)}
+    where = {(i, m): order[a:b] for i, m, a, b in zip(ids[edge].tolist(), marks[edge].tolist(), edge.tolist(), [*edge.tolist(), len(ids)][1:], strict=True)}
     none = order[:0]
     for row, (i, m) in enumerate(zip(left.column("doc_id").to_pylist(), left.column("mark").to_pylist(), strict=True)):
         yield row, i, m, where.get((i, m), none)

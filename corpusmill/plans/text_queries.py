@@ -14,7 +14,7 @@ from ..operators import tokens as K
 from ..registry import query
 from ..sources import web as W
 from ..sources.tables import table as t
-from ..streaming.jobs import folder
+from ..streaming.jobs import stored as _cut
 
 #: Literal rows for steps that the tables never exercise; both sides read the same text.
 FIXTURES = {1: "a\u200bb\u00adc\u200c", 2: "x\x07y\u00a0\u00a0z\x85", 3: "राम १२३ ||  क | ।।। ॥॥", 4: "  a \t  b  \n\n\n\n c ", 5: "\u0958 e\u0301 हिन्दी", 6: "पानी है। this is english. ठीक है?\nसब ठीक।"}
@@ -151,14 +151,6 @@ _KEYS = " UNION ALL ".join(f"SELECT doc_id, {b} AS band, md5(concat_ws(',', {',
 _PAIRS = f"WITH sig AS MATERIALIZED (SELECT doc_id, {_MINS} FROM ({_HASHED}) GROUP BY doc_id), keys AS MATERIALIZED ({_KEYS}) SELECT DISTINCT x.doc_id AS a, y.doc_id AS b FROM keys x JOIN keys y ON x.band = y.band AND x.key = y.key AND x.doc_id < y.doc_id"
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """Written once in the shared folder and read again."""
-    spark = df.sparkSession
-    path = folder(spark)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def _unique(spark, d) -> DataFrame:
     """Exact copies go first, so that no band key is hot for them."""
     docs = t(spark, d, "documents")

@@ -18,6 +18,13 @@ def folder(spark: SparkSession) -> str:
     return f"{shared.rstrip('/')}/streams/{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """df written once in the shared folder and read again."""
+    path = folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def events(spark: SparkSession, sf_dir: str, files_a_trigger: int = 1) -> DataFrame:
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_a_trigger).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/[e]vents.parquet")

@@ -129,3 +129,15 @@ def test_reasoning(spark):
     one = spark.createDataFrame([("A is x. B is y. Who?",)], "text string")
     assert one.select(R.reversed_facts(F.col("text"))).first()[0] == "B is y. A is x. Who?"
     assert one.select(R.swapped(F.col("text"), F.lit("A"), F.lit("B"))).first()[0] == "B is x. A is y. Who?"
+
+
+def test_langid(spark):
+    from corpusmill.operators import langid as L
+
+    rows = [("de", f"der die das und nicht ein haus nummer {i} ist schön") for i in range(40)] + [("en", f"the house and not a number {i} is nice with that") for i in range(40)]
+    docs = spark.createDataFrame(rows, "lang string, text string")
+    train, test = L.stratified(docs, 0.3)
+    assert train.count() + test.count() == 80
+    got = L.fitted(train, features=5000).predict(test)
+    assert got.filter("pred <> lang").count() == 0 and got.filter("conf < 0.5").count() == 0
+    assert spark.createDataFrame([("ab",)], "text string").select(L.char_ngrams(F.col("text"))).first()[0] == [" ab", "ab ", " ab ", " ab "]

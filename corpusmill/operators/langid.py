@@ -21,10 +21,14 @@ def char_ngrams(c: Column, low: int = 3, high: int = 5) -> Column:
     """n-grams of each word with a space at either end; a padded word shorter than n gives itself once."""
 
     def of(w: Column) -> Column:
-        def grams(n: int) -> Column:
-            return X.let(F.filter(F.split(F.concat(F.lit(" "), w, F.lit(" ")), ""), lambda x: x != ""), lambda ch: F.transform(F.sequence(F.lit(1), F.greatest(F.size(ch) - (n - 1), F.lit(1))), lambda i: F.array_join(F.slice(ch, i, F.lit(n)), "")))
+        def grams(ch: Column) -> Column:
+            def sized(n: int) -> Column:
+                own = F.transform(F.sequence(F.lit(1), F.greatest(F.size(ch) - (n - 1), F.lit(1))), lambda i: F.array_join(F.slice(ch, i, F.lit(n)), ""))
+                return own if n == low else F.when(F.size(ch) >= n, own).otherwise(F.array().cast("array<string>"))
 
-        return F.flatten(F.array(*(grams(n) for n in range(low, high + 1))))
+            return F.flatten(F.array(*(sized(n) for n in range(low, high + 1))))
+
+        return X.let(F.filter(F.split(F.concat(F.lit(" "), w, F.lit(" ")), ""), lambda x: x != ""), grams)
 
     return F.flatten(F.transform(X.words(F.lower(F.substring(c, 1, MAX_CHARS))), of))
 

@@ -39,6 +39,7 @@ from .common import MULT, U64, mix, stored, table
 from .components import components
 
 SEEDS, BITS, MOST_BITS = 6, 512, 1 << 17
+NO_ID = 2**63 - 1  # stands for a null id, after all others
 MOST_BROADCAST = 2_000_000  # ids (16 MB); beyond it the text is shuffled instead
 
 
@@ -307,7 +308,7 @@ def _split(many: DataFrame, components_: DataFrame, seen: DataFrame, sets: DataF
 def grouped(docs: DataFrame, words: int = 4, percent: int = 85, block: int = 1500) -> DataFrame:
     """docs(doc_id, text) -> doc_id, n_shingles, component_id (the smallest doc_id that links reach)."""
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), "text")
     described = stored(_described(docs, words), "sets")
     top, total = described.agg(F.coalesce(F.max("n"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
     edges = band_edges(percent, int(top))
@@ -323,7 +324,7 @@ def grouped(docs: DataFrame, words: int = 4, percent: int = 85, block: int = 150
         member = runs.select(F.col("members")[0].alias("a"), F.explode("members").alias("b"))
         first = stored(member.filter("a <> b").distinct(), "first")
         wanted = first.select(F.col("a").alias("node")).unionByName(first.select(F.col("b").alias("node"))).distinct()
-        sets = stored(_fetched(docs, stored(nodes.join(wanted, "node", "left_semi").filter("rep IS NOT NULL").select(F.col("rep").alias("doc_id"), "node"), "wanted"), words), "shingles")
+        sets = stored(_fetched(docs, stored(nodes.join(wanted, "node", "left_semi").select(F.col("rep").alias("doc_id"), "node"), "wanted"), words), "shingles")
         seen = stored(_compared(first, nodes, sets, percent), "compared")
         links = seen.filter("near").select("a", "b")
         # a pivot's nodes beyond the first; a pair that met in a group is among the nodes of the group's pivot
@@ -338,7 +339,7 @@ def grouped(docs: DataFrame, words: int = 4, percent: int = 85, block: int = 150
             links = links.unionByName(more.filter("near").select("a", "b"))
             whole = components(links)
             ends = [whole.select(F.col("node").alias(x), F.col("component").alias(f"c{x}")) for x in "ab"]
-            rest = left.join(more, ["a", "b"], "left_anti").join(ends[0], "a", "left").join(ends[1], "b", "left")
+            rest = left.join(turn.select("a", "b"), ["a", "b"], "left_anti").join(ends[0], "a", "left").join(ends[1], "b", "left")
             left = stored(rest.filter("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b", F.lit(False).alias("first")), "across")
         whole = components(links)
         labelled = nodes.select("node", "rep").join(whole, "node", "left").withColumn("component", F.coalesce("component", "node"))
@@ -346,7 +347,8 @@ def grouped(docs: DataFrame, words: int = 4, percent: int = 85, block: int = 150
         mapped = labelled.join(least, "component").select("node", "component_id")
     else:
         mapped = nodes.select("node", F.col("rep").alias("component_id"))
-    return described.join(mapped, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    out = described.join(mapped, "node", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
+    return out.select(F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"), F.col("n").alias("n_shingles"), F.nullif("component_id", F.lit(NO_ID)).alias("component_id"))
 
 
 def op9_jaccard(spark, sf_dir):

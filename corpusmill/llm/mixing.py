@@ -27,6 +27,7 @@ from .common import stored, table
 #: Weights by rank of the source, repeating.
 WEIGHTS = (5, 2, 1)
 MOST_REPEATS = 3
+MOST_SOURCES = 500_000  # quotas are worked out on the driver, a row each
 _WORDS = r"[^\x20\x09-\x0D]+"
 
 
@@ -81,7 +82,9 @@ def taken(docs: DataFrame, seed: int = 7, block_words: int = 128, shard_words: i
     sized = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), F.xxhash64(F.lit(seed), "doc_id").alias("turn"), F.xxhash64("text").alias("mark"), *own)
     if not carry:
         sized = stored(sized, "sizes")  # else every step below would count the words again
-    rows = sized.groupBy("source").agg(F.sum("size").alias("size")).collect()
+    rows = sized.groupBy("source").agg(F.sum("size").alias("size")).limit(MOST_SOURCES + 1).collect()
+    if len(rows) > MOST_SOURCES:
+        raise ValueError(f"more than {MOST_SOURCES} sources")
     names = sorted((r["source"] for r in rows if r["source"] is not None), key=lambda s: [ord(c) for c in s]) + [None] * any(r["source"] is None for r in rows)
     by = {r["source"]: r["size"] for r in rows}
     sizes = [by[s] for s in names]

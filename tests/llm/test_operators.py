@@ -349,3 +349,23 @@ def test_fingerprints(spark, docs):
     assert syncmers.compared(docs.limit(0)).count() == 0 and syncmers.compared(docs.limit(1)).count() == 1
     assert {r["doc_id"]: r["fingerprint"] for r in syncmers.fingerprints(docs).collect()}[20] == prints[20]["fingerprint"]
     assert syncmers.anchors(docs).columns == ["doc_id", "start", "anchor"]
+
+
+def test_null_ids_and_columns(spark):
+    """A null in any column, in every operator."""
+    texts = [prose(1, 60), prose(1, 60) + " end", None, prose(2, 60), prose(2, 60)]
+    docs = spark.createDataFrame([(None, texts[0], None, 1), (1, texts[1], "s", None), (None, None, None, None), (2, texts[3], "s", 0), (None, texts[4], "s", 0)], "doc_id long, text string, source string, n_chars long")
+    n = docs.count()
+    assert ngram_lm.scored(docs, F.crc32(F.col("doc_id").cast("string")) % 10 == 0).count() == n
+    assert packing.packed(docs).select("sequence_id").count() >= 1
+    assert suffix_dedup.without_repeats(docs).count() == n
+    assert pii.found(docs).count() == n and pii.redacted(docs).count() == n
+    assert quality.scored(docs, spark.createDataFrame([(None, None), (1, 1), (2, 0)], "doc_id long, quality int")).count() == n
+    assert mixing.taken(docs).count() == n
+    got = {(r["doc_id"], r["n_shingles"]): r["component_id"] for r in jaccard.grouped(docs).collect()}
+    assert got[1, 58] == 1 and got[None, 57] in (1, 2) and got[None, 0] is None and got[2, 57] == 2
+    assert syncmers.compared(docs).count() == n
+    v = spark.createDataFrame([(None, [1.0, 2.0], 1), (1, [1.0, 2.0], 1), (None, None, None)], "vec_id long, embedding array<double>, label int")
+    assert sorted((r["n_links"], r["component_id"] or 0) for r in vectors.near_duplicates(v).collect()) == [(0, 0), (1, 1), (1, 1)]
+    pages = spark.createDataFrame([(None, None, None), (1, None, "<p>a")], "page_id long, url string, html string")
+    assert html_text.extracted(pages).count() == 2

@@ -341,7 +341,6 @@ def grouped(docs: DataFrame, words: int = 4, percent: int = 85, block: int = 150
             ends = [whole.select(F.col("node").alias(x), F.col("component").alias(f"c{x}")) for x in "ab"]
             rest = left.join(turn.select("a", "b"), ["a", "b"], "left_anti").join(ends[0], "a", "left").join(ends[1], "b", "left")
             left = stored(rest.filter("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b", F.lit(False).alias("first")), "across")
-        whole = components(links)
         labelled = nodes.select("node", "rep").join(whole, "node", "left").withColumn("component", F.coalesce("component", "node"))
         least = labelled.groupBy("component").agg(F.min("rep").alias("component_id"))
         mapped = labelled.join(least, "component").select("node", "component_id")

@@ -58,10 +58,6 @@ def local_suppliers(spark, d):
     return x.groupBy("n_name").agg(F.count(F.lit(1)).alias("n"), revenue().alias("revenue"))
 
 
-def _customers(spark, d):
-    return t(spark, d, "customer").select("c_custkey", "c_nationkey"), t(spark, d, "orders").filter("o_orderstatus = 'F'").select("o_orderkey", "o_custkey")
-
-
 for _kind, _sql in {"inner": "JOIN", "left": "LEFT JOIN", "right": "RIGHT JOIN", "full": "FULL JOIN"}.items():
 
     @query(
@@ -126,9 +122,6 @@ def _located(spark, d):
     return t(spark, d, "customer").join(n, F.col("c_nationkey") == F.col("n_nationkey"))
 
 
-_MEASURES = (F.count, F.sum)
-
-
 def _measured(g):
     return g.agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("c_acctbal"), 2).alias("balance"))
 
@@ -177,8 +170,7 @@ def percentiles(spark, d):
 @query("star_approx_distinct")
 def approx_distinct(spark, d):
     """HyperLogLog counts: within the sketch's error of star_count_distinct, so there is no equal SQL."""
-    x = t(spark, d, "lineitem").groupBy("l_returnflag").agg(F.approx_count_distinct("l_partkey", 0.02).alias("parts"), F.hll_sketch_estimate(F.hll_sketch_agg("l_suppkey")).alias("suppliers"))
-    return x
+    return t(spark, d, "lineitem").groupBy("l_returnflag").agg(F.approx_count_distinct("l_partkey", 0.02).alias("parts"), F.hll_sketch_estimate(F.hll_sketch_agg("l_suppkey")).alias("suppliers"))
 
 
 @query(

@@ -119,7 +119,7 @@ class Index:
         return total <= (self.radius + error + 1e-7) ** 2
 
 
-def _linked(raw_q: list[bytes], raw_m: list[bytes], q: np.ndarray, m: np.ndarray, maybe: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray]:
+def _linked(q: np.ndarray, m: np.ndarray, maybe: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray]:
     """Pairs among the candidates whose exact cosine is reached."""
     i, j = np.nonzero(maybe)
     keep = []
@@ -149,7 +149,7 @@ def _searched(indexes: dict[int, Index], cosine: float):
                 maybe = index.near(q[a : a + 256], which, code, error)
                 same = own[rows] == which  # in the query's own list each pair once
                 maybe &= ~same[:, None] | (node[rows][:, None] < node[members])
-                i, j = _linked(raw, raw, q[a : a + 256], m, maybe, cosine)
+                i, j = _linked(q[a : a + 256], m, maybe, cosine)
                 pairs_q.append(rows[i]), pairs_m.append(members[j])
             i, j = np.concatenate(pairs_q), np.concatenate(pairs_m)
             counts = np.bincount(i, weight[j], len(node)) + np.bincount(j, weight[i], len(node))

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MULT, U64, mix, stored, table
+from .common import MULT, U64, mix, release, stored, table
 from .components import components
 
 SEEDS, BITS, MOST_BITS = 6, 512, 1 << 17
@@ -147,7 +147,7 @@ def _described(docs: DataFrame, words: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, node long, check long, bits binary")
 
 
-def _small(batches: Iterator[pa.RecordBatch], most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def _small(batches: Iterator[pa.RecordBatch], most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Batches of at most about `most` bytes and 60,000 rows."""
     for b in batches:
         sizes = pc.fill_null(pc.binary_length(b.column(1)), 0).to_numpy(zero_copy_only=False) + 64
@@ -156,6 +156,7 @@ def _small(batches: Iterator[pa.RecordBatch], most: int = 8 << 20) -> Iterator[p
             e = min(len(sizes), a + 60_000, max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + most, "right"))))
             yield b.slice(a, e - a)
             a = e
+    release()
 
 
 def _keyed(docs: DataFrame, words: int, percent: int, edges: np.ndarray, buckets: int) -> DataFrame:
@@ -163,7 +164,7 @@ def _keyed(docs: DataFrame, words: int, percent: int, edges: np.ndarray, buckets
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plans: dict[int, tuple[int, int]] = {}
-        for b in _small(batches, 16 << 20):
+        for b in _small(batches, 6 << 20):
             s = Sets(b.column(1), words)
             nodes, _ = s.fingerprints()
             _, first = np.unique(nodes, return_index=True)  # copies in a batch speak once
@@ -210,6 +211,8 @@ def _met(part: pa.Table) -> pa.Table:
         own = np.unique(node[edge[i] : edge[i + 1]].view(np.int64))
         if len(own) > 1:
             groups.add(own.tobytes())
+    del key, node, order
+    release()
     return pa.table({"members": pa.array([np.frombuffer(g, np.int64) for g in groups], pa.list_(pa.int64()))})
 
 
@@ -316,7 +319,7 @@ def grouped(docs: DataFrame, words: int = 4, percent: int = 85, block: int = 150
     nodes = stored(nodes, "nodes")
     if nodes.filter("low <> high").limit(1).count():
         raise ValueError("two different shingle sets have the same 64-bit hash")
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(total * 0.4) >> 21, 1)
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(total * 0.4) >> 19, 1)
     runs = _keyed(docs, words, percent, edges, buckets).groupBy("bucket").applyInArrow(_met, "members array<long>")
     runs = stored(runs.distinct(), "groups")
     links = None

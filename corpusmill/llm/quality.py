@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import stored, table
+from .common import release, stored, table
 
 FEATURES, BINS, SEED = 384, 1000, 11
 MOST_BROADCAST = 2_000_000  # ids (16 MB)
@@ -219,6 +219,7 @@ def accepted(docs: DataFrame, labels: DataFrame, least: float = 0.5) -> DataFram
             if b.num_rows:
                 score = model.score(np.array([statistics(x.as_py()) for x in b.column(at)], float))
                 yield b.filter(pa.array(score >= least))
+        release()
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -236,8 +236,14 @@ def shown(spans: list[tuple[str, int, int]]) -> str:
 
 
 def learned(docs: DataFrame, sample: int = 2_000, sample_chars: int = 20_000) -> Field:
-    likely = docs.select("doc_id", "text").filter(F.col("text").rlike("[0-9@]") & (F.length("text") <= sample_chars))
-    return fitted([r["text"] for r in likely.orderBy(F.xxhash64("doc_id", "text"), "doc_id").limit(sample).select("text").collect()])
+    """The field fitted on the documents of least hash. Only hashes compete; the texts of the chosen go to the driver."""
+    turn = F.xxhash64("doc_id", "text").alias("turn")
+    likely = docs.select("text", turn).filter(F.col("text").rlike("[0-9@]") & (F.length("text") <= sample_chars))
+    last = likely.select("turn").distinct().orderBy("turn").limit(sample).agg(F.max("turn")).first()[0]
+    if last is None:
+        return fitted([])
+    chosen = likely.filter(F.col("turn") <= last).dropDuplicates(["turn"])
+    return fitted([r["text"] for r in chosen.orderBy("turn").select("text").collect()])
 
 
 SPANS = "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"

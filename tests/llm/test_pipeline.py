@@ -25,4 +25,4 @@ def test_stages(spark):
     assert mix.columns == docs.columns
     pieces = P.packing(spark, mix, SF)
     assert {"doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"} <= set(pieces.columns)
-    assert P.run(spark, SF).count() == pieces.count() or P.run(spark, SF).count() > 0
+    assert P.run(spark, SF).count() > 0 and pieces.count() > 0

@@ -1,14 +1,15 @@
 """Main text of web pages by tree scoring.
 
 A tolerant tokeniser builds the page's tree. Subtrees that are never article text (navigation, headers and footers of
-the page, forms, scripts, hidden parts, and blocks whose class, id or role names them as such) are cut off. Every
+the page, scripts, hidden parts) are cut off, and so are forms and blocks whose class, id or role names them as such,
+unless they hold most of the page's unlinked text (of that in article and main elements, if there is some). Every
 paragraph-like block then scores by its length and its commas; the score goes to its parent in full, to its
 grandparent by half and on upwards by less, and each container's score is discounted by the share of its text that
 stands in links. The best container is kept, and those of its siblings that score well or read like prose.
 
 Defined results: null, empty and text-free pages give an empty string. Unclosed and misnested tags are mended as
 browsers do for paragraphs, list items, rows and cells; a tag cut off by the end of the page is dropped. `<br>` is
-white space. Nothing is capped. Repeated pages each get a row; only page_id, url and html are read.
+white space. A page of which nothing is left is read again without cuts by name. Nothing is capped. Repeated pages each get a row; only page_id, url and html are read.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from .common import table
 # Element names of HTML by role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe svg math xmp noembed noframes".split())
-CUT = frozenset("nav footer aside form button select option menu dialog object applet canvas audio video figcaption label fieldset".split())
+CUT = frozenset("nav footer aside button select option menu dialog object applet canvas audio video figcaption label fieldset".split())
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
@@ -38,8 +39,12 @@ SELF_CLOSING = {"li": ("li", ("ul", "ol", "menu", "dir")), "dt": ("dt dd", ("dl"
 UNLIKELY = re.compile(
     r"(?i)(?:^|[\s_-])(?:ads?|adverts?|advertisement|adsense|advertorial|banner|sponsor(?:ed)?|promo(?:tion|ted)?|nav(?:bar|igation)?|menu|topbar|toolbar|breadcrumbs?|sidebar|side-bar|widget|rail|footer|masthead|header|site-header|page-header|"
     r"cookies?|consent|gdpr|notice|notices|alert|popup|pop-up|modal|overlay|subscribe|subscription|newsletter|signup|login|paywall|comments?|comment-list|disqus|replies|reply|respond|discussion|"
-    r"share|sharing|social|related|recommend(?:ed|ations)?|also-read|read-more|more-stories|outbrain|taboola|trending|popular|tags|tagcloud|pagination|pager|skip-link|copyright|legal|disclaimer|search|form|hidden|complementary|contentinfo|search|dialog)(?:$|[\s_-])"
+    r"share|sharing|social|related|recommend(?:ed|ations)?|also-read|read-more|more-stories|outbrain|taboola|trending|popular|tags|tagcloud|pagination|pager|skip-link|copyright|legal|disclaimer|search|form|hidden|complementary|contentinfo|search|dialog)(?=$|[\s_-])"
 )
+# Words of UNLIKELY that a word of LIKELY beside them outweighs (entry-header); those that name long texts of their own.
+WEAK = frozenset("banner masthead header page-header notice notices legal search form hidden tags rail widget".split())
+APART = re.compile(r"(?i)comment|disqus|repl(?:y|ies)|respond|discussion|cookie|consent|gdpr|related|recommend|stories")
+MODIFIER = re.compile(r"(?i)(?:^|(?<=[\s_-]))(?:no|not|non|has|have|with|without|category|tag)[_-]\S*")
 LIKELY = re.compile(r"(?i)(?:^|[\s_-])(?:article|main|content|post|entry|story|body|text|hentry)(?:$|[\s_-])")
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*(?:>|\Z)|<[/a-zA-Z][^<>]*(?:>|\Z)", re.S)
 MOST_DEEP = 250  # elements opened below this depth stand beside each other, so that recursion stays bounded
@@ -48,11 +53,11 @@ _SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("below", "cut", "links", "named", "parent", "score", "size", "tag")
+    __slots__ = ("below", "core", "cut", "links", "named", "parent", "score", "size", "tag")
 
     def __init__(self, tag: str, parent: Node | None):
         self.tag, self.parent, self.below = tag, parent, []
-        self.score, self.size, self.links, self.cut, self.named = 0.0, 0, 0, False, ""
+        self.score, self.size, self.links, self.core, self.cut, self.named = 0.0, 0, 0, 0, False, ""
 
 
 def _attributes(raw: str) -> tuple[str, bool]:
@@ -132,30 +137,54 @@ def _plain(s: str) -> str:
 
 
 def _prune(node: Node, inside_article: bool) -> None:
-    """Marks what is never article text."""
+    """Marks what is never article text, whatever its name."""
     for x in node.below:
         if isinstance(x, str) or x.cut:
             continue
-        here = inside_article or x.tag in ("article", "main")
         if x.tag in CUT or x.tag == "header" and not inside_article:
             x.cut = True
-        elif x.named and x.tag not in ("html", "body", "article", "main") and UNLIKELY.search(x.named) and not (x.tag in ("h1", "h2", "h3", "p") and LIKELY.search(x.named)):
-            x.cut = True
         else:
-            _prune(x, here)
+            _prune(x, inside_article or x.tag in ("article", "main"))
+
 
+def _unlikely(node: Node) -> list[str]:
+    """Words of its names, modifiers (has-sidebar) apart, for which a node is no article text."""
+    if not node.named or node.tag in ("html", "body", "article", "main") or not UNLIKELY.search(node.named):
+        return []
+    words = [m[0].strip("-_ \t\r\n\f").lower() for m in UNLIKELY.finditer(MODIFIER.sub("", node.named))]
+    if LIKELY.search(node.named):
+        words = [] if node.tag in ("h1", "h2", "h3", "p") else [w for w in words if w not in WEAK]
+    return words
 
-def _measure(node: Node, in_link: bool) -> None:
-    """Sizes of text and of linked text of every node, bottom up."""
+
+def _prune_named(node: Node, root: Node) -> None:
+    """Marks forms, and what is named as no article text, but for what holds most of the page's prose."""
+    for x in node.below:
+        if isinstance(x, str) or x.cut:
+            continue
+        words = _unlikely(x)
+        if words or x.tag == "form":
+            own, whole = (x.core, root.core) if root.core else (x.size - x.links, root.size - root.links)
+            least = 0.9 if any(APART.search(w) for w in words) else 0.5
+            x.cut = not own > least * whole or x.links > 0.5 * x.size
+        if not x.cut:
+            _prune_named(x, root)
+
+
+def _measure(node: Node, in_link: bool, in_article: bool = False) -> None:
+    """Sizes of text, of linked text and of prose in articles of every node, bottom up."""
+    node.size = node.links = node.core = 0
     for x in node.below:
         if isinstance(x, str):
             n = len(x.strip())
             node.size += n
             node.links += n * in_link
+            node.core += n * (in_article and not in_link)
         elif not x.cut:
-            _measure(x, in_link or x.tag == "a")
+            _measure(x, in_link or x.tag == "a", in_article or x.tag in ("article", "main") and not UNLIKELY.search(MODIFIER.sub("", x.named)))
             node.size += x.size
             node.links += x.links
+            node.core += x.core
 
 
 def _own_blocks(node: Node) -> Iterator[str]:
@@ -220,11 +249,17 @@ def _commas(node: Node) -> int:
 
 def main_text(page: str | None) -> str:
     """The article of a page: blocks in page order, one a line."""
-    if not page:
-        return ""
+    return (_article(page, True) or _article(page, False)) if page else ""
+
+
+def _article(page: str, by_name: bool) -> str:
+    """The article, with or without cuts by name."""
     root = parse(page)
     _prune(root, False)
     _measure(root, False)
+    if by_name:
+        _prune_named(root, root)
+        _measure(root, False)
     found: list[Node] = []
     _score(root, found)
     if not found:

@@ -189,6 +189,18 @@ def test_html(spark):
     assert got == {k: (v, len(v)) for k, v in want.items()}
 
 
+@pytest.mark.parametrize("name", ["content no-sidebar", "site has-header", "layout-with-sidebar", "post has-comments", "post type-post category-legal", "page header", "main-search", "site hidden", "social"])
+def test_html_wrappers_named_like_noise(name):
+    text = ["A title of some length", "One, two, three and so on, for a while at least.", "The last one, which is no shorter than that."]
+    noise = '<div id="comments"><p>Nice, nice.</p></div><div class="cookie-notice"><p>We use them.</p></div>'
+    inner = f'<div class="entry-header"><h1>{text[0]}</h1></div><p>{text[1]}</p><p>{text[2]}</p>'
+    for body in (f'<div class="{name}">{inner}{noise}</div>', f'<div class="{name}"><article>{inner}</article></div>{noise}', f'<form action="x"><div class="{name}">{inner}</div>{noise}</form>'):
+        assert html_text.main_text(f"<html><body><nav>Menu</nav>{body}</body></html>").split("\n") == text
+    assert html_text.main_text('<div class="sidebar"><a href="/a">All there is</a></div>') == "All there is"
+    cards = "".join(f'<article class="card"><p>Another one, {i}.</p></article>' for i in range(3))
+    assert html_text.main_text(f'<article><p>{text[1]}</p><p>{text[2]}</p></article><div class="related">{cards}</div>').split("\n") == text[1:]
+
+
 def test_personal_data(spark):
     texts = [None, "", "mail a.b@c-d.org, x@y, ip 1.2.3.4 and 1.2.3.999 card 4111 1111 1111 1111 or 4111111111111112 tel +1 (988) 555-2485, later (988) 555-2485", "clean words only", "a@b@c.com 1.2.3.4.5.6.7.8", "9" * 5000 + " " + "a" * 5000]
     rows = [(i, t) for i, t in enumerate(texts)]

@@ -48,7 +48,8 @@ MODIFIER = re.compile(r"(?i)(?:^|(?<=[\s_-]))(?:no|not|non|has|have|with|without
 LIKELY = re.compile(r"(?i)(?:^|[\s_-])(?:article|main|content|post|entry|story|body|text|hentry)(?:$|[\s_-])")
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*(?:>|\Z)|<[/a-zA-Z][^<>]*(?:>|\Z)", re.S)
 MOST_DEEP = 250  # elements opened below this depth stand beside each other, so that recursion stays bounded
-_NAMES = re.compile(r"""(?is)\b(class|id|role|aria-label|style|hidden|aria-hidden|itemprop)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
+_ATTRIBUTE = re.compile(r"""([^\s/=>][^\s/=>]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
+_NAMES = frozenset("class id role aria-label itemprop".split())
 _SPACE = re.compile(r"\s+")
 
 
@@ -62,18 +63,22 @@ class Node:
 
 def _attributes(raw: str) -> tuple[str, bool]:
     """(names it goes by, whether it is hidden)."""
-    if "=" not in raw and "hidden" not in raw:
+    if "=" not in raw and "hidden" not in raw.lower():
         return "", False
     names, hidden = [], False
-    for key, value in _NAMES.findall(raw):
+    seen = set()
+    for key, value in _ATTRIBUTE.findall(raw):
         key, value = key.lower(), value.strip("\"'")
+        if key in seen:  # the first of a name counts
+            continue
+        seen.add(key)
         if key == "style":
             hidden |= bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value))
         elif key == "hidden":
             hidden |= True
         elif key == "aria-hidden":
             hidden |= value.lower() == "true"
-        else:
+        elif key in _NAMES:
             names.append(value)
     return " ".join(names), hidden
 
@@ -121,6 +126,8 @@ def parse(page: str) -> Node:
         names, hidden = _attributes(m[3])
         node.named, node.cut = names, hidden or name in RAW
         top.below.append(node)
+        if name in ("svg", "math") and m[3].endswith("/"):
+            continue
         if name in RAW:
             end = re.compile(rf"(?i)</{re.escape(name)}\s*[^>]*>").search(page, at)
             at = end.end() if end else len(page)

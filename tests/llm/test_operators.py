@@ -201,6 +201,20 @@ def test_html_wrappers_named_like_noise(name):
     assert html_text.main_text(f'<article><p>{text[1]}</p><p>{text[2]}</p></article><div class="related">{cards}</div>').split("\n") == text[1:]
 
 
+@pytest.mark.parametrize("attributes", ['href="https://x.org/hidden-figures"', 'title="A hidden gem"', 'data-hidden="false"', 'href="/p?id=comments"', "data-x='class=sidebar'", 'data-id="comments"', "title='style=\"display:none\"'", "data-a=role=search"])
+def test_html_attributes_by_exact_name(attributes):
+    text = ["One, two, three and so on, for a while at least.", "The last one, which is no shorter than that."]
+    assert html_text.main_text(f"<article><p>{text[0]}</p><div {attributes}><p>{text[1]}</p></div></article>").split("\n") == text
+    assert html_text.main_text(f"<article><p>{text[0]} <a {attributes}>{text[1]}</a></p></article>") == " ".join(text)
+
+
+def test_html_hidden_and_self_closed():
+    for attributes in ("hidden", "HIDDEN", "a=b hidden=''", "a = 'b'style='display: none'", 'class=x aria-hidden="true"', "/ID=comments", 'class="x\ncomments y"'):
+        assert html_text.main_text(f"<article><p>One, two.</p><div {attributes}><p>Gone.</p></div></article>") == "One, two.", attributes
+    for tag in ("<svg class='i'/>", "<math/>", '<svg viewBox="0 0 1 1" />', "<svg><path d='M0'/>gone</svg>"):
+        assert html_text.main_text(f"<article><p>One, {tag}two.</p><p>Three.</p></article>") == "One, two.\nThree.", tag
+
+
 def test_personal_data(spark):
     texts = [None, "", "mail a.b@c-d.org, x@y, ip 1.2.3.4 and 1.2.3.999 card 4111 1111 1111 1111 or 4111111111111112 tel +1 (988) 555-2485, later (988) 555-2485", "clean words only", "a@b@c.com 1.2.3.4.5.6.7.8", "9" * 5000 + " " + "a" * 5000]
     rows = [(i, t) for i, t in enumerate(texts)]

@@ -4,13 +4,14 @@ Base spans come from fixed patterns (e-mail addresses, IP addresses, payment car
 a document are its base spans, whose labels are given, and what looks like such data but does not fit a pattern: long
 groups of digits, and addresses with a spelled-out at sign. A mention has a potential for each label from its features;
 neighbouring mentions share a chain potential; mentions with a similar key (same last digits, same local part), however
-far apart, are joined by skip edges whose potential favours equal labels. Loopy message passing gives each mention's
-marginals, so that a number that is written as a telephone number once is one everywhere in that document. Mentions whose
-most likely label is a kind of personal data, with probability `least` at least, are added to the base spans.
+far apart, are joined by skip edges to one hub for their key, whose potential favours equal labels. Where base spans are
+among them, the hub has a label of theirs, whatever the others look like. Loopy message passing, until nothing changes,
+gives each mention's marginals, so that a number that is written as a telephone number once speaks for all its repeats
+in that document alike, however far away; besides that only their own features and neighbours count. Mentions whose most likely label is a kind of personal data, with probability `least` at least, are added to the base spans.
 
 The weights are fitted in each run on at most `sample` documents of at most `sample_chars` characters that hold digits
-or an at sign, chosen by hash: base spans are the labels; chain and skip potentials are smoothed log ratios of label
-pairs met in them. Detection covers every whole text.
+or an at sign, chosen by hash: base spans are the labels; chain potentials are smoothed log ratios of label pairs met in
+them. Skip potentials are fixed: what fits no pattern has no labels to learn them from. Detection covers every whole text.
 
 Defined results: null and empty texts have no spans. Overlapping spans of different kinds are all kept; an added
 span never overlaps a base one. Repeated rows each get a row. Only doc_id and text are read.
@@ -42,6 +43,7 @@ _ANY = re.compile(r"[0-9@]|[(\[{]at[)\]}]", re.I)
 _NO_DIGIT = re.compile(r"[^0-9]+")
 #: How much less likely (in logs) personal data is in what fits no pattern, before its like speak for it.
 DOUBT = 4.0
+NEVER = -1e9
 FEATURES = ("one", "plus", "at", "spelled", "dots", "digits7", "digits8_15", "digits16_19", "digits20", "luhn", "parts4", "brackets", "spaces", "letter_before", "letter_after", "quote_before", "equals_before", "small_parts")
 
 
@@ -126,16 +128,14 @@ def mentions(text: str, base: list[tuple[str, int, int]]) -> list[Mention]:
 
 
 def edges(found: list[Mention], reach: int = 60) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
-    """(chain, skip) edges; of mentions with one key each is joined to the next, so edges are as few as mentions."""
+    """(chain, skip) edges; mentions with one key are joined to a hub each, numbered after them, so edges are as few as mentions."""
     chain = [(i, i + 1) for i in range(len(found) - 1) if found[i + 1].start - found[i].end <= reach]
-    last: dict[str, int] = {}
-    skip = []
+    by: dict[str, list[int]] = {}
     for i, m in enumerate(found):
         if len(m.key) >= 4:
-            if m.key in last:
-                skip.append((last[m.key], i))
-            last[m.key] = i
-    return chain, skip
+            by.setdefault(m.key, []).append(i)
+    shared = [x for x in by.values() if len(x) > 1]
+    return chain, [(i, len(found) + h) for h, x in enumerate(shared) for i in x]
 
 
 class Field:
@@ -144,8 +144,8 @@ class Field:
     def __init__(self, weights: np.ndarray, chain: np.ndarray, skip: np.ndarray):
         self.weights, self.chain, self.skip = weights, chain, skip
 
-    def marginals(self, found: list[Mention], rounds: int = 12) -> np.ndarray:
-        """mentions x labels, by loopy message passing (exact where the graph has no loop)."""
+    def marginals(self, found: list[Mention], rounds: int | None = None) -> np.ndarray:
+        """mentions x labels, by loopy message passing (exact where the graph has no loop) in as many rounds as the graph has nodes at most, and some."""
         own = np.array([m.x for m in found]) @ self.weights.T
         for i, m in enumerate(found):
             if m.label is not None:
@@ -157,13 +157,21 @@ class Field:
         both = [*chain, *skip]
         if not both:
             return _soft(own)
+        if skip:
+            given = np.zeros((skip[-1][1] + 1 - len(found), own.shape[1]))
+            for i, h in skip:
+                if found[i].label is not None:
+                    given[h - len(found), found[i].label] += 1
+            known = given.sum(1) > 0
+            given[known] = np.where(given[known] > 0, 0.0, NEVER)
+            own = np.concatenate([own, given])
         potential = np.array([self.chain] * len(chain) + [self.skip] * len(skip))
         a, b = (np.array(x) for x in zip(*both, strict=True))
         source, target = np.concatenate([a, b]), np.concatenate([b, a])
         potential = np.concatenate([potential, potential.transpose(0, 2, 1)])  # from the source's label to the target's
         back = np.concatenate([np.arange(len(a)) + len(a), np.arange(len(a))])
         message = np.zeros((len(source), own.shape[1]))
-        for _ in range(rounds):
+        for _ in range(100 + len(own) if rounds is None else rounds):
             belief = own.copy()
             np.add.at(belief, target, message)
             rest = belief[source] - message[back]
@@ -174,7 +182,7 @@ class Field:
             message = 0.3 * message + 0.7 * new
         belief = own.copy()
         np.add.at(belief, target, message)
-        return _soft(belief)
+        return _soft(belief[: len(found)])
 
 
 def _log_sum(x: np.ndarray) -> np.ndarray:

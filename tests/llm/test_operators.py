@@ -234,6 +234,24 @@ def test_personal_data(spark):
     assert pii.redacted(clean, field).columns == clean.columns and pii.redacted(clean.limit(0), field).count() == 0
 
 
+@pytest.mark.parametrize("gap", [" and then some words that part the mentions from one another by more than the chain reaches ", " or "])
+def test_all_repeats_of_a_number_are_labelled_alike(gap):
+    field = pii.fitted(["tel +1 (988) 555-2485 here"] * 30 + ["number 12345678 here", "x 99999999999 y"] * 30)
+    field.weights[:] = 0
+    field.chain[:] = 0
+    like = "(988) 555-2485"
+    for before, after in ((0, 50), (25, 25), (400, 1)):
+        text = gap.join([like] * before + ["+1 " + like] + [like] * after)
+        found = pii.mentions(text, pii.base_spans(text))
+        assert len(found) == before + after + 1
+        field.weights[0, 0] = 2.0 - pii.DOUBT  # none is likelier by 2 nats
+        p = np.delete(field.marginals(found)[:, 1 + pii.KINDS.index("phone")], before)
+        assert p.min() > 0.8 and np.ptp(p) < 1e-6
+        assert len(pii.all_spans(text, field)[1]) == before + after + 1 and like not in pii.masked(text, pii.all_spans(text, field)[1])
+    text = gap.join([like] * 50)
+    assert pii.all_spans(text + " 12345678", pii.fitted(["number 12345678 here"] * 30))[1] == []
+
+
 def test_messages_are_exact_on_trees():
     field = pii.Field(np.random.default_rng(0).normal(size=(5, len(pii.FEATURES))), np.random.default_rng(1).normal(size=(5, 5)), np.random.default_rng(2).normal(size=(5, 5)))
     text = "a 12345678 b 87654321 c 5551234567"

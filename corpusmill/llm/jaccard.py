@@ -20,7 +20,8 @@ components, and rounds go on until no pair across components is left that has no
 
 Defined results: null and empty texts and texts without words have no shingles, link with nothing and are their own
 component. Texts of fewer words than a shingle have the whole sequence as one. Repeated rows are copies of one
-another. A null doc_id never is a component's smallest one unless all are null. Only doc_id and text are read.
+another; different texts under one id, or without one, are documents of their own. A null doc_id never is a component's
+smallest one unless all are null. Only doc_id and text are read.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import MULT, U64, mix, release, stored, table
@@ -40,7 +41,7 @@ from .components import components
 
 SEEDS, BITS, MOST_BITS = 6, 512, 1 << 17
 NO_ID = 2**63 - 1  # stands for a null id, after all others
-MOST_BROADCAST = 2_000_000  # ids (16 MB); beyond it the text is shuffled instead
+MOST_BROADCAST = 2_000_000  # row hashes (16 MB); beyond it the text is shuffled instead
 
 
 class Sets:
@@ -135,16 +136,21 @@ def sketch_keys(hashes: np.ndarray, size: int, edges: np.ndarray, percent: int,
     return np.concatenate(out)
 
 
+def row_hash() -> Column:
+    """Tells rows apart by id and text, where ids are null or repeated."""
+    return F.xxhash64("doc_id", "text")
+
+
 def _described(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, n (set size), node and check (hashes of the set), bits."""
+    """doc_id, row, n (set size), node and check (hashes of the set), bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _small(batches):
             s = Sets(b.column(1), words)
             first, second = s.fingerprints()
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s.sizes), pa.array(first.view(np.int64), mask=s.sizes == 0), pa.array(second.view(np.int64)), pa.array(s.parities(), pa.binary())], names=["doc_id", "n", "node", "check", "bits"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(s.sizes), pa.array(first.view(np.int64), mask=s.sizes == 0), pa.array(second.view(np.int64)), pa.array(s.parities(), pa.binary())], names=["doc_id", "row", "n", "node", "check", "bits"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, node long, check long, bits binary")
+    return docs.select("doc_id", "text", "row").mapInArrow(run, "doc_id long, row long, n long, node long, check long, bits binary")
 
 
 def _small(batches: Iterator[pa.RecordBatch], most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
@@ -217,16 +223,17 @@ def _met(part: pa.Table) -> pa.Table:
 
 
 def _fetched(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """wanted(doc_id, node) -> node, shingles array<long>, computed from the documents' texts again."""
+    """wanted(row, node) -> node, shingles array<long>, computed from the documents' texts again; only sets of that node count."""
     few = wanted.count() <= MOST_BROADCAST
-    rows = docs.select("doc_id", "text").join(F.broadcast(wanted) if few else wanted, "doc_id")
+    rows = docs.select("row", "text").join(F.broadcast(wanted) if few else wanted, "row")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _small(batches):
             s = Sets(b.column(1), words)
-            yield pa.RecordBatch.from_arrays([b.column(2), pa.array([x.view(np.int64) for x in s.sets], pa.list_(pa.int64())), pa.array(s.sizes), pa.array(s.parities(True), pa.binary())], names=["node", "shingles", "n", "wide"])
+            same = pa.array(s.fingerprints()[0].view(np.int64) == b.column(2).to_numpy())
+            yield pa.RecordBatch.from_arrays([b.column(2), pa.array([x.view(np.int64) for x in s.sets], pa.list_(pa.int64())), pa.array(s.sizes), pa.array(s.parities(True), pa.binary())], names=["node", "shingles", "n", "wide"]).filter(same)
 
-    return rows.select("doc_id", "text", "node").mapInArrow(run, "node long, shingles array<long>, n long, wide binary").dropDuplicates(["node"])
+    return rows.select("row", "text", "node").mapInArrow(run, "node long, shingles array<long>, n long, wide binary").dropDuplicates(["node"])
 
 
 def _compared(pairs: DataFrame, bits: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -311,11 +318,11 @@ def _split(many: DataFrame, components_: DataFrame, seen: DataFrame, sets: DataF
 def grouped(docs: DataFrame, words: int = 4, percent: int = 85, block: int = 1500) -> DataFrame:
     """docs(doc_id, text) -> doc_id, n_shingles, component_id (the smallest doc_id that links reach)."""
     spark = docs.sparkSession
-    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), "text")
+    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), "text", row_hash().alias("row"))
     described = stored(_described(docs, words), "sets")
     top, total = described.agg(F.coalesce(F.max("n"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
     edges = band_edges(percent, int(top))
-    nodes = described.filter("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("rep"), F.min("check").alias("low"), F.max("check").alias("high"), F.first("n").alias("n"), F.first("bits").alias("bits"))
+    nodes = described.filter("node IS NOT NULL").groupBy("node").agg(F.min(F.struct("doc_id", "row")).alias("rep"), F.min("check").alias("low"), F.max("check").alias("high"), F.first("n").alias("n"), F.first("bits").alias("bits"))
     nodes = stored(nodes, "nodes")
     if nodes.filter("low <> high").limit(1).count():
         raise ValueError("two different shingle sets have the same 64-bit hash")
@@ -327,7 +334,7 @@ def grouped(docs: DataFrame, words: int = 4, percent: int = 85, block: int = 150
         member = runs.select(F.col("members")[0].alias("a"), F.explode("members").alias("b"))
         first = stored(member.filter("a <> b").distinct(), "first")
         wanted = first.select(F.col("a").alias("node")).unionByName(first.select(F.col("b").alias("node"))).distinct()
-        sets = stored(_fetched(docs, stored(nodes.join(wanted, "node", "left_semi").select(F.col("rep").alias("doc_id"), "node"), "wanted"), words), "shingles")
+        sets = stored(_fetched(docs, stored(nodes.join(wanted, "node", "left_semi").select("rep.row", "node"), "wanted"), words), "shingles")
         seen = stored(_compared(first, nodes, sets, percent), "compared")
         links = seen.filter("near").select("a", "b")
         # a pivot's nodes beyond the first; a pair that met in a group is among the nodes of the group's pivot
@@ -345,10 +352,10 @@ def grouped(docs: DataFrame, words: int = 4, percent: int = 85, block: int = 150
             rest = left.join(turn.select("a", "b"), ["a", "b"], "left_anti").join(ends[0], "a", "left").join(ends[1], "b", "left")
             left = stored(rest.filter("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b", F.lit(False).alias("first")), "across")
         labelled = nodes.select("node", "rep").join(whole, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        least = labelled.groupBy("component").agg(F.min("rep").alias("component_id"))
+        least = labelled.groupBy("component").agg(F.min("rep.doc_id").alias("component_id"))
         mapped = labelled.join(least, "component").select("node", "component_id")
     else:
-        mapped = nodes.select("node", F.col("rep").alias("component_id"))
+        mapped = nodes.select("node", F.col("rep.doc_id").alias("component_id"))
     out = described.join(mapped, "node", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
     return out.select(F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"), F.col("n").alias("n_shingles"), F.nullif("component_id", F.lit(NO_ID)).alias("component_id"))
 

@@ -352,6 +352,28 @@ def test_jaccard(spark, words, percent, block):
     assert jaccard.grouped(docs.limit(0)).count() == 0
 
 
+def shared_ids() -> list[tuple]:
+    """Different texts without an id, and under one id; some with a near copy under an id of its own."""
+    rows = []
+    for i in range(12):
+        text = prose(500 + i, 120)
+        rows += [(None if i < 6 else 7, text), (50 + i if i % 2 else None, text + " end")]
+    return rows
+
+
+def test_jaccard_of_different_texts_under_one_id(spark):
+    rows = shared_ids()
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard.grouped(docs).collect())
+    want = Counter()
+    for a, b in zip(rows[::2], rows[1::2], strict=True):
+        least = min((i for i, _ in (a, b) if i is not None), default=None)
+        want.update((i, len(shingle_set(t, 4)), least) for i, t in (a, b))
+    assert got == want
+    near = jaccard._fetched(docs.withColumn("row", jaccard.row_hash()), spark.createDataFrame([(r["row"], 12345) for r in docs.select(jaccard.row_hash().alias("row")).collect()], "row long, node long"), 4)
+    assert near.count() == 0
+
+
 def test_components(spark):
     r = random.Random(4)
     edges = [(i, i + 1) for i in range(0, 60)] + [(r.randrange(100, 200), r.randrange(100, 200)) for _ in range(60)] + [(300, 300 + i) for i in range(1, 40)]

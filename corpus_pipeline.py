@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.llm.common import stored, table
-from corpusmill.llm.jaccard import MOST_BROADCAST, grouped
+from corpusmill.llm.jaccard import MOST_BROADCAST, represented, row_hash
 from corpusmill.llm.mixing import mixed
 from corpusmill.llm.packing import packed
 from corpusmill.llm.pii import redacted
@@ -24,15 +24,17 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the smallest doc_id, of each group of five-word-shingle similarity 0.8 or more stays."""
+    """One document, that with the smallest doc_id, of each group of five-word-shingle similarity 0.8 or more stays.
+
+    Rows with one doc_id and one text are one document; other texts under that id, or without an id, are others. An id
+    comes before none; of several texts under the smallest id (or without one) in a group, that with the least hash stays.
+    """
     ship(spark)
-    groups = stored(grouped(docs, words=5, percent=80), "components")
-    kept = groups.filter("doc_id <=> component_id").select(F.col("doc_id").alias("kept")).distinct()
-    few = kept.count() <= MOST_BROADCAST
-    same = F.expr("doc_id <=> kept")
-    one = docs.join(F.broadcast(kept) if few else kept, same, "left_semi")
-    repeated = groups.groupBy("doc_id").count().filter("count > 1").limit(1).count()
-    return one.dropDuplicates(["doc_id"]) if repeated else one
+    rows = stored(represented(docs, words=5, percent=80), "components").filter("kept").select(F.col("row").alias("kept"))
+    kept = rows.distinct()
+    n = kept.count()
+    one = docs.join(F.broadcast(kept) if n <= MOST_BROADCAST else kept, row_hash() == F.col("kept"), "left_semi")
+    return one.dropDuplicates(["doc_id", "text"]) if rows.count() > n else one
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

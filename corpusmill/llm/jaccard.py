@@ -317,6 +317,14 @@ def _split(many: DataFrame, components_: DataFrame, seen: DataFrame, sets: DataF
 
 def grouped(docs: DataFrame, words: int = 4, percent: int = 85, block: int = 1500) -> DataFrame:
     """docs(doc_id, text) -> doc_id, n_shingles, component_id (the smallest doc_id that links reach)."""
+    return represented(docs, words, percent, block).select("doc_id", "n_shingles", "component_id")
+
+
+def represented(docs: DataFrame, words: int, percent: int, block: int = 1500) -> DataFrame:
+    """docs(doc_id, text) -> doc_id, row, n_shingles, component_id, kept: whether the row is its component's one.
+
+    That is the row with the smallest doc_id, of several with that the one with the least hash; copies of it are kept too.
+    """
     spark = docs.sparkSession
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), "text", row_hash().alias("row"))
     described = stored(_described(docs, words), "sets")
@@ -352,12 +360,13 @@ def grouped(docs: DataFrame, words: int = 4, percent: int = 85, block: int = 150
             rest = left.join(turn.select("a", "b"), ["a", "b"], "left_anti").join(ends[0], "a", "left").join(ends[1], "b", "left")
             left = stored(rest.filter("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b", F.lit(False).alias("first")), "across")
         labelled = nodes.select("node", "rep").join(whole, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        least = labelled.groupBy("component").agg(F.min("rep.doc_id").alias("component_id"))
-        mapped = labelled.join(least, "component").select("node", "component_id")
+        least = labelled.groupBy("component").agg(F.min("rep").alias("least"))
+        mapped = labelled.join(least, "component").select("node", F.col("least.doc_id").alias("component_id"), F.col("least.row").alias("least_row"))
     else:
-        mapped = nodes.select("node", F.col("rep.doc_id").alias("component_id"))
+        mapped = nodes.select("node", F.col("rep.doc_id").alias("component_id"), F.col("rep.row").alias("least_row"))
     out = described.join(mapped, "node", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
-    return out.select(F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"), F.col("n").alias("n_shingles"), F.nullif("component_id", F.lit(NO_ID)).alias("component_id"))
+    kept = F.coalesce(F.col("row") == F.col("least_row"), F.lit(True))  # without shingles a row is its own component
+    return out.select(F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"), "row", F.col("n").alias("n_shingles"), F.nullif("component_id", F.lit(NO_ID)).alias("component_id"), kept.alias("kept"))
 
 
 def op9_jaccard(spark, sf_dir):

@@ -26,3 +26,21 @@ def test_stages(spark):
     pieces = P.packing(spark, mix, SF)
     assert {"doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"} <= set(pieces.columns)
     assert P.run(spark, SF).count() > 0 and pieces.count() > 0
+
+
+def test_null_and_repeated_ids_with_different_texts(spark):
+    texts = [" ".join(f"w{i}x{k}" for k in range(60)) for i in range(9)]
+    rows = [(None, t) for t in texts[:3]] + [(7, t) for t in texts[3:6]]  # six documents that have nothing in common
+    rows += [(7, texts[3]), (None, texts[0])]  # copies of two
+    rows += [(5, texts[4] + " end"), (9, texts[5] + " end"), (None, texts[1] + " end"), (2, texts[2] + " end")]  # near copies
+    rows += [(11, ""), (12, None), (None, ""), (None, "a b"), (None, "c d")]
+    rows = [(i, t, "s") for i, t in rows]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    got = P.near_duplicates(spark, docs, SF)
+    assert got.columns == docs.columns
+    got = [(r["doc_id"], r["text"]) for r in got.collect()]
+    pair = [x for x in got if x[1] in (texts[1], texts[1] + " end")]
+    assert len(pair) == 1 and pair[0][0] is None
+    want = [(None, texts[0]), (2, texts[2] + " end"), (7, texts[3]), (5, texts[4] + " end"), (7, texts[5])]
+    want += [(11, ""), (12, None), (None, ""), (None, "a b"), (None, "c d")]
+    assert sorted(got, key=str) == sorted(want + pair, key=str)

@@ -58,11 +58,20 @@ class Classifier:
         return out.withColumn("pred", F.element_at(F.array(*(F.lit(x) for x in self.labels)), (F.col("prediction") + 1).cast("int"))).drop("_f", "rawPrediction", "probability", "prediction")
 
 
-def training_rows(docs: DataFrame, per_class: int, low: int = 200, high: int = 2000) -> DataFrame:
-    """lang, text: paragraphs of a fit length, the first per_class of each language by hash."""
-    p = docs.select("lang", F.explode(F.split("text", r"\n\n")).alias("text")).filter(F.length("text").between(low, high))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("text"), "text"))
-    return p.withColumn("_r", rank).filter(F.col("_r") <= per_class).drop("_r")
+def paragraphs(docs: DataFrame, low: int = 200, high: int = 2000) -> DataFrame:
+    """lang, text: all paragraphs of a fit length."""
+    return docs.select("lang", F.explode(F.split("text", r"\n\n")).alias("text")).filter(F.length("text").between(low, high))
+
+
+def sampled(rows: DataFrame, per_class: int = 20_000) -> DataFrame:
+    """The first per_class different texts of each language by hash, written once. Only about as many are ranked."""
+    turn = F.xxhash64("text")
+    place = F.shiftrightunsigned(turn, 11)
+    sizes = rows.groupBy("lang").agg(F.approx_count_distinct(turn, 0.02).alias("_n"))
+    share = F.least(F.lit(1.0), F.lit(1.25 * per_class) / F.col("_n"))
+    near = rows.join(F.broadcast(sizes), "lang").filter(place / float(1 << 53) <= share)
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(place, "text"))
+    return stored(near.select("lang", "text").distinct().withColumn("_r", rank).filter(F.col("_r") <= per_class).drop("_r"))
 
 
 def stratified(rows: DataFrame, test: float = 0.1, seed: int = 1337) -> tuple[DataFrame, DataFrame]:
@@ -77,15 +86,14 @@ def fitted(rows: DataFrame, features: int = 200_000, c: float = 4.0) -> Classifi
     labels, n = sorted(counts), sum(counts.values())
     code = F.array_position(F.array(*(F.lit(x) for x in labels)), F.col("lang")).cast("double") - 1
     weight = F.create_map(*(F.lit(x) for k in labels for x in (k, n / (len(labels) * counts[k]))))[F.col("lang")]
-    data = rows.select("text", code.alias("label"), weight.alias("weight")).withColumn("_grams", char_ngrams(F.col("text"))).persist()
+    data = rows.select("text", code.alias("label"), weight.alias("weight")).withColumn("_grams", char_ngrams(F.col("text")))
     vectoriser = CountVectorizer(inputCol="_grams", outputCol="_count", vocabSize=features, minDF=2.0).fit(data)
-    tf = vectoriser.transform(data).withColumn("_tf", sublinear("_count"))
+    tf = stored(vectoriser.transform(data).select("_count", "label", "weight")).withColumn("_tf", sublinear("_count"))
     idf = IDF(inputCol="_tf", outputCol="_idf").fit(tf)
     normaliser = Normalizer(inputCol="_idf", outputCol="_f", p=2.0)
     made = Classifier(vectoriser, idf, normaliser, None, labels)
     ready = made.rest.transform(tf).select("_f", "label", "weight")
     made.model = LogisticRegression(featuresCol="_f", labelCol="label", weightCol="weight", family="multinomial", regParam=1 / (c * n), maxIter=30).fit(ready)
-    data.unpersist()
     return made
 
 

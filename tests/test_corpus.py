@@ -1,5 +1,7 @@
 """Deduplication, boilerplate, splits, web payloads, token and score operators on small tables."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -141,3 +143,22 @@ def test_langid(spark):
     got = L.fitted(train, features=5000).predict(test)
     assert got.filter("pred <> lang").count() == 0 and got.filter("conf < 0.5").count() == 0
     assert spark.createDataFrame([("ab",)], "text string").select(L.char_ngrams(F.col("text"))).first()[0] == [" ab", "ab ", " ab "]
+
+
+def test_langid_report_has_every_held_out_paragraph(spark, tmp_path):
+    from corpusmill.operators import langid as L
+    from corpusmill.plans.model_queries import langid_report
+
+    words = {"de": "der die das und nicht ein haus", "en": "the house and not a number is"}
+    r = random.Random(3)
+    rows = [(lang, "\n\n".join(" ".join(r.choice(w.split()) for _ in range(60)) for _ in range(4))) for lang, w in words.items() for _ in range(1200)]
+    spark.createDataFrame([*rows, ("en", None), ("de", "short")], "lang string, text string").repartition(4).write.parquet(f"{tmp_path}/documents.parquet")
+    every = L.paragraphs(spark.read.parquet(f"{tmp_path}/documents.parquet"))
+    train, test = L.stratified(every)
+    want = {x["lang"]: x["count"] for x in test.groupBy("lang").count().collect()}
+    assert every.count() > 9000 and min(want.values()) > 300
+    assert {x["class"]: x["support"] for x in langid_report(spark, str(tmp_path)).collect()} == want
+    twice = train.unionByName(train)
+    for k, n in ((50, 50), (10**6, None)):
+        got = {x["lang"]: (x["n"], x["m"]) for x in L.sampled(twice, k).groupBy("lang").agg(F.count("*").alias("n"), F.countDistinct("text").alias("m")).collect()}
+        assert got == {lang: (n or m,) * 2 for lang, m in ((x["lang"], x["m"]) for x in train.groupBy("lang").agg(F.countDistinct("text").alias("m")).collect())}

@@ -11,17 +11,18 @@ Equal segments may be empty ones, which say nothing and are no keys. S has room
 likely; documents with more also give the sketch of another seed, in which both of such a pair take part, and so on;
 after the last seed the empty segments are keys too. So no pair is missed.
 
-Documents with equal sets are one node. Of a group that meets on a segment, first every node is compared with the
-least, its pivot; where all are linked then, nothing is left to do. Where a pivot has met nodes of several components,
-the pairs across components are weighed in blocks of those nodes, and of them only pairs leave a block that neither the
-distances from the pivot (Jaccard distance is a metric) nor wide parity sketches, of four bits or more a shingle, rule
-out. Of the pairs that are left, each node is first compared with the likeliest of every other component; links merge
-components, and rounds go on until no pair across components is left that has not been compared.
+Documents with equal sets are one node. Of the nodes that meet on a segment, first every one is compared with the least,
+its pivot: as many pairs as nodes. Where all are linked then, nothing is left to do. Where a pivot has met nodes of
+several components, these nodes are dealt to blocks, and each pair of blocks goes to a task with the nodes' whole sets.
+There pairs of different components are compared, unless their distances from the pivot (Jaccard distance is a metric)
+or wide parity sketches, of four bits or more a shingle, rule them out; a link joins its components at once, so that a
+task returns a forest of links, fewer than its nodes, and never pairs. The components of all links are the result.
 
 Defined results: null and empty texts and texts without words have no shingles, link with nothing and are their own
 component. Texts of fewer words than a shingle have the whole sequence as one. Repeated rows are copies of one
 another; different texts under one id, or without one, are documents of their own. A null doc_id never is a component's
-smallest one unless all are null. Only doc_id and text are read.
+smallest one unless all are null. Two sets with one 64-bit hash are told apart by a second one. Only doc_id and text are
+read, whatever other columns are called; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -42,6 +43,7 @@ from .components import components
 SEEDS, BITS, MOST_BITS = 6, 512, 1 << 17
 NO_ID = 2**63 - 1  # stands for a null id, after all others
 MOST_BROADCAST = 2_000_000  # row hashes (16 MB); beyond it the text is shuffled instead
+SALTS = 16
 
 
 class Sets:
@@ -78,19 +80,30 @@ class Sets:
         self.sets = out
         self.sizes = np.array([len(x) for x in out], np.int64)
 
-    def fingerprints(self) -> tuple[np.ndarray, np.ndarray]:
-        """Two independent 64-bit hashes of each set."""
+    def fingerprints(self, clashing: np.ndarray | None = None, bits: int = 64) -> tuple[np.ndarray, np.ndarray]:
+        """(node, check): two independent hashes of each set; of nodes that other sets share (clashing), one of both."""
         first = np.array([np.add.reduce(mix(x ^ U64(0x1F83D9AB))) if len(x) else U64(0) for x in self.sets], U64)
         second = np.array([np.bitwise_xor.reduce(mix(x ^ U64(0xBE5466CF))) if len(x) else U64(0) for x in self.sets], U64)
-        return first ^ mix(self.sizes.astype(U64)), second + self.sizes.astype(U64)
+        first, second = first ^ mix(self.sizes.astype(U64)), second + self.sizes.astype(U64)
+        first &= U64((1 << bits) - 1)
+        if clashing is not None and len(clashing):
+            first = np.where(np.isin(first, clashing), mix(first ^ mix(second)), first)
+        return first, second
 
-    def parities(self, wide: bool = False) -> list[bytes]:
-        """Parity bits of each set: BITS of them, or a power of two of at least four a shingle."""
-        out = []
-        for x in self.sets:
-            bits = min(MOST_BITS, max(BITS, 1 << int(4 * len(x) - 1).bit_length())) if wide and len(x) else BITS
-            out.append(np.packbits(np.bincount((x & U64(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1, bitorder="little").tobytes())
-        return out
+    def parities(self) -> list[bytes]:
+        """BITS parity bits of each set."""
+        return [parity(x, BITS) for x in self.sets]
+
+
+def parity(x: np.ndarray, bits: int) -> bytes:
+    """Parities of the hashes by their lowest bits."""
+    odd = np.bincount((x & U64(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1
+    return np.packbits(odd, bitorder="little").tobytes()
+
+
+def wide_parity(x: np.ndarray) -> bytes:
+    """A power of two of parity bits, at least four a shingle."""
+    return parity(x, min(MOST_BITS, max(BITS, 1 << int(4 * len(x) - 1).bit_length())))
 
 
 def band_edges(percent: int, top: int) -> np.ndarray:
@@ -141,14 +154,19 @@ def row_hash() -> Column:
     return F.xxhash64("doc_id", "text")
 
 
-def _described(docs: DataFrame, words: int) -> DataFrame:
+def _described(docs: DataFrame, words: int, named: dict) -> DataFrame:
     """doc_id, row, n (set size), node and check (hashes of the set), bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _small(batches):
             s = Sets(b.column(1), words)
-            first, second = s.fingerprints()
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(s.sizes), pa.array(first.view(np.int64), mask=s.sizes == 0), pa.array(second.view(np.int64)), pa.array(s.parities(), pa.binary())], names=["doc_id", "row", "n", "node", "check", "bits"])
+            node, check = s.fingerprints(**named)
+            out = {
+                "doc_id": b.column(0), "row": b.column(2), "n": pa.array(s.sizes),
+                "node": pa.array(node.view(np.int64), mask=s.sizes == 0), "check": pa.array(check.view(np.int64)),
+                "bits": pa.array(s.parities(), pa.binary()),
+            }
+            yield pa.RecordBatch.from_arrays(list(out.values()), names=list(out))
 
     return docs.select("doc_id", "text", "row").mapInArrow(run, "doc_id long, row long, n long, node long, check long, bits binary")
 
@@ -165,14 +183,14 @@ def _small(batches: Iterator[pa.RecordBatch], most: int = 4 << 20) -> Iterator[p
     release()
 
 
-def _keyed(docs: DataFrame, words: int, percent: int, edges: np.ndarray, buckets: int) -> DataFrame:
+def _keyed(docs: DataFrame, words: int, percent: int, edges: np.ndarray, buckets: int, named: dict) -> DataFrame:
     """bucket, nodes (hashes), entries (48 bits of key, 16 bits of place among the nodes)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plans: dict[int, tuple[int, int]] = {}
         for b in _small(batches, 6 << 20):
             s = Sets(b.column(1), words)
-            nodes, _ = s.fingerprints()
+            nodes, _ = s.fingerprints(**named)
             _, first = np.unique(nodes, return_index=True)  # copies in a batch speak once
             keys, owner = [], []
             for k, i in enumerate(i for i in first.tolist() if s.sizes[i]):
@@ -201,43 +219,48 @@ def _keyed(docs: DataFrame, words: int, percent: int, edges: np.ndarray, buckets
 
 
 def _met(part: pa.Table) -> pa.Table:
-    """Groups of different nodes with an equal key, each distinct group once."""
+    """(a, b): the least node of each key, and every other node of the key; each pair once."""
     keys, nodes = [], []
     for n, e in zip(part.column("nodes").to_pylist(), part.column("entries").to_pylist(), strict=True):
         e = np.frombuffer(e, U64)
         keys.append(e >> U64(16))
-        nodes.append(np.frombuffer(n, U64)[(e & U64(0xFFFF)).astype(np.int64)])
+        nodes.append(np.frombuffer(n, np.int64)[(e & U64(0xFFFF)).astype(np.int64)])
     key, node = np.concatenate(keys), np.concatenate(nodes)
     del keys, nodes
     order = np.argsort(key, kind="stable")
     key, node = key[order], node[order]
-    edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
-    groups = set()
-    for i in np.flatnonzero(np.diff(edge) > 1).tolist():
-        own = np.unique(node[edge[i] : edge[i + 1]].view(np.int64))
-        if len(own) > 1:
-            groups.add(own.tobytes())
-    del key, node, order
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    pivot = np.repeat(np.minimum.reduceat(node, first), np.diff(np.append(first, len(key))))
+    del key, order
+    other = pivot != node
+    pivot, node = pivot[other], node[other]
+    order = np.lexsort((node, pivot))
+    pivot, node = pivot[order], node[order]
+    new = np.ones(len(node), bool)
+    new[1:] = (pivot[1:] != pivot[:-1]) | (node[1:] != node[:-1])
+    out = pa.table({"a": pivot[new], "b": node[new]})
+    del pivot, node, order, other, new
     release()
-    return pa.table({"members": pa.array([np.frombuffer(g, np.int64) for g in groups], pa.list_(pa.int64()))})
+    return out
 
 
-def _fetched(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """wanted(row, node) -> node, shingles array<long>, computed from the documents' texts again; only sets of that node count."""
+def _fetched(docs: DataFrame, wanted: DataFrame, words: int, named: dict) -> DataFrame:
+    """wanted(row, node) -> node, n, shingles array<long>, computed from the documents' texts again; only sets of that node count."""
     few = wanted.count() <= MOST_BROADCAST
     rows = docs.select("row", "text").join(F.broadcast(wanted) if few else wanted, "row")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _small(batches):
             s = Sets(b.column(1), words)
-            same = pa.array(s.fingerprints()[0].view(np.int64) == b.column(2).to_numpy())
-            yield pa.RecordBatch.from_arrays([b.column(2), pa.array([x.view(np.int64) for x in s.sets], pa.list_(pa.int64())), pa.array(s.sizes), pa.array(s.parities(True), pa.binary())], names=["node", "shingles", "n", "wide"]).filter(same)
+            same = pa.array(s.fingerprints(**named)[0].view(np.int64) == b.column(2).to_numpy())
+            shingles = pa.array([x.view(np.int64) for x in s.sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column(2), shingles, pa.array(s.sizes)], names=["node", "shingles", "n"]).filter(same)
 
-    return rows.select("row", "text", "node").mapInArrow(run, "node long, shingles array<long>, n long, wide binary").dropDuplicates(["node"])
+    return rows.select("row", "text", "node").mapInArrow(run, "node long, shingles array<long>, n long").dropDuplicates(["node"])
 
 
 def _compared(pairs: DataFrame, bits: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """pairs(a, b) -> a, b, near (similarity reached), far (Jaccard distance; 1 where parity bits alone rule it out)."""
+    """pairs(a, b) -> a, b, nb, near (similarity reached), far (Jaccard distance; 1 where parity bits alone rule it out)."""
     left, right = (bits.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"bits{x}")) for x in "ab")
     known = pairs.join(left, "a").join(right, "b")
 
@@ -251,11 +274,13 @@ def _compared(pairs: DataFrame, bits: DataFrame, sets: DataFrame, percent: int)
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(keep)], names=["a", "b", "na", "nb", "likely"])
 
     known = stored(known.select("a", "b", "na", "nb", "bitsa", "bitsb").mapInArrow(hamming, "a long, b long, na long, nb long, likely boolean"), "pairs")
-    held = known.filter("likely").join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
-    both = F.size(F.array_intersect("sa", "sb"))
+    ends = [sets.select(F.col("node").alias(x), F.col("shingles").alias(f"s{x}")) for x in "ab"]
+    held = known.filter("likely").join(ends[0], "a").join(ends[1], "b")
+    held = held.select("a", "b", "na", "nb", F.size(F.array_intersect("sa", "sb")).alias("both"))
     whole = F.col("na") + F.col("nb") - F.col("both")
-    sure = held.select("a", "b", "na", "nb", both.alias("both")).select("a", "b", (F.col("both") * 100 >= whole * percent).alias("near"), (1 - F.col("both") / whole).alias("far"))
-    return sure.unionByName(known.filter("NOT likely").select("a", "b", F.lit(False).alias("near"), F.lit(1.0).alias("far")))
+    near, far = F.col("both") * 100 >= whole * percent, 1 - F.col("both") / whole
+    sure = held.select("a", "b", "nb", near.alias("near"), far.alias("far"))
+    return sure.unionByName(known.filter("NOT likely").select("a", "b", "nb", F.lit(False).alias("near"), F.lit(1.0).alias("far")))
 
 
 def _folded(wide: list[bytes]) -> np.ndarray:
@@ -271,18 +296,23 @@ def _folded(wide: list[bytes]) -> np.ndarray:
 
 
 def _across(percent: int):
-    """Pairs of different components among a pivot's nodes (of one block, or of two) that nothing rules out yet.
+    """A forest of the links that join components among a pivot's nodes (of one block, or of two).
 
-    For each node and each other component the pair of least Hamming distance is marked as the first to compare.
+    Whole sets are compared wherever nothing rules a pair out; a component that a link joins to another has its label
+    from then on, so no more links leave than there are nodes, and fewer pairs are left to compare with each.
     """
     reach = 1 - percent / 100 + 1e-9
 
     def run(part: pa.Table) -> pa.Table:
         node, comp, far, n, block = (part.column(c).to_numpy() for c in ("node", "component", "far", "n", "block"))
+        comp = comp.copy()
         i, j = part.column("i")[0].as_py(), part.column("j")[0].as_py()
-        sketch = _folded(part.column("wide").to_pylist())
+        lists = part.column("shingles").combine_chunks()
+        ends, flat = lists.offsets.to_numpy(), lists.values.to_numpy().view(U64)
+        sets = [flat[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]  # sorted
+        sketch = _folded([wide_parity(x) for x in sets])
         left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
-        a, b, ham = [], [], []
+        out: list[tuple[int, int]] = []
         for x in left:
             y = right[right > x] if i == j else right
             y = y[(comp[y] != comp[x]) & (np.maximum(n[y], n[x]) * percent <= np.minimum(n[y], n[x]) * 100)]
@@ -290,29 +320,37 @@ def _across(percent: int):
             if not len(y):
                 continue
             least = np.bitwise_count(sketch[y] ^ sketch[x]).sum(1).astype(np.int64)
-            keep = least * (100 + percent) <= (100 - percent) * (n[x] + n[y])
-            a.append(np.full(keep.sum(), x)), b.append(y[keep]), ham.append(least[keep])
-        a, b, ham = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (a, b, ham))
-        first = np.zeros(len(a), bool)
-        for one, other in ((a, b), (b, a)):
-            order = np.lexsort((ham, comp[other], one))
-            new = np.ones(len(order), bool)
-            new[1:] = (one[order][1:] != one[order][:-1]) | (comp[other][order][1:] != comp[other][order][:-1])
-            first[order[new]] = True
-        low, high = np.minimum(node[a], node[b]), np.maximum(node[a], node[b])
-        return pa.table({"a": low, "b": high, "first": first})
+            near = least * (100 + percent) <= (100 - percent) * (n[x] + n[y])
+            y = y[near][np.argsort(least[near], kind="stable")]
+            for k in y.tolist():
+                if comp[k] == comp[x]:  # joined meanwhile
+                    continue
+                both = (sets[x][np.searchsorted(sets[x], sets[k]).clip(max=len(sets[x]) - 1)] == sets[k]).sum()
+                if both * 100 >= (n[x] + n[k] - both) * percent:
+                    out.append((node[x], node[k]))
+                    comp[comp == comp[k]] = comp[x]
+        a, b = np.array(out, np.int64).reshape(-1, 2).T
+        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
     return run
 
 
-def _split(many: DataFrame, components_: DataFrame, seen: DataFrame, sets: DataFrame, block: int) -> DataFrame:
-    """Nodes of each pivot that has met several components, dealt to pairs of blocks of about `block` nodes."""
-    placed = many.join(components_, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    sizes = placed.groupBy("pivot").agg(F.count(F.lit(1)).alias("nodes"), F.countDistinct("component").alias("parts")).filter("parts > 1").select("pivot", F.ceil(F.col("nodes") / block).cast("int").alias("blocks"))
-    placed = placed.join(sizes, "pivot").join(seen.select(F.col("a").alias("pivot"), F.col("b").alias("node"), "far"), ["pivot", "node"]).join(sets.select("node", "n", "wide"), "node")
-    own = F.pmod(F.xxhash64("node"), "blocks").cast("int")
-    placed = placed.withColumn("block", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return placed.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).groupBy("pivot", "i", "j")
+def _dealt(seen: DataFrame, whole: DataFrame, sets: DataFrame, block: int) -> DataFrame:
+    """Nodes of each pivot that has met several components, with their sets, in pairs of blocks.
+
+    A block has about `block` nodes and 700 shingles a node at most on average. Salts keep a pivot's nodes in many tasks.
+    """
+    salt = F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int").alias("salt")
+    member = seen.select(F.col("a").alias("pivot"), F.col("b").alias("node"), "far", F.col("nb").alias("n"))
+    member = member.join(whole, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    blocks = F.ceil(F.greatest(F.count(F.lit(1)) / block, F.sum("n") / (700 * block))).cast("int")
+    sizes = member.groupBy("pivot").agg(blocks.alias("blocks"), F.min("component").alias("low"), F.max("component").alias("high"))
+    sizes = sizes.filter("low <> high").select("pivot", "blocks", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    placed = member.select("*", salt).join(sizes, ["pivot", "salt"]).join(sets.select("node", "shingles"), "node")
+    placed = placed.withColumn("block", F.pmod(F.xxhash64("node", F.lit(1)), "blocks").cast("int"))
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    placed = placed.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
+    return placed.select("pivot", "i", "j", "block", "node", "component", "far", "n", "shingles").groupBy("pivot", "i", "j")
 
 
 def grouped(docs: DataFrame, words: int = 4, percent: int = 85, block: int = 1500) -> DataFrame:
@@ -320,53 +358,61 @@ def grouped(docs: DataFrame, words: int = 4, percent: int = 85, block: int = 150
     return represented(docs, words, percent, block).select("doc_id", "n_shingles", "component_id")
 
 
-def represented(docs: DataFrame, words: int, percent: int, block: int = 1500) -> DataFrame:
+def represented(docs: DataFrame, words: int, percent: int, block: int = 1500, node_bits: int = 64) -> DataFrame:
     """docs(doc_id, text) -> doc_id, row, n_shingles, component_id, kept: whether the row is its component's one.
 
     That is the row with the smallest doc_id, of several with that the one with the least hash; copies of it are kept too.
+    node_bits below 64 makes hashes of sets clash (for tests).
     """
     spark = docs.sparkSession
-    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), "text", row_hash().alias("row"))
-    described = stored(_described(docs, words), "sets")
+    ids = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
+    docs = docs.select(ids.alias("doc_id"), F.col("text"), row_hash().alias("row"))
+    named: dict = {"bits": node_bits}
+    described = stored(_described(docs, words, named), "sets")
+    nodes = stored(_nodes(described), "nodes")
+    # nodes whose sets differ: about n * n / 2^65 of n
+    clashing = [r["node"] for r in nodes.filter("low <> high").select("node").collect()]
+    if clashing:
+        named["clashing"] = np.array(clashing, np.int64).view(U64)
+        described = stored(_described(docs, words, named), "sets")
+        nodes = stored(_nodes(described), "nodes")
     top, total = described.agg(F.coalesce(F.max("n"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
     edges = band_edges(percent, int(top))
-    nodes = described.filter("node IS NOT NULL").groupBy("node").agg(F.min(F.struct("doc_id", "row")).alias("rep"), F.min("check").alias("low"), F.max("check").alias("high"), F.first("n").alias("n"), F.first("bits").alias("bits"))
-    nodes = stored(nodes, "nodes")
-    if nodes.filter("low <> high").limit(1).count():
-        raise ValueError("two different shingle sets have the same 64-bit hash")
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(total * 0.4) >> 19, 1)
-    runs = _keyed(docs, words, percent, edges, buckets).groupBy("bucket").applyInArrow(_met, "members array<long>")
-    runs = stored(runs.distinct(), "groups")
-    links = None
-    if runs.limit(1).count():
-        member = runs.select(F.col("members")[0].alias("a"), F.explode("members").alias("b"))
-        first = stored(member.filter("a <> b").distinct(), "first")
+    met = _keyed(docs, words, percent, edges, buckets, named).groupBy("bucket").applyInArrow(_met, "a long, b long")
+    first = stored(met.distinct(), "first")
+    labelled = nodes.select("node", "rep")
+    if first.limit(1).count():
         wanted = first.select(F.col("a").alias("node")).unionByName(first.select(F.col("b").alias("node"))).distinct()
-        sets = stored(_fetched(docs, stored(nodes.join(wanted, "node", "left_semi").select("rep.row", "node"), "wanted"), words), "shingles")
+        wanted = stored(nodes.join(wanted, "node", "left_semi").select("rep.row", "node"), "wanted")
+        sets = stored(_fetched(docs, wanted, words, named), "shingles")
         seen = stored(_compared(first, nodes, sets, percent), "compared")
-        links = seen.filter("near").select("a", "b")
-        # a pivot's nodes beyond the first; a pair that met in a group is among the nodes of the group's pivot
-        many = first.select(F.col("a").alias("pivot"), F.col("b").alias("node"))
-        whole = components(links)
-        left = _split(many, whole, seen, sets, block).applyInArrow(_across(percent), "a long, b long, first boolean")
-        left = stored(left.groupBy("a", "b").agg(F.max("first").alias("first")).join(seen, ["a", "b"], "left_anti"), "across")
-        while left.limit(1).count():
-            turn = left.filter("first")
-            turn = turn if turn.limit(1).count() else left
-            more = stored(_compared(turn.select("a", "b"), nodes, sets, percent), "compared")
-            links = links.unionByName(more.filter("near").select("a", "b"))
-            whole = components(links)
+        whole = components(seen.filter("near").select("a", "b"))
+        # a pair that met on a key is among the nodes of that key's pivot
+        forest = stored(_dealt(seen, whole, sets, block).applyInArrow(_across(percent), "a long, b long"), "across")
+        if forest.limit(1).count():
             ends = [whole.select(F.col("node").alias(x), F.col("component").alias(f"c{x}")) for x in "ab"]
-            rest = left.join(turn.select("a", "b"), ["a", "b"], "left_anti").join(ends[0], "a", "left").join(ends[1], "b", "left")
-            left = stored(rest.filter("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b", F.lit(False).alias("first")), "across")
-        labelled = nodes.select("node", "rep").join(whole, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        least = labelled.groupBy("component").agg(F.min("rep").alias("least"))
-        mapped = labelled.join(least, "component").select("node", F.col("least.doc_id").alias("component_id"), F.col("least.row").alias("least_row"))
-    else:
-        mapped = nodes.select("node", F.col("rep.doc_id").alias("component_id"), F.col("rep.row").alias("least_row"))
+            joined = forest.join(ends[0], "a", "left").join(ends[1], "b", "left")
+            joined = components(joined.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")))
+            joined = joined.select(F.col("node").alias("old"), F.col("component").alias("new"))
+            links = whole.unionByName(joined.select(F.col("old").alias("node"), F.col("old").alias("component")))
+            whole = links.dropDuplicates(["node"]).join(joined, F.col("component") == F.col("old"), "left")
+            whole = whole.select("node", F.coalesce("new", "component").alias("component"))
+        labelled = labelled.join(whole, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        least = labelled.groupBy("component").agg(F.min("rep").alias("rep"))
+        labelled = labelled.select("node", "component").join(least, "component")
+    mapped = labelled.select("node", F.col("rep.doc_id").alias("component_id"), F.col("rep.row").alias("least_row"))
     out = described.join(mapped, "node", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
     kept = F.coalesce(F.col("row") == F.col("least_row"), F.lit(True))  # without shingles a row is its own component
-    return out.select(F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"), "row", F.col("n").alias("n_shingles"), F.nullif("component_id", F.lit(NO_ID)).alias("component_id"), kept.alias("kept"))
+    shown = [F.nullif(c, F.lit(NO_ID)).alias(c) for c in ("doc_id", "component_id")]
+    return out.select(shown[0], "row", F.col("n").alias("n_shingles"), shown[1], kept.alias("kept"))
+
+
+def _nodes(described: DataFrame) -> DataFrame:
+    """One row a set: node, rep (least id, row), low and high check, n, bits."""
+    ends = [F.min("check").alias("low"), F.max("check").alias("high")]
+    rep = F.min(F.struct("doc_id", "row")).alias("rep")
+    return described.filter("node IS NOT NULL").groupBy("node").agg(rep, *ends, F.first("n").alias("n"), F.first("bits").alias("bits"))
 
 
 def op9_jaccard(spark, sf_dir):

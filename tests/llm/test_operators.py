@@ -370,10 +370,51 @@ def test_jaccard_of_different_texts_under_one_id(spark):
         least = min((i for i, _ in (a, b) if i is not None), default=None)
         want.update((i, len(shingle_set(t, 4)), least) for i, t in (a, b))
     assert got == want
-    near = jaccard._fetched(docs.withColumn("row", jaccard.row_hash()), spark.createDataFrame([(r["row"], 12345) for r in docs.select(jaccard.row_hash().alias("row")).collect()], "row long, node long"), 4)
+    rows = [(r["row"], 12345) for r in docs.select(jaccard.row_hash().alias("row")).collect()]
+    near = jaccard._fetched(docs.withColumn("row", jaccard.row_hash()), spark.createDataFrame(rows, "row long, node long"), 4, {})
     assert near.count() == 0
 
 
+def cloud(n: int, changes: tuple[int, int], seed: int) -> list[str]:
+    """Copies of one text with as many changed words."""
+    r = random.Random(seed)
+    base = prose(seed, 120).split()
+    out = []
+    for _ in range(n):
+        w = list(base)
+        for k in r.sample(range(len(w)), r.randint(*changes)):
+            w[k] = f"new{r.randrange(10**6)}"
+        out.append(" ".join(w))
+    return out
+
+
+def in_components(sets: list, percent: int) -> list[int]:
+    least = list(range(len(sets)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if least[i] != least[j] and 100 * len(a & sets[j]) >= percent * len(a | sets[j]):
+                old, new = max(least[i], least[j]), min(least[i], least[j])
+                least = [new if x == old else x for x in least]
+    return least
+
+
+@pytest.mark.parametrize(("words", "percent", "changes"), [(4, 85, (2, 4)), (5, 80, (3, 5))])
+def test_jaccard_of_a_cloud_about_the_threshold(spark, words, percent, changes):
+    """Hundreds of copies of one text, that link with some others only: no more rows than nodes come from a block."""
+    texts = cloud(600, changes, 11)
+    want = in_components([shingle_set(t, words) for t in texts], percent)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.grouped(docs, words, percent, block=200).collect()}
+    assert [got[i] for i in range(len(texts))] == want and len(set(want)) > 1
+
+
+def test_jaccard_where_hashes_of_sets_clash(spark, docs):
+    rows = lambda d: sorted(tuple(r) for r in d.collect())
+    texts = docs.select("doc_id", "text").filter("doc_id <> 5")
+    want = rows(jaccard.represented(texts, 4, 85).select("doc_id", "n_shingles", "component_id", "kept"))
+    assert rows(jaccard.represented(texts, 4, 85, node_bits=3).select("doc_id", "n_shingles", "component_id", "kept")) == want
+
+
 def test_components(spark):
     r = random.Random(4)
     edges = [(i, i + 1) for i in range(0, 60)] + [(r.randrange(100, 200), r.randrange(100, 200)) for _ in range(60)] + [(300, 300 + i) for i in range(1, 40)]

@@ -18,9 +18,11 @@ MULT = 0x9E3779B97F4A7C15
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one made here where it is unset."""
+    """The folder all executors share: spark.checkpoint.dir, or (in local mode) one made here where it is unset."""
     known = spark.conf.get("spark.checkpoint.dir", None)
     if not known:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         known = "file://" + tempfile.mkdtemp(prefix="corpusmill-")
         spark.conf.set("spark.checkpoint.dir", known)
     return known.rstrip("/")

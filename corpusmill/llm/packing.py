@@ -7,7 +7,7 @@ without such an end, at every `reach` tokens): the best cost of all windows up t
 
 plus a fixed cost of opening a sequence; penalty is 0 at a document's end, `sentence` at a sentence's and `inside` elsewhere. As padding is
 width - length, the minimum over i is that of best[i] + at[i], kept in a monotone queue; lengths that are powers of
-two need no padding, and the longest of those are looked up besides.
+two need no padding, and every boundary that lies a power of two before is looked up besides.
 
 Documents keep the order of the table's files. Each Spark partition packs its own stream in stretches of about
 `stretch` tokens: memory is bounded, nothing is shuffled, and a lost task is redone alone to the same result.
@@ -41,12 +41,18 @@ class SegmentEncoder:
     """ids of byte_bpe_50k.json, as the tokenizers library gives them, from the same vocabulary as ranks.
 
     A cut before a space that a printing character follows is always a cut of the vocabulary's own pattern, so a text
-    splits there and each segment is encoded once and kept, up to `kept` segments.
+    splits there and each segment is encoded once and kept, up to `kept` segments. Texts in which one of the file's added
+    tokens is written out are left to the tokenizers library itself.
     """
 
-    def __init__(self, ranks_path: str | None = None, kept: int = 500_000):
+    def __init__(self, ranks_path: str | None = None, json_path: str | None = None, kept: int = 500_000):
         import public_tokenizers
         import tiktoken
+        from tokenizers import Tokenizer
+
+        self.json_path = json_path or public_tokenizers.path("byte_bpe_50k.json")
+        self.whole = Tokenizer.from_file(self.json_path)
+        self.added = [t.content for t in self.whole.get_added_tokens_decoder().values()]
 
         path = ranks_path or public_tokenizers.path("byte_bpe_50k.tiktoken")
         with open(path, "rb") as lines:
@@ -67,12 +73,14 @@ class SegmentEncoder:
                 return out
 
         self.segments = Kept()
-        self.ends_sentence = np.zeros(self.encoding.n_vocab + 1, bool)
+        self.ends_sentence = np.zeros(max(self.encoding.n_vocab, self.whole.get_vocab_size()) + 1, bool)
         for raw, i in ranks.items():
             self.ends_sentence[i] = raw.rstrip(b"\"')]")[-1:] in (b".", b"!", b"?", b"\n") if raw.strip(b"\"')]") else False
 
     def ids(self, text: str) -> bytes:
         """Little-endian 32-bit ids of a whole text."""
+        if any(x in text for x in self.added):
+            return array("I", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
         if any(x in text for x in _ODD):
             return array("I", self.encoding._core_bpe.encode_ordinary(text)).tobytes()
         head, *rest = text.split(" ")
@@ -80,29 +88,33 @@ class SegmentEncoder:
         return first + b"".join(map(self.segments.__getitem__, rest))
 
 
-def choose_cuts(at: np.ndarray, penalty: np.ndarray, width: int = WIDTH, opening: float = 32.0, shorter: int = 2) -> list[int]:
+def choose_cuts(at: np.ndarray, penalty: np.ndarray, width: int = WIDTH, opening: float = 32.0) -> list[int]:
     """Indexes into `at` (increasing, at[0] = 0, gaps <= width) of the cheapest cuts, the first and last included.
 
-    Each window costs `opening` too; of the unpadded lengths below width the `shorter` longest powers of two count.
+    Each window costs `opening` too; a window as long as any power of two below width is not padded.
     """
     n = len(at)
-    powers = [1 << k for k in range(width.bit_length() - 1, -1, -1) if 1 << k < width][:shorter]
-    exact = []
-    for w in powers:  # the boundary that lies w before each, or -1
+    here, there = [], []
+    for w in (1 << k for k in range(width.bit_length()) if 1 << k < width):
         i = np.searchsorted(at, at - w)
-        exact.append(np.where((i < n) & (at[np.minimum(i, n - 1)] == at - w), i, -1).tolist())
-    at_l, cost = at.tolist(), (penalty + opening).tolist()
-    rows = iter(zip(at_l, cost, zip(*exact, strict=True) if exact else [()] * n, strict=True))
-    next(rows)
+        met = np.flatnonzero(at[np.minimum(i, n - 1)] == at - w)
+        here.append(met), there.append(i[met])
+    here, there = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (here, there))
+    exact = there[np.argsort(here, kind="stable")].tolist()  # boundaries that lie a power of two before each
+    ends = np.cumsum(np.bincount(here, minlength=n)).tolist()
+    rows = iter(zip(at.tolist(), (penalty + opening).tolist(), ends, strict=True))
+    near = next(rows)[2]
     best, back = [0.0], [0]
     queue, places, values, head = [0], [0], [0.0], 0  # values: best[i] + at[i], rising
-    for j, (p, c, near) in enumerate(rows, 1):
+    for j, (p, c, end) in enumerate(rows, 1):
         while places[head] < p - width:
             head += 1
         low, frm = values[head] + width - p, queue[head]
-        for k in near:
-            if k >= 0 and best[k] < low:
-                low, frm = best[k], k
+        if near < end:
+            for k in exact[near:end]:
+                if best[k] < low:
+                    low, frm = best[k], k
+            near = end
         low += c
         best.append(low)
         back.append(frm)

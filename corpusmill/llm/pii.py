@@ -38,7 +38,8 @@ _IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _LOOSE = re.compile(r"\(?[0-9][0-9().\x20-]{5,}[0-9]")
-_SPELLED = re.compile(r"([A-Za-z0-9._%+-]{1,64})\s?(?:\(at\)|\[at\]|\{at\})\s?([A-Za-z0-9-]{1,63}(?:\s?(?:\.|\(dot\)|\[dot\]|\{dot\})\s?[A-Za-z0-9-]{1,63})+)", re.I)
+_SPELLED = re.compile(r"\s?(?:\(at\)|\[at\]|\{at\})\s?", re.I)
+_SPELLED_DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\s?(?:\.|\(dot\)|\[dot\]|\{dot\})\s?[A-Za-z0-9-]++)+", re.I)
 _ANY = re.compile(r"[0-9@]|[(\[{]at[)\]}]", re.I)
 _NO_DIGIT = re.compile(r"[^0-9]+")
 #: How much less likely (in logs) personal data is in what fits no pattern, before its like speak for it.
@@ -67,7 +68,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
             past = m.end()
         at = text.find("@", max(past, at + 1))
     for m in _IP.finditer(text):
-        if all(len(x.lstrip("0")) < 4 and int(x) < 256 for x in m[0].split(".")):
+        if all(len(x) < 4 and int(x or 0) < 256 for x in (y.lstrip("0") for y in m[0].split("."))):
             out.append(("ip", m.start(), m.end()))
     for m in _CARD.finditer(text):
         if m.end() - m.start() > 15:
@@ -118,15 +119,27 @@ def mentions(text: str, base: list[tuple[str, int, int]]) -> list[Mention]:
     taken = sorted((a, b) for _, a, b in base)
     starts = np.array([a for a, _ in taken], int)
     ends = np.maximum.accumulate(np.array([b for _, b in taken], int)) if taken else starts
-    for pattern in (_LOOSE, _SPELLED):
-        for m in pattern.finditer(text):
-            for a, b in _groups(m) if pattern is _LOOSE else [m.span()]:
-                i = int(np.searchsorted(starts, b))
-                if not i or ends[i - 1] <= a:
-                    out.append(Mention(text, a, b, None))
+    loose = [x for m in _LOOSE.finditer(text) for x in _groups(m)]
+    for a, b in [*loose, *_spelled(text)]:
+        i = int(np.searchsorted(starts, b))
+        if not i or ends[i - 1] <= a:
+            out.append(Mention(text, a, b, None))
     return sorted(out, key=lambda x: (x.start, x.end))
 
 
+def _spelled(text: str) -> Iterator[tuple[int, int]]:
+    """Addresses with a spelled-out at sign, by their at signs: name(at)host.org, name [at] host (dot) org."""
+    past = 0
+    for m in _SPELLED.finditer(text):
+        a = m.start()
+        while a > past and text[a - 1] in _LOCAL:
+            a -= 1
+        domain = _SPELLED_DOMAIN.match(text, m.end()) if a < m.start() else None
+        if domain:
+            past = domain.end()
+            yield a, past
+
+
 def edges(found: list[Mention], reach: int = 60) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
     """(chain, skip) edges; mentions with one key are joined to a hub each, numbered after them, so edges are as few as mentions."""
     chain = [(i, i + 1) for i in range(len(found) - 1) if found[i + 1].start - found[i].end <= reach]

@@ -29,6 +29,7 @@ from pyspark.sql import types as T
 from .common import release, stored, table
 
 FEATURES, BINS, SEED = 384, 1000, 11
+FAN = 64  # arrays of at most 1.4 MB that one task, or the driver, adds up
 MOST_BROADCAST = 2_000_000  # ids (16 MB)
 STATISTICS = (
     "log_bytes log_words word_bytes upper digit space punct symbol newline nonascii distinct_words repeated_next top_word caps_words end_symbol_words "
@@ -123,7 +124,8 @@ def bin_of(raw: np.ndarray) -> np.ndarray:
 
 
 def _summed(rows: DataFrame, f, size: int) -> np.ndarray:
-    """Sum over all rows of f(stats, label): one array of `size` a partition, added by Spark in a tree."""
+    """Sum over all rows of f(stats, label): one array of `size` a partition; every FAN of them are added by a task, and
+    their sums again, until FAN are left for the driver. Tasks stream through the arrays, one at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = np.zeros(size)
@@ -132,17 +134,19 @@ def _summed(rows: DataFrame, f, size: int) -> np.ndarray:
                 out += f(np.array(b.column(0).to_pylist(), float), b.column(1).to_numpy(zero_copy_only=False).astype(float))
         yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()])], names=["part"])
 
-    parts = rows.select("stats", "label").mapInArrow(run, "part binary")
-
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = np.zeros(size)
         for b in batches:
-            for x in b.column(0).to_pylist():
-                out += np.frombuffer(x)
+            for x in b.column(0):
+                out += np.frombuffer(x.as_buffer())
         yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()])], names=["part"])
 
+    parts, many = rows.select("stats", "label").mapInArrow(run, "part binary"), rows.rdd.getNumPartitions()
+    while many > FAN:
+        many = -(-many // FAN)
+        parts = parts.repartition(many).mapInArrow(add, "part binary")
     out = np.zeros(size)
-    for r in parts.coalesce(32).mapInArrow(add, "part binary").toLocalIterator():
+    for r in parts.toLocalIterator():
         out += np.frombuffer(r["part"])
     return out
 

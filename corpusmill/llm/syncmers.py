@@ -114,7 +114,7 @@ EDITED = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, e
 
 def _compare(part: pa.Table) -> pa.Table:
     """A range of documents in descending order, with the head of the next range as its last row."""
-    part = part.sort_by([("head", "ascending"), ("doc_id", "descending"), ("text", "ascending")])
+    part = part.sort_by([("head", "ascending"), ("doc_id", "descending"), ("mark", "ascending"), ("text", "ascending")])
     n = part.num_rows - sum(part.column("head").to_pylist())
     ids = part.column("doc_id").to_pylist()[:n]
     texts = [x or "" for x in part.column("text").to_pylist()[: n + 1]]
@@ -138,47 +138,70 @@ def _compare(part: pa.Table) -> pa.Table:
     return pa.table(out, schema=pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), *((c, pa.string()) for c in ("edited_sha256", "fingerprint", "edited_fingerprint")), ("near_edited", pa.float64()), ("near_next", pa.float64())]))
 
 
-def _placed(docs: DataFrame, cuts: list[int], columns: list[str], heads: dict[int, int] | None = None) -> DataFrame:
+class Ranges:
+    """Runs of documents by descending id, then by the hash of the text, cut after given keys (~id, hash)."""
+
+    def __init__(self, keys: list[tuple[int, int]]):
+        keys = sorted(set(keys))
+        self.ids, self.marks = np.array([k for k, _ in keys], np.int64), np.array([m for _, m in keys], np.int64)
+
+    def of(self, ids: np.ndarray, marks: np.ndarray) -> np.ndarray:
+        """Number of the range of each document: how many cuts lie before it."""
+        low, high = np.searchsorted(self.ids, ids, "left"), np.searchsorted(self.ids, ids, "right")
+        for i in np.flatnonzero(high > low):  # cuts within the rows of one id
+            low[i] += np.searchsorted(self.marks[low[i] : high[i]], marks[i], "left")
+        return low
+
+
+def _placed(docs: DataFrame, ranges: Ranges, columns: list[str], heads: dict[tuple[int, int], int] | None = None) -> DataFrame:
     """Adds the number of each row's range; with heads, also copies of the rows that another range needs as its end."""
-    bounds = np.array(cuts, np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids = b.column(0).fill_null(LEAST).to_numpy(zero_copy_only=False)
-            part = len(bounds) - np.searchsorted(bounds, ids, "left")
+            ids, marks = ~b.column(0).fill_null(LEAST).to_numpy(zero_copy_only=False), b.column(1).to_numpy()
+            part = ranges.of(ids, marks)
             flags = np.zeros(len(ids), np.int32)
             if heads is not None:
-                extra = np.array([i for i, x in enumerate(ids.tolist()) if x in heads], np.int64)
-                to = np.array([heads[x] for x in ids[extra].tolist()], np.int64)
+                extra = np.array([i for i, x in enumerate(zip(ids.tolist(), marks.tolist(), strict=True)) if x in heads], np.int64)
+                to = np.array([heads[ids[i], marks[i]] for i in extra.tolist()], np.int64)
                 part, flags = np.concatenate([part, to]), np.concatenate([flags, np.ones(len(extra), np.int32)])
                 b = b.take(pa.array(np.concatenate([np.arange(len(ids)), extra])))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(part.astype(np.int32)), pa.array(flags)], names=[*columns, "part", "head"])
 
-    return docs.select(*columns).mapInArrow(run, T.StructType([*(docs.schema[c] for c in columns), T.StructField("part", T.IntegerType()), T.StructField("head", T.IntegerType())]))
+    added = [T.StructField("part", T.IntegerType()), T.StructField("head", T.IntegerType())]
+    return docs.select(*columns).mapInArrow(run, T.StructType([*(docs.schema[c] for c in columns), *added]))
 
 
 LEAST = -(2**63)
+PER_RANGE = 24  # keys a range among which the cuts are chosen
 
 
-def compared(docs: DataFrame, part_bytes: int = 8 << 20, most_parts: int = 20_000) -> DataFrame:
+def compared(docs: DataFrame, part_bytes: int = 8 << 20) -> DataFrame:
     """Fingerprints of all documents, of their edited texts, and their likenesses.
 
-    Documents go by descending doc_id (equal ids: by text; a null id last) into ranges of about part_bytes; the text
-    moves once. The head of each range is sent also to the range before it, and the first document to the last.
-    The driver sees the bounds and heads of the ranges only.
+    Documents go by descending doc_id (equal ids: by the text's hash, then by text; a null id last) into ranges of about
+    part_bytes; the text moves once. The head of each range is sent also to the range before it, and the first document
+    to the last. Cuts are chosen among the keys of least hash, PER_RANGE a range, so rows of one id, or without one, are
+    cut as others are. The driver sees those keys (16 bytes each) and the heads of the ranges only.
     """
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("mark"), F.coalesce("text", F.lit("")).alias("text"))
     total, n = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count(F.lit(1))).first()
     if not n:
         return spark.createDataFrame([], EDITED)
-    parts = int(max(1, min(n, total // part_bytes, most_parts)))
-    shares = [i / parts for i in range(1, parts)] or [0.5]
-    cuts = sorted({x for x in docs.agg(F.percentile_approx("doc_id", shares, 20 * parts)).first()[0] or [] if x is not None})
-    tops = _placed(docs, cuts, ["doc_id"]).groupBy("part").agg(F.max("doc_id").alias("top")).collect()
-    order = sorted((r["part"], LEAST if r["top"] is None else r["top"]) for r in tops)
+    parts = int(max(1, min(n, total // part_bytes)))
+    key = [F.coalesce(F.bitwise_not("doc_id"), F.lit(~LEAST)).alias("k"), "mark"]
+    ranges = Ranges([])
+    if parts > 1:
+        every = max(1, n // (PER_RANGE * parts))
+        chosen = docs.select(*key).filter(F.pmod(F.xxhash64("k", "mark"), F.lit(every)) == 0).toArrow().sort_by([("k", "ascending"), ("mark", "ascending")])
+        at = np.unique(np.linspace(0, len(chosen), parts + 1).astype(np.int64)[1:-1])
+        picked = chosen.take(pa.array(at[at < len(chosen)]))
+        ranges = Ranges(list(zip(picked.column("k").to_pylist(), picked.column("mark").to_pylist(), strict=True)))
+    tops = _placed(docs, ranges, ["doc_id", "mark"]).select("part", F.struct(*key).alias("top")).groupBy("part").agg(F.min("top").alias("top")).collect()
+    order = sorted((r["part"], tuple(r["top"])) for r in tops)
     heads = {top: order[i - 1][0] for i, (_, top) in enumerate(order)}
-    return _placed(docs, cuts, ["doc_id", "text"], heads).groupBy("part").applyInArrow(_compare, EDITED)
+    return _placed(docs, ranges, ["doc_id", "mark", "text"], heads).groupBy("part").applyInArrow(_compare, EDITED)
 
 
 def op10_fingerprints(spark, sf_dir):

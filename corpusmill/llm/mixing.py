@@ -6,11 +6,13 @@ integer quota. A shard stands in a seeded order of its documents; its quota take
 the first blocks of that order. A document at the edge of the last block is taken in part.
 
 Shards hold about `shard_words` words, so a source of any share of the corpus is spread over as many window
-partitions as it needs. The driver sees one row per source and per shard: shard_words grows with the corpus so that
-there are at most `most_shards` shards besides one per source.
+partitions as it needs. The driver sees one row per source and per shard, and works on them as arrays: shard_words grows
+with the corpus so that there are at most `most_shards` shards besides one per source. Quotas are broadcast up to
+MOST_BROADCAST rows and joined by a shuffle beyond.
 
 Defined results: null texts have size 0 and are taken 0 times; a null source is a source of its own, after all
-others. Repeated rows, and rows with equal ids, each count; the order within a shard is settled by hash, id and text hash.
+others. Repeated rows, and rows with equal ids or without one, each count; shard and order within it are settled by a
+hash of id and text, so rows that share an id only go to all shards.
 An empty table gives an empty result. Columns of documents other than doc_id, text and source are carried by `mixed`.
 """
 
@@ -27,7 +29,7 @@ from .common import stored, table
 #: Weights by rank of the source, repeating.
 WEIGHTS = (5, 2, 1)
 MOST_REPEATS = 3
-MOST_SOURCES = 500_000  # quotas are worked out on the driver, a row each
+MOST_BROADCAST = 500_000  # rows of a source or shard each
 _WORDS = r"[^\x20\x09-\x0D]+"
 
 
@@ -38,21 +40,19 @@ def n_words(text: Column) -> Column:
 
 def targets(sizes: list[int], weights: tuple[int, ...] = WEIGHTS, most: int = MOST_REPEATS) -> list[float]:
     """Shares of the whole by weight; what is above `most` times a source's size is shared again by weight among the rest."""
-    total, out, open_ = float(sum(sizes)), [0.0] * len(sizes), set(range(len(sizes)))
-    weight = [weights[i % len(weights)] for i in range(len(sizes))]
-    left = total
-    while open_:
-        unit = left / sum(weight[i] for i in open_)
-        full = {i for i in open_ if weight[i] * unit > most * sizes[i]}
-        if not full:
-            for i in open_:
-                out[i] = weight[i] * unit
+    size = np.asarray(sizes, float)
+    weight = np.resize(np.asarray(weights, float), len(size))
+    out, open_, left = np.zeros(len(size)), np.ones(len(size), bool), float(size.sum())
+    while open_.any():
+        share = weight * (left / weight[open_].sum())
+        full = open_ & (share > most * size)
+        if not full.any():
+            out[open_] = share[open_]
             break
-        for i in full:
-            out[i] = float(most * sizes[i])
-            left -= out[i]
-        open_ -= full
-    return out
+        out[full] = most * size[full]
+        left -= out[full].sum()
+        open_ &= ~full
+    return out.tolist()
 
 
 def sainte_lague(shares: np.ndarray, seats: int) -> np.ndarray:
@@ -75,42 +75,50 @@ def sainte_lague(shares: np.ndarray, seats: int) -> np.ndarray:
     return got
 
 
-def taken(docs: DataFrame, seed: int = 7, block_words: int = 128, shard_words: int = 1 << 21, most_shards: int = 100_000, carry: bool = False) -> DataFrame:
+def _hinted(rows: DataFrame, n: int) -> DataFrame:
+    return F.broadcast(rows) if n <= MOST_BROADCAST else rows
+
+
+def taken(
+    docs: DataFrame, seed: int = 7, block_words: int = 128, shard_words: int = 1 << 21, most_shards: int = 1_000_000, carry: bool = False
+) -> DataFrame:
     """docs(doc_id, source, text) -> doc_id, size, source_size, target, taken; with carry, the input row as `_row` too."""
     spark = docs.sparkSession
     own = [F.struct(*(docs[c] for c in docs.columns)).alias("_row")] if carry else []
-    sized = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), F.xxhash64(F.lit(seed), "doc_id").alias("turn"), F.xxhash64("text").alias("mark"), *own)
+    turn = F.xxhash64(F.lit(seed), "doc_id", "text").alias("turn")
+    sized = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), turn, F.xxhash64("text").alias("mark"), *own)
     if not carry:
         sized = stored(sized, "sizes")  # else every step below would count the words again
-    rows = sized.groupBy("source").agg(F.sum("size").alias("size")).limit(MOST_SOURCES + 1).collect()
-    if len(rows) > MOST_SOURCES:
-        raise ValueError(f"more than {MOST_SOURCES} sources")
-    names = sorted((r["source"] for r in rows if r["source"] is not None), key=lambda s: [ord(c) for c in s]) + [None] * any(r["source"] is None for r in rows)
-    by = {r["source"]: r["size"] for r in rows}
+    kind = docs.schema["source"].dataType.simpleString()
+    by = {r["source"]: r["size"] for r in sized.groupBy("source").agg(F.sum("size").alias("size")).toLocalIterator()}
+    names = sorted((s for s in by if s is not None), key=lambda s: [ord(c) for c in s]) + [None] * (None in by)
     sizes = [by[s] for s in names]
     total = sum(sizes)
     want = targets(sizes)
     shard_words = max(shard_words, total // most_shards)
     shards = [max(1, math.ceil(x / shard_words)) for x in sizes]
-    kind = f"source {docs.schema['source'].dataType.simpleString()}, source_size long, target double, shards int"
-    plan = F.broadcast(spark.createDataFrame([(s, int(x), float(w), n) for s, x, w, n in zip(names, sizes, want, shards, strict=True)], kind))  # a row per source, as collected
-    placed = sized.alias("d").join(plan.alias("p"), F.expr("d.source <=> p.source")).drop(F.col("p.source")).withColumn("shard", F.pmod("turn", F.col("shards")).cast("int"))
-    parts = sorted(placed.groupBy("source", "shard").agg(F.sum("size").alias("words")).collect(), key=lambda r: (r["source"] is None, r["source"] or "", r["shard"]))
+    plan = spark.createDataFrame(list(zip(names, sizes, want, shards, strict=True)), f"source {kind}, source_size long, target double, shards int")
+    placed = sized.alias("d").join(_hinted(plan, len(names)).alias("p"), F.expr("d.source <=> p.source")).drop(F.col("p.source"))
+    placed = placed.withColumn("shard", F.pmod("turn", F.col("shards")).cast("int"))
+    held: dict[str | None, list[tuple[int, int]]] = {}
+    for r in placed.groupBy("source", "shard").agg(F.sum("size").alias("words")).toLocalIterator():
+        held.setdefault(r["source"], []).append((r["shard"], r["words"]))
     block = max(1, min(block_words, total // (200 * len(names)))) if names else 1
-    seats = dict(zip(names, sainte_lague(np.array(want), round(sum(want) / block)).tolist(), strict=True))
-    quota: dict[tuple[str | None, int], int] = {}
-    for s, limit in zip(names, want, strict=True):
-        own = [r for r in parts if r["source"] == s]
-        got = sainte_lague(np.array([r["words"] for r in own]), seats[s])
-        quota |= {(s, r["shard"]): min(int(g) * block, MOST_REPEATS * r["words"], math.ceil(limit)) for r, g in zip(own, got, strict=True)}
-    quotas = F.broadcast(
-        spark.createDataFrame([(r["source"], r["shard"], r["words"], quota[r["source"], r["shard"]]) for r in parts], f"source {docs.schema['source'].dataType.simpleString()}, shard int, words long, quota long")
-    )  # at most most_shards rows and one per source
-    placed = placed.alias("d").join(quotas.alias("q"), F.expr("d.source <=> q.source AND d.shard = q.shard")).drop(F.col("q.source"), F.col("q.shard"))
-    before = F.sum("size").over(Window.partitionBy("source", "shard").orderBy("turn", "doc_id", "mark").rowsBetween(Window.unboundedPreceding, -1))
+    seats = sainte_lague(np.array(want), round(sum(want) / block)).tolist()
+    quotas = []
+    for s, limit, n in zip(names, want, seats, strict=True):
+        parts = sorted(held[s])
+        got = sainte_lague(np.array([words for _, words in parts]), n)
+        quotas += [(s, shard, words, min(int(g) * block, MOST_REPEATS * words, math.ceil(limit))) for (shard, words), g in zip(parts, got, strict=True)]
+    rows = spark.createDataFrame(quotas, f"source {kind}, shard int, words long, quota long")
+    placed = placed.alias("d").join(_hinted(rows, len(quotas)).alias("q"), F.expr("d.source <=> q.source AND d.shard = q.shard"))
+    placed = placed.drop(F.col("q.source"), F.col("q.shard"))
+    order = Window.partitionBy("source", "shard").orderBy("turn", "doc_id", "mark")
+    before = F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, -1))
     rounds = F.when(F.col("words") > 0, F.floor(F.col("quota") / F.greatest("words", F.lit(1)))).otherwise(0)
     part = F.greatest(F.lit(0), F.least("size", F.col("quota") - rounds * F.col("words") - F.coalesce(before, F.lit(0))))
-    return placed.select("doc_id", "size", "source_size", "target", (rounds * F.col("size") + part).cast("long").alias("taken"), *(["_row"] if carry else []))
+    count = (rounds * F.col("size") + part).cast("long").alias("taken")
+    return placed.select("doc_id", "size", "source_size", "target", count, *(["_row"] if carry else []))
 
 
 def head_words(text: Column, n: Column) -> Column:

@@ -326,6 +326,20 @@ def test_mixing(spark, docs):
     assert mixing.taken(docs.limit(0)).count() == 0
 
 
+def test_mixing_of_equal_sources_and_of_rows_without_id(spark):
+    rows = [(None, prose(i, 40), f"s{i % 6}") for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    sums, want = Counter(), {}
+    words = {t: s for _, t, s in rows}
+    for r in mixing.mixed(docs, shard_words=500).collect():
+        sums[r["source"]] += len(r["text"].split())
+    for r in mixing.taken(docs, shard_words=500).collect():
+        assert r["source_size"] == 4000
+        want[r["target"]] = want.get(r["target"], 0) + 1
+    assert len(words) == 600 and set(want.values()) == {200} and max(want) / min(want) == 5
+    assert [round(sums[f"s{i}"] / sums["s2"]) for i in range(6)] == [5, 2, 1, 5, 2, 1]
+
+
 def shingle_set(t, n):
     w = (t or "").encode().lower().split()
     return frozenset(tuple(w[k : k + n]) for k in range(len(w) - n + 1)) if len(w) >= n else frozenset([tuple(w)] if w else [])

@@ -9,7 +9,8 @@ stands in links. The best container is kept, and those of its siblings that scor
 
 Defined results: null, empty and text-free pages give an empty string. Unclosed and misnested tags are mended as
 browsers do for paragraphs, list items, rows and cells; a tag cut off by the end of the page is dropped. `<br>` is
-white space. A page of which nothing is left is read again without cuts by name. Nothing is capped. Repeated pages each get a row; only page_id, url and html are read.
+white space. A page of which nothing is left is read again without cuts by name. Nothing is capped. Repeated pages each
+get a row; only page_id, url and html are read.
 """
 
 from __future__ import annotations
@@ -46,9 +47,17 @@ WEAK = frozenset("banner masthead header page-header notice notices legal search
 APART = re.compile(r"(?i)comment|disqus|repl(?:y|ies)|respond|discussion|cookie|consent|gdpr|related|recommend|stories")
 MODIFIER = re.compile(r"(?i)(?:^|(?<=[\s_-]))(?:no|not|non|has|have|with|without|category|tag)[_-]\S*")
 LIKELY = re.compile(r"(?i)(?:^|[\s_-])(?:article|main|content|post|entry|story|body|text|hentry)(?:$|[\s_-])")
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*(?:>|\Z)|<[/a-zA-Z][^<>]*(?:>|\Z)", re.S)
+#: An attribute as browsers read it: only a value that begins with a quote is quoted, and holds anything but that quote.
+#: No part is ever tried again (possessive), so a tag takes time in proportion to its length.
+_ATTRIBUTE_TEXT = r"""[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|(?!["'])[^\s>]*+))?+"""
+#: A comment, a tag (the last group is empty where the page's end cuts it off), or a declaration.
+_TOKEN = re.compile(rf"<!--(?:-?>|.*?(?:-->|\Z))|<(/?)([a-zA-Z][^\s/>]*+)((?:[\s/]++|{_ATTRIBUTE_TEXT})*+)(>?)|<[!?/][^>]*+>?", re.S)
 MOST_DEEP = 250  # elements opened below this depth stand beside each other, so that recursion stays bounded
-_ATTRIBUTE = re.compile(r"""([^\s/=>][^\s/=>]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
+_ATTRIBUTE = re.compile(r"""([^\s/>][^\s/>=]*+)(?:\s*+=\s*+("[^"]*+"|'[^']*+'|(?!["'])[^\s>]*+))?+""")
+_RAW_END = {x: re.compile(rf"(?i)</{x}(?=[\s/>])") for x in RAW}
+# References to numbers of so many digits are no characters; leading zeros say nothing.
+_LONG_REFERENCE = re.compile(r"&#0*+[1-9][0-9]{7,}+;?|&#[xX]0*+[1-9a-fA-F][0-9a-fA-F]{6,}+;?")
+_LEADING_ZEROS = re.compile(r"(?<=&#)0{2,}+(?=[0-9])|(?<=&#[xX])0{2,}+(?=[0-9a-fA-F])")
 _NAMES = frozenset("class id role aria-label itemprop".split())
 _SPACE = re.compile(r"\s+")
 
@@ -68,7 +77,7 @@ def _attributes(raw: str) -> tuple[str, bool]:
     names, hidden = [], False
     seen = set()
     for key, value in _ATTRIBUTE.findall(raw):
-        key, value = key.lower(), value.strip("\"'")
+        key, value = key.lower(), value[1:-1] if value[:1] in ("'", '"') else value
         if key in seen:  # the first of a name counts
             continue
         seen.add(key)
@@ -92,10 +101,9 @@ def parse(page: str) -> Node:
         if m.start() > at:
             top.below.append(page[at : m.start()])
         at = m.end()
-        name = m[2]
-        if name is None:
+        if not m[2] or not m[4]:
             continue
-        name = name.lower()
+        name = m[2].lower()
         if m[1]:
             if name in open_tags:
                 while top.tag != name:
@@ -126,12 +134,12 @@ def parse(page: str) -> Node:
         names, hidden = _attributes(m[3])
         node.named, node.cut = names, hidden or name in RAW
         top.below.append(node)
-        if name in ("svg", "math") and m[3].endswith("/"):
+        closed = m[3].endswith("/")
+        if name in ("svg", "math") and closed:
             continue
         if name in RAW:
-            end = re.compile(rf"(?i)</{re.escape(name)}\s*[^>]*>").search(page, at)
-            at = end.end() if end else len(page)
-        elif name not in VOID and not m[3].endswith("/") and len(open_tags) < MOST_DEEP:
+            at = _after_raw(page, name, at)
+        elif name not in VOID and not closed and len(open_tags) < MOST_DEEP:
             top = node
             open_tags.append(name)
     if at < len(page):
@@ -139,8 +147,15 @@ def parse(page: str) -> Node:
     return root
 
 
+def _after_raw(page: str, name: str, at: int) -> int:
+    """The place behind the end tag of an element whose content is no markup, or the page's end."""
+    m = _RAW_END[name].search(page, at)
+    end = page.find(">", m.end()) if m else -1
+    return len(page) if end < 0 else end + 1
+
+
 def _plain(s: str) -> str:
-    return entities.unescape(s) if "&" in s else s
+    return entities.unescape(_LONG_REFERENCE.sub("\ufffd", _LEADING_ZEROS.sub("", s))) if "&" in s else s
 
 
 def _prune(node: Node, inside_article: bool) -> None:

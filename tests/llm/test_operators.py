@@ -94,6 +94,33 @@ def test_vectors(spark, block):
     assert vectors.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_vectors_where_hashes_clash_and_columns_too(spark):
+    rows = [(i, v, label, i, 1.0) for i, v, label in vector_rows()]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int, node int, vec double")
+    got = sorted(tuple(r) for r in vectors.near_duplicates(df).collect())
+    assert got == sorted(tuple(r) for r in vectors.near_duplicates(df, node_bits=4).collect())
+
+
+def test_vectors_of_extreme_components(spark):
+    tiny, huge = 5e-324, 1.7e308
+    rows = [(1, [tiny, 0.0]), (2, [huge, 0.0]), (3, [huge, huge]), (4, [tiny, tiny]), (5, [0.0, -tiny]), (None, [0.0, -3.0]), (None, [9.0, -9.0]), (None, [9.0, -9.0])]
+    df = spark.createDataFrame([(i, v, "a") for i, v in rows], "vec_id long, embedding array<double>, label string")
+    got = sorted((tuple(r) for r in vectors.near_duplicates(df).collect()), key=str)
+    want = [(1, 1, 1, True), (2, 1, 1, False), (3, 1, 3, True), (4, 1, 3, False), (5, 1, 5, True), (None, 1, 5, False), (None, 1, None, True), (None, 1, None, True)]
+    assert got == sorted(want, key=str)
+
+
+def test_probes_reach_every_near_vector():
+    """Of vectors in 64 lists: those within the radius of one another are in a list that either probes."""
+    r = np.random.default_rng(5)
+    x = vectors.unit([v.tobytes() for v in np.repeat(r.normal(size=(300, 6)), 3, axis=0) + r.normal(size=(900, 6)) * 0.12])
+    index = vectors.Index(x[::2], 64, 0.98)
+    own, probes = index.assigned(x)
+    i, j = np.nonzero(np.triu(x @ x.T >= 0.98, 1))
+    assert len(i) > 300 and len(set(own.tolist())) > 40
+    assert all((own[b] in probes[a]) if own[a] <= own[b] else (own[a] in probes[b]) for a, b in zip(i, j, strict=True))
+
+
 def test_segment_ids_are_the_tokenizers():
     import public_tokenizers
     from tokenizers import Tokenizer
@@ -210,6 +237,25 @@ def test_html_attributes_by_exact_name(attributes):
     assert html_text.main_text(f"<article><p>{text[0]} <a {attributes}>{text[1]}</a></p></article>") == " ".join(text)
 
 
+def test_html_quotes_and_broken_tags():
+    a, b, c = "First one, and so on, for a while at least.", "It isn't the last one, which is no shorter.", "Third one, with some more words to it."
+    for attributes in ("title=don't", "title=a\"b", "title = 'a>b' x", "title=\"a'>\"", "a=b'c' d", "title='it\"s'class=x", "=x", "/ /", "a='1'b=\"2\"c=3"):
+        assert html_text.main_text(f"<article><p {attributes}>{a}</p><p>{b}</p><p>{c}</p></article>").split("\n") == [a, b, c], attributes
+    assert html_text.main_text(f'<article><p>{a}</p><p title="never closed>{b}</p><p>{c}</p></article>').split("\n") == [a, b, c]
+    assert html_text.main_text(f"<article><p>{a}</p><!-- x > y --><p>{b}<!--></p><p>{c}</p><!-- open").split("\n") == [a, b, c]
+    assert html_text.main_text("<p>&#65;&#0000000000000000000065;&#" + "9" * 5000 + ";&#x" + "f" * 5000 + ";&#" + "0" * 5000 + "66;</p>") == "AA\ufffd\ufffdB"
+
+
+def test_html_takes_time_in_proportion():
+    import time
+
+    sides = ["<a " * 100_000, '<a b="' * 50_000, "<a b='c\" " * 50_000, "</script " * 50_000, "<script></script " * 50_000, "<!--" * 50_000, "<p x=" * 50_000, "<" * 200_000, "&#" * 100_000, "<li>" * 50_000, "<div>" * 50_000]
+    for side in [*sides, "".join(f"<p>{prose(i, 60)}</p>" for i in range(14_000))]:
+        began = time.perf_counter()
+        html_text.main_text(f"<article><p>One, two.</p>{side}")
+        assert time.perf_counter() - began < 8, side[:20]
+
+
 def test_html_hidden_and_self_closed():
     for attributes in ("hidden", "HIDDEN", "a=b hidden=''", "a = 'b'style='display: none'", 'class=x aria-hidden="true"', "/ID=comments", 'class="x\ncomments y"'):
         assert html_text.main_text(f"<article><p>One, two.</p><div {attributes}><p>Gone.</p></div></article>") == "One, two.", attributes

@@ -13,10 +13,11 @@ after the last seed the empty segments are keys too. So no pair is missed.
 
 Documents with equal sets are one node. Of the nodes that meet on a segment, first every one is compared with the least,
 its pivot: as many pairs as nodes. Where all are linked then, nothing is left to do. Where a pivot has met nodes of
-several components, these nodes are dealt to blocks, and each pair of blocks goes to a task with the nodes' whole sets.
-There pairs of different components are compared, unless their distances from the pivot (Jaccard distance is a metric)
-or wide parity sketches, of four bits or more a shingle, rule them out; a link joins its components at once, so that a
-task returns a forest of links, fewer than its nodes, and never pairs. The components of all links are the result.
+several components, these nodes are dealt to blocks, and each pair of blocks goes to a task. There pairs of different
+components are ruled out by their distances from the pivot (Jaccard distance is a metric) or by wide parity sketches, of
+four bits or more a shingle. Nodes of which a pair is left go to a task for the same pair of blocks again, with their
+whole sets, and are compared; a link joins its components at once, so that a task returns a forest of links. Tasks return
+nodes, or fewer links than nodes, and never pairs. The components of all links are the result.
 
 Defined results: null and empty texts and texts without words have no shingles, link with nothing and are their own
 component. Texts of fewer words than a shingle have the whole sequence as one. Repeated rows are copies of one
@@ -245,7 +246,7 @@ def _met(part: pa.Table) -> pa.Table:
 
 
 def _fetched(docs: DataFrame, wanted: DataFrame, words: int, named: dict) -> DataFrame:
-    """wanted(row, node) -> node, n, shingles array<long>, computed from the documents' texts again; only sets of that node count."""
+    """wanted(row, node) -> node, shingles array<long>, wide (parity bits), computed from the documents' texts again; only sets of that node count."""
     few = wanted.count() <= MOST_BROADCAST
     rows = docs.select("row", "text").join(F.broadcast(wanted) if few else wanted, "row")
 
@@ -254,9 +255,10 @@ def _fetched(docs: DataFrame, wanted: DataFrame, words: int, named: dict) -> Dat
             s = Sets(b.column(1), words)
             same = pa.array(s.fingerprints(**named)[0].view(np.int64) == b.column(2).to_numpy())
             shingles = pa.array([x.view(np.int64) for x in s.sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column(2), shingles, pa.array(s.sizes)], names=["node", "shingles", "n"]).filter(same)
+            wide = pa.array([wide_parity(x) for x in s.sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(2), shingles, wide], names=["node", "shingles", "wide"]).filter(same)
 
-    return rows.select("row", "text", "node").mapInArrow(run, "node long, shingles array<long>, n long").dropDuplicates(["node"])
+    return rows.select("row", "text", "node").mapInArrow(run, "node long, shingles array<long>, wide binary").dropDuplicates(["node"])
 
 
 def _compared(pairs: DataFrame, bits: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -295,39 +297,65 @@ def _folded(wide: list[bytes]) -> np.ndarray:
     return np.array(rows).view(U64)
 
 
+class Nodes:
+    """A pivot's nodes of a block, or of two, with what rules pairs of them out."""
+
+    def __init__(self, part: pa.Table, wide: list[bytes], percent: int):
+        self.node, comp, self.far, self.n, block = (part.column(c).to_numpy() for c in ("node", "component", "far", "n", "block"))
+        self.comp = comp.copy()
+        self.i, self.j = part.column("i")[0].as_py(), part.column("j")[0].as_py()
+        self.left, self.right = np.flatnonzero(block == self.i), np.flatnonzero(block == self.j)
+        self.sketch, self.percent, self.reach = _folded(wide), percent, 1 - percent / 100 + 1e-9
+
+    def left_over(self) -> Iterator[tuple[int, np.ndarray]]:
+        """Each node of the first block, with those of the other (the likeliest first) that nothing rules out."""
+        n, far, percent = self.n, self.far, self.percent
+        for x in self.left.tolist():
+            y = self.right[self.right > x] if self.i == self.j else self.right
+            y = y[(self.comp[y] != self.comp[x]) & (np.maximum(n[y], n[x]) * percent <= np.minimum(n[y], n[x]) * 100)]
+            y = y[(far[y] >= 1) | (far[x] >= 1) | (np.abs(far[y] - far[x]) <= self.reach)]
+            if len(y):
+                least = np.bitwise_count(self.sketch[y] ^ self.sketch[x]).sum(1).astype(np.int64)
+                near = least * (100 + percent) <= (100 - percent) * (n[x] + n[y])
+                yield x, y[near][np.argsort(least[near], kind="stable")]
+
+
+_DEALT = "pivot long, i int, j int, block int, node long, component long, far double, n long"
+
+
+def _open(percent: int):
+    """The nodes of which a pair is left over."""
+
+    def run(part: pa.Table) -> pa.Table:
+        some = np.zeros(part.num_rows, bool)
+        for x, y in Nodes(part, part.column("wide").to_pylist(), percent).left_over():
+            some[x] |= len(y) > 0
+            some[y] = True
+        return part.drop_columns(["wide"]).filter(pa.array(some))
+
+    return run
+
+
 def _across(percent: int):
-    """A forest of the links that join components among a pivot's nodes (of one block, or of two).
+    """A forest of the links that join components.
 
     Whole sets are compared wherever nothing rules a pair out; a component that a link joins to another has its label
     from then on, so no more links leave than there are nodes, and fewer pairs are left to compare with each.
     """
-    reach = 1 - percent / 100 + 1e-9
 
     def run(part: pa.Table) -> pa.Table:
-        node, comp, far, n, block = (part.column(c).to_numpy() for c in ("node", "component", "far", "n", "block"))
-        comp = comp.copy()
-        i, j = part.column("i")[0].as_py(), part.column("j")[0].as_py()
         lists = part.column("shingles").combine_chunks()
         ends, flat = lists.offsets.to_numpy(), lists.values.to_numpy().view(U64)
         sets = [flat[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]  # sorted
-        sketch = _folded([wide_parity(x) for x in sets])
-        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
-        out: list[tuple[int, int]] = []
-        for x in left:
-            y = right[right > x] if i == j else right
-            y = y[(comp[y] != comp[x]) & (np.maximum(n[y], n[x]) * percent <= np.minimum(n[y], n[x]) * 100)]
-            y = y[(far[y] >= 1) | (far[x] >= 1) | (np.abs(far[y] - far[x]) <= reach)]
-            if not len(y):
-                continue
-            least = np.bitwise_count(sketch[y] ^ sketch[x]).sum(1).astype(np.int64)
-            near = least * (100 + percent) <= (100 - percent) * (n[x] + n[y])
-            y = y[near][np.argsort(least[near], kind="stable")]
+        nodes = Nodes(part, [wide_parity(x) for x in sets], percent)
+        comp, out = nodes.comp, []
+        for x, y in nodes.left_over():
             for k in y.tolist():
                 if comp[k] == comp[x]:  # joined meanwhile
                     continue
                 both = (sets[x][np.searchsorted(sets[x], sets[k]).clip(max=len(sets[x]) - 1)] == sets[k]).sum()
-                if both * 100 >= (n[x] + n[k] - both) * percent:
-                    out.append((node[x], node[k]))
+                if both * 100 >= (len(sets[x]) + len(sets[k]) - both) * percent:
+                    out.append((nodes.node[x], nodes.node[k]))
                     comp[comp == comp[k]] = comp[x]
         a, b = np.array(out, np.int64).reshape(-1, 2).T
         return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
@@ -336,7 +364,7 @@ def _across(percent: int):
 
 
 def _dealt(seen: DataFrame, whole: DataFrame, sets: DataFrame, block: int) -> DataFrame:
-    """Nodes of each pivot that has met several components, with their sets, in pairs of blocks.
+    """Nodes of each pivot that has met several components, with their sketches, in pairs of blocks.
 
     A block has about `block` nodes and 700 shingles a node at most on average. Salts keep a pivot's nodes in many tasks.
     """
@@ -346,11 +374,11 @@ def _dealt(seen: DataFrame, whole: DataFrame, sets: DataFrame, block: int) -> Da
     blocks = F.ceil(F.greatest(F.count(F.lit(1)) / block, F.sum("n") / (700 * block))).cast("int")
     sizes = member.groupBy("pivot").agg(blocks.alias("blocks"), F.min("component").alias("low"), F.max("component").alias("high"))
     sizes = sizes.filter("low <> high").select("pivot", "blocks", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    placed = member.select("*", salt).join(sizes, ["pivot", "salt"]).join(sets.select("node", "shingles"), "node")
+    placed = member.select("*", salt).join(sizes, ["pivot", "salt"]).join(sets.select("node", "wide"), "node")
     placed = placed.withColumn("block", F.pmod(F.xxhash64("node", F.lit(1)), "blocks").cast("int"))
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     placed = placed.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
-    return placed.select("pivot", "i", "j", "block", "node", "component", "far", "n", "shingles").groupBy("pivot", "i", "j")
+    return placed.select("pivot", "i", "j", "block", "node", "component", "far", "n", "wide")
 
 
 def grouped(docs: DataFrame, words: int = 4, percent: int = 85, block: int = 1500) -> DataFrame:
@@ -389,7 +417,10 @@ def represented(docs: DataFrame, words: int, percent: int, block: int = 1500, no
         seen = stored(_compared(first, nodes, sets, percent), "compared")
         whole = components(seen.filter("near").select("a", "b"))
         # a pair that met on a key is among the nodes of that key's pivot
-        forest = stored(_dealt(seen, whole, sets, block).applyInArrow(_across(percent), "a long, b long"), "across")
+        pair = ["pivot", "i", "j"]
+        left = stored(_dealt(seen, whole, sets, block).groupBy(*pair).applyInArrow(_open(percent), _DEALT), "open")
+        left = left.join(sets.select("node", "shingles"), "node").groupBy(*pair)
+        forest = stored(left.applyInArrow(_across(percent), "a long, b long"), "across")
         if forest.limit(1).count():
             ends = [whole.select(F.col("node").alias(x), F.col("component").alias(f"c{x}")) for x in "ab"]
             joined = forest.join(ends[0], "a", "left").join(ends[1], "b", "left")

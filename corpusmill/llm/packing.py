@@ -19,6 +19,7 @@ texts than a sequence go on in the next. Only doc_id and text are read.
 from __future__ import annotations
 
 import base64
+import json
 import zlib
 from array import array
 from collections.abc import Callable, Iterator
@@ -45,14 +46,16 @@ class SegmentEncoder:
     tokens is written out are left to the tokenizers library itself.
     """
 
-    def __init__(self, ranks_path: str | None = None, json_path: str | None = None, kept: int = 500_000):
+    def __init__(self, ranks_path: str | None = None, json_path: str | None = None, kept: int = 250_000):
         import public_tokenizers
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.json_path = json_path or public_tokenizers.path("byte_bpe_50k.json")
-        self.whole = Tokenizer.from_file(self.json_path)
-        self.added = [t.content for t in self.whole.get_added_tokens_decoder().values()]
+        self.json_path, self.whole = json_path or public_tokenizers.path("byte_bpe_50k.json"), None
+        with open(self.json_path, encoding="utf-8") as f:
+            head = f.read()
+        at = head.index("[", head.index('"added_tokens"'))
+        added = {t["content"]: t["id"] for t in json.JSONDecoder().raw_decode(head, at)[0]}
+        self.added = list(added)
 
         path = ranks_path or public_tokenizers.path("byte_bpe_50k.tiktoken")
         with open(path, "rb") as lines:
@@ -73,13 +76,17 @@ class SegmentEncoder:
                 return out
 
         self.segments = Kept()
-        self.ends_sentence = np.zeros(max(self.encoding.n_vocab, self.whole.get_vocab_size()) + 1, bool)
+        self.ends_sentence = np.zeros(max(self.encoding.n_vocab, *added.values(), 0) + 1, bool)
         for raw, i in ranks.items():
             self.ends_sentence[i] = raw.rstrip(b"\"')]")[-1:] in (b".", b"!", b"?", b"\n") if raw.strip(b"\"')]") else False
 
     def ids(self, text: str) -> bytes:
         """Little-endian 32-bit ids of a whole text."""
         if any(x in text for x in self.added):
+            if self.whole is None:  # few texts need it
+                from tokenizers import Tokenizer
+
+                self.whole = Tokenizer.from_file(self.json_path)
             return array("I", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
         if any(x in text for x in _ODD):
             return array("I", self.encoding._core_bpe.encode_ordinary(text)).tobytes()

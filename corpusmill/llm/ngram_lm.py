@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 from .common import MULT, U64, mix, stored, table
 
 END, START = b"\n", b"\t"  # no words: words hold no white space
+PRIOR = 200.0
 _CHUNK = "chunk long, ids binary, held binary, ends binary, words binary, tokens binary"
 
 
@@ -111,6 +112,20 @@ def _numbers(planes: bytes) -> np.ndarray:
     return low | high << np.uint32(16)
 
 
+def _counts(numbers: np.ndarray) -> bytes:
+    """Counts as planes of bytes, the lowest first, as many as the greatest needs; high ones are mostly zero and pack well."""
+    numbers = np.asarray(numbers, "<u8")
+    planes = -(-int(numbers.max(initial=0)).bit_length() // 8)
+    return numbers.view(np.uint8).reshape(-1, 8)[:, :planes].T.tobytes()
+
+
+def _counted(planes: bytes, n: int) -> np.ndarray:
+    out = np.zeros((n, 8), np.uint8)
+    if planes:
+        out[:, : len(planes) // n] = np.frombuffer(planes, np.uint8).reshape(-1, n).T
+    return out.view("<u8").reshape(-1).astype(np.int64)
+
+
 class Chunk:
     """A chunk with its n-gram keys: per order k, the key at each token of the n-gram that ends there (0: none)."""
 
@@ -164,7 +179,7 @@ def _asked(chunks: DataFrame, order: int, buckets: int) -> DataFrame:
                             out["chunk"].append(row["chunk"])
                             out["n"].append(k)
                             out["keys"].append(keys[mine].tobytes())
-                            out["counts"].append(own[mine].astype(np.uint32).tobytes())
+                            out["counts"].append(_counts(own[mine]))
                 yield pa.RecordBatch.from_arrays([pa.array(out["bucket"], pa.int32()), pa.array(out["chunk"], pa.int64()), pa.array(out["n"], pa.int32()), pa.array(out["keys"], pa.binary()), pa.array(out["counts"], pa.binary())], names=list(out))
 
     return chunks.mapInArrow(run, "bucket int, chunk long, n int, keys binary, counts binary")
@@ -174,6 +189,13 @@ def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
     return (mix(keys) % U64(buckets)).astype(np.int64)
 
 
+def _sums(index: np.ndarray, counts: np.ndarray, n: int) -> np.ndarray:
+    """Sum of the counts of each index; whole numbers throughout."""
+    out = np.zeros(n, np.int64)
+    np.add.at(out, index, counts)
+    return out
+
+
 def _answer(part: pa.Table) -> pa.Table:
     """All chunks' counts of a bucket's keys, in each chunk's own order; and the bucket's sums for the first order."""
     rows = part.to_pylist()
@@ -183,12 +205,12 @@ def _answer(part: pa.Table) -> pa.Table:
     for n in {r["n"] for r in rows}:
         mine = [i for i, r in enumerate(rows) if r["n"] == n]
         unique, index = np.unique(np.concatenate([keys[i] for i in mine]), return_inverse=True)
-        sums = np.bincount(index, np.concatenate([np.frombuffer(rows[i]["counts"], np.uint32) for i in mine])).astype(np.int64)
+        sums = _sums(index, np.concatenate([_counted(rows[i]["counts"], len(keys[i])) for i in mine]), len(unique))
         if n == 1:
             total, types = int(sums.sum()), int((sums > 0).sum())
         a = 0
         for i in mine:
-            out[i] = sums[index[a : a + len(keys[i])]].astype(np.uint32).tobytes()
+            out[i] = _counts(sums[index[a : a + len(keys[i])]])
             a += len(keys[i])
     return pa.table({"bucket": part.column("bucket"), "chunk": part.column("chunk"), "n": part.column("n"), "counts": pa.array(out, pa.binary()), "total": pa.array([total] + [0] * (len(rows) - 1), pa.int64()), "types": pa.array([types] + [0] * (len(rows) - 1), pa.int64())})
 
@@ -268,7 +290,7 @@ class Automaton:
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def scored(docs: DataFrame, held_out: Column, order: int = 2, prior: float = 200.0, chunk_bytes: int = 6 << 20, keys_a_bucket: int = 1 << 20) -> DataFrame:
+def scored(docs: DataFrame, held_out: Column, order: int = 2, prior: float = PRIOR, chunk_bytes: int = 6 << 20, keys_a_bucket: int = 1 << 20) -> DataFrame:
     """docs(doc_id, text) -> doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
     chunks = stored(_chunks(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(~held_out, F.lit(True)).alias("train"), "text"), chunk_bytes), "chunks")
@@ -288,7 +310,7 @@ def scored(docs: DataFrame, held_out: Column, order: int = 2, prior: float = 200
         parts = []
         replies: dict[int, list] = {}
         for r in sorted(right.to_pylist(), key=lambda r: (r["n"], r["bucket"])):
-            replies.setdefault(r["n"], []).append((r["bucket"], np.frombuffer(r["counts"], np.uint32)))
+            replies.setdefault(r["n"], []).append((r["bucket"], r["counts"]))
         for row in left.to_pylist():
             c = Chunk(row, order)
             counts = []
@@ -296,7 +318,8 @@ def scored(docs: DataFrame, held_out: Column, order: int = 2, prior: float = 200
                 place = _bucket(keys, buckets)
                 got = np.zeros(len(keys), np.int64)
                 if len(keys):
-                    got[np.argsort(place, kind="stable")] = np.concatenate([x for _, x in replies[k]])
+                    many = np.bincount(place, minlength=buckets).tolist()
+                    got[np.argsort(place, kind="stable")] = np.concatenate([_counted(x, many[i]) for i, x in replies[k]])
                 counts.append(got)
             machine = Automaton(c, counts, int(total), int(types), int(texts), prior)
             starts = np.concatenate([[0], c.ends[:-1]]).astype(np.int64)

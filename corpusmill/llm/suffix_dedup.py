@@ -1,22 +1,25 @@
 """Removal of repeated substrings: every byte covered by a `length`-byte string that also starts earlier.
 
-Strings are ranked by prefix doubling: the name of a string of 2 L bytes is made of the names of its halves, at offsets
-1, 2, 4, ... up to the threshold, and what is unique at a name drops out. Names are 64-bit hashes of pairs of names, so
-that they agree between tasks without a sort of every byte of the corpus; Spark sorts sampled positions only:
+Strings are ranked by prefix doubling. Places are ranked by the eight raw bytes that begin there, then by pairs of ranks
+at growing offsets (8, 16, 32, ...; the last pair overlaps, so that it is `length` bytes long): pairs are sorted, equal
+ones get one rank, and a place whose rank is unique drops out, so it takes no part in the next round. Ranks are exact.
+
+Places that cannot repeat never enter the rounds, and places that can only equal one another are sorted together:
 
 1. Of the K-byte names in each window of `length` bytes the least (leftmost if equal) is the window's anchor. Windows
    with equal bytes have equal anchors at equal places, so each window need only be compared with windows of anchors of
    the same name. An anchor stands for a run of window starts, about 35, and their bytes are its span.
-2. Anchors meet by name. Unique names drop out. Of anchors with equal spans, all but the first are repeats, whole.
-   First ones that meet others with a different span go on.
-3. Their spans are fetched, and the names of all `length`-byte windows in them sorted: all but the first of each are
-   repeats. Names that more than `hot` anchors share are resolved by an aggregation instead, which needs no group
-   in one place.
+2. Anchors meet by name. Unique names drop out. Of anchors with equal spans (48 bits of the name and a 64-bit hash of
+   the bytes), all but the first are repeats, whole. First ones that meet others with a different span go on.
+3. Their spans are fetched and dealt by name, and the places in them doubled up to `length`: of places of one rank all
+   but the first are repeats. Windows of names that more than `hot` anchors share are sorted by Spark as whole strings
+   instead, with partial minima, which needs no group in one place.
 4. Covered bytes are removed, in blocks of documents.
 
 Nothing but sizes reaches the driver. Order is by doc_id, then place in the text; rows with one id are ordered by a
 hash of the text, and rows equal in both count as one document (each is returned, neither is the other's repeat). A null
-id comes first. Null and empty texts and those below `length` bytes keep all bytes. Only doc_id and text are read.
+id comes first. Null and empty texts and those below `length` bytes keep all bytes. Only doc_id and text are read; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -166,15 +169,45 @@ def _spans(length: int):
 _PIECES = "doc_id long, mark long, start long, stop long"
 
 
-def _windows(part: pa.RecordBatch | pa.Table, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, place of the window in its text, name) of every window of the rows' spans."""
+def _windows(part: pa.RecordBatch | pa.Table, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes of the rows' spans, row of each window, its place in its text, its place in the bytes)."""
     ends, data = text_buffers(_as_text(part.column("span")))
-    (names,) = window_hashes(data, (length,))
     sizes = np.diff(ends)
     many = (sizes - length + 1).clip(0)
     row = np.repeat(np.arange(len(sizes)), many)
     inside = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-    return row, part.column("place").to_numpy()[row] + inside, names[ends[row] + inside]
+    return data, row, part.column("place").to_numpy()[row] + inside, ends[row] + inside
+
+
+def doubled(data: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
+    """Rank of the `length`-byte string at each start among all of them, -1 where no other start has its like."""
+    words = data.astype(U64)
+    for k in (1, 2, 4):
+        words = (words[:-k] << U64(8 * k)) | words[k:] if len(words) > k else words[:0]
+    offsets, size = [], 8  # of the pairs: 8, 16, 32, ..., and the rest
+    while size < length:
+        offsets.append(min(size, length - size))
+        size += offsets[-1]
+    wanted = [np.unique(starts)]  # places whose ranks a round needs, from the last round to the first
+    for step in reversed(offsets):
+        wanted.append(np.unique(np.concatenate([wanted[-1], wanted[-1] + step])))
+    rank = np.full(len(data), -1, np.int64)
+    at = wanted.pop()
+    rank[at] = _reranked(words[at])
+    del words
+    for step in offsets:
+        at = wanted.pop()
+        at = at[(rank[at] >= 0) & (rank[at + step] >= 0)]
+        got = _reranked((rank[at].astype(U64) << U64(32)) | rank[at + step].astype(U64))
+        rank = np.full(len(data), -1, np.int64)
+        rank[at] = got
+    return rank[starts]
+
+
+def _reranked(keys: np.ndarray) -> np.ndarray:
+    """Dense ranks of the keys by sorting, -1 for unique ones."""
+    _, rank, many = np.unique(keys, return_inverse=True, return_counts=True)
+    return np.where(many[rank] > 1, rank, -1)
 
 
 def _as_text(column) -> pa.Array:
@@ -200,14 +233,15 @@ def _resolved(length: int):
     """All but the first of equal windows among anchors whose names hash alike."""
 
     def run(part: pa.Table) -> pa.Table:
-        row, place, name = _windows(part, length)
+        data, row, place, at = _windows(part, length)
+        rank = doubled(data, at, length)
+        own = np.flatnonzero(rank >= 0)
+        rank, row, place = rank[own], row[own], place[own]
         ids, marks = part.column("doc_id").to_numpy()[row], part.column("mark").to_numpy()[row]
-        key = part.column("name").to_numpy()[row]
-        order = np.lexsort((place, marks, ids, name, key))
-        new = np.ones(len(order), bool)
-        k, w = key[order], name[order]
-        new[1:] = (k[1:] != k[:-1]) | (w[1:] != w[:-1])
-        repeats = order[~new]
+        order = np.lexsort((place, marks, ids, rank))
+        first = np.ones(len(order), bool)
+        first[1:] = rank[order][1:] != rank[order][:-1]
+        repeats = order[~first]
         return _pieces(ids[repeats], marks[repeats], place[repeats], length)
 
     return run
@@ -271,12 +305,17 @@ def without_repeats(docs: DataFrame, length: int = 100, block_bytes: int = 6 <<
 
         def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                row, place, name = _windows(b, length)
-                yield pa.RecordBatch.from_arrays([b.column(i).take(pa.array(row)) for i in (0, 1, 2)] + [pa.array(place), pa.array(name.view(np.int64))], names=["name", "doc_id", "mark", "start", "window"])
-
-        windows = stored(spans.join(frequent, "name", "left_semi").select("name", "doc_id", "mark", "place", "span").mapInArrow(opened, "name long, doc_id long, mark long, start long, window long"), "windows")
-        first = windows.groupBy("name", "window").agg(F.min(F.struct("doc_id", "mark", "start")).alias("least"), F.count(F.lit(1)).alias("many")).filter("many > 1")
-        repeats = windows.join(first, ["name", "window"]).filter(F.struct("doc_id", "mark", "start") != F.col("least"))
+                for i in range(0, b.num_rows, 256):
+                    few = b.slice(i, 256)
+                    data, row, place, at = _windows(few, length)
+                    raw = data.tobytes()
+                    windows = pa.array([raw[x : x + length] for x in at.tolist()], pa.binary())
+                    yield pa.RecordBatch.from_arrays([few.column(k).take(pa.array(row)) for k in (0, 1)] + [pa.array(place), windows], names=["doc_id", "mark", "start", "window"])
+
+        many = spans.join(frequent, "name", "left_semi").select("doc_id", "mark", "place", "span")
+        windows = many.mapInArrow(opened, "doc_id long, mark long, start long, window binary")
+        first = windows.groupBy("window").agg(F.min(F.struct("doc_id", "mark", "start")).alias("least"), F.count(F.lit(1)).alias("many")).filter("many > 1")
+        repeats = windows.join(first, "window").filter(F.struct("doc_id", "mark", "start") != F.col("least"))
         pieces = pieces.unionByName(repeats.select("doc_id", "mark", "start", (F.col("start") + length).alias("stop")))
     cut = pieces.select(block, "doc_id", "mark", "start", "stop").groupBy("block")
     return texts.groupBy("block").cogroup(cut).applyInArrow(_removed(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")

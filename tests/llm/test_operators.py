@@ -205,6 +205,31 @@ def test_suffixes(docs, length, hot):
     assert {r["doc_id"]: tuple(r)[1:] for r in got} == want
 
 
+@pytest.mark.parametrize("length", [40, 64, 100, 129])
+def test_doubling(length):
+    r = random.Random(length)
+    data = bytes(r.choice(b"ab") for _ in range(500)) * 2 + bytes(r.choice(b"abc") for _ in range(600)) + b"a" * 300
+    starts = np.array(sorted(r.sample(range(len(data) - length + 1), 900)))
+    rank = suffix_dedup.doubled(np.frombuffer(data, np.uint8), starts, length)
+    strings = [data[x : x + length] for x in starts.tolist()]
+    many = Counter(strings)
+    assert [x >= 0 for x in rank] == [many[x] > 1 for x in strings] and max(many.values()) > 1
+    ranks = {x: k for x, k in zip(strings, rank.tolist(), strict=True) if k >= 0}
+    assert len(set(ranks.values())) == len(ranks) and all(ranks[x] == k for x, k in zip(strings, rank.tolist(), strict=True) if k >= 0)
+
+
+def test_suffixes_of_long_texts_and_of_no_rows(spark):
+    """Repeats across the seams of tiles."""
+    body = prose(1, 60_000)
+    assert len(body) > suffix_dedup.TILE
+    rows = [(1, body, "x"), (2, prose(2, 40) + body[suffix_dedup.TILE - 150 : suffix_dedup.TILE + 150] + prose(3, 40), "y"), (3, body[5:], None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, mark string")
+    want = removed(rows, 100)
+    assert want[2][1] >= 300 and want[3][1] == len(body) - 5
+    assert {r["doc_id"]: tuple(r)[1:] for r in suffix_dedup.without_repeats(docs).collect()} == want
+    assert suffix_dedup.without_repeats(docs.limit(0)).count() == 0
+
+
 PAGE = """<html><head><title>T</title><style>p{}</style></head><body><header><a href=/>Home</a></header><nav><ul><li>Menu</ul></nav>
 <div class="cookie-notice"><p>We use cookies, please, accept, all of them, now.</p></div><div class=ad>Buy, buy, buy, this, now.</div>
 <article><h1>Title &amp; more</h1><p>One,   two,\nthree.<br>Four <b>five</b></p><script>var x="</p>";</script><!-- c --><ul><li>a<li>b</ul><aside>side</aside><p>Last &#233;.</article>

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import unicodedata
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,17 +28,37 @@ def blake2b_32(text: pd.Series) -> pd.Series:
 
 
 def lcs_length(a: list, b: list) -> int:
-    """Length of the longest common subsequence, by rows of the usual table."""
-    row = [0] * (len(b) + 1)
+    """Length of the longest common subsequence. A row of the usual table is one whole number, with a bit for each place of
+    b where the row does not rise, and is moved on by an addition."""
+    where: dict = {}
+    for j, y in enumerate(b):
+        where[y] = where.get(y, 0) | 1 << j
+    full = (1 << len(b)) - 1
+    flat = full
     for x in a:
-        left = corner = 0
-        for j, y in enumerate(b, 1):
-            up = row[j]
-            left = corner + 1 if x == y else max(up, left)
-            corner, row[j] = up, left
-    return row[-1]
+        hits = flat & where.get(x, 0)
+        flat = ((flat + hits) | (flat - hits)) & full
+    return len(b) - flat.bit_count()
 
 
 @F.pandas_udf(T.LongType())
 def lcs(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([0 if x is None or y is None else lcs_length(list(x), list(y)) for x, y in zip(a, b, strict=True)], dtype="int64")
+
+
+@F.pandas_udf(T.DoubleType())
+def weighted_exp(sums: pd.Series, counts: pd.Series) -> float:
+    """exp of a mean, from sums and counts of parts: a grouped aggregate."""
+    n = counts.sum()
+    return float(np.exp(sums.sum() / n)) if n else float("nan")
+
+
+@F.udtf(returnType="start bigint, words string")
+class WordWindows:
+    """Windows of `size` words, each `step` after the one before, until the end of the text is reached."""
+
+    def eval(self, text: str, size: int, step: int):
+        words = text.split(" ") if text else []
+        for start in range(0, len(words), step):
+            if not start or start + size - step < len(words):
+                yield start, " ".join(words[start : start + size])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -15,6 +17,9 @@ IMAGE_EXTENSIONS = ("jpg", "jpeg", "png", "gif", "webp", "svg", "pdf")
 BINARY_URL_EXTENSIONS = (".jpg", ".jpeg", ".png", ".gif", ".webp", ".svg", ".pdf", ".ico", ".bmp", ".tif", ".tiff")
 BINARY_HEADERS = ("JFIF", "Exif", "Photoshop", "XMP", "%PDF", "\x00\x00")
 SYMBOLS = "#…•|©®™"
+#: White space of Unicode, as a class that Java and RE2 read alike, without its brackets; and its characters.
+WHITE = r"\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+_WHITE_CHARS = "".join(map(chr, [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 TERMINALS = "।॥?!"
 
 
@@ -46,7 +51,7 @@ class Thresholds:
 
 def strip(c: Column) -> Column:
     """Without Unicode white space at either end."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.btrim(c, F.lit(_WHITE_CHARS))
 
 
 def remove_invisible(c: Column) -> Column:
@@ -118,13 +123,20 @@ def normalised_plain(c: Column) -> Column:
     return strip(collapse_space(blank_controls(remove_invisible(c))))
 
 
+def _parts(c: Column, separator: str) -> Column:
+    """Pieces of a stripped text; none of an empty one."""
+    return F.when(c == "", F.array().cast("array<string>")).otherwise(F.split(c, separator))
+
+
 def words(c: Column) -> Column:
-    return F.filter(F.split(c, r"[ \t\n\r\f\x0b]+"), lambda w: w != "")
+    """Runs of characters other than Unicode white space."""
+    return _parts(strip(c), f"[{WHITE}]+")
 
 
 def lines(c: Column) -> Column:
-    """Stripped lines that are not empty."""
-    return F.filter(F.transform(F.split(c, "\n"), strip), lambda x: x != "")
+    """Stripped lines that are not empty. No run of white space is tried from its middle."""
+    blank = f"[{WHITE}&&[^\\n]]"
+    return _parts(strip(c), f"(?<!{blank}){blank}*+\\n[{WHITE}]*+")
 
 
 def let(value: Column, body) -> Column:
@@ -132,14 +144,24 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def _runs(tokens: Column, n: int, of: Callable[[Column], Column], kind: str) -> Column:
+    """of(n tokens in a row) for every place; an empty array for shorter texts."""
+
+    def every(w: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.size(w) - (n - 1), F.lit(1)))
+        return F.when(F.size(w) >= n, F.transform(starts, lambda i: of(F.slice(w, i, F.lit(n))))).otherwise(F.array().cast(f"array<{kind}>"))
+
+    return let(tokens, every)
+
+
 def ngrams(tokens: Column, n: int) -> Column:
     """Word n-grams, each joined by a space; none for shorter texts."""
+    return _runs(tokens, n, lambda x: F.array_join(x, " "), "string")
 
-    def of(w: Column) -> Column:
-        starts = F.sequence(F.lit(1), F.greatest(F.size(w) - (n - 1), F.lit(1)))
-        return F.when(F.size(w) >= n, F.transform(starts, lambda i: F.array_join(F.slice(w, i, F.lit(n)), " "))).otherwise(F.array().cast("array<string>"))
 
-    return let(tokens, of)
+def hashed_ngrams(tokens: Column, n: int) -> Column:
+    """64-bit hashes of word n-grams, where only equality counts."""
+    return _runs(tokens, n, F.xxhash64, "bigint")
 
 
 def shingles(c: Column, k: int = 5, stride: int = 2) -> Column:
@@ -157,32 +179,41 @@ def repeated_fraction(items: Column) -> Column:
     return let(items, lambda x: F.when(F.size(x) > 0, 1 - F.size(F.array_distinct(x)) / F.size(x)).otherwise(F.lit(0.0)))
 
 
+def _count(c: Column, chars: str) -> Column:
+    """How many characters of a class there are: whole runs are cut out, and the length is compared."""
+    return F.length(c) - F.length(F.regexp_replace(c, f"{chars}+", ""))
+
+
 def script_ratio(c: Column, script: Script = LATIN) -> Column:
-    letters = F.regexp_count(c, F.lit(script.letters))
-    return F.coalesce(F.try_divide(F.regexp_count(c, F.lit(script.own)), letters), F.lit(0.0))
+    return F.coalesce(F.try_divide(_count(c, script.own), _count(c, script.letters)), F.lit(0.0))
 
 
-def mean_word_len(tokens: Column) -> Column:
-    total = F.aggregate(tokens, F.lit(0), lambda a, w: a + F.length(w))
-    return F.coalesce(F.try_divide(total, F.size(tokens)), F.lit(0.0))
+def mean_word_len(c: Column, tokens: Column) -> Column:
+    """Characters outside white space to a word."""
+    return F.coalesce(F.try_divide(F.length(F.translate(c, _WHITE_CHARS, "")), F.size(tokens)), F.lit(0.0))
 
 
-def terminal_fraction(c: Column, script: Script = LATIN) -> Column:
-    own = lines(c)
-    return F.coalesce(F.try_divide(F.size(F.filter(own, lambda x: F.lit(script.terminals).contains(F.right(x, F.lit(1))))), F.size(own)), F.lit(0.0))
+def terminal_fraction(c: Column, own: Column, script: Script = LATIN) -> Column:
+    """Share of lines, of those given, whose last character is a terminal."""
+    ends = F.regexp_count(c, F.lit(f"[{re.escape(script.terminals)}][{WHITE}&&[^\\n]]*+(?:\\n|\\z)"))
+    return F.coalesce(F.try_divide(ends, F.size(own)), F.lit(0.0))
 
 
 def symbol_ratio(c: Column, tokens: Column) -> Column:
     return F.when(F.size(tokens) > 0, (F.length(c) - F.length(F.translate(c, SYMBOLS, ""))) / F.size(tokens)).otherwise(F.lit(1.0))
 
 
-def repeated_line_fraction(c: Column) -> Column:
-    own = lines(c)
+def repeated_line_fraction(own: Column) -> Column:
     return F.when(F.size(own) < 2, F.lit(0.0)).otherwise(repeated_fraction(own))
 
 
 def repeated_ngram_fraction(tokens: Column, n: int = 5) -> Column:
-    return let(tokens, lambda w: F.when(F.size(w) < n + 1, F.lit(0.0)).otherwise(repeated_fraction(ngrams(w, n))))
+    return F.when(F.size(tokens) < n + 1, F.lit(0.0)).otherwise(repeated_fraction(hashed_ngrams(tokens, n)))
+
+
+def measures(c: Column, body: Callable[[Column, Column], Column]) -> Column:
+    """body(words, lines) of a text, with both worked out once a row."""
+    return let(F.struct(words(c).alias("w"), lines(c).alias("l")), lambda x: body(x["w"], x["l"]))
 
 
 def is_binary(c: Column, url: Column | None = None) -> Column:
@@ -197,20 +228,30 @@ def is_binary(c: Column, url: Column | None = None) -> Column:
 
 def reject_reason(c: Column, t: Thresholds = Thresholds(), script: Script = LATIN, url: Column | None = None) -> Column:
     """The first reason, in a fixed order, for which a text is rejected; null if it is kept."""
-    tokens = words(c)
-    length = mean_word_len(tokens)
+
+    def by_measures(w: Column, own: Column) -> Column:
+        length = mean_word_len(c, w)
+        return (
+            F.when((length < t.min_word_len) | (length > t.max_word_len), "bad_word_length")
+            .when(terminal_fraction(c, own, script) < t.min_terminal_frac, "no_sentence_terminals")
+            .when(symbol_ratio(c, w) > t.max_symbol_ratio, "symbol_heavy")
+            .when(repeated_line_fraction(own) > t.max_dup_lines, "duplicate_lines")
+            .when(repeated_ngram_fraction(w, t.ngram) > t.max_dup_ngrams, "duplicate_ngrams")
+        )
+
     return (
         F.when(is_binary(c, url), "image_or_binary_file")
         .when(F.length(c) < t.min_chars, "too_short")
         .when(script_ratio(c, script) < t.min_script_ratio, "low_script_ratio")
-        .when((length < t.min_word_len) | (length > t.max_word_len), "bad_word_length")
-        .when(terminal_fraction(c, script) < t.min_terminal_frac, "no_sentence_terminals")
-        .when(symbol_ratio(c, tokens) > t.max_symbol_ratio, "symbol_heavy")
-        .when(repeated_line_fraction(c) > t.max_dup_lines, "duplicate_lines")
-        .when(repeated_ngram_fraction(tokens, t.ngram) > t.max_dup_ngrams, "duplicate_ngrams")
+        .otherwise(measures(c, by_measures))
     )
 
 
+def iso_seconds(time: Column) -> Column:
+    """A time as ISO 8601 in UTC, to the second."""
+    return F.date_format(time, "yyyy-MM-dd'T'HH:mm:ss'+00:00'")
+
+
 def unit_hash(c: Column) -> Column:
     """A string's place in [0, 1) by 60 bits of its md5."""
     return F.conv(F.substring(F.md5(c), 1, 15), 16, 10).cast("double") / F.lit(float(2**60))
@@ -233,3 +274,15 @@ def entropy(counts: Column) -> Column:
     """Of an array of counts, in bits."""
     total = F.aggregate(counts, F.lit(0.0), lambda a, x: a + x)
     return F.aggregate(counts, F.lit(0.0), lambda a, x: a - x / total * F.log2(x / total))
+
+
+def run_lengths(items: Column) -> Column:
+    """How often each different item stands in an array, in the order of the items."""
+
+    def of(x: Column) -> Column:
+        places = F.sequence(F.lit(1), F.size(x))
+        starts = F.filter(places, lambda i: (i == 1) | (F.try_element_at(x, i) != F.try_element_at(x, F.greatest(i - 1, F.lit(1)))))
+        ends = lambda s: F.concat(F.slice(s, F.lit(2), F.size(s)), F.array(F.size(x) + 1))
+        return let(starts, lambda s: F.zip_with(s, ends(s), lambda a, b: b - a))
+
+    return let(F.array_sort(items), lambda x: F.when(F.size(x) > 0, of(x)).otherwise(F.array().cast("array<int>")))

@@ -41,33 +41,47 @@ def blocklist(docs: DataFrame, share: float = 0.01, least: int = 2) -> DataFrame
     return line_frequency(docs).join(sizes, "source").filter(F.col("df") >= F.greatest(F.lit(least), F.floor(F.col("n") * share))).select("source", "line", "df")
 
 
-def without_boilerplate(docs: DataFrame, blocked: DataFrame, most_lines: int = 100_000) -> DataFrame:
-    """docs(doc_id, source, text) with blocked lines of the own source removed; empty texts go.
+def without_boilerplate(docs: DataFrame, blocked: DataFrame, most_bytes: int = 1 << 20) -> DataFrame:
+    """docs(doc_id, source, text) with blocked lines of the own source removed, row by row; empty texts go.
 
-    While the blocklist is small (its size is checked) each source's lines go along as one broadcast array; beyond that,
-    lines are joined and texts put together again.
+    While the blocklist is small (its bytes are counted) each source's lines go along as one broadcast array, of which
+    only those that a text holds are looked up line by line; beyond that, lines are joined and texts put together again.
+    Rows that share a doc_id stay apart either way.
     """
-    if blocked.limit(most_lines + 1).count() <= most_lines:
+    if (blocked.agg(F.sum(F.octet_length("line") + 16)).first()[0] or 0) <= most_bytes:
         lists = blocked.groupBy("source").agg(F.collect_set("line").alias("blocked"))
+        none = F.array().cast("array<string>")
+
+        def rest(raw: Column) -> Column:
+            own = F.array_intersect(F.transform(raw, X.strip), F.coalesce("blocked", none))
+            return X.let(own, lambda met: F.when(F.size(met) == 0, raw).otherwise(F.filter(raw, lambda line: ~F.array_contains(met, X.strip(line)))))
+
         joined = docs.join(F.broadcast(lists), "source", "left")
-        kept = F.filter(F.split("text", "\n"), lambda line: ~F.array_contains(F.coalesce("blocked", F.array().cast("array<string>")), X.strip(line)))
-        return joined.select("doc_id", "source", F.array_join(kept, "\n").alias("text")).filter("text <> ''")
-    lines = docs.select("doc_id", "source", F.posexplode(F.split("text", "\n")).alias("place", "raw")).withColumn("line", X.strip(F.col("raw")))
-    kept = lines.join(blocked.select("source", "line"), ["source", "line"], "left_anti")
+        return joined.select("doc_id", "source", F.array_join(X.let(F.split("text", "\n"), rest), "\n").alias("text")).filter("text <> ''")
+    numbered = docs.select(F.monotonically_increasing_id().alias("_row"), "doc_id", "source", "text")  # before lines are rows
+    lines = numbered.select("_row", "doc_id", "source", F.posexplode(F.split("text", "\n")).alias("place", "raw"))
+    kept = lines.withColumn("line", X.strip(F.col("raw"))).join(blocked.select("source", "line"), ["source", "line"], "left_anti")
     whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "raw"))), lambda x: x["raw"]), "\n")
-    return kept.groupBy("doc_id", "source").agg(whole.alias("text")).filter("text <> ''")
+    return kept.groupBy("_row", "doc_id", "source").agg(whole.alias("text")).drop("_row").filter("text <> ''")
 
 
-def exact_first(docs: DataFrame, key: str, order: list[str | Column]) -> DataFrame:
-    """The first row of each key in a given order. A partial minimum is shuffled, not whole groups."""
-    rank = F.struct(*[F.col(c) if isinstance(c, str) else c for c in order])
-    first = docs.groupBy(key).agg(F.min(rank).alias("_first"))
-    return docs.withColumn("_rank", rank).join(first, key).filter(F.col("_rank") == F.col("_first")).drop("_rank", "_first")
+def exact_first(docs: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """The first row of each key (null is a key like others) in a given order; of rows equal in it, one.
+
+    One aggregation with partial minima, so a hot key is no hot task. All columns go through it: leave texts out and
+    fetch them afterwards.
+    """
+    rest = [c for c in docs.columns if c != key]
+    return docs.groupBy(key).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_first")).select(*(F.col(f"_first.{c}") if c != key else F.col(c) for c in docs.columns))
 
 
 def signatures(docs: DataFrame, id_col: str = "doc_id", seeds: int = PERMUTATIONS) -> DataFrame:
-    """id, sig: MinHash over character shingles, as aggregates of affine hashes mod 2^31 - 1 of 31-bit shingle hashes."""
-    hashed = docs.select(id_col, F.explode(X.shingles(F.col("text"))).alias("s")).select(id_col, (F.conv(F.substring(F.md5("s"), 1, 8), 16, 10).cast("long") % PRIME).alias("h")).distinct()
+    """id, sig: MinHash over character shingles, as aggregates of affine hashes mod 2^31 - 1 of 31-bit shingle hashes.
+
+    A document's shingles are exploded and aggregated in one task; one row a document is shuffled.
+    """
+    shingle = F.explode(X.shingles(F.col("text"))).alias("s")
+    hashed = docs.select(id_col, shingle).select(id_col, (F.conv(F.substring(F.md5("s"), 1, 8), 16, 10).cast("long") % PRIME).alias("h"))
     mins = [F.min((F.col("h") * a + b) % PRIME).alias(f"m{i}") for i, (a, b) in enumerate(affine(seeds))]
     return hashed.groupBy(id_col).agg(*mins).select(id_col, F.array(*(f"m{i}" for i in range(seeds))).alias("sig"))
 
@@ -117,6 +131,28 @@ def cross_collisions(a: DataFrame, b: DataFrame, id_col: str = "doc_id") -> Data
     return left.withColumnRenamed(id_col, "id_a").join(right.withColumnRenamed(id_col, "id_b"), ["band", "key"]).select("id_a", "id_b").distinct()
 
 
+def cross_met(a: DataFrame, b: DataFrame, id_col: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+    """Ids of either corpus that share a band key with the other: keys are met, never pairs."""
+    left, right = banded(signatures(a, id_col), id_col), banded(signatures(b, id_col), id_col)
+    met = lambda x, y: x.join(y.select("band", "key").distinct(), ["band", "key"], "left_semi").select(id_col).distinct()
+    return met(left, right), met(right, left)
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, n: int, most_broadcast: int = 4_000_000) -> DataFrame:
+    """docs(doc_id, text), benchmark(item_id, text) -> item_id, doc_id, shared: how many different n-grams both hold.
+
+    64-bit hashes of n-grams meet first: those of the benchmark are counted and broadcast up to `most_broadcast`. Whole
+    n-grams of the few documents that hold one are compared then, so hashes only rule out.
+    """
+    hashed = lambda df, key: df.select(key, F.explode(F.array_distinct(X.hashed_ngrams(X.words(F.col("text")), n))).alias("h"))
+    wanted = hashed(benchmark, "item_id").select("h").distinct()
+    wanted = F.broadcast(wanted) if wanted.limit(most_broadcast + 1).count() <= most_broadcast else wanted
+    met = hashed(docs, "doc_id").join(wanted, "h", "left_semi").select("doc_id").distinct()
+    grams = lambda df, key: df.select(key, F.explode(F.array_distinct(X.ngrams(X.words(F.col("text")), n))).alias("g"))
+    both = grams(docs.join(met, "doc_id", "left_semi"), "doc_id").distinct().join(grams(benchmark, "item_id").distinct(), "g")
+    return both.groupBy("item_id", "doc_id").agg(F.count(F.lit(1)).alias("shared"))
+
+
 def splits(docs: DataFrame, val: float = 0.1, test: float = 0.1) -> DataFrame:
     """docs with group and split; documents with one group key never part."""
     url = F.col("url") if "url" in docs.columns else F.lit(None).cast("string")

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 NAMES = "Asha Bina Chand Dev Esha Gita Hari Indra Jaya Kiran Lata Mohan Nita Om Priya Ravi Sita Tara Uma Vijay Yash Zoya".split()
@@ -126,8 +126,13 @@ def probe_summary(pairs: DataFrame) -> DataFrame:
     return pairs.agg(F.count(F.lit(1)).alias("n"), rate(ok).alias("original"), rate(ok2).alias("edited"), rate(ok == ok2).alias("consistent"))
 
 
-def quotas(n: int, weights: dict[str, float]) -> dict[str, int]:
-    return {k: round(n * w) for k, w in weights.items()}
+def with_quotas(items: DataFrame, quotas: dict[str, int]) -> DataFrame:
+    """The first items of each category up to its quota, of equal texts the first."""
+    different = items.groupBy("category", "text").agg(F.min("item").alias("item"))
+    rank = F.row_number().over(Window.partitionBy("category").orderBy("item"))
+    most = F.create_map(*(F.lit(x) for kv in quotas.items() for x in kv))[F.col("category")]
+    chosen = different.withColumn("_r", rank).filter(F.col("_r") <= most).select("item")
+    return items.join(chosen, "item", "left_semi")
 
 
 def disjoint(a: DataFrame, b: DataFrame, key: str) -> DataFrame:

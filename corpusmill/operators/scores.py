@@ -69,14 +69,12 @@ def chrf(pairs: DataFrame, chars: int = 6, words: int = 2, beta: float = 2.0, **
 
 def sliced_accuracy(rows: DataFrame, slices: list[str], right: Column) -> DataFrame:
     """slice, level, n, correct, accuracy: overall and by each column, in one pass with grouping sets."""
-    marked = rows.withColumn("_right", right.cast("int"))
-    sets = ", ".join(["()", *(f"({c})" for c in slices)])
-    marked.createOrReplaceTempView("_sliced")
-    name = " ".join(f"WHEN grouping({c}) = 0 THEN '{c}'" for c in slices)
-    level = ", ".join(f"CAST({c} AS STRING)" for c in slices)
-    return rows.sparkSession.sql(
-        f"SELECT CASE {name} ELSE 'overall' END AS slice, coalesce({level}, 'all') AS level, count(*) AS n, sum(_right) AS correct, round(sum(_right) / count(*), 4) AS accuracy FROM _sliced GROUP BY GROUPING SETS ({sets})"
-    )
+    marked = rows.select(*slices, right.cast("int").alias("_right"))
+    by = marked.groupingSets([[], *([c] for c in slices)], *slices)
+    sums = by.agg(*(F.grouping(c).alias(f"_g{i}") for i, c in enumerate(slices)), F.count(F.lit(1)).alias("n"), F.sum("_right").alias("correct"))
+    name = F.coalesce(*(F.when(F.col(f"_g{i}") == 0, c) for i, c in enumerate(slices)), F.lit("overall"))
+    level = F.coalesce(*(F.col(c).cast("string") for c in slices), F.lit("all"))
+    return sums.select(name.alias("slice"), level.alias("level"), "n", "correct", F.round(F.col("correct") / F.col("n"), 4).alias("accuracy"))
 
 
 def confusion(rows: DataFrame, gold: str, predicted: str) -> DataFrame:

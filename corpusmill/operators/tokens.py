@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as X
+from ..streaming.jobs import stored
+
 #: Stands between symbols while pairs are merged; no symbol holds it.
 SEP = "\x1f"
 BYTE_PIECE = "^<0x[0-9A-F]{2}>$"
@@ -31,16 +33,39 @@ def encoded(docs: DataFrame, model_path: str, eos: int | None = 2, id_col: str =
     return docs.select(id_col, "text").mapInPandas(run, f"{id_col} {docs.schema[id_col].dataType.simpleString()}, ids array<int>, pieces array<string>")
 
 
+def numbered(rows: DataFrame, order: list[Column | str], name: str, running: dict[str, str] | None = None) -> tuple[DataFrame, int, dict[str, int]]:
+    """rows with their place in a total order, from 1, and running sums of columns; also the number of rows and the sums.
+
+    Rows are sorted by ranges; the driver adds up one count (and sum) a range, and each row's place in its range moves by
+    what is before it. No task sees all rows.
+    """
+    running = running or {}
+    ids = F.monotonically_increasing_id()  # the partition's number, then the row's in it
+    placed = stored(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_m", ids)).withColumn("_p", F.shiftright("_m", 33))
+    sums = placed.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"), *(F.sum(c).alias(f"_s_{k}") for k, c in running.items())).orderBy("_p").collect()
+    columns, before, at = ["_n", *(f"_s_{k}" for k in running)], [], [0] * (1 + len(running))
+    for r in sums:
+        before.append((r["_p"], *at))
+        at = [x + r[c] for x, c in zip(at, columns, strict=True)]
+    starts = rows.sparkSession.createDataFrame(before, "_p long" + "".join(f", {c} long" for c in columns))
+    out = placed.join(F.broadcast(starts), "_p")  # a row a range
+    own = Window.partitionBy("_p").orderBy("_m").rowsBetween(Window.unboundedPreceding, 0)
+    places = [(F.col("_n") + F.col("_m").bitwiseAND((1 << 33) - 1) + 1).alias(name)]
+    places += [(F.col(f"_s_{k}") + F.sum(c).over(own)).alias(k) for k, c in running.items()]
+    return out.select(*rows.columns, *places), at[0], dict(zip(running, at[1:], strict=True))
+
+
 def token_frequency(tokens: DataFrame, token: str = "token") -> DataFrame:
-    """token, count, share, rank; equal counts by token. Counts are aggregated first, so the window sees types only."""
+    """token, count, share, rank, running; equal counts by token. Counts are aggregated first, types are ranked by ranges."""
     counts = tokens.groupBy(token).agg(F.count(F.lit(1)).alias("count"))
-    return counts.select(token, "count", (F.col("count") / F.sum("count").over(Window.partitionBy())).alias("share"), F.row_number().over(Window.orderBy(F.desc("count"), F.asc(token))).alias("rank"))
+    ranked, _, sums = numbered(counts, [F.desc("count"), F.asc(token)], "rank", {"running": "count"})
+    return ranked.select(token, "count", (F.col("count") / F.lit(max(1, sums["running"]))).alias("share"), "rank", "running")
 
 
 def covering(frequency: DataFrame, share: float = 0.95) -> DataFrame:
     """n: how many of the most frequent types make up a share of all tokens."""
-    running = F.sum("count").over(Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, 0))
-    return frequency.withColumn("running", running).withColumn("total", F.sum("count").over(Window.partitionBy())).filter(F.col("running") >= share * F.col("total")).agg(F.min("rank").cast("long").alias("n"))
+    total = frequency.agg(F.max("running")).first()[0] or 0
+    return frequency.filter(F.col("running") >= share * total).agg(F.min("rank").cast("long").alias("n"))
 
 
 def tokenizer_report(encoded_docs: DataFrame, docs: DataFrame, unk: str = "<unk>", id_col: str = "doc_id") -> DataFrame:
@@ -80,24 +105,21 @@ def prompt_masked(rows: DataFrame, max_len: int, pad: int = 0, ignore: int = -10
     return kept.withColumn("input", inputs).withColumn("labels", labels).drop("_w")
 
 
-def spanned(counts: Column) -> Column:
-    total = F.aggregate(counts, F.lit(0.0), lambda a, x: a + x)
-    return F.aggregate(counts, F.lit(0.0), lambda a, x: a - x / total * F.log2(x / total))
-
-
-def pseudo_perplexity(tokens: DataFrame, id_col: str = "doc_id", words: str = "words") -> DataFrame:
-    """tokens(id, token, words) -> id, ppl: 2^entropy times tokens per word; 9999 for a single token."""
-    counts = tokens.groupBy(id_col, "token").agg(F.count(F.lit(1)).alias("c"), F.max(words).alias("w"))
-    n = counts.groupBy(id_col).agg(F.sum("c").alias("n"), F.max("w").alias("w"), F.sum(F.col("c") * F.log2("c")).alias("s"))
-    entropy = F.log2("n") - F.col("s") / F.col("n")
-    return n.select(id_col, F.when(F.col("n") <= 1, F.lit(9999.0)).otherwise(F.pow(F.lit(2.0), entropy) * F.col("n") / F.greatest("w", F.lit(1))).alias("ppl"))
+def pseudo_perplexity(docs: DataFrame, tokens: str, id_col: str = "doc_id", words: str | None = None) -> DataFrame:
+    """docs(id, tokens: array) -> id, ppl: 2^entropy of the tokens, times tokens per word (where words has their number);
+    9999 for a single token, nothing for none. Counted in the row, nothing is shuffled."""
+    n = F.size(tokens)
+    spread = F.aggregate(X.run_lengths(F.col(tokens)), F.lit(0.0), lambda a, c: a + c * F.log2(c.cast("double")))
+    scale = n / F.greatest(F.col(words), F.lit(1)) if words else F.lit(1.0)
+    ppl = F.when(n <= 1, F.lit(9999.0)).otherwise(F.pow(F.lit(2.0), F.log2(n.cast("double")) - spread / n) * scale)
+    return docs.filter(n > 0).select(id_col, ppl.alias("ppl"))
 
 
 def index_percentiles(scores: DataFrame, value: str, shares: tuple[float, ...]) -> DataFrame:
     """p, value: the value at place floor(n * p) of the sorted rows; nothing between two rows is made up."""
-    ranked = scores.select(value, (F.row_number().over(Window.orderBy(value)) - 1).alias("r"), F.count(F.lit(1)).over(Window.partitionBy()).alias("n"))
-    wanted = scores.sparkSession.createDataFrame([(p,) for p in shares], "p double")
-    return ranked.join(F.broadcast(wanted), F.col("r") == F.least(F.floor(F.col("n") * F.col("p")), F.col("n") - 1)).select("p", value)
+    ranked, n, _ = numbered(scores.select(value), [value], "r")
+    wanted = scores.sparkSession.createDataFrame([(p, min(math.floor(n * p), n - 1) + 1) for p in shares], "p double, r long")
+    return ranked.join(F.broadcast(wanted), "r").select("p", value)
 
 
 def decoded_transform(logits: DataFrame, temperature: float = 1.0, top_k: int | None = None, top_p: float | None = None, penalty: float = 1.0) -> DataFrame:
@@ -171,7 +193,3 @@ def byte_pairs(word_counts: DataFrame, merges: int) -> list[tuple[str, str]]:
         if k % 20 == 19:
             words = words.checkpoint()
     return out
-
-
-def union_all(frames: list[DataFrame]) -> DataFrame:
-    return reduce(lambda a, b: a.unionByName(b), frames)

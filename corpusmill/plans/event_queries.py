@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions import text as X
+from ..functions.python_udfs import WordWindows, weighted_exp
 from ..registry import query
 from ..sources.tables import table as t
 from ..streaming import jobs
+from .text_queries import _WORDS
 
 
 @query("events_json", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
@@ -77,3 +80,28 @@ def stream_static_join(spark, d):
 @query("stream_frontier", "SELECT user_id, CASE WHEN bool_or(event_type = 'purchase') THEN 'done' WHEN count(*) > 3 THEN 'claimed' ELSE 'pending' END AS status, count(*) AS seen FROM events GROUP BY user_id")
 def stream_frontier(spark, d):
     return jobs.frontier(spark, d)
+
+
+@query("stream_followed", "SELECT c.event_id AS click, p.event_id AS purchase FROM events c JOIN events p ON c.user_id = p.user_id AND p.ts >= c.ts AND p.ts <= c.ts + INTERVAL 1 HOUR WHERE c.event_type = 'click' AND p.event_type = 'purchase'")
+def stream_followed(spark, d):
+    return jobs.followed(spark, d)
+
+
+@query("stream_late", "SELECT epoch(TIMESTAMP '2024-01-01 10:00:00')::BIGINT + h * 3600 AS start, 1::BIGINT AS n FROM (VALUES (0), (2), (4)) v(h)")
+def stream_late(spark, d):
+    return jobs.late(spark)
+
+
+@query("udaf_geometric_mean", "SELECT event_type, round(exp(avg(ln(1 + abs(value)))), 6) AS mean FROM events GROUP BY event_type")
+def udaf_geometric_mean(spark, d):
+    """A grouped aggregate over Arrow batches; what it is given was summed by hour first, so groups stay small."""
+    hourly = t(spark, d, "events").groupBy("event_type", F.date_trunc("hour", "ts").alias("hour")).agg(F.sum(F.log(1 + F.abs("value"))).alias("s"), F.count(F.lit(1)).alias("n"))
+    return hourly.groupBy("event_type").agg(F.round(weighted_exp("s", "n"), 6).alias("mean"))
+
+
+@query("udtf_windows", "SELECT doc_id, s::BIGINT AS start, array_to_string(w[s+1:s+8], ' ') AS words FROM (SELECT doc_id, w, unnest(range(0, len(w), 4)) AS s FROM (SELECT doc_id, " + _WORDS + " AS w FROM documents)) WHERE s = 0 OR s + 4 < len(w)")
+def udtf_windows(spark, d):
+    """A table function, joined laterally: windows of eight words, every four."""
+    docs = t(spark, d, "documents").select("doc_id", F.array_join(X.words(F.col("text")), " ").alias("text"))
+    windows = WordWindows(F.col("text").outer(), F.lit(8), F.lit(4))
+    return docs.lateralJoin(windows).select("doc_id", F.col("start"), F.col("words"))

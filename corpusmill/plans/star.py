@@ -18,9 +18,9 @@ def revenue():
     return F.sum((F.col("l_extendedprice") * (1 - F.col("l_discount"))).cast("decimal(18,4)")).cast("double")
 
 
-@query("star_filter_project", "SELECT l_orderkey, l_linenumber, l_quantity, l_shipdate FROM lineitem WHERE l_shipdate >= TIMESTAMP '1994-01-01' AND l_shipdate < TIMESTAMP '1995-01-01' AND l_discount BETWEEN 0.05 AND 0.07 AND l_quantity < 24")
+@query("star_filter_project", "SELECT l_orderkey, l_linenumber, l_quantity, l_shipdate FROM lineitem WHERE l_shipdate >= TIMESTAMP '1996-01-01' AND l_shipdate < TIMESTAMP '1997-01-01' AND l_discount BETWEEN 0.05 AND 0.07 AND l_quantity < 24")
 def filter_project(spark, d):
-    x = t(spark, d, "lineitem").filter((F.col("l_shipdate") >= D("1994-01-01")) & (F.col("l_shipdate") < D("1995-01-01")) & F.col("l_discount").between(0.05, 0.07) & (F.col("l_quantity") < 24))
+    x = t(spark, d, "lineitem").filter((F.col("l_shipdate") >= D("1996-01-01")) & (F.col("l_shipdate") < D("1997-01-01")) & F.col("l_discount").between(0.05, 0.07) & (F.col("l_quantity") < 24))
     return x.select("l_orderkey", "l_linenumber", "l_quantity", "l_shipdate")
 
 
@@ -62,10 +62,10 @@ for _kind, _sql in {"inner": "JOIN", "left": "LEFT JOIN", "right": "RIGHT JOIN",
 
     @query(
         f"star_join_{_kind}",
-        f"SELECT count(*) AS n, CAST(count(c_custkey) AS BIGINT) AS customers, CAST(count(o_orderkey) AS BIGINT) AS orders, CAST(coalesce(sum(o_orderkey % 97), 0) AS BIGINT) AS mark FROM customer {_sql} (SELECT * FROM orders WHERE o_orderstatus = 'F' AND o_orderkey % 3 = 0) o ON c_custkey = o_custkey AND c_acctbal > 0",
+        f"SELECT count(*) AS n, CAST(count(c_custkey) AS BIGINT) AS customers, CAST(count(o_orderkey) AS BIGINT) AS orders, CAST(coalesce(sum(o_orderkey % 97), 0) AS BIGINT) AS mark FROM customer {_sql} (SELECT * FROM orders WHERE o_orderstatus = 'F') o ON c_custkey = o_custkey AND c_acctbal > 0",
     )
     def join_kind(spark, d, how=_kind):
-        c, o = t(spark, d, "customer"), t(spark, d, "orders").filter("o_orderstatus = 'F' AND o_orderkey % 3 = 0")
+        c, o = t(spark, d, "customer"), t(spark, d, "orders").filter("o_orderstatus = 'F'")
         x = c.join(o, (c.c_custkey == o.o_custkey) & (c.c_acctbal > 0), how)
         return x.agg(F.count(F.lit(1)).alias("n"), F.count("c_custkey").alias("customers"), F.count("o_orderkey").alias("orders"), F.coalesce(F.sum(F.col("o_orderkey") % 97), F.lit(0)).alias("mark"))
 
@@ -75,9 +75,9 @@ def join_semi(spark, d):
     return t(spark, d, "customer").join(t(spark, d, "orders").filter("o_totalprice > 300000"), F.col("c_custkey") == F.col("o_custkey"), "left_semi").select("c_custkey")
 
 
-@query("star_join_anti", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("star_join_anti", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 300000)")
 def join_anti(spark, d):
-    return t(spark, d, "customer").join(t(spark, d, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+    return t(spark, d, "customer").join(t(spark, d, "orders").filter("o_totalprice > 300000"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
 
 
 @query("star_join_config_grid", "SELECT r_name, n_name, r_regionkey = n_regionkey AS own FROM region, nation")
@@ -217,16 +217,17 @@ for _name, _op, _f in (
     ("intersect_all", "INTERSECT ALL", lambda a, b: a.intersectAll(b)), ("except", "EXCEPT", lambda a, b: a.subtract(b)), ("except_all", "EXCEPT ALL", lambda a, b: a.exceptAll(b)),
 ):
 
-    @query(f"star_{_name}", f"SELECT c_nationkey AS k FROM customer WHERE c_acctbal > 5000 {_op} SELECT s_nationkey AS k FROM supplier")
+    @query(f"star_{_name}", f"SELECT o_custkey AS k FROM orders WHERE o_totalprice > 250000 {_op} SELECT c_custkey AS k FROM customer WHERE c_acctbal > 5000")
     def set_operation(spark, d, f=_f):
-        return f(t(spark, d, "customer").filter("c_acctbal > 5000").select(F.col("c_nationkey").alias("k")), t(spark, d, "supplier").select(F.col("s_nationkey").alias("k")))
+        orders = t(spark, d, "orders").filter("o_totalprice > 250000").select(F.col("o_custkey").alias("k"))
+        return f(orders, t(spark, d, "customer").filter("c_acctbal > 5000").select(F.col("c_custkey").alias("k")))
 
 
-@query("star_scalar_subquery", "SELECT p_partkey, p_retailprice FROM part WHERE p_retailprice > (SELECT avg(p_retailprice) * 1.3 FROM part)")
+@query("star_scalar_subquery", "SELECT p_partkey, p_retailprice FROM part WHERE p_retailprice > (SELECT avg(p_retailprice) FROM part)")
 def scalar_subquery(spark, d):
-    p = t(spark, d, "part")
-    p.createOrReplaceTempView("_part")
-    return spark.sql("SELECT p_partkey, p_retailprice FROM _part WHERE p_retailprice > (SELECT avg(p_retailprice) * 1.3 FROM _part)")
+    p = t(spark, d, "part").select("p_partkey", "p_retailprice")
+    mean = p.agg(F.avg("p_retailprice").alias("mean"))  # one row
+    return p.join(F.broadcast(mean), F.col("p_retailprice") > F.col("mean")).drop("mean")
 
 
 @query("star_having", "SELECT l_orderkey, round(sum(l_quantity), 2) AS quantity FROM lineitem GROUP BY l_orderkey HAVING sum(l_quantity) > 250")

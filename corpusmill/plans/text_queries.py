@@ -26,8 +26,9 @@ def _quoted(s: str) -> str:
 
 #: documents and the literal rows, in SQL.
 _ALL = "(SELECT doc_id, text FROM documents UNION ALL " + " UNION ALL ".join(f"SELECT {-k} AS doc_id, {_quoted(v)} AS text" for k, v in FIXTURES.items()) + ") a"
-_WORDS = r"list_filter(regexp_split_to_array(text, '[ \t\n\r\f\x0b]+'), lambda w: w <> '')"
-_STRIP = r"regexp_replace(regexp_replace({}, '^[ \t\n\r\f\x0b]+', ''), '[ \t\n\r\f\x0b]+$', '')"
+_W = X.WHITE.replace("{", "{{").replace("}", "}}")  # of a text that is formatted once
+_WORDS = f"list_filter(regexp_split_to_array(text, '[{X.WHITE}]+'), lambda w: w <> '')"
+_STRIP = f"regexp_replace(regexp_replace({{}}, '^[{_W}]+', ''), '[{_W}]+$', '')"
 _LINES = r"list_filter(list_transform(string_split(text, chr(10)), lambda x: " + _STRIP.format("x") + "), lambda x: x <> '')"
 _TYPE = r"CASE WHEN CAST(regexp_extract(source, '([0-9]+)$', 1) AS INT) % 5 = 0 THEN 'manual' ELSE 'downloaded' END"
 
@@ -81,12 +82,16 @@ WHEN symbols > 0.1 THEN 'symbol_heavy' WHEN dup_lines > 0.3 THEN 'duplicate_line
 @query("document_measures", f"SELECT doc_id, chars, bytes, words, round(word_len, 6) AS word_len, round(terminal, 6) AS terminal, round(symbols, 6) AS symbols, round(dup_lines, 6) AS dup_lines, round(dup_grams, 6) AS dup_grams, round(script, 6) AS script FROM ({_MEASURED})")
 def document_measures(spark, d):
     c = F.col("text")
-    w = X.words(c)
-    r = lambda x, name: F.round(x.cast("double"), 6).alias(name)
-    return t(spark, d, "documents").select(
-        "doc_id", F.length(c).cast("long").alias("chars"), F.octet_length(c).cast("long").alias("bytes"), F.size(w).cast("long").alias("words"), r(X.mean_word_len(w), "word_len"), r(X.terminal_fraction(c), "terminal"),
-        r(X.symbol_ratio(c, w), "symbols"), r(X.repeated_line_fraction(c), "dup_lines"), r(X.repeated_ngram_fraction(w), "dup_grams"), r(X.script_ratio(c), "script"),
-    )
+
+    def of(w, own):
+        values = {
+            "word_len": X.mean_word_len(c, w), "terminal": X.terminal_fraction(c, own), "symbols": X.symbol_ratio(c, w),
+            "dup_lines": X.repeated_line_fraction(own), "dup_grams": X.repeated_ngram_fraction(w), "script": X.script_ratio(c),
+        }
+        return F.struct(F.size(w).cast("long").alias("words"), *(F.round(x.cast("double"), 6).alias(k) for k, x in values.items()))
+
+    measured = t(spark, d, "documents").select("doc_id", F.length(c).cast("long").alias("chars"), F.octet_length(c).cast("long").alias("bytes"), X.measures(c, of).alias("m"))
+    return measured.select("doc_id", "chars", "bytes", "m.*")
 
 
 @query("reject_reason", f"SELECT doc_id, {_REASON} AS reason FROM ({_MEASURED})")
@@ -152,9 +157,9 @@ _PAIRS = f"WITH sig AS MATERIALIZED (SELECT doc_id, {_MINS} FROM ({_HASHED}) GRO
 
 
 def _unique(spark, d) -> DataFrame:
-    """Exact copies go first, so that no band key is hot for them."""
-    docs = t(spark, d, "documents")
-    return C.exact_first(docs.select("doc_id", "text", "source", F.md5("text").alias("h")), "h", ["doc_id"])
+    """Exact copies go first, so that no band key is hot for them. Ids meet, and texts are fetched by them."""
+    docs = t(spark, d, "documents").select("doc_id", "text", "source", F.md5(F.coalesce("text", F.lit(""))).alias("h"))
+    return docs.join(C.exact_first(docs.select("doc_id", "h"), "h", ["doc_id"]), ["doc_id", "h"], "left_semi")
 
 
 @query("shingle_counts", f"SELECT doc_id, count(*) AS n FROM ({_SHINGLES}) GROUP BY doc_id")
@@ -192,10 +197,34 @@ def cross_corpus_drop(spark, d):
     return docs.join(both, "h", "left_semi").select("doc_id")
 
 
-@query("cross_collision_pairs")
+_SIDES = "sides AS (SELECT doc_id, source, CAST(regexp_extract(source, '([0-9]+)$', 1) AS INT) % 2 AS side FROM documents)"
+_CROSS = _PAIRS[: _PAIRS.index(" SELECT DISTINCT x.doc_id")].replace("WITH sig", f"WITH {_SIDES}, sig")
+
+
+@query("cross_corpus_near_drop", f"{_CROSS} SELECT DISTINCT x.doc_id FROM keys x JOIN sides a ON a.doc_id = x.doc_id JOIN keys y ON x.band = y.band AND x.key = y.key JOIN sides b ON b.doc_id = y.doc_id WHERE a.side <> b.side")
+def cross_corpus_near_drop(spark, d):
+    """Documents of either half of the sources that share a band with one of the other: what a two-sided drop takes out."""
+    docs = _cut(t(spark, d, "documents").withColumn("side", _side()).select("doc_id", "text", "side"))
+    a, b = C.cross_met(docs.filter("side = 0"), docs.filter("side = 1"))
+    return a.unionByName(b)
+
+
+@query("cross_corpus_kept", f"{_CROSS}, bad AS (SELECT DISTINCT x.doc_id FROM keys x JOIN sides a ON a.doc_id = x.doc_id JOIN keys y ON x.band = y.band AND x.key = y.key JOIN sides b ON b.doc_id = y.doc_id WHERE a.side <> b.side) SELECT side, count(*) AS docs FROM sides WHERE doc_id NOT IN (SELECT doc_id FROM bad) GROUP BY side")
+def cross_corpus_kept(spark, d):
+    """What is left of either half after the drop."""
+    docs = t(spark, d, "documents").select("doc_id", _side().alias("side"))
+    return docs.join(cross_corpus_near_drop(spark, d), "doc_id", "left_anti").groupBy("side").agg(F.count(F.lit(1)).alias("docs"))
+
+
+def _side():
+    return F.regexp_extract("source", r"(\d+)$", 1).cast("int") % 2
+
+
+@query("cross_collision_pairs", f"""{_CROSS}, pairs AS (SELECT DISTINCT a.doc_id AS ida, b.doc_id AS idb, a.source AS sa, b.source AS sb FROM keys x JOIN sides a ON a.doc_id = x.doc_id AND a.side = 0 JOIN keys y ON x.band = y.band AND x.key = y.key JOIN sides b ON b.doc_id = y.doc_id AND b.side = 1)
+SELECT sa || ' <-> ' || sb AS pair, count(*) AS n FROM pairs GROUP BY ALL""")
 def cross_collision_pairs(spark, d):
     """Band collisions between two halves of the sources (source pairs and counts)."""
-    docs = _cut(t(spark, d, "documents").withColumn("side", F.regexp_extract("source", r"(\d+)$", 1).cast("int") % 2))
+    docs = _cut(t(spark, d, "documents").withColumn("side", _side()))
     a, b = docs.filter("side = 0"), docs.filter("side = 1")
     pairs = C.cross_collisions(a, b)
     named = pairs.join(a.select(F.col("doc_id").alias("id_a"), F.col("source").alias("source_a")), "id_a").join(b.select(F.col("doc_id").alias("id_b"), F.col("source").alias("source_b")), "id_b")
@@ -209,8 +238,7 @@ b AS (SELECT DISTINCT item_id, unnest(CASE WHEN len(w) >= 8 THEN list_transform(
 SELECT item_id, doc_id, count(DISTINCT g) AS shared FROM g JOIN b USING (g) GROUP BY ALL""",
 )
 def benchmark_contamination(spark, d):
-    grams = lambda df, key: df.select(key, F.explode(F.array_distinct(X.ngrams(X.words(F.col("text")), 8))).alias("g"))
-    return grams(t(spark, d, "documents"), "doc_id").join(grams(t(spark, d, "benchmark"), "item_id"), "g").groupBy("item_id", "doc_id").agg(F.count(F.lit(1)).alias("shared"))
+    return C.contaminated(t(spark, d, "documents"), t(spark, d, "benchmark"), 8)
 
 
 _U = "CAST(concat('0x', substr(md5(concat('lma|', grp)), 1, 15)) AS BIGINT) / 1152921504606846976.0"
@@ -313,8 +341,7 @@ _PPL = f"WITH c AS (SELECT doc_id, token, count(*) AS c FROM ({_TOKENS}) GROUP B
 
 def _ppl(spark, d) -> DataFrame:
     w = t(spark, d, "documents").select("doc_id", X.words(F.col("text")).alias("w"))
-    tokens = w.select("doc_id", F.size("w").alias("words"), F.explode("w").alias("token"))
-    return K.pseudo_perplexity(tokens).select("doc_id", F.round("ppl", 4).alias("ppl"))
+    return K.pseudo_perplexity(w, "w").select("doc_id", F.round("ppl", 4).alias("ppl"))
 
 
 @query("pseudo_perplexity", _PPL)
@@ -400,14 +427,25 @@ def ngram_overlaps(spark, d):
     return S.overlaps(_answer_pairs(spark, d), (1, 2, 3, 4))
 
 
-@query("bleu_char")
+@query("bleu_char", f"""WITH o AS MATERIALIZED ({" UNION ALL ".join(_char_sql(n) for n in (1, 2, 3, 4))}), z AS (SELECT *, sum((matched = 0)::INT) OVER (ORDER BY n) AS z FROM o),
+s AS (SELECT avg(ln(CASE WHEN matched = 0 THEN 1 / pow(2, z) / hyp ELSE matched / hyp END)) AS m, max(hyp) FILTER (n = 1) AS h, max(ref) FILTER (n = 1) AS r FROM z WHERE hyp > 0)
+SELECT round(100 * CASE WHEN h >= r THEN 1 ELSE exp(1 - r / h) END * exp(m), 6) AS value FROM s""")
 def bleu_char(spark, d):
-    return S.bleu(_answer_pairs(spark, d))
+    return S.bleu(_answer_pairs(spark, d)).select(F.round("value", 6).alias("value"))
+
 
+_WORD_PAIRS = "SELECT u.conv_id, u.turn, {u} AS h, {a} AS r FROM conversations u JOIN conversations a ON u.conv_id = a.conv_id AND a.turn = u.turn + 1 WHERE u.role = 'user' AND a.role = 'assistant'".format(u=_WORDS.replace("(text,", "(u.text,"), a=_WORDS.replace("(text,", "(a.text,"))
 
-@query("chrf")
+
+def _word_sql(n: int) -> str:
+    g = lambda c: f"SELECT conv_id, turn, g, count(*) AS c FROM (SELECT conv_id, turn, unnest(list_transform(range(1, len({c}) - {n} + 2), lambda i: array_to_string({c}[i:i+{n - 1}], ' '))) AS g FROM ({_WORD_PAIRS})) GROUP BY ALL"
+    return f"SELECT {n} AS n, CAST(coalesce(sum(least(coalesce(x.c, 0), coalesce(y.c, 0))), 0) AS BIGINT) AS matched, CAST(coalesce(sum(x.c), 0) AS BIGINT) AS hyp, CAST(coalesce(sum(y.c), 0) AS BIGINT) AS ref FROM ({g('h')}) x FULL JOIN ({g('r')}) y USING (conv_id, turn, g)"
+
+
+@query("chrf", f"""WITH o AS ({" UNION ALL ".join([*(_char_sql(n) for n in range(1, 7)), *(_word_sql(n) for n in (1, 2))])}), p AS (SELECT matched / hyp AS p, matched / ref AS r FROM o WHERE hyp > 0 AND ref > 0)
+SELECT round(100 * avg(CASE WHEN p = 0 THEN 0 ELSE 5 * p * r / (4 * p + r) END), 6) AS value FROM p""")
 def chrf(spark, d):
-    return S.chrf(_answer_pairs(spark, d))
+    return S.chrf(_answer_pairs(spark, d)).select(F.round("value", 6).alias("value"))
 
 
 @query("html_paragraphs", r"""WITH c AS (SELECT page_id, regexp_replace(regexp_replace(html, '(?is)<script.*?>.*?</script>|<style.*?>.*?</style>', '', 'g'), '(?is)<!--.*?-->', '', 'g') AS h FROM pages),
@@ -455,7 +493,10 @@ def majority_baseline(spark, d):
     return S.majority(t(spark, d, "labels"), "quality").select(F.round("baseline", 9).alias("baseline"))
 
 
-@query("class_report")
+@query(
+    "class_report",
+    f"WITH c AS (SELECT quality, predicted, count(*) AS n FROM ({_PRED}) GROUP BY ALL), g AS (SELECT quality AS class, sum(n)::BIGINT AS support, sum(CASE WHEN quality = predicted THEN n ELSE 0 END) AS hit FROM c GROUP BY quality), p AS (SELECT predicted AS class, sum(n) AS named FROM c GROUP BY predicted), r AS (SELECT class, support, coalesce(hit / nullif(named, 0), 0) AS p, hit / support AS r FROM g LEFT JOIN p USING (class)) SELECT class, support, round(p, 4) AS precision, round(r, 4) AS recall, round(coalesce(2 * p * r / nullif(p + r, 0), 0), 4) AS f1 FROM r",
+)
 def class_report(spark, d):
     return S.class_report(_predicted(spark, d), "quality", "predicted")
 

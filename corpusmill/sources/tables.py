@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import text as X
+
 DOCUMENT = T.StructType([
     T.StructField("text", T.StringType()), T.StructField("lang", T.StringType()), T.StructField("source", T.StringType()), T.StructField("source_type", T.StringType()),
     T.StructField("url", T.StringType()), T.StructField("fetched_at", T.StringType()), T.StructField("doc_id", T.StringType()), T.StructField("flags", T.MapType(T.StringType(), T.StringType())),
@@ -49,6 +51,36 @@ def write_report(df: DataFrame, path: str) -> None:
     df.coalesce(1).write.mode("overwrite").json(path)
 
 
+def _files(spark: SparkSession, path: str) -> bool:
+    """Whether a folder that any of Spark's file systems reads holds something besides marks."""
+    jvm = spark._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    return fs.exists(at) and any(x.getPath().getName()[0] not in "._" for x in fs.listStatus(at))
+
+
+def first_with_files(spark: SparkSession, paths: list[str]) -> str:
+    """The first of several folders that holds files, the last where none does."""
+    return next((p for p in paths if _files(spark, p)), paths[-1])
+
+
+def report_or_empty(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """A JSON-lines report; no rows where it is missing, nulls for what cannot be read."""
+    return spark.read.schema(schema).json(path) if _files(spark, path) else spark.createDataFrame([], schema)
+
+
+def write_sample(docs: DataFrame, path: str, least: int = 10, most: int | None = None) -> None:
+    """Sentences of at least `least` characters as lines of text; what is there already is left."""
+    lines = docs.select(F.explode(X.sentences(F.col("text"), ".?!")).alias("value")).filter(F.length("value") >= least)
+    lines = lines.select(F.regexp_replace("value", r"\n", " ").alias("value"))
+    (lines.limit(most) if most else lines).write.mode("ignore").text(path)
+
+
+def write_sorted(docs: DataFrame, path: str, order: list[str]) -> None:
+    """Shards that are ranges of an order, sorted within."""
+    docs.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").parquet(path)
+
+
 def write_quarantine(docs: DataFrame, kept_path: str, rejected_path: str, accepted: str = "accepted") -> None:
     """Kept and rejected rows to two places; docs should be a stored table, as it is read twice."""
     docs.filter(F.col(accepted)).drop(accepted).write.mode("append").parquet(kept_path)
@@ -61,6 +93,21 @@ def write_tokens(tokens: DataFrame, path: str, ids: str = "ids") -> None:
     tokens.withColumn(ids, packed).write.mode("overwrite").parquet(path)
 
 
+def read_tokens(spark: SparkSession, path: str, ids: str = "ids") -> DataFrame:
+    """What write_tokens wrote, as arrays of int again."""
+    low, high = (f"conv(substring(hex({ids}), 4 * i + {k}, 2), 16, 10)" for k in (1, 3))
+    n = f"CAST(length({ids}) / 2 AS INT)"
+    numbers = f"CASE WHEN {n} = 0 THEN CAST(array() AS ARRAY<INT>) ELSE transform(sequence(0, {n} - 1), i -> CAST({low} AS INT) + 256 * CAST({high} AS INT)) END"
+    return spark.read.parquet(path).withColumn(ids, F.expr(numbers))
+
+
+def prompts(lines: DataFrame, value: str = "value") -> DataFrame:
+    """lines -> prompt, candidates (after a bar, parted by commas); blank lines and notes (#) are left out."""
+    kept = lines.filter((F.trim(value) != "") & ~F.trim(value).startswith("#"))
+    names = F.filter(F.transform(F.split(F.split_part(value, F.lit("|"), F.lit(2)), ","), lambda x: F.trim(x)), lambda x: x != "")
+    return kept.select(F.trim(F.split_part(value, F.lit("|"), F.lit(1))).alias("prompt"), names.alias("candidates"))
+
+
 def ingest(docs: DataFrame, source: str, lang: str, text_key: str = "text", url_key: str | None = None, min_chars: int = 200, max_docs: int | None = None) -> DataFrame:
     """A public dataset's rows as documents: long enough texts, at most max_docs of them, marked as downloaded."""
     out = docs.select(F.col(text_key).alias("text"), F.lit(lang).alias("lang"), F.lit(source).alias("source"), F.lit("downloaded").alias("source_type"), (F.col(url_key) if url_key else F.lit(None).cast("string")).alias("url"))

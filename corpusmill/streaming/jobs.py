@@ -9,12 +9,18 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def folder(spark: SparkSession) -> str:
-    """A new folder for a job's state and output, in the shared folder where one is named."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="corpusmill-")
+    """A new folder for a job's state and output, in the shared folder; in local mode one is made where none is named."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        shared = "file://" + tempfile.mkdtemp(prefix="corpusmill-")
+        spark.conf.set("spark.checkpoint.dir", shared)
     return f"{shared.rstrip('/')}/streams/{uuid.uuid4().hex}"
 
 
@@ -30,6 +36,11 @@ def events(spark: SparkSession, sf_dir: str, files_a_trigger: int = 1) -> DataFr
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_a_trigger).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/[e]vents.parquet")
 
 
+def timed(stream: DataFrame) -> DataFrame:
+    """ts with the session's time zone, as watermarks want it."""
+    return stream.withColumn("ts", F.col("ts").cast("timestamp"))
+
+
 def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
     """Runs a stream over all that is there, into Parquet (append) or, for complete results, the last batch's rows."""
     spark = stream.sparkSession
@@ -45,9 +56,44 @@ def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{at}/out")
 
 
+def latest(stream: DataFrame, keys: list[str]) -> DataFrame:
+    """Runs a stream in update mode and returns each key's last row. A batch that is run again overwrites its own folder."""
+    spark = stream.sparkSession
+    at = folder(spark)
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{at}/out/batch={number}")
+
+    stream.writeStream.foreachBatch(put).option("checkpointLocation", f"{at}/state").outputMode("update").trigger(availableNow=True).start().awaitTermination()
+    rest = [c for c in stream.columns if c not in keys]
+    rows = spark.read.schema(T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType())])).parquet(f"{at}/out")
+    return rows.groupBy(*keys).agg(*(F.max_by(c, "batch").alias(c) for c in rest)).select(*stream.columns)
+
+
 def tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = events(spark, sf_dir).groupBy(F.window("ts", "1 hour"), "event_type").agg(F.count(F.lit(1)).alias("n"))
-    return drained(s.select(F.unix_timestamp("window.start").alias("start"), "event_type", "n"), "complete")
+    """Windows whose end the watermark has passed leave the state."""
+    s = timed(events(spark, sf_dir)).withWatermark("ts", "1 day").groupBy(F.window("ts", "1 hour"), "event_type").agg(F.count(F.lit(1)).alias("n"))
+    return latest(s.select(F.unix_timestamp("window.start").alias("start"), "event_type", "n"), ["start", "event_type"])
+
+
+def followed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stream-stream join: clicks and the purchases of the same user in the hour after. Both sides' state ends by watermark."""
+    e = timed(events(spark, sf_dir)).select("event_id", "user_id", "event_type", "ts")
+    clicks = e.filter("event_type = 'click'").select(F.col("event_id").alias("click"), F.col("user_id").alias("who"), F.col("ts").alias("at")).withWatermark("at", "1 day")
+    bought = timed(events(spark, sf_dir)).filter("event_type = 'purchase'").select(F.col("event_id").alias("purchase"), "user_id", "ts").withWatermark("ts", "1 day")
+    met = clicks.join(bought, F.expr("who = user_id AND ts >= at AND ts <= at + INTERVAL 1 HOUR"))
+    return drained(met.select("click", "purchase"))
+
+
+LATE = ("2024-01-01 10:05:00", "2024-01-01 12:30:00", "2024-01-01 14:00:00", "2024-01-01 10:10:00", "2024-01-01 20:00:00")
+
+
+def late(spark: SparkSession) -> DataFrame:
+    """Five files of a row each, read one a batch: the fourth comes when its window is final, and is dropped."""
+    at = folder(spark)
+    for i, x in enumerate(LATE):
+        spark.createDataFrame([(x,)], "t string").select(F.col("t").cast("timestamp").alias("ts")).coalesce(1).write.parquet(f"{at}/{i}")
+    return drained(late_dropped(spark.readStream.schema("ts timestamp").option("maxFilesPerTrigger", 1).parquet(f"{at}/*")))
 
 
 def late_dropped(stream: DataFrame, delay: str = "10 minutes", size: str = "1 hour") -> DataFrame:
@@ -56,7 +102,9 @@ def late_dropped(stream: DataFrame, delay: str = "10 minutes", size: str = "1 ho
 
 
 def deduplicated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = events(spark, sf_dir).withColumn("hour", F.date_trunc("hour", "ts")).dropDuplicates(["user_id", "event_type", "hour"])
+    """By user, type and hour; hours that the watermark has passed leave the state."""
+    hour = F.date_trunc("hour", "ts").alias("hour")
+    s = events(spark, sf_dir).select("user_id", "event_type", hour).withWatermark("hour", "1 day").dropDuplicates(["user_id", "event_type", "hour"])
     return drained(s.select("user_id", "event_type", "hour")).groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -84,14 +132,7 @@ def advance(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> It
 
 def frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = events(spark, sf_dir).select("user_id", "event_type").groupBy("user_id").applyInPandasWithState(advance, "user_id long, status string, seen long", "seen long, done boolean", "update", GroupStateTimeout.NoTimeout)
-    at = folder(spark)
-
-    def put(batch: DataFrame, number: int) -> None:
-        batch.withColumn("batch", F.lit(number)).write.mode("append").parquet(f"{at}/out")
-
-    s.writeStream.foreachBatch(put).option("checkpointLocation", f"{at}/state").outputMode("update").trigger(availableNow=True).start().awaitTermination()
-    rows = spark.read.parquet(f"{at}/out")
-    return rows.groupBy("user_id").agg(F.max_by("status", "batch").alias("status"), F.max("seen").alias("seen"))
+    return latest(s, ["user_id"])
 
 
 def requeued(frontier_rows: DataFrame) -> DataFrame:

@@ -48,6 +48,8 @@ def difference(spark, sf_dir: str, name: str, f, sql: str | None) -> str:
     want = rows(names, result.fetchall())
     if sorted(names) != sorted(df.columns):
         return f"columns {sorted(df.columns)} and {sorted(names)}"
+    if not want:
+        return "no rows on either side prove nothing" if not got else f"{len(got)} rows and none"
     if len(got) != len(want):
         return f"rows {len(got)} and {len(want)}; first only here: {next((x for x in got if x not in set(want)), None)}, only there: {next((x for x in want if x not in set(got)), None)}"
     return next((f"{a} and {b}" for a, b in zip(got, want, strict=True) if a != b), "")

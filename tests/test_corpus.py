@@ -5,6 +5,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from corpusmill.functions import text as X
+from corpusmill.functions.python_udfs import lcs_length
 from corpusmill.operators import corpus as C
 from corpusmill.operators import reasoning as R
 from corpusmill.operators import scores as S
@@ -37,9 +39,69 @@ def test_exact_and_boilerplate(spark):
     for most in (100, 0):  # broadcast lists and joined lines
         kept = {r["doc_id"]: r["text"] for r in C.without_boilerplate(docs, blocked, most).collect()}
         assert kept[3] == "unique 3" and kept[99] == "footer line\nx"
+        twice = C.without_boilerplate(docs.withColumn("doc_id", F.lit(7)), blocked, most)  # rows of one id stay apart
+        assert sorted(r["text"] for r in twice.collect()) == sorted([f"unique {i}" for i in range(20)] + ["footer line\nx"])
     assert C.exact_first(docs.withColumn("h", F.lit(1)), "h", ["doc_id"]).count() == 1
 
 
+def test_first_of_null_keys_and_of_ties(spark):
+    docs = spark.createDataFrame([(2, None), (1, None), (4, "a"), (3, "a"), (3, "a"), (None, "b")], "doc_id long, h string")
+    assert sorted((tuple(r) for r in C.exact_first(docs, "h", ["doc_id"]).collect()), key=str) == [(1, None), (3, "a"), (None, "b")]
+
+
+def test_places_in_a_total_order(spark):
+    r = random.Random(4)
+    values = [(r.randrange(500), i) for i in range(3000)]
+    df = spark.createDataFrame(values, "v long, i long").repartition(7)
+    got, n, sums = K.numbered(df, [F.desc("v"), "i"], "r", {"total": "v"})
+    want, total = [], 0
+    for k, (v, i) in enumerate(sorted(values, key=lambda x: (-x[0], x[1])), 1):
+        total += v
+        want.append((v, i, k, total))
+    assert rows(got) == sorted(want) and n == 3000 and sums == {"total": total}
+    assert K.numbered(df.limit(0), ["v"], "r")[1] == 0
+
+
+def test_white_space_of_unicode(spark):
+    text = "a\u00a0b\u3000c\u2028 d \n\x1c\n e\u0085\n\nf."
+    got = spark.createDataFrame([(text,)], "t string").select(X.words(F.col("t")), X.lines(F.col("t")), X.terminal_fraction(F.col("t"), X.lines(F.col("t")))).first()
+    assert got[0] == text.split() and got[1] == [x.strip() for x in text.split("\n") if x.strip()] and abs(got[2] - 1 / 3) < 1e-9
+    assert spark.createDataFrame([([3, 1, 3, 3, 2],), ([],)], "x array<int>").select(X.run_lengths(F.col("x"))).collect()[0][0] == [1, 1, 3]
+
+
+def test_lcs_by_bits():
+    r = random.Random(2)
+    for _ in range(300):
+        a, b = ([r.choice("abc") for _ in range(r.randrange(9))] for _ in range(2))
+        best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                best[i + 1][j + 1] = best[i][j] + 1 if x == y else max(best[i][j + 1], best[i + 1][j])
+        assert lcs_length(a, b) == best[-1][-1]
+
+
+def test_real_tokens_by_split(spark):
+    import public_tokenizers
+    import sentencepiece
+
+    from corpusmill.plans.report_queries import token_accounts
+    from corpusmill.plans.text_queries import _assigned
+
+    sf = "/root/testdata/sf0.001"
+    model = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    want: dict = {}
+    for x in _assigned(spark, sf).collect():
+        n, b, k = want.get((x["split"], x["source_type"]), (0, 0, 0))
+        want[x["split"], x["source_type"]] = (n + 1, b + len(x["text"].encode()), k + len(model.encode(x["text"])) + 1)
+    assert {(x["split"], x["source_type"]): (x["docs"], x["bytes"], x["tokens"]) for x in token_accounts(spark, sf).collect()} == want
+
+
+def test_links_of_pages(spark):
+    html = '<a href="b.html">x</a><a href="../c/d">y</a><a href="./e?q=1">z</a><a href="//h/f">w</a><a href="http://o/x">v</a><a href="/g.png">u</a><a href="/tag">t</a>'
+    pages = spark.createDataFrame([(1, "http://h/a/x/", html)], "page_id long, url string, html string")
+    assert {r["link"] for r in W.page_links(pages).collect()} == {"http://h/a/x/b.html", "http://h/a/c/d", "http://h/a/x/e", "http://h/f"}
+
+
 def test_splits_keep_groups_whole(spark):
     docs = spark.createDataFrame([(i, f"s{i % 7}", f"text {i}") for i in range(300)], "doc_id long, source string, text string")
     got = C.splits(docs)

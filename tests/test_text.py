@@ -60,7 +60,7 @@ def test_short_and_empty_ngrams_and_shingles(spark):
     assert one(spark, X.shingles, "") == [""]
     assert one(spark, X.shingles, "abc") == ["abc"]
     assert one(spark, X.shingles, "abcdefgh") == ["abcde", "cdefg"]
-    assert one(spark, lambda c: X.repeated_line_fraction(c), "x\nx\nx\nx") == 0.75
+    assert one(spark, lambda c: X.repeated_line_fraction(X.lines(c)), "x\nx\nx\nx") == 0.75
 
 
 def test_group_keys(spark):

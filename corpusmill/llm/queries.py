@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import table
 from .html_text import op5_html
 from .jaccard import op9_jaccard
 from .mixing import MOST_REPEATS, WEIGHTS, op8_mixing
@@ -16,7 +17,7 @@ from .packing import op3_packing
 from .pii import op6_pii
 from .quality import op7_quality
 from .suffix_dedup import op4_suffix
-from .syncmers import op10_fingerprints
+from .syncmers import located, op10_fingerprints
 from .vectors import op2_vectors
 
 
@@ -64,6 +65,12 @@ def fingerprint_texts(spark, sf_dir) -> DataFrame:
     return op10_fingerprints(spark, sf_dir).select("doc_id", "n_chars", "edited_sha256")
 
 
+def passage_places(spark, sf_dir) -> DataFrame:
+    """Benchmark passages in documents, by anchors that agree on a place: the whole ones, with the place in bytes."""
+    found = located(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"), least=1.0)
+    return found.select("item_id", "doc_id", "start")
+
+
 QUERIES = {
     "op1_lm": op1_lm,
     "op2_vectors": op2_vectors,
@@ -82,6 +89,7 @@ QUERIES = {
     "mixing_targets": mixing_targets,
     "mixing_totals": mixing_totals,
     "fingerprint_texts": fingerprint_texts,
+    "passage_places": passage_places,
 }
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -171,6 +179,7 @@ o AS (SELECT *, {MOST_REPEATS} * size / w AS level, coalesce(sum({MOST_REPEATS}
 l AS (SELECT arg_min((total - full_) / open_, level) AS unit FROM o WHERE (total - full_) / open_ <= level),
 targets AS (SELECT source, size AS source_size, least({MOST_REPEATS} * size, w * coalesce(unit, 1e300)) AS target FROM r, l)"""
 ORACLE |= {
+    "passage_places": "SELECT item_id, doc_id, strlen(substr(d.text, 1, strpos(d.text, b.text) - 1))::BIGINT AS start FROM documents d JOIN benchmark b ON contains(d.text, b.text)",
     "mixing_targets": f"WITH {_TARGETS} SELECT doc_id, size, source_size, round(target, 4) AS target, false AS over FROM d JOIN targets ON d.source IS NOT DISTINCT FROM targets.source",
     "mixing_totals": f"WITH {_TARGETS} SELECT round(target, 4) AS target, true AS near FROM targets",
     "fingerprint_texts": """SELECT doc_id, length(text)::BIGINT AS n_chars, sha256(left(text, length(text) - length(text) // 2) || left(after, length(text) // 2)) AS edited_sha256

@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -98,6 +98,21 @@ def anchors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
 
 
+def located(passages: DataFrame, docs: DataFrame, least: float = 0.5, most_broadcast: int = 4_000_000) -> DataFrame:
+    """passages(item_id, text), docs(doc_id, text) -> item_id, doc_id, start, anchors, share: where passages stand.
+
+    Anchors of equal bytes meet, and those that agree on where the passage would begin (a byte, from 0) count together;
+    places with `least` of the passage's anchors are returned. Anchors of passages are counted, and broadcast up to
+    `most_broadcast`. Passages without text are nowhere; a null id is an id like others.
+    """
+    asked = anchors(passages.select(F.col("item_id").alias("doc_id"), "text")).select(F.col("doc_id").alias("item_id"), F.col("start").alias("inside"), "anchor")
+    asked = asked.withColumn("of", F.count(F.lit(1)).over(Window.partitionBy("item_id")))  # a passage's anchors are few
+    known = F.broadcast(asked) if asked.limit(most_broadcast + 1).count() <= most_broadcast else asked
+    met = anchors(docs).join(known, "anchor").withColumn("start", F.col("start") - F.col("inside"))
+    found = met.groupBy("item_id", "doc_id", "start").agg(F.countDistinct("inside").alias("anchors"), F.first("of").alias("of"))
+    return found.select("item_id", "doc_id", "start", "anchors", F.round(F.col("anchors") / F.col("of"), 6).alias("share")).filter(F.col("share") >= least)
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row (doc_id, fingerprint) per row of docs; a scan, nothing is shuffled."""
 
@@ -135,7 +150,8 @@ def _compare(part: pa.Table) -> pa.Table:
         out["near_edited"] += likeness(plain[:-1], changed).tolist()
         out["near_next"] += likeness(plain[:-1], plain[1:]).tolist()
         a = b
-    return pa.table(out, schema=pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), *((c, pa.string()) for c in ("edited_sha256", "fingerprint", "edited_fingerprint")), ("near_edited", pa.float64()), ("near_next", pa.float64())]))
+    kinds = [pa.int64()] * 2 + [pa.string()] * 3 + [pa.float64()] * 2
+    return pa.table(out, schema=pa.schema(list(zip(out, kinds, strict=True))))
 
 
 class Ranges:

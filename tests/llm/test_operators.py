@@ -325,6 +325,15 @@ def test_all_repeats_of_a_number_are_labelled_alike(gap):
     assert pii.all_spans(text + " 12345678", pii.fitted(["number 12345678 here"] * 30))[1] == []
 
 
+def test_personal_data_of_odd_tables(spark):
+    rows = [(1, "1.2.3.4 and +1 (988) 555-2485", 5), (1, "1.2.3.4 and +1 (988) 555-2485", 5), (None, "+4111111111111111", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, spans int").withColumn("n_email", F.lit("x"))
+    got = pii.found(df).collect()
+    assert [r["spans"] for r in got if r["doc_id"] == 1] == ["ip:0:7,phone:12:29"] * 2
+    assert [(r["n_card"], r["n_phone"]) for r in got if r["doc_id"] is None] == [(1, 0)]  # the card lies in a longer phone number
+    assert pii.found(df.limit(0)).count() == 0
+
+
 def test_messages_are_exact_on_trees():
     field = pii.Field(np.random.default_rng(0).normal(size=(5, len(pii.FEATURES))), np.random.default_rng(1).normal(size=(5, 5)), np.random.default_rng(2).normal(size=(5, 5)))
     text = "a 12345678 b 87654321 c 5551234567"
@@ -509,6 +518,7 @@ def test_components(spark):
     for _ in range(200):
         for a, b in edges:
             least[a] = least[b] = min(least[a], least[b])
+    assert components(spark.createDataFrame([(1, None, 0), (5, 5, 0)], "a long, b long, m int")).count() == 0
     got = {x["node"]: x["component"] for x in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {k: v for k, v in least.items() if k in got} and all(least[k] == k for k in set(least) - set(got))
 
@@ -545,6 +555,19 @@ def test_fingerprints(spark, docs):
     assert syncmers.anchors(docs).columns == ["doc_id", "start", "anchor"]
 
 
+def test_passages_by_anchors(spark):
+    passage, other = prose(50, 40), prose(51, 40)
+    rows = [(1, prose(1, 30) + " " + passage + " " + prose(2, 30)), (2, passage + passage), (3, prose(3, 80)), (4, None), (None, "é " + passage)]
+    docs = spark.createDataFrame([(*r, 0) for r in rows], "doc_id long, text string, anchor int")
+    asked = spark.createDataFrame([(7, passage), (8, other), (9, None)], "item_id long, text string")
+    n = len(passage.encode())
+    want = {(7, 1, len(rows[0][1][: rows[0][1].index(passage)].encode())), (7, 2, 0), (7, 2, n), (7, None, 3)}
+    assert {(r["item_id"], r["doc_id"], r["start"]) for r in syncmers.located(asked, docs, least=1.0).collect()} == want
+    half = spark.createDataFrame([(1, passage[: len(passage) * 2 // 3])], "doc_id long, text string")
+    assert [r["start"] for r in syncmers.located(asked, half).collect()] == [0]
+    assert syncmers.located(asked, docs.limit(0)).count() == 0
+
+
 def test_null_ids_and_columns(spark):
     """A null in any column, in every operator."""
     texts = [prose(1, 60), prose(1, 60) + " end", None, prose(2, 60), prose(2, 60)]

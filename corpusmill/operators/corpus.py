@@ -174,11 +174,14 @@ def capped(docs: DataFrame, most: int, order: list[str]) -> DataFrame:
 
 
 def top_with_rest(counts: DataFrame, name: str, value: str, k: int = 12) -> DataFrame:
-    """The k largest rows and one for the rest: name, value, share."""
-    rank = F.row_number().over(Window.orderBy(F.desc(value), F.asc(name)))
-    ranked = counts.select(F.when(rank <= k, F.col(name)).otherwise("(rest)").alias(name), F.col(value))
-    grouped = ranked.groupBy(name).agg(F.sum(value).alias(value))
-    return grouped.withColumn("share", F.round(F.col(value) / F.sum(value).over(Window.partitionBy()), 6))
+    """The k largest rows (equal ones by name) and one for the rest: name, value, share. No window over all rows."""
+    top = counts.select(name, value).orderBy(F.desc(value), F.asc(name)).limit(k)
+    sums = [F.sum(value).alias(value), F.count(F.lit(1)).alias("_n")]
+    whole, shown = counts.agg(*sums), top.agg(F.sum(value).alias("_shown"), F.count(F.lit(1)).alias("_k"))
+    rest = whole.crossJoin(shown).filter("_n > _k").select(F.lit("(rest)").alias(name), (F.col(value) - F.col("_shown")).alias(value))  # one row each
+    total = whole.select(F.col(value).alias("_total"))
+    both = top.unionByName(rest).crossJoin(F.broadcast(total))  # one row
+    return both.select(name, value, F.round(F.col(value) / F.col("_total"), 6).alias("share"))
 
 
 def upsert_absent(state: DataFrame, new: DataFrame, key: str) -> DataFrame:

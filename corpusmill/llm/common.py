@@ -83,7 +83,10 @@ def window_hashes(data: np.ndarray, widths: tuple[int, ...]) -> list[np.ndarray]
     while True:
         for w, (have, h) in made.items():
             if w & length and n >= have + length:
-                made[w] = (have + length, level if h is None else h[: n - have - length + 1] * U64(pow(MULT, length, 1 << 64)) + level[have:])
+                made[w] = (
+                    have + length,
+                    level if h is None else h[: n - have - length + 1] * U64(pow(MULT, length, 1 << 64)) + level[have:]
+                )
         if 2 * length > max(widths) or n < 2 * length:
             break
         level = level[:-length] * U64(pow(MULT, length, 1 << 64)) + level[length:]

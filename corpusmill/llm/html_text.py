@@ -28,14 +28,21 @@ from .common import table
 # Element names of HTML by role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe svg math xmp noembed noframes".split())
-CUT = frozenset("nav footer aside button select option menu dialog object applet canvas audio video figcaption label fieldset".split())
+CUT = frozenset(
+    "nav footer aside button select option menu dialog object applet canvas audio video figcaption label fieldset".split()
+)
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 CLOSED_BY_BLOCK = BLOCKS - frozenset("html body".split())
 CONTAINERS = frozenset("article main section div td body html blockquote center".split())
-LEAVES = frozenset("p pre blockquote li dd dt h1 h2 h3 h4 h5 h6 td th caption summary div section article main body center".split())
-SELF_CLOSING = {"li": ("li", ("ul", "ol", "menu", "dir")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)), "tr": ("tr td th", ("table",)), "td": ("td th", ("tr", "table")), "th": ("td th", ("tr", "table")), "option": ("option", ("select",))}
+LEAVES = frozenset(
+    "p pre blockquote li dd dt h1 h2 h3 h4 h5 h6 td th caption summary div section article main body center".split()
+)
+SELF_CLOSING = {
+    "li": ("li", ("ul", "ol", "menu", "dir")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)), "tr": ("tr td th", ("table",)),
+    "td": ("td th", ("tr", "table")), "th": ("td th", ("tr", "table")), "option": ("option", ("select",))
+}
 # Words in class, id, role and aria-label that name what is no article text.
 UNLIKELY = re.compile(
     r"(?i)(?:^|[\s_-])(?:ads?|adverts?|advertisement|adsense|advertorial|banner|sponsor(?:ed)?|promo(?:tion|ted)?|nav(?:bar|igation)?|menu|topbar|toolbar|breadcrumbs?|sidebar|side-bar|widget|rail|footer|masthead|header|site-header|page-header|"
@@ -51,7 +58,9 @@ LIKELY = re.compile(r"(?i)(?:^|[\s_-])(?:article|main|content|post|entry|story|b
 #: No part is ever tried again (possessive), so a tag takes time in proportion to its length.
 _ATTRIBUTE_TEXT = r"""[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|(?!["'])[^\s>]*+))?+"""
 #: A comment, a tag (the last group is empty where the page's end cuts it off), or a declaration.
-_TOKEN = re.compile(rf"<!--(?:-?>|.*?(?:-->|\Z))|<(/?)([a-zA-Z][^\s/>]*+)((?:[\s/]++|{_ATTRIBUTE_TEXT})*+)(>?)|<[!?/][^>]*+>?", re.S)
+_TOKEN = re.compile(
+    rf"<!--(?:-?>|.*?(?:-->|\Z))|<(/?)([a-zA-Z][^\s/>]*+)((?:[\s/]++|{_ATTRIBUTE_TEXT})*+)(>?)|<[!?/][^>]*+>?", re.S
+)
 MOST_DEEP = 250  # elements opened below this depth stand beside each other, so that recursion stays bounded
 _ATTRIBUTE = re.compile(r"""([^\s/>][^\s/>=]*+)(?:\s*+=\s*+("[^"]*+"|'[^']*+'|(?!["'])[^\s>]*+))?+""")
 _RAW_END = {x: re.compile(rf"(?i)</{x}(?=[\s/>])") for x in RAW}
@@ -203,7 +212,10 @@ def _measure(node: Node, in_link: bool, in_article: bool = False) -> None:
             node.links += n * in_link
             node.core += n * (in_article and not in_link)
         elif not x.cut:
-            _measure(x, in_link or x.tag == "a", in_article or x.tag in ("article", "main") and not UNLIKELY.search(MODIFIER.sub("", x.named)))
+            _measure(
+                x, in_link or x.tag == "a",
+                in_article or x.tag in ("article", "main") and not UNLIKELY.search(MODIFIER.sub("", x.named))
+            )
             node.size += x.size
             node.links += x.links
             node.core += x.core
@@ -304,7 +316,11 @@ def _article(page: str, by_name: bool) -> str:
     if best.tag in ("article", "main") or best.parent is None:
         kept: list[Node] = [best]
         if best.parent is not None:
-            kept = [x for x in best.parent.below if not isinstance(x, str) and not x.cut and (x is best or x.tag == best.tag and final(x) >= max(10.0, 0.2 * final(best)))]
+            kept = [
+                x for x in best.parent.below if not isinstance(x, str) and not x.cut and (
+                    x is best or x.tag == best.tag and final(x) >= max(10.0, 0.2 * final(best))
+                )
+            ]
     else:
         least = max(10.0, 0.2 * final(best))
         kept = []
@@ -323,7 +339,10 @@ def extracted(pages: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = [main_text(x.as_py()) for x in b.column(2)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
+                names=["page_id", "url", "text", "n_chars"]
+            )
 
     kind = pages.schema["page_id"].dataType.simpleString()
     return pages.select("page_id", "url", F.col("html")).mapInArrow(run, f"page_id {kind}, url string, text string, n_chars long")

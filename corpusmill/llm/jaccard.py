@@ -169,7 +169,9 @@ def _described(docs: DataFrame, words: int, named: dict) -> DataFrame:
             }
             yield pa.RecordBatch.from_arrays(list(out.values()), names=list(out))
 
-    return docs.select("doc_id", "text", "row").mapInArrow(run, "doc_id long, row long, n long, node long, check long, bits binary")
+    return docs.select("doc_id", "text", "row").mapInArrow(
+        run, "doc_id long, row long, n long, node long, check long, bits binary"
+    )
 
 
 def _small(batches: Iterator[pa.RecordBatch], most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
@@ -214,7 +216,10 @@ def _keyed(docs: DataFrame, words: int, percent: int, edges: np.ndarray, buckets
                     out[0].append(i)
                     out[1].append(nodes[used.astype(np.int64)].tobytes())
                     out[2].append(((mine & ~U64(0xFFFF)) | place.astype(U64)).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.binary())], names=["bucket", "nodes", "entries"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(out[0], pa.int32()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.binary())],
+                names=["bucket", "nodes", "entries"]
+            )
 
     return docs.select("doc_id", "text").mapInArrow(run, "bucket int, nodes binary, entries binary")
 
@@ -258,7 +263,9 @@ def _fetched(docs: DataFrame, wanted: DataFrame, words: int, named: dict) -> Dat
             wide = pa.array([wide_parity(x) for x in s.sets], pa.binary())
             yield pa.RecordBatch.from_arrays([b.column(2), shingles, wide], names=["node", "shingles", "wide"]).filter(same)
 
-    return rows.select("row", "text", "node").mapInArrow(run, "node long, shingles array<long>, wide binary").dropDuplicates(["node"])
+    return rows.select("row", "text", "node").mapInArrow(
+        run, "node long, shingles array<long>, wide binary"
+    ).dropDuplicates(["node"])
 
 
 def _compared(pairs: DataFrame, bits: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -275,14 +282,21 @@ def _compared(pairs: DataFrame, bits: DataFrame, sets: DataFrame, percent: int)
             keep = least * (100 + percent) <= (100 - percent) * (na + nb)
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(keep)], names=["a", "b", "na", "nb", "likely"])
 
-    known = stored(known.select("a", "b", "na", "nb", "bitsa", "bitsb").mapInArrow(hamming, "a long, b long, na long, nb long, likely boolean"), "pairs")
+    known = stored(
+        known.select("a", "b", "na", "nb", "bitsa", "bitsb").mapInArrow(
+            hamming, "a long, b long, na long, nb long, likely boolean"
+        ),
+        "pairs"
+    )
     ends = [sets.select(F.col("node").alias(x), F.col("shingles").alias(f"s{x}")) for x in "ab"]
     held = known.filter("likely").join(ends[0], "a").join(ends[1], "b")
     held = held.select("a", "b", "na", "nb", F.size(F.array_intersect("sa", "sb")).alias("both"))
     whole = F.col("na") + F.col("nb") - F.col("both")
     near, far = F.col("both") * 100 >= whole * percent, 1 - F.col("both") / whole
     sure = held.select("a", "b", "nb", near.alias("near"), far.alias("far"))
-    return sure.unionByName(known.filter("NOT likely").select("a", "b", "nb", F.lit(False).alias("near"), F.lit(1.0).alias("far")))
+    return sure.unionByName(
+        known.filter("NOT likely").select("a", "b", "nb", F.lit(False).alias("near"), F.lit(1.0).alias("far"))
+    )
 
 
 def _folded(wide: list[bytes]) -> np.ndarray:
@@ -443,7 +457,9 @@ def _nodes(described: DataFrame) -> DataFrame:
     """One row a set: node, rep (least id, row), low and high check, n, bits."""
     ends = [F.min("check").alias("low"), F.max("check").alias("high")]
     rep = F.min(F.struct("doc_id", "row")).alias("rep")
-    return described.filter("node IS NOT NULL").groupBy("node").agg(rep, *ends, F.first("n").alias("n"), F.first("bits").alias("bits"))
+    return described.filter("node IS NOT NULL").groupBy("node").agg(
+        rep, *ends, F.first("n").alias("n"), F.first("bits").alias("bits")
+    )
 
 
 def op9_jaccard(spark, sf_dir):

@@ -97,7 +97,9 @@ def taken(
     want = targets(sizes)
     shard_words = max(shard_words, total // most_shards)
     shards = [max(1, math.ceil(x / shard_words)) for x in sizes]
-    plan = spark.createDataFrame(list(zip(names, sizes, want, shards, strict=True)), f"source {kind}, source_size long, target double, shards int")
+    plan = spark.createDataFrame(
+        list(zip(names, sizes, want, shards, strict=True)), f"source {kind}, source_size long, target double, shards int"
+    )
     placed = sized.alias("d").join(_hinted(plan, len(names)).alias("p"), F.expr("d.source <=> p.source")).drop(F.col("p.source"))
     placed = placed.withColumn("shard", F.pmod("turn", F.col("shards")).cast("int"))
     held: dict[str | None, list[tuple[int, int]]] = {}
@@ -109,7 +111,10 @@ def taken(
     for s, limit, n in zip(names, want, seats, strict=True):
         parts = sorted(held[s])
         got = sainte_lague(np.array([words for _, words in parts]), n)
-        quotas += [(s, shard, words, min(int(g) * block, MOST_REPEATS * words, math.ceil(limit))) for (shard, words), g in zip(parts, got, strict=True)]
+        quotas += [
+            (s, shard, words, min(int(g) * block, MOST_REPEATS * words, math.ceil(limit))) for (shard, words),
+            g in zip(parts, got, strict=True)
+        ]
     rows = spark.createDataFrame(quotas, f"source {kind}, shard int, words long, quota long")
     placed = placed.alias("d").join(_hinted(rows, len(quotas)).alias("q"), F.expr("d.source <=> q.source AND d.shard = q.shard"))
     placed = placed.drop(F.col("q.source"), F.col("q.shard"))
@@ -138,7 +143,9 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
     cut, text = F.col("_part") > 0, F.col("_row")["text"]
     changed = {"text": F.when(cut, head_words(text, F.col("_part"))).otherwise(text)}
     if "n_chars" in docs.columns:
-        changed["n_chars"] = F.when(cut, F.length(changed["text"]).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("_row")["n_chars"])
+        changed["n_chars"] = F.when(
+            cut, F.length(changed["text"]).cast(docs.schema["n_chars"].dataType)
+        ).otherwise(F.col("_row")["n_chars"])
     return out.select(*(changed.get(c, F.col("_row")[c]).alias(c) for c in docs.columns))
 
 

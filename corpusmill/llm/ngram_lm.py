@@ -78,7 +78,9 @@ def _chunks(docs: DataFrame, chunk_bytes: int) -> DataFrame:
             made += 1
             for x in (ids, train, sizes, tokens, number):
                 x.clear()
-            return pa.RecordBatch.from_pydict(out, schema=pa.schema([("chunk", pa.int64()), *((k, pa.binary()) for k in list(out)[1:])]))
+            return pa.RecordBatch.from_pydict(
+                out, schema=pa.schema([("chunk", pa.int64()), *((k, pa.binary()) for k in list(out)[1:])])
+            )
 
         for b in batches:
             for i, t, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
@@ -180,7 +182,13 @@ def _asked(chunks: DataFrame, order: int, buckets: int) -> DataFrame:
                             out["n"].append(k)
                             out["keys"].append(keys[mine].tobytes())
                             out["counts"].append(_counts(own[mine]))
-                yield pa.RecordBatch.from_arrays([pa.array(out["bucket"], pa.int32()), pa.array(out["chunk"], pa.int64()), pa.array(out["n"], pa.int32()), pa.array(out["keys"], pa.binary()), pa.array(out["counts"], pa.binary())], names=list(out))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(out["bucket"], pa.int32()), pa.array(out["chunk"], pa.int64()), pa.array(out["n"], pa.int32()),
+                        pa.array(out["keys"], pa.binary()), pa.array(out["counts"], pa.binary())
+                    ],
+                    names=list(out)
+                )
 
     return chunks.mapInArrow(run, "bucket int, chunk long, n int, keys binary, counts binary")
 
@@ -212,7 +220,13 @@ def _answer(part: pa.Table) -> pa.Table:
         for i in mine:
             out[i] = _counts(sums[index[a : a + len(keys[i])]])
             a += len(keys[i])
-    return pa.table({"bucket": part.column("bucket"), "chunk": part.column("chunk"), "n": part.column("n"), "counts": pa.array(out, pa.binary()), "total": pa.array([total] + [0] * (len(rows) - 1), pa.int64()), "types": pa.array([types] + [0] * (len(rows) - 1), pa.int64())})
+    return pa.table(
+        {
+            "bucket": part.column("bucket"), "chunk": part.column("chunk"), "n": part.column("n"),
+            "counts": pa.array(out, pa.binary()), "total": pa.array([total] + [0] * (len(rows) - 1), pa.int64()),
+            "types": pa.array([types] + [0] * (len(rows) - 1), pa.int64())
+        }
+    )
 
 
 class Automaton:
@@ -290,18 +304,35 @@ class Automaton:
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def scored(docs: DataFrame, held_out: Column, order: int = 2, prior: float = PRIOR, chunk_bytes: int = 6 << 20, keys_a_bucket: int = 1 << 20) -> DataFrame:
+def scored(
+    docs: DataFrame, held_out: Column, order: int = 2, prior: float = PRIOR, chunk_bytes: int = 6 << 20,
+    keys_a_bucket: int = 1 << 20
+) -> DataFrame:
     """docs(doc_id, text) -> doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
-    chunks = stored(_chunks(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(~held_out, F.lit(True)).alias("train"), "text"), chunk_bytes), "chunks")
+    chunks = stored(
+        _chunks(
+            docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(~held_out, F.lit(True)).alias("train"), "text"),
+            chunk_bytes
+        ),
+        "chunks"
+    )
     tokens = chunks.agg(F.coalesce(F.sum(F.octet_length("tokens") / 4), F.lit(0.0))).first()[0]
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(tokens * order / 4 / keys_a_bucket), 1)
-    answers = stored(_asked(chunks, order, buckets).groupBy("bucket").applyInArrow(_answer, "bucket int, chunk long, n int, counts binary, total long, types long"), "answers")
+    answers = stored(
+        _asked(chunks, order, buckets).groupBy("bucket").applyInArrow(
+            _answer, "bucket int, chunk long, n int, counts binary, total long, types long"
+        ),
+        "answers"
+    )
     total, types = answers.agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("types"), F.lit(0))).first()
 
     def texts_in(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [int(np.unpackbits(np.frombuffer(h, np.uint8))[: len(i) // 8].sum()) for h, i in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
+            got = [
+                int(np.unpackbits(np.frombuffer(h, np.uint8))[: len(i) // 8].sum()) for h,
+                i in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)
+            ]
             yield pa.RecordBatch.from_arrays([pa.array(got, pa.int64())], names=["n"])
 
     texts = chunks.select("held", "ids").mapInArrow(texts_in, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
@@ -332,7 +363,9 @@ def scored(docs: DataFrame, held_out: Column, order: int = 2, prior: float = PRI
             )
         return pa.concat_tables(parts)
 
-    return chunks.groupBy("chunk").cogroup(answers.select("chunk", "bucket", "n", "counts").groupBy("chunk")).applyInArrow(traversed, SCORES)
+    return chunks.groupBy("chunk").cogroup(
+        answers.select("chunk", "bucket", "n", "counts").groupBy("chunk")
+    ).applyInArrow(traversed, SCORES)
 
 
 def op1_lm(spark, sf_dir):

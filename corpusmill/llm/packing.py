@@ -35,7 +35,11 @@ from .common import table
 WIDTH = 1024
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 #: A space before white space, or at the end, is no cut: such texts are encoded whole.
-_ODD = [f" {c}" for c in map(chr, [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])]
+_ODD = [
+    f" {c}" for c in map(
+        chr, [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
+    )
+]
 
 
 class SegmentEncoder:
@@ -60,7 +64,9 @@ class SegmentEncoder:
         path = ranks_path or public_tokenizers.path("byte_bpe_50k.tiktoken")
         with open(path, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        self.encoding = tiktoken.Encoding("byte_bpe_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.encoding = tiktoken.Encoding(
+            "byte_bpe_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}
+        )
         ordinary = self.encoding._core_bpe.encode_ordinary
 
         marks = {c: array("I", ordinary(c)).tobytes() for c in ".,;:!?"}
@@ -136,7 +142,9 @@ def choose_cuts(at: np.ndarray, penalty: np.ndarray, width: int = WIDTH, opening
     return cuts[::-1]
 
 
-def boundaries(ids: np.ndarray, ends: np.ndarray, ends_sentence: np.ndarray, width: int, reach: int, sentence: float, inside: float) -> tuple[np.ndarray, np.ndarray]:
+def boundaries(
+    ids: np.ndarray, ends: np.ndarray, ends_sentence: np.ndarray, width: int, reach: int, sentence: float, inside: float
+) -> tuple[np.ndarray, np.ndarray]:
     """Places where a cut may fall, with penalties."""
     kind = np.zeros(len(ids) + 1, np.uint8)
     kind[1:][ends_sentence[ids]] = 2
@@ -156,7 +164,10 @@ def pack_stretch(ids: np.ndarray, ends: np.ndarray, cuts: np.ndarray) -> tuple[n
     return np.searchsorted(ends, begin, "right"), begin, end, np.searchsorted(cuts, begin, "right") - 1
 
 
-def packed(docs: DataFrame, encoder: Callable[[], SegmentEncoder] = SegmentEncoder, width: int = WIDTH, reach: int = 32, sentence: float = 4.0, inside: float = 16.0, stretch: int = 1 << 20, with_ids: bool = False) -> DataFrame:
+def packed(
+    docs: DataFrame, encoder: Callable[[], SegmentEncoder] = SegmentEncoder, width: int = WIDTH, reach: int = 32,
+    sentence: float = 4.0, inside: float = 16.0, stretch: int = 1 << 20, with_ids: bool = False
+) -> DataFrame:
     """One row per piece; with_ids adds the ids themselves (array of int)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,7 +207,9 @@ def packed(docs: DataFrame, encoder: Callable[[], SegmentEncoder] = SegmentEncod
         if held:
             yield flush()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, PIECES + ", ids array<int>" * with_ids)
+    return docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), "text"
+    ).mapInArrow(run, PIECES + ", ids array<int>" * with_ids)
 
 
 _made: dict[object, SegmentEncoder] = {}

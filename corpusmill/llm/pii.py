@@ -45,7 +45,10 @@ _NO_DIGIT = re.compile(r"[^0-9]+")
 #: How much less likely (in logs) personal data is in what fits no pattern, before its like speak for it.
 DOUBT = 4.0
 NEVER = -1e9
-FEATURES = ("one", "plus", "at", "spelled", "dots", "digits7", "digits8_15", "digits16_19", "digits20", "luhn", "parts4", "brackets", "spaces", "letter_before", "letter_after", "quote_before", "equals_before", "small_parts")
+FEATURES = (
+    "one", "plus", "at", "spelled", "dots", "digits7", "digits8_15", "digits16_19", "digits20", "luhn", "parts4", "brackets",
+    "spaces", "letter_before", "letter_after", "quote_before", "equals_before", "small_parts"
+)
 
 
 def luhn(digits: str) -> bool:
@@ -285,13 +288,21 @@ def found(docs: DataFrame, field: Field | None = None) -> DataFrame:
                 else:
                     base, spans = all_spans(text, field)
                     line = shown(base)
-                    row = (*(sum(k == x for k, _, _ in base) for x in KINDS), hashlib.sha256(line.encode()).hexdigest(), shown(spans), len(spans) - len(base))
+                    row = (
+                        *(sum(k == x for k, _, _ in base) for x in KINDS), hashlib.sha256(line.encode()).hexdigest(),
+                        shown(spans), len(spans) - len(base)
+                    )
                 for x, y in zip(out, row, strict=True):
                     x.append(y)
             kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.int64()]
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x, k) for x, k in zip(out, kinds, strict=True))], names=["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_added"])
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), *(pa.array(x, k) for x, k in zip(out, kinds, strict=True))],
+                names=["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_added"]
+            )
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {SPANS}, n_added long")
+    return docs.select("doc_id", "text").mapInArrow(
+        run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {SPANS}, n_added long"
+    )
 
 
 def masked(text: str, spans: list[tuple[str, int, int]]) -> str:
@@ -326,7 +337,9 @@ def redacted(docs: DataFrame, field: Field | None = None) -> DataFrame:
                 texts.append(text)
             columns[text_at] = pa.array(texts, pa.string())
             if chars_at is not None:
-                columns[chars_at] = pa.array([None if t is None else len(t) for t in texts], pa.int64()).cast(b.schema.field(chars_at).type)
+                columns[chars_at] = pa.array(
+                    [None if t is None else len(t) for t in texts], pa.int64()
+                ).cast(b.schema.field(chars_at).type)
             yield pa.RecordBatch.from_arrays(columns, names=b.schema.names)
 
     return docs.mapInArrow(run, docs.schema)

@@ -36,7 +36,13 @@ STATISTICS = (
     "distinct_lines log_line_bytes sentence_marks words_a_sentence one_letter_words long_words packed letters_entropy first_upper_after_mark bar_hash"
 ).split()
 _KIND = np.zeros(256, np.int64)
-for _name, _chars in enumerate((range(65, 91), range(97, 123), range(48, 58), (32, 9), (10, 13), b",.;:!?'\"-()", b"#$%&*+/<=>@[\\]^_`{|}~", range(128, 256)), 1):
+for _name, _chars in enumerate(
+    (
+        range(65, 91), range(97, 123), range(48, 58), (32, 9), (10, 13), b",.;:!?'\"-()", b"#$%&*+/<=>@[\\]^_`{|}~",
+        range(128, 256)
+    ),
+    1
+):
     for _c in _chars:
         _KIND[_c] = _name
 _MARKS = b".!?"
@@ -77,7 +83,9 @@ def document_statistics(docs: DataFrame, keep: tuple[str, ...]) -> DataFrame:
             stats = pa.array([statistics(x.as_py()) for x in b.column(len(keep))], pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], stats], names=[*keep, "stats"])
 
-    return docs.select(*keep, "text").mapInArrow(run, T.StructType([*(docs.schema[c] for c in keep), T.StructField("stats", T.ArrayType(T.DoubleType()))]))
+    return docs.select(*keep, "text").mapInArrow(
+        run, T.StructType([*(docs.schema[c] for c in keep), T.StructField("stats", T.ArrayType(T.DoubleType()))])
+    )
 
 
 def fourier(x: np.ndarray, features: int = FEATURES, seed: int = SEED) -> np.ndarray:
@@ -171,7 +179,11 @@ def fitted(rows: DataFrame, ridge: float = 1e-2) -> Model:
     got = _summed(fold[0], normal, size * size + size)
     gram, right = got[: size * size].reshape(size, size), got[size * size :]
     model.weights = np.linalg.solve(gram + ridge * max(1.0, n / 1000) * np.eye(size), right)
-    held = _summed(fold[1], lambda x, y: np.concatenate([np.bincount(bin_of(model.raw(x)), minlength=BINS), np.bincount(bin_of(model.raw(x)), y, BINS)]), 2 * BINS)
+    held = _summed(
+        fold[1], lambda x,
+        y: np.concatenate([np.bincount(bin_of(model.raw(x)), minlength=BINS), np.bincount(bin_of(model.raw(x)), y, BINS)]),
+        2 * BINS
+    )
     count, good = held[:BINS], held[BINS:]
     seen = np.flatnonzero(count)
     if len(seen):
@@ -201,9 +213,13 @@ def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             score = model.score(np.array(b.column(1).to_pylist(), float).reshape(-1, len(STATISTICS)))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], names=["doc_id", "score", "predicted"])
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], names=["doc_id", "score", "predicted"]
+            )
 
-    schema = T.StructType([stats.schema["doc_id"], T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
+    schema = T.StructType(
+        [stats.schema["doc_id"], T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]
+    )
     return stats.mapInArrow(run, schema).select("doc_id", held_out().alias("held_out"), "score", "predicted")
 
 

@@ -30,9 +30,15 @@ def lm_scores(spark, sf_dir) -> DataFrame:
 def packing_totals(spark, sf_dir) -> DataFrame:
     """Of op3_packing: pieces lie gapless in their documents, and sequences are gapless and not too long."""
     pieces = op3_packing(spark, sf_dir)
-    by_document = pieces.groupBy("doc_id").agg(F.sum("length").alias("n"), F.max("doc_tokens").alias("tokens"), F.min("start").alias("first"))
-    by_sequence = pieces.groupBy("sequence_id").agg(F.sum("length").alias("n"), F.max(F.col("offset") + F.col("length")).alias("end"))
-    documents = by_document.agg(F.count(F.lit(1)).alias("documents"), F.count(F.when(F.expr("n <> tokens OR first <> 0"), 1)).alias("broken"))
+    by_document = pieces.groupBy("doc_id").agg(
+        F.sum("length").alias("n"), F.max("doc_tokens").alias("tokens"), F.min("start").alias("first")
+    )
+    by_sequence = pieces.groupBy("sequence_id").agg(
+        F.sum("length").alias("n"), F.max(F.col("offset") + F.col("length")).alias("end")
+    )
+    documents = by_document.agg(
+        F.count(F.lit(1)).alias("documents"), F.count(F.when(F.expr("n <> tokens OR first <> 0"), 1)).alias("broken")
+    )
     return documents.crossJoin(by_sequence.agg(F.count(F.when(F.expr("n <> `end` OR n > 1024"), 1)).alias("overfull")))  # one row each
 
 
@@ -56,8 +62,13 @@ def mixing_targets(spark, sf_dir) -> DataFrame:
 
 def mixing_totals(spark, sf_dir) -> DataFrame:
     """Of op8_mixing, by target: whether the words taken are near it."""
-    sums = op8_mixing(spark, sf_dir).withColumn("source", F.struct("source_size", "target")).groupBy("source").agg(F.sum("taken").alias("taken"))
-    return sums.select(F.round("source.target", 4).alias("target"), (F.abs(F.col("taken") - F.col("source.target")) <= 0.01 * F.col("source.target") + 256).alias("near"))
+    sums = op8_mixing(spark, sf_dir).withColumn(
+        "source", F.struct("source_size", "target")
+    ).groupBy("source").agg(F.sum("taken").alias("taken"))
+    return sums.select(
+        F.round("source.target", 4).alias("target"),
+        (F.abs(F.col("taken") - F.col("source.target")) <= 0.01 * F.col("source.target") + 256).alias("near")
+    )
 
 
 def fingerprint_texts(spark, sf_dir) -> DataFrame:

@@ -62,10 +62,16 @@ def anchors(ends: np.ndarray, data: np.ndarray, length: int, k: int = K) -> tupl
         # a hash of the bytes from first to last + length, by sums of byte values times powers
         sums = np.concatenate([[U64(0)], np.cumsum(_BYTE[part] * _INVERSE[: len(part)])])
         size = last + length - first
-        span = mix((sums[last + length] - sums[first]) * _POWERS[first] + mix(size.astype(U64) * U64(256) + (at[first] - first).astype(U64)))
+        span = mix(
+            (sums[last + length] - sums[first]) * _POWERS[first] + mix(
+                size.astype(U64) * U64(256) + (at[first] - first).astype(U64)
+            )
+        )
         for x, y in zip(out, (at[first] + a, first + a, last + a, name[at[first]], span), strict=True):
             x.append(y)
-    return tuple(np.concatenate(x) if x else np.zeros(0, t) for x, t in zip(out, (np.int64, np.int64, np.int64, U64, U64), strict=True))
+    return tuple(
+        np.concatenate(x) if x else np.zeros(0, t) for x, t in zip(out, (np.int64, np.int64, np.int64, U64, U64), strict=True)
+    )
 
 
 def _anchored(docs: DataFrame, length: int, buckets: int) -> DataFrame:
@@ -92,10 +98,16 @@ def _anchored(docs: DataFrame, length: int, buckets: int) -> DataFrame:
                     if not len(mine):
                         continue
                     used, own = np.unique(doc[mine], return_inverse=True)
-                    row = (i, ids[used].tobytes(), marks[used].tobytes(), ((name[mine] & ~U64(0xFFFF)) | own.astype(U64)).tobytes(), span[mine].tobytes(), place[mine].tobytes(), reach[mine].tobytes())
+                    row = (
+                        i, ids[used].tobytes(), marks[used].tobytes(), ((name[mine] & ~U64(0xFFFF)) | own.astype(U64)).tobytes(),
+                        span[mine].tobytes(), place[mine].tobytes(), reach[mine].tobytes()
+                    )
                     for x, y in zip(out, row, strict=True):
                         x.append(y)
-                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), *(pa.array(x, pa.binary()) for x in out[1:])], names=["bucket", "ids", "marks", "key", "span", "place", "reach"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(out[0], pa.int32()), *(pa.array(x, pa.binary()) for x in out[1:])],
+                    names=["bucket", "ids", "marks", "key", "span", "place", "reach"]
+                )
 
     return docs.mapInArrow(run, "bucket int, ids binary, marks binary, key binary, span binary, place binary, reach binary")
 
@@ -139,8 +151,13 @@ def _by_document(left: pa.Table, right: pa.Table) -> Iterator[tuple[int, int, in
     ids, marks = right.column("doc_id").to_numpy(), right.column("mark").to_numpy()
     order = np.lexsort((marks, ids))
     ids, marks = ids[order], marks[order]
-    edge = np.flatnonzero(np.concatenate([[True], (ids[1:] != ids[:-1]) | (marks[1:] != marks[:-1])])) if len(ids) else np.zeros(0, int)
-    where = {(i, m): order[a:b] for i, m, a, b in zip(ids[edge].tolist(), marks[edge].tolist(), edge.tolist(), [*edge.tolist(), len(ids)][1:], strict=True)}
+    edge = np.flatnonzero(
+        np.concatenate([[True], (ids[1:] != ids[:-1]) | (marks[1:] != marks[:-1])])
+    ) if len(ids) else np.zeros(0, int)
+    where = {
+        (i, m): order[a:b] for i, m, a,
+        b in zip(ids[edge].tolist(), marks[edge].tolist(), edge.tolist(), [*edge.tolist(), len(ids)][1:], strict=True)
+    }
     none = order[:0]
     for row, (i, m) in enumerate(zip(left.column("doc_id").to_pylist(), left.column("mark").to_pylist(), strict=True)):
         yield row, i, m, where.get((i, m), none)
@@ -161,7 +178,12 @@ def _spans(length: int):
                     rows.append((i, m, j))
                     spans.append(raw[place[j] : place[j] + reach[j] + length])
         at = np.array([r[2] for r in rows], np.int64)
-        return pa.table({"name": name[at], "doc_id": pa.array([r[0] for r in rows], pa.int64()), "mark": pa.array([r[1] for r in rows], pa.int64()), "place": place[at], "span": pa.array(spans, pa.binary())})
+        return pa.table(
+            {
+                "name": name[at], "doc_id": pa.array([r[0] for r in rows], pa.int64()),
+                "mark": pa.array([r[1] for r in rows], pa.int64()), "place": place[at], "span": pa.array(spans, pa.binary())
+            }
+        )
 
     return run
 
@@ -273,7 +295,13 @@ def _removed(length: int):
             kept.update(raw[at:])
             for c, v in zip(out, (shown[row], len(raw), gone, spans, kept.hexdigest()), strict=True):
                 out[c].append(v)
-        return pa.table({"doc_id": pa.array(out["doc_id"], pa.int64()), **{c: pa.array(out[c], pa.int64()) for c in ("n_bytes", "n_removed", "n_spans")}, "kept_sha256": out["kept_sha256"]})
+        return pa.table(
+            {
+                "doc_id": pa.array(out["doc_id"], pa.int64()),
+                **{c: pa.array(out[c], pa.int64()) for c in ("n_bytes", "n_removed", "n_spans")},
+                "kept_sha256": out["kept_sha256"]
+            }
+        )
 
     return run
 
@@ -283,24 +311,33 @@ def without_repeats(docs: DataFrame, length: int = 100, block_bytes: int = 6 <<
     if not K + 8 <= length <= 250:
         raise ValueError("length must lie between 40 and 250 bytes")
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("shown"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    docs = docs.select(
+        F.col("doc_id").cast("long").alias("shown"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("doc_id"),
+        F.coalesce("text", F.lit("")).alias("text")
+    )
     docs = docs.select("shown", "doc_id", F.xxhash64("text").alias("mark"), "text")
     total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(total / 16e6), 1)
     blocks = max(1, int(total // block_bytes))
-    met = _anchored(docs.select("doc_id", "mark", "text"), length, buckets).groupBy("bucket").applyInArrow(_sorted_out, "doc_id long, mark long, place long, reach int, name long, spans long, sure boolean")
+    met = _anchored(docs.select("doc_id", "mark", "text"), length, buckets).groupBy("bucket").applyInArrow(
+        _sorted_out, "doc_id long, mark long, place long, reach int, name long, spans long, sure boolean"
+    )
     met = stored(met, "anchors")
     block = F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).alias("block")
     asked = met.filter("NOT sure")
     texts = docs.select(block, "shown", "doc_id", "mark", "text")
-    spans = texts.groupBy("block").cogroup(asked.select(block, "doc_id", "mark", "place", "reach", "name").groupBy("block")).applyInArrow(_spans(length), "name long, doc_id long, mark long, place long, span binary")
+    spans = texts.groupBy("block").cogroup(
+        asked.select(block, "doc_id", "mark", "place", "reach", "name").groupBy("block")
+    ).applyInArrow(_spans(length), "name long, doc_id long, mark long, place long, span binary")
     spans = stored(spans, "spans")
     # how many anchors share a name is known from the meeting: spans
     frequent = asked.filter(F.col("spans") > hot).select("name").distinct()
     usual = spans.join(frequent, "name", "left_anti")
     n = max(1, asked.count() // 30_000)
     found = usual.groupBy(F.pmod(F.xxhash64("name"), F.lit(n)).alias("part")).applyInArrow(_resolved(length), _PIECES)
-    pieces = met.filter("sure").select("doc_id", "mark", F.col("place").alias("start"), (F.col("place") + F.col("reach") + length).alias("stop")).unionByName(found)
+    pieces = met.filter("sure").select(
+        "doc_id", "mark", F.col("place").alias("start"), (F.col("place") + F.col("reach") + length).alias("stop")
+    ).unionByName(found)
     if frequent.limit(1).count():
 
         def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -310,15 +347,22 @@ def without_repeats(docs: DataFrame, length: int = 100, block_bytes: int = 6 <<
                     data, row, place, at = _windows(few, length)
                     raw = data.tobytes()
                     windows = pa.array([raw[x : x + length] for x in at.tolist()], pa.binary())
-                    yield pa.RecordBatch.from_arrays([few.column(k).take(pa.array(row)) for k in (0, 1)] + [pa.array(place), windows], names=["doc_id", "mark", "start", "window"])
+                    yield pa.RecordBatch.from_arrays(
+                        [few.column(k).take(pa.array(row)) for k in (0, 1)] + [pa.array(place), windows],
+                        names=["doc_id", "mark", "start", "window"]
+                    )
 
         many = spans.join(frequent, "name", "left_semi").select("doc_id", "mark", "place", "span")
         windows = many.mapInArrow(opened, "doc_id long, mark long, start long, window binary")
-        first = windows.groupBy("window").agg(F.min(F.struct("doc_id", "mark", "start")).alias("least"), F.count(F.lit(1)).alias("many")).filter("many > 1")
+        first = windows.groupBy("window").agg(
+            F.min(F.struct("doc_id", "mark", "start")).alias("least"), F.count(F.lit(1)).alias("many")
+        ).filter("many > 1")
         repeats = windows.join(first, "window").filter(F.struct("doc_id", "mark", "start") != F.col("least"))
         pieces = pieces.unionByName(repeats.select("doc_id", "mark", "start", (F.col("start") + length).alias("stop")))
     cut = pieces.select(block, "doc_id", "mark", "start", "stop").groupBy("block")
-    return texts.groupBy("block").cogroup(cut).applyInArrow(_removed(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return texts.groupBy("block").cogroup(cut).applyInArrow(
+        _removed(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+    )
 
 
 def op4_suffix(spark, sf_dir):

@@ -94,7 +94,9 @@ def anchors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
             yield pa.RecordBatch.from_pydict({"doc_id": b.column(0).take(pa.array(row)), "start": at, "anchor": h.view(np.int64)})
 
     kind = docs.schema[id_col].dataType
-    schema = T.StructType([T.StructField("doc_id", kind), T.StructField("start", T.LongType()), T.StructField("anchor", T.LongType())])
+    schema = T.StructType(
+        [T.StructField("doc_id", kind), T.StructField("start", T.LongType()), T.StructField("anchor", T.LongType())]
+    )
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
 
 
@@ -105,12 +107,16 @@ def located(passages: DataFrame, docs: DataFrame, least: float = 0.5, most_broad
     places with `least` of the passage's anchors are returned. Anchors of passages are counted, and broadcast up to
     `most_broadcast`. Passages without text are nowhere; a null id is an id like others.
     """
-    asked = anchors(passages.select(F.col("item_id").alias("doc_id"), "text")).select(F.col("doc_id").alias("item_id"), F.col("start").alias("inside"), "anchor")
+    asked = anchors(passages.select(F.col("item_id").alias("doc_id"), "text")).select(
+        F.col("doc_id").alias("item_id"), F.col("start").alias("inside"), "anchor"
+    )
     asked = asked.withColumn("of", F.count(F.lit(1)).over(Window.partitionBy("item_id")))  # a passage's anchors are few
     known = F.broadcast(asked) if asked.limit(most_broadcast + 1).count() <= most_broadcast else asked
     met = anchors(docs).join(known, "anchor").withColumn("start", F.col("start") - F.col("inside"))
     found = met.groupBy("item_id", "doc_id", "start").agg(F.countDistinct("inside").alias("anchors"), F.first("of").alias("of"))
-    return found.select("item_id", "doc_id", "start", "anchors", F.round(F.col("anchors") / F.col("of"), 6).alias("share")).filter(F.col("share") >= least)
+    return found.select(
+        "item_id", "doc_id", "start", "anchors", F.round(F.col("anchors") / F.col("of"), 6).alias("share")
+    ).filter(F.col("share") >= least)
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -178,11 +184,15 @@ def _placed(docs: DataFrame, ranges: Ranges, columns: list[str], heads: dict[tup
             part = ranges.of(ids, marks)
             flags = np.zeros(len(ids), np.int32)
             if heads is not None:
-                extra = np.array([i for i, x in enumerate(zip(ids.tolist(), marks.tolist(), strict=True)) if x in heads], np.int64)
+                extra = np.array(
+                    [i for i, x in enumerate(zip(ids.tolist(), marks.tolist(), strict=True)) if x in heads], np.int64
+                )
                 to = np.array([heads[ids[i], marks[i]] for i in extra.tolist()], np.int64)
                 part, flags = np.concatenate([part, to]), np.concatenate([flags, np.ones(len(extra), np.int32)])
                 b = b.take(pa.array(np.concatenate([np.arange(len(ids)), extra])))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(part.astype(np.int32)), pa.array(flags)], names=[*columns, "part", "head"])
+            yield pa.RecordBatch.from_arrays(
+                [*b.columns, pa.array(part.astype(np.int32)), pa.array(flags)], names=[*columns, "part", "head"]
+            )
 
     added = [T.StructField("part", T.IntegerType()), T.StructField("head", T.IntegerType())]
     return docs.select(*columns).mapInArrow(run, T.StructType([*(docs.schema[c] for c in columns), *added]))
@@ -201,7 +211,10 @@ def compared(docs: DataFrame, part_bytes: int = 8 << 20) -> DataFrame:
     cut as others are. The driver sees those keys (16 bytes each) and the heads of the ranges only.
     """
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("mark"), F.coalesce("text", F.lit("")).alias("text"))
+    docs = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("mark"),
+        F.coalesce("text", F.lit("")).alias("text")
+    )
     total, n = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count(F.lit(1))).first()
     if not n:
         return spark.createDataFrame([], EDITED)
@@ -210,11 +223,15 @@ def compared(docs: DataFrame, part_bytes: int = 8 << 20) -> DataFrame:
     ranges = Ranges([])
     if parts > 1:
         every = max(1, n // (PER_RANGE * parts))
-        chosen = docs.select(*key).filter(F.pmod(F.xxhash64("k", "mark"), F.lit(every)) == 0).toArrow().sort_by([("k", "ascending"), ("mark", "ascending")])
+        chosen = docs.select(*key).filter(
+            F.pmod(F.xxhash64("k", "mark"), F.lit(every)) == 0
+        ).toArrow().sort_by([("k", "ascending"), ("mark", "ascending")])
         at = np.unique(np.linspace(0, len(chosen), parts + 1).astype(np.int64)[1:-1])
         picked = chosen.take(pa.array(at[at < len(chosen)]))
         ranges = Ranges(list(zip(picked.column("k").to_pylist(), picked.column("mark").to_pylist(), strict=True)))
-    tops = _placed(docs, ranges, ["doc_id", "mark"]).select("part", F.struct(*key).alias("top")).groupBy("part").agg(F.min("top").alias("top")).collect()
+    tops = _placed(docs, ranges, ["doc_id", "mark"]).select(
+        "part", F.struct(*key).alias("top")
+    ).groupBy("part").agg(F.min("top").alias("top")).collect()
     order = sorted((r["part"], tuple(r["top"])) for r in tops)
     heads = {top: order[i - 1][0] for i, (_, top) in enumerate(order)}
     return _placed(docs, ranges, ["doc_id", "mark", "text"], heads).groupBy("part").applyInArrow(_compare, EDITED)

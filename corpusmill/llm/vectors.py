@@ -66,7 +66,9 @@ def _described(rows: DataFrame, bits: int, clashing: frozenset[int]) -> DataFram
 
 def _nodes(described: DataFrame) -> DataFrame:
     """One row a label and vector: the least vec_id, how many there are, the vector and its length."""
-    sums = [F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("weight"), F.min("check").alias("low"), F.max("check").alias("high")]
+    sums = [
+        F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("weight"), F.min("check").alias("low"), F.max("check").alias("high")
+    ]
     nodes = described.filter("node IS NOT NULL").groupBy("label", "node").agg(*sums, F.first("vec").alias("vec"))
     return nodes.withColumn("dim", (F.octet_length("vec") / 8).cast("int"))
 
@@ -102,7 +104,9 @@ def _reached(far: np.ndarray, centres: np.ndarray, radius: float) -> np.ndarray:
     """
     own = far.argmin(1)
     here, back = np.unique(own, return_inverse=True)
-    apart = np.sqrt(((centres[here][:, None, :] - centres[None, :, :]) ** 2).sum(-1)) if len(here) else np.zeros((0, len(centres)))
+    apart = np.sqrt(
+        ((centres[here][:, None, :] - centres[None, :, :]) ** 2).sum(-1)
+    ) if len(here) else np.zeros((0, len(centres)))
     return far - far[np.arange(len(far)), own][:, None] <= 2 * radius * apart[back] + 1e-9
 
 
@@ -250,14 +254,20 @@ def _indexes(nodes: DataFrame, cosine: float, sample: int, lists: int | None) ->
     return out
 
 
-def near_duplicates(rows: DataFrame, cosine: float = 0.98, sample: int = 20_000, lists: int | None = None, block: int = 2048, node_bits: int = 64) -> DataFrame:
+def near_duplicates(
+    rows: DataFrame, cosine: float = 0.98, sample: int = 20_000, lists: int | None = None, block: int = 2048, node_bits: int = 64
+) -> DataFrame:
     """rows(vec_id, embedding, label) -> vec_id, n_links, component_id, kept. node_bits below 64 makes hashes clash (for tests)."""
     rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), "label", "embedding")
     described = stored(_described(rows, node_bits, frozenset()), "vectors")
     kind = described.schema["label"].dataType.simpleString()
     nodes = stored(_nodes(described), "nodes")
     # hashes that different vectors share: about n * n / 2^65 of n
-    clashing = frozenset(r["node"] for r in nodes.groupBy("node").agg(F.min("low").alias("low"), F.max("high").alias("high")).filter("low <> high").collect())
+    clashing = frozenset(
+        r["node"] for r in nodes.groupBy("node").agg(
+            F.min("low").alias("low"), F.max("high").alias("high")
+        ).filter("low <> high").collect()
+    )
     if clashing:
         described = stored(_described(rows, node_bits, clashing), "vectors")
         nodes = stored(_nodes(described), "nodes")
@@ -275,30 +285,60 @@ def near_duplicates(rows: DataFrame, cosine: float = 0.98, sample: int = 20_000,
                 own[at], found = index_of(dim).assigned(unit([raw[i] for i in at]))
                 for i, p in zip(at, found, strict=True):
                     probes[i] = p
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(own), pa.array(probes, pa.list_(pa.int32()))], names=["label", "node", "weight", "vec", "own", "probes"])
-
-    placed = stored(nodes.select("label", "node", "weight", "vec").mapInArrow(assign, f"label {kind}, node long, weight long, vec binary, own int, probes array<int>"), "lists")
+            yield pa.RecordBatch.from_arrays(
+                [*b.columns, pa.array(own), pa.array(probes, pa.list_(pa.int32()))],
+                names=["label", "node", "weight", "vec", "own", "probes"]
+            )
+
+    placed = stored(
+        nodes.select("label", "node", "weight", "vec").mapInArrow(
+            assign, f"label {kind}, node long, weight long, vec binary, own int, probes array<int>"
+        ),
+        "lists"
+    )
     size = F.octet_length("vec").alias("bytes")
     members = placed.groupBy("label", F.col("own").alias("list"), size).agg(F.count(F.lit(1)).alias("members"))
-    asking = placed.select("label", F.explode("probes").alias("list"), size).groupBy("label", "list", "bytes").agg(F.count(F.lit(1)).alias("asking"))
-    cells = members.join(asking, ["label", "list", "bytes"]).select("label", "list", "bytes", F.ceil(F.col("members") / block).cast("int").alias("nm"), F.ceil(F.col("asking") / block).cast("int").alias("nq"))
+    asking = placed.select(
+        "label", F.explode("probes").alias("list"), size
+    ).groupBy("label", "list", "bytes").agg(F.count(F.lit(1)).alias("asking"))
+    cells = members.join(asking, ["label", "list", "bytes"]).select(
+        "label", "list", "bytes", F.ceil(F.col("members") / block).cast("int").alias("nm"),
+        F.ceil(F.col("asking") / block).cast("int").alias("nq")
+    )
     cells = stored(cells, "cells")
     turn = F.xxhash64("node")
     base = placed.select("label", "node", "weight", "vec", "own", "probes", size)
-    q = base.select("label", "node", "weight", "vec", "own", "bytes", F.explode("probes").alias("list")).join(cells, ["label", "list", "bytes"])
-    q = q.select("label", "list", "bytes", F.pmod(turn, "nq").cast("int").alias("qb"), F.explode(F.sequence(F.lit(0), F.col("nm") - 1)).alias("mb"), F.lit(0).alias("role"), "node", "weight", "own", "vec")
+    q = base.select(
+        "label", "node", "weight", "vec", "own", "bytes", F.explode("probes").alias("list")
+    ).join(cells, ["label", "list", "bytes"])
+    q = q.select(
+        "label", "list", "bytes", F.pmod(turn, "nq").cast("int").alias("qb"),
+        F.explode(F.sequence(F.lit(0), F.col("nm") - 1)).alias("mb"), F.lit(0).alias("role"), "node", "weight", "own", "vec"
+    )
     m = base.withColumn("list", F.col("own")).join(cells, ["label", "list", "bytes"])
-    m = m.select("label", "list", "bytes", F.explode(F.sequence(F.lit(0), F.col("nq") - 1)).alias("qb"), F.pmod(turn, "nm").cast("int").alias("mb"), F.lit(1).alias("role"), "node", "weight", "own", "vec")
-    found = q.unionByName(m).groupBy("label", "list", "bytes", "qb", "mb").applyInArrow(_searched(index_of, cosine), "node long, links long, root long")
+    m = m.select(
+        "label", "list", "bytes", F.explode(F.sequence(F.lit(0), F.col("nq") - 1)).alias("qb"),
+        F.pmod(turn, "nm").cast("int").alias("mb"), F.lit(1).alias("role"), "node", "weight", "own", "vec"
+    )
+    found = q.unionByName(m).groupBy("label", "list", "bytes", "qb", "mb").applyInArrow(
+        _searched(index_of, cosine), "node long, links long, root long"
+    )
     found = stored(found, "links")
     counts = found.groupBy("node").agg(F.sum("links").alias("others"))
     joined = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
-    labelled = nodes.select("node", "rep", "weight").join(counts, "node", "left").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    labelled = nodes.select("node", "rep", "weight").join(counts, "node", "left").join(joined, "node", "left").withColumn(
+        "component", F.coalesce("component", "node")
+    )
     least = labelled.groupBy("component").agg(F.min("rep").alias("least"))
-    labelled = labelled.join(least, "component").select("node", (F.coalesce("others", F.lit(0)) + F.col("weight") - 1).alias("n_links"), "least")
+    labelled = labelled.join(least, "component").select(
+        "node", (F.coalesce("others", F.lit(0)) + F.col("weight") - 1).alias("n_links"), "least"
+    )
     out = described.select("vec_id", "node").join(labelled, "node", "left")
     component = F.when(F.col("node").isNull(), F.col("vec_id")).otherwise(F.col("least"))
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"))
+    return out.select(
+        "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"),
+        F.col("vec_id").eqNullSafe(component).alias("kept")
+    )
 
 
 def op2_vectors(spark, sf_dir):

@@ -43,7 +43,9 @@ def lcs_length(a: list, b: list) -> int:
 
 @F.pandas_udf(T.LongType())
 def lcs(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([0 if x is None or y is None else lcs_length(list(x), list(y)) for x, y in zip(a, b, strict=True)], dtype="int64")
+    return pd.Series(
+        [0 if x is None or y is None else lcs_length(list(x), list(y)) for x, y in zip(a, b, strict=True)], dtype="int64"
+    )
 
 
 @F.pandas_udf(T.DoubleType())

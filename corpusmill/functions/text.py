@@ -19,7 +19,9 @@ BINARY_HEADERS = ("JFIF", "Exif", "Photoshop", "XMP", "%PDF", "\x00\x00")
 SYMBOLS = "#…•|©®™"
 #: White space of Unicode, as a class that Java and RE2 read alike, without its brackets; and its characters.
 WHITE = r"\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
-_WHITE_CHARS = "".join(map(chr, [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+_WHITE_CHARS = "".join(
+    map(chr, [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])
+)
 TERMINALS = "।॥?!"
 
 
@@ -149,7 +151,9 @@ def _runs(tokens: Column, n: int, of: Callable[[Column], Column], kind: str) ->
 
     def every(w: Column) -> Column:
         starts = F.sequence(F.lit(1), F.greatest(F.size(w) - (n - 1), F.lit(1)))
-        return F.when(F.size(w) >= n, F.transform(starts, lambda i: of(F.slice(w, i, F.lit(n))))).otherwise(F.array().cast(f"array<{kind}>"))
+        return F.when(
+            F.size(w) >= n, F.transform(starts, lambda i: of(F.slice(w, i, F.lit(n))))
+        ).otherwise(F.array().cast(f"array<{kind}>"))
 
     return let(tokens, every)
 
@@ -169,7 +173,9 @@ def shingles(c: Column, k: int = 5, stride: int = 2) -> Column:
 
     def of(chars: Column) -> Column:
         last = F.greatest(F.size(chars) - k, F.lit(0))
-        return F.array_distinct(F.transform(F.sequence(F.lit(0), last, F.lit(stride)), lambda i: F.array_join(F.slice(chars, i + 1, F.lit(k)), "")))
+        return F.array_distinct(
+            F.transform(F.sequence(F.lit(0), last, F.lit(stride)), lambda i: F.array_join(F.slice(chars, i + 1, F.lit(k)), ""))
+        )
 
     return let(F.filter(F.split(c, ""), lambda x: x != ""), of)
 
@@ -200,7 +206,9 @@ def terminal_fraction(c: Column, own: Column, script: Script = LATIN) -> Column:
 
 
 def symbol_ratio(c: Column, tokens: Column) -> Column:
-    return F.when(F.size(tokens) > 0, (F.length(c) - F.length(F.translate(c, SYMBOLS, ""))) / F.size(tokens)).otherwise(F.lit(1.0))
+    return F.when(
+        F.size(tokens) > 0, (F.length(c) - F.length(F.translate(c, SYMBOLS, ""))) / F.size(tokens)
+    ).otherwise(F.lit(1.0))
 
 
 def repeated_line_fraction(own: Column) -> Column:
@@ -261,7 +269,9 @@ def group_key(source: Column, url: Column, content_id: Column) -> Column:
     """source|YYYY-MM from a date in the URL's path, else source|bucket-XX by content."""
     year, month = (F.regexp_extract(url, r"/(20\d{2})[/-](\d{1,2})[/-]", i) for i in (1, 2))
     dated = F.concat(source, F.lit("|"), year, F.lit("-"), F.lpad(month, 2, "0"))
-    return F.when(F.coalesce(year, F.lit("")) != "", dated).otherwise(F.concat(source, F.lit("|bucket-"), F.substring(content_id, 1, 2)))
+    return F.when(F.coalesce(year, F.lit("")) != "", dated).otherwise(
+        F.concat(source, F.lit("|bucket-"), F.substring(content_id, 1, 2))
+    )
 
 
 def split_of(key: Column, val: float = 0.1, test: float = 0.1, salt: str = "lma") -> Column:
@@ -281,7 +291,9 @@ def run_lengths(items: Column) -> Column:
 
     def of(x: Column) -> Column:
         places = F.sequence(F.lit(1), F.size(x))
-        starts = F.filter(places, lambda i: (i == 1) | (F.try_element_at(x, i) != F.try_element_at(x, F.greatest(i - 1, F.lit(1)))))
+        starts = F.filter(
+            places, lambda i: (i == 1) | (F.try_element_at(x, i) != F.try_element_at(x, F.greatest(i - 1, F.lit(1))))
+        )
         ends = lambda s: F.concat(F.slice(s, F.lit(2), F.size(s)), F.array(F.size(x) + 1))
         return let(starts, lambda s: F.zip_with(s, ends(s), lambda a, b: b - a))
 

@@ -19,26 +19,34 @@ def source_type(source: Column) -> Column:
 
 def quality_report(docs: DataFrame, thresholds: X.Thresholds = X.Thresholds(), script: X.Script = X.LATIN) -> DataFrame:
     """source, reason (null: kept), docs."""
-    return docs.select("source", X.reject_reason(F.col("text"), thresholds, script).alias("reason")).groupBy("source", "reason").agg(F.count(F.lit(1)).alias("docs"))
+    return docs.select(
+        "source", X.reject_reason(F.col("text"), thresholds, script).alias("reason")
+    ).groupBy("source", "reason").agg(F.count(F.lit(1)).alias("docs"))
 
 
 def survival(docs: DataFrame, thresholds: X.Thresholds = X.Thresholds(), script: X.Script = X.LATIN) -> DataFrame:
     """source, total, kept, survival_rate."""
     kept = F.sum(F.when(F.col("reason").isNull(), F.col("docs")).otherwise(0))
     total = F.sum("docs")
-    return quality_report(docs, thresholds, script).groupBy("source").agg(total.alias("total"), kept.alias("kept"), F.round(kept / total, 4).alias("survival_rate"))
+    return quality_report(docs, thresholds, script).groupBy("source").agg(
+        total.alias("total"), kept.alias("kept"), F.round(kept / total, 4).alias("survival_rate")
+    )
 
 
 def line_frequency(docs: DataFrame, least: int = 3) -> DataFrame:
     """source, line, df: in how many of a source's documents a stripped line of at least `least` characters stands."""
-    lines = docs.select("source", F.explode(F.array_distinct(X.lines(F.col("text")))).alias("line")).filter(F.length("line") >= least)
+    lines = docs.select(
+        "source", F.explode(F.array_distinct(X.lines(F.col("text")))).alias("line")
+    ).filter(F.length("line") >= least)
     return lines.groupBy("source", "line").agg(F.count(F.lit(1)).alias("df"))
 
 
 def blocklist(docs: DataFrame, share: float = 0.01, least: int = 2) -> DataFrame:
     """source, line, df: lines in at least max(least, floor(share * documents)) documents of their source."""
     sizes = docs.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
-    return line_frequency(docs).join(sizes, "source").filter(F.col("df") >= F.greatest(F.lit(least), F.floor(F.col("n") * share))).select("source", "line", "df")
+    return line_frequency(docs).join(sizes, "source").filter(
+        F.col("df") >= F.greatest(F.lit(least), F.floor(F.col("n") * share))
+    ).select("source", "line", "df")
 
 
 def without_boilerplate(docs: DataFrame, blocked: DataFrame, most_bytes: int = 1 << 20) -> DataFrame:
@@ -54,10 +62,17 @@ def without_boilerplate(docs: DataFrame, blocked: DataFrame, most_bytes: int = 1
 
         def rest(raw: Column) -> Column:
             own = F.array_intersect(F.transform(raw, X.strip), F.coalesce("blocked", none))
-            return X.let(own, lambda met: F.when(F.size(met) == 0, raw).otherwise(F.filter(raw, lambda line: ~F.array_contains(met, X.strip(line)))))
+            return X.let(
+                own,
+                lambda met: F.when(F.size(met) == 0, raw).otherwise(
+                    F.filter(raw, lambda line: ~F.array_contains(met, X.strip(line)))
+                )
+            )
 
         joined = docs.join(F.broadcast(lists), "source", "left")
-        return joined.select("doc_id", "source", F.array_join(X.let(F.split("text", "\n"), rest), "\n").alias("text")).filter("text <> ''")
+        return joined.select(
+            "doc_id", "source", F.array_join(X.let(F.split("text", "\n"), rest), "\n").alias("text")
+        ).filter("text <> ''")
     numbered = docs.select(F.monotonically_increasing_id().alias("_row"), "doc_id", "source", "text")  # before lines are rows
     lines = numbered.select("_row", "doc_id", "source", F.posexplode(F.split("text", "\n")).alias("place", "raw"))
     kept = lines.withColumn("line", X.strip(F.col("raw"))).join(blocked.select("source", "line"), ["source", "line"], "left_anti")
@@ -72,7 +87,9 @@ def exact_first(docs: DataFrame, key: str, order: list[str]) -> DataFrame:
     fetch them afterwards.
     """
     rest = [c for c in docs.columns if c != key]
-    return docs.groupBy(key).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_first")).select(*(F.col(f"_first.{c}") if c != key else F.col(c) for c in docs.columns))
+    return docs.groupBy(key).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_first")).select(
+        *(F.col(f"_first.{c}") if c != key else F.col(c) for c in docs.columns)
+    )
 
 
 def signatures(docs: DataFrame, id_col: str = "doc_id", seeds: int = PERMUTATIONS) -> DataFrame:
@@ -81,7 +98,9 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", seeds: int = PERMUTATION
     A document's shingles are exploded and aggregated in one task; one row a document is shuffled.
     """
     shingle = F.explode(X.shingles(F.col("text"))).alias("s")
-    hashed = docs.select(id_col, shingle).select(id_col, (F.conv(F.substring(F.md5("s"), 1, 8), 16, 10).cast("long") % PRIME).alias("h"))
+    hashed = docs.select(id_col, shingle).select(
+        id_col, (F.conv(F.substring(F.md5("s"), 1, 8), 16, 10).cast("long") % PRIME).alias("h")
+    )
     mins = [F.min((F.col("h") * a + b) % PRIME).alias(f"m{i}") for i, (a, b) in enumerate(affine(seeds))]
     return hashed.groupBy(id_col).agg(*mins).select(id_col, F.array(*(f"m{i}" for i in range(seeds))).alias("sig"))
 
@@ -93,7 +112,13 @@ def affine(n: int) -> list[tuple[int, int]]:
 
 def banded(sig: DataFrame, id_col: str = "doc_id", bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """id, band, key."""
-    keys = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda b: F.struct(b.alias("band"), F.md5(F.array_join(F.transform(F.slice("sig", b * rows + 1, rows), lambda x: x.cast("string")), ",")).alias("key")))
+    keys = F.transform(
+        F.sequence(F.lit(0), F.lit(bands - 1)),
+        lambda b: F.struct(
+            b.alias("band"),
+            F.md5(F.array_join(F.transform(F.slice("sig", b * rows + 1, rows), lambda x: x.cast("string")), ",")).alias("key")
+        )
+    )
     return sig.select(id_col, F.explode(keys).alias("k")).select(id_col, "k.band", "k.key")
 
 
@@ -102,7 +127,9 @@ def candidate_pairs(sig: DataFrame, id_col: str = "doc_id") -> DataFrame:
     keys = banded(sig, id_col)
     many = keys.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("band", "key")
     keys = keys.join(many, ["band", "key"], "left_semi")
-    return keys.select("band", "key", F.col(id_col).alias("a")).join(keys.select("band", "key", F.col(id_col).alias("b")), ["band", "key"]).filter("a < b").select("a", "b").distinct()
+    return keys.select("band", "key", F.col(id_col).alias("a")).join(
+        keys.select("band", "key", F.col(id_col).alias("b")), ["band", "key"]
+    ).filter("a < b").select("a", "b").distinct()
 
 
 def greedy_kept(nodes: DataFrame, pairs: DataFrame, checkpoint) -> DataFrame:
@@ -116,19 +143,29 @@ def greedy_kept(nodes: DataFrame, pairs: DataFrame, checkpoint) -> DataFrame:
     while open_pairs.limit(1).count():
         ends = open_pairs.select(F.col("a").alias("id")).distinct()
         new_kept = ends.join(open_pairs.select(F.col("b").alias("id")).distinct(), "id", "left_anti")
-        new_dropped = open_pairs.join(new_kept.withColumnRenamed("id", "a"), "a", "left_semi").select(F.col("b").alias("id")).distinct()
+        new_dropped = open_pairs.join(
+            new_kept.withColumnRenamed("id", "a"), "a", "left_semi"
+        ).select(F.col("b").alias("id")).distinct()
         new_dropped = checkpoint(new_dropped)
         dropped = new_dropped if dropped is None else dropped.unionByName(new_dropped)
         gone = new_dropped.unionByName(new_kept)
-        open_pairs = checkpoint(open_pairs.join(gone.withColumnRenamed("id", "a"), "a", "left_anti").join(gone.withColumnRenamed("id", "b"), "b", "left_anti"))
+        open_pairs = checkpoint(
+            open_pairs.join(
+                gone.withColumnRenamed("id", "a"), "a", "left_anti"
+            ).join(gone.withColumnRenamed("id", "b"), "b", "left_anti")
+        )
         kept = new_kept
-    return nodes if dropped is None else nodes.join(dropped.distinct().withColumnRenamed("id", nodes.columns[0]), nodes.columns[0], "left_anti")
+    return nodes if dropped is None else nodes.join(
+        dropped.distinct().withColumnRenamed("id", nodes.columns[0]), nodes.columns[0], "left_anti"
+    )
 
 
 def cross_collisions(a: DataFrame, b: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """(ida, idb) of documents of two corpora that meet in a band."""
     left, right = banded(signatures(a, id_col), id_col), banded(signatures(b, id_col), id_col)
-    return left.withColumnRenamed(id_col, "id_a").join(right.withColumnRenamed(id_col, "id_b"), ["band", "key"]).select("id_a", "id_b").distinct()
+    return left.withColumnRenamed(id_col, "id_a").join(
+        right.withColumnRenamed(id_col, "id_b"), ["band", "key"]
+    ).select("id_a", "id_b").distinct()
 
 
 def cross_met(a: DataFrame, b: DataFrame, id_col: str = "doc_id") -> tuple[DataFrame, DataFrame]:
@@ -164,7 +201,12 @@ def assert_no_empty_split(stats: DataFrame, names: tuple[str, ...] = ("train", "
     """stats(split, docs) for every split; fails when it is run if one has no documents."""
     want = stats.sparkSession.createDataFrame([(n,) for n in names], "split string")
     found = want.join(stats, "split", "left")
-    return found.withColumn("docs", F.when(F.coalesce("docs", F.lit(0)) == 0, F.raise_error(F.concat(F.lit("empty split: "), "split")).cast("long")).otherwise(F.col("docs")))
+    return found.withColumn(
+        "docs",
+        F.when(
+            F.coalesce("docs", F.lit(0)) == 0, F.raise_error(F.concat(F.lit("empty split: "), "split")).cast("long")
+        ).otherwise(F.col("docs"))
+    )
 
 
 def capped(docs: DataFrame, most: int, order: list[str]) -> DataFrame:
@@ -178,7 +220,9 @@ def top_with_rest(counts: DataFrame, name: str, value: str, k: int = 12) -> Data
     top = counts.select(name, value).orderBy(F.desc(value), F.asc(name)).limit(k)
     sums = [F.sum(value).alias(value), F.count(F.lit(1)).alias("_n")]
     whole, shown = counts.agg(*sums), top.agg(F.sum(value).alias("_shown"), F.count(F.lit(1)).alias("_k"))
-    rest = whole.crossJoin(shown).filter("_n > _k").select(F.lit("(rest)").alias(name), (F.col(value) - F.col("_shown")).alias(value))  # one row each
+    rest = whole.crossJoin(shown).filter("_n > _k").select(
+        F.lit("(rest)").alias(name), (F.col(value) - F.col("_shown")).alias(value)
+    )  # one row each
     total = whole.select(F.col(value).alias("_total"))
     both = top.unionByName(rest).crossJoin(F.broadcast(total))  # one row
     return both.select(name, value, F.round(F.col(value) / F.col("_total"), 6).alias("share"))

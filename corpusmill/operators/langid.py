@@ -23,7 +23,10 @@ def char_ngrams(c: Column, low: int = 3, high: int = 5) -> Column:
     def of(w: Column) -> Column:
         def grams(ch: Column) -> Column:
             def sized(n: int) -> Column:
-                own = F.transform(F.sequence(F.lit(1), F.greatest(F.size(ch) - (n - 1), F.lit(1))), lambda i: F.array_join(F.slice(ch, i, F.lit(n)), ""))
+                own = F.transform(
+                    F.sequence(F.lit(1), F.greatest(F.size(ch) - (n - 1), F.lit(1))),
+                    lambda i: F.array_join(F.slice(ch, i, F.lit(n)), "")
+                )
                 return own if n == low else F.when(F.size(ch) >= n, own).otherwise(F.array().cast("array<string>"))
 
             return F.flatten(F.array(*(sized(n) for n in range(low, high + 1))))
@@ -55,7 +58,9 @@ class Classifier:
     def predict(self, docs: DataFrame) -> DataFrame:
         p = vector_to_array("probability")
         out = self.model.transform(self.features(docs)).withColumn("conf", F.array_max(p))
-        return out.withColumn("pred", F.element_at(F.array(*(F.lit(x) for x in self.labels)), (F.col("prediction") + 1).cast("int"))).drop("_f", "rawPrediction", "probability", "prediction")
+        return out.withColumn(
+            "pred", F.element_at(F.array(*(F.lit(x) for x in self.labels)), (F.col("prediction") + 1).cast("int"))
+        ).drop("_f", "rawPrediction", "probability", "prediction")
 
 
 def paragraphs(docs: DataFrame, low: int = 200, high: int = 2000) -> DataFrame:
@@ -93,7 +98,9 @@ def fitted(rows: DataFrame, features: int = 200_000, c: float = 4.0) -> Classifi
     normaliser = Normalizer(inputCol="_idf", outputCol="_f", p=2.0)
     made = Classifier(vectoriser, idf, normaliser, None, labels)
     ready = made.rest.transform(tf).select("_f", "label", "weight")
-    made.model = LogisticRegression(featuresCol="_f", labelCol="label", weightCol="weight", family="multinomial", regParam=1 / (c * n), maxIter=30).fit(ready)
+    made.model = LogisticRegression(
+        featuresCol="_f", labelCol="label", weightCol="weight", family="multinomial", regParam=1 / (c * n), maxIter=30
+    ).fit(ready)
     return made
 
 
@@ -104,4 +111,6 @@ def accepted(predicted: DataFrame, target: Column, least: float = 0.90) -> Colum
 
 def contamination(predicted: DataFrame, target: str) -> DataFrame:
     """source, total, contamination: share of a source's documents that another language is predicted for."""
-    return predicted.groupBy("source").agg(F.count(F.lit(1)).alias("total"), F.round(1 - F.avg((F.col("pred") == target).cast("int")), 4).alias("contamination"))
+    return predicted.groupBy("source").agg(
+        F.count(F.lit(1)).alias("total"), F.round(1 - F.avg((F.col("pred") == target).cast("int")), 4).alias("contamination")
+    )

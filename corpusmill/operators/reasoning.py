@@ -11,9 +11,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 NAMES = "Asha Bina Chand Dev Esha Gita Hari Indra Jaya Kiran Lata Mohan Nita Om Priya Ravi Sita Tara Uma Vijay Yash Zoya".split()
-ATTRIBUTES = {"age": ("older", "younger", "oldest", "youngest"), "height": ("taller", "shorter", "tallest", "shortest"), "speed": ("faster", "slower", "fastest", "slowest")}
+ATTRIBUTES = {
+    "age": ("older", "younger", "oldest", "youngest"), "height": ("taller", "shorter", "tallest", "shortest"),
+    "speed": ("faster", "slower", "fastest", "slowest")
+}
 EQUAL = "equal"
-CATEGORIES = ("direct", "numeric", "three", "mixed", "chain_superlative", "chain_relation", "ranking", "price", "chain3_superlative")
+CATEGORIES = (
+    "direct", "numeric", "three", "mixed", "chain_superlative", "chain_relation", "ranking", "price", "chain3_superlative"
+)
 RULES = ("first_named", "last_named", "question_first", "question_second", "most_first", "most_last", "always_equal")
 
 
@@ -27,28 +32,45 @@ def shuffled(values: Column, slot: str, seed: int = 0) -> Column:
     return F.transform(F.array_sort(keyed), lambda x: x["v"])
 
 
-def generated(spark: SparkSession, n: int, seed: int = 0, names: list[str] | None = None, numbers: tuple[int, int] = (5, 40)) -> DataFrame:
+def generated(
+    spark: SparkSession, n: int, seed: int = 0, names: list[str] | None = None, numbers: tuple[int, int] = (5, 40)
+) -> DataFrame:
     """item, category, text, candidates, answer, answer_position, hops; categories by turns, names and order by hash."""
     names, (low, high) = names or NAMES, numbers
     pool = F.array(*(F.lit(x) for x in names))
     base = spark.range(n).withColumnRenamed("id", "item")
-    base = base.withColumn("category", F.element_at(F.array(*(F.lit(c) for c in CATEGORIES)), (F.col("item") % len(CATEGORIES) + 1).cast("int")))
+    base = base.withColumn(
+        "category", F.element_at(F.array(*(F.lit(c) for c in CATEGORIES)), (F.col("item") % len(CATEGORIES) + 1).cast("int"))
+    )
     base = base.withColumn("people", F.slice(shuffled(pool, "names", seed), 1, 4))  # from most to least
     words = F.array(*(F.array(*(F.lit(w) for w in a)) for a in ATTRIBUTES.values()))
-    base = base.withColumn("w", F.element_at(words, pick("attribute", len(ATTRIBUTES), seed) + 1)).withColumn("most", pick("most", 2, seed) == 0)
+    base = base.withColumn(
+        "w", F.element_at(words, pick("attribute", len(ATTRIBUTES), seed) + 1)
+    ).withColumn("most", pick("most", 2, seed) == 0)
     value = F.lit(low) + pick("number", high - low, seed)
     p = lambda i: F.element_at("people", i)
     more, less, top, bottom = (F.element_at("w", i) for i in (1, 2, 3, 4))
-    fact = lambda a, b, slot: F.when(pick(slot, 2, seed) == 0, F.concat_ws(" ", a, F.lit("is"), more, F.lit("than"), b)).otherwise(F.concat_ws(" ", b, F.lit("is"), less, F.lit("than"), a))
+    fact = lambda a, b, slot: F.when(
+        pick(slot, 2, seed) == 0, F.concat_ws(" ", a, F.lit("is"), more, F.lit("than"), b)
+    ).otherwise(F.concat_ws(" ", b, F.lit("is"), less, F.lit("than"), a))
     superlative = F.concat(F.lit(" Who is the "), F.when(F.col("most"), top).otherwise(bottom), F.lit("?"))
     amount = lambda a, x: F.concat(a, F.lit(" has "), x.cast("string"), F.lit(" points"))
     two, three, four = (F.slice("people", 1, k) for k in (2, 3, 4))
     said = lambda facts, slot: F.concat(F.array_join(shuffled(F.array(*facts), slot, seed), ". "), F.lit("."))
     link = [fact(p(i), p(i + 1), f"link{i}") for i in (1, 2, 3)]
     tie = pick("tie", 3, seed) == 0
-    relation = lambda a, b: F.concat(F.lit(" Who is "), F.when(F.col("most"), more).otherwise(less), F.lit(", "), F.array_join(shuffled(F.array(a, b), "asked", seed), " or "), F.lit("?"))
+    relation = lambda a, b: F.concat(
+        F.lit(" Who is "), F.when(F.col("most"), more).otherwise(less), F.lit(", "),
+        F.array_join(shuffled(F.array(a, b), "asked", seed), " or "), F.lit("?")
+    )
     of = lambda a, b: F.when(F.col("most"), a).otherwise(b)
-    price = lambda unit: said([F.concat(p(1), F.lit(f" {unit} "), (value + 1 + pick("gap", 9, seed)).cast("string")), F.concat(p(2), F.lit(f" {unit} "), value.cast("string"))], "facts")
+    price = lambda unit: said(
+        [
+            F.concat(p(1), F.lit(f" {unit} "), (value + 1 + pick("gap", 9, seed)).cast("string")),
+            F.concat(p(2), F.lit(f" {unit} "), value.cast("string"))
+        ],
+        "facts"
+    )
     forms = {
         "direct": (F.concat(link[0], F.lit("."), superlative), two, of(p(1), p(2)), 1),
         "numeric": (F.concat(said([amount(p(1), value + 1 + pick("gap", 9, seed)), amount(p(2), value)], "facts"), F.lit(" Who has "), of(F.lit("more"), F.lit("less")), F.lit("?")), two, of(p(1), p(2)), 1),
@@ -63,25 +85,40 @@ def generated(spark: SparkSession, n: int, seed: int = 0, names: list[str] | Non
 
     def by_category(i: int) -> Column:
         value_of = lambda f: f[i] if isinstance(f[i], Column) else F.lit(f[i])
-        return reduce(lambda a, kv: a.when(F.col("category") == kv[0], value_of(kv[1])), list(forms.items())[1:], F.when(F.col("category") == "direct", value_of(forms["direct"])))
-
-    out = base.select("item", "category", by_category(0).alias("text"), shuffled(by_category(1), "candidates", seed).alias("candidates"), by_category(2).alias("answer"), by_category(3).alias("hops"))
+        return reduce(
+            lambda a, kv: a.when(F.col("category") == kv[0], value_of(kv[1])), list(forms.items())[1:],
+            F.when(F.col("category") == "direct", value_of(forms["direct"]))
+        )
+
+    out = base.select(
+        "item", "category", by_category(0).alias("text"), shuffled(by_category(1), "candidates", seed).alias("candidates"),
+        by_category(2).alias("answer"), by_category(3).alias("hops")
+    )
     return out.withColumn("answer_position", (F.array_position("candidates", F.col("answer")) - 1).cast("int"))
 
 
 def named_in(text: Column, candidates: Column) -> Column:
     """Candidates by their first place in a text."""
-    found = F.filter(F.transform(candidates, lambda c: F.struct(F.instr(text, c).alias("at"), c.alias("name"))), lambda x: x["at"] > 0)
+    found = F.filter(
+        F.transform(candidates, lambda c: F.struct(F.instr(text, c).alias("at"), c.alias("name"))), lambda x: x["at"] > 0
+    )
     return F.transform(F.array_sort(found), lambda x: x["name"])
 
 
 def rule_answers(items: DataFrame) -> DataFrame:
     """items with one column a rule: the answer it would give without reading."""
     asked = F.substring_index("text", ". ", -1)
-    items = items.withColumn("_q", F.col("text").substr(F.length("text") - F.length(asked) + 1, F.length(asked))).withColumn("_f", F.expr("left(text, length(text) - length(substring_index(text, '. ', -1)))"))
+    items = items.withColumn(
+        "_q", F.col("text").substr(F.length("text") - F.length(asked) + 1, F.length(asked))
+    ).withColumn("_f", F.expr("left(text, length(text) - length(substring_index(text, '. ', -1)))"))
     own = F.filter("candidates", lambda c: c != EQUAL)
     items = items.withColumn("_n", named_in(F.col("_f"), own)).withColumn("_a", named_in(F.col("_q"), own))
-    has = lambda i: reduce(lambda a, b: a | b, [F.col("_q").contains(w[j]) for w in ATTRIBUTES.values() for j in i] + [F.col("_q").contains("more" if 0 in i else "less")])
+    has = lambda i: reduce(
+        lambda a, b: a | b,
+        [
+            F.col("_q").contains(w[j]) for w in ATTRIBUTES.values() for j in i
+        ] + [F.col("_q").contains("more" if 0 in i else "less")]
+    )
     most, least = has((0, 2)), has((1, 3))
     first, last = F.try_element_at("_n", F.lit(1)), F.try_element_at("_n", F.lit(-1))
     up, down = most & ~least, least & ~most
@@ -95,22 +132,30 @@ def rule_accuracy(items: DataFrame) -> DataFrame:
     """category, n, chance, and how often each rule is right."""
     r = rule_answers(items)
     right = [F.round(F.avg(F.coalesce(F.col(x) == F.col("answer"), F.lit(False)).cast("int")), 3).alias(x) for x in RULES]
-    return r.groupBy("category").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(1 / F.size("candidates")), 3).alias("chance"), *right)
+    return r.groupBy("category").agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.avg(1 / F.size("candidates")), 3).alias("chance"), *right
+    )
 
 
 def renamed(items: DataFrame, mapping: dict[str, str]) -> DataFrame:
     """Names exchanged everywhere: in the text word by word (marks at the end stay), in candidates and answer."""
     table = F.create_map(*(F.lit(x) for kv in mapping.items() for x in kv))
-    one = lambda w: F.coalesce(F.try_element_at(table, F.regexp_replace(w, r"[.,?!]+$", "")) , F.regexp_replace(w, r"[.,?!]+$", ""))
+    one = lambda w: F.coalesce(
+        F.try_element_at(table, F.regexp_replace(w, r"[.,?!]+$", "")) , F.regexp_replace(w, r"[.,?!]+$", "")
+    )
     text = F.array_join(F.transform(F.split("text", " "), lambda w: F.concat(one(w), F.regexp_extract(w, r"([.,?!]*)$", 1))), " ")
-    return items.withColumn("text", text).withColumn("candidates", F.transform("candidates", one)).withColumn("answer", one(F.col("answer")))
+    return items.withColumn("text", text).withColumn(
+        "candidates", F.transform("candidates", one)
+    ).withColumn("answer", one(F.col("answer")))
 
 
 def reversed_facts(text: Column) -> Column:
     """The same facts from last to first, the question where it was."""
     parts = F.split(text, r"\. ")
     n = F.size(parts)
-    return F.array_join(F.concat(F.reverse(F.slice(parts, F.lit(1), F.greatest(n - 1, F.lit(0)))), F.slice(parts, n, F.lit(1))), ". ")
+    return F.array_join(
+        F.concat(F.reverse(F.slice(parts, F.lit(1), F.greatest(n - 1, F.lit(0)))), F.slice(parts, n, F.lit(1))), ". "
+    )
 
 
 def swapped(text: Column, a: Column, b: Column) -> Column:
@@ -123,7 +168,9 @@ def probe_summary(pairs: DataFrame) -> DataFrame:
     """pairs(answer, original, edited, edited_answer) -> n, accuracy before and after an edit, and how often both agree."""
     rate = lambda c: F.round(F.avg(c.cast("int")), 4)
     ok, ok2 = F.col("original") == F.col("answer"), F.col("edited") == F.col("edited_answer")
-    return pairs.agg(F.count(F.lit(1)).alias("n"), rate(ok).alias("original"), rate(ok2).alias("edited"), rate(ok == ok2).alias("consistent"))
+    return pairs.agg(
+        F.count(F.lit(1)).alias("n"), rate(ok).alias("original"), rate(ok2).alias("edited"), rate(ok == ok2).alias("consistent")
+    )
 
 
 def with_quotas(items: DataFrame, quotas: dict[str, int]) -> DataFrame:

@@ -17,7 +17,9 @@ def estimated_tokens(chars: Column) -> Column:
 
 def frontier_stats(frontier: DataFrame) -> DataFrame:
     """frontier(domain, status, n_chars) -> domain, status, urls, chars."""
-    return frontier.groupBy("domain", "status").agg(F.count(F.lit(1)).alias("urls"), F.coalesce(F.sum("n_chars"), F.lit(0)).alias("chars"))
+    return frontier.groupBy("domain", "status").agg(
+        F.count(F.lit(1)).alias("urls"), F.coalesce(F.sum("n_chars"), F.lit(0)).alias("chars")
+    )
 
 
 def pending_domains(frontier: DataFrame) -> DataFrame:
@@ -37,13 +39,17 @@ def marked(frontier: DataFrame, results: DataFrame, most_attempts: int = 3) -> D
 
 def retry_delay(attempt: Column, status: Column) -> Column:
     """Seconds before the next try, without jitter: 5 * 2^k when the server asks for patience, 2^k after an exception."""
-    return F.when((status == 429) | (status >= 500), 5 * F.pow(F.lit(2), attempt)).when(status.isNull(), F.pow(F.lit(2), attempt)).cast("long")
+    return F.when(
+        (status == 429) | (status >= 500), 5 * F.pow(F.lit(2), attempt)
+    ).when(status.isNull(), F.pow(F.lit(2), attempt)).cast("long")
 
 
 def named_sources(domains: DataFrame, config: DataFrame) -> DataFrame:
     """domains(domain), config(domain, name, priority) -> domain, name (the domain itself by default), priority (9 by default)."""
     known = F.broadcast(config)  # a site list kept by hand
-    return domains.join(known, "domain", "left").select("domain", F.coalesce("name", "domain").alias("name"), F.coalesce("priority", F.lit(9)).alias("priority"))
+    return domains.join(known, "domain", "left").select(
+        "domain", F.coalesce("name", "domain").alias("name"), F.coalesce("priority", F.lit(9)).alias("priority")
+    )
 
 
 def domain_verdict(probes: DataFrame, rate: float = 0.35, tokens: int = 100_000) -> DataFrame:
@@ -68,13 +74,18 @@ def split_shares(rows: DataFrame, value: str) -> DataFrame:
     sums = rows.groupingSets([["split"], []], "split").agg(F.sum(value).alias(value), manual.alias("manual"))
     whole = F.max(value).over(Window.partitionBy())  # four rows
     percent = lambda a, b: F.round(100 * a / b, 2)
-    return sums.select(F.coalesce("split", F.lit("total")).alias("split"), value, percent(F.col(value), whole).alias("share"), percent(F.col("manual"), F.col(value)).alias("manual_share"))
+    return sums.select(
+        F.coalesce("split", F.lit("total")).alias("split"), value, percent(F.col(value), whole).alias("share"),
+        percent(F.col("manual"), F.col(value)).alias("manual_share")
+    )
 
 
 def bucketed(scores: DataFrame, value: str, edges: tuple[float, ...]) -> DataFrame:
     """scores(value, words) -> lo, docs, words, est_tokens by half-open buckets."""
     lo = F.coalesce(*(F.when(F.col(value) >= e, F.lit(float(e))) for e in reversed(edges)))
-    sums = scores.groupBy(lo.alias("lo")).agg(F.count(F.lit(1)).alias("docs"), F.sum("words").alias("words"), F.sum("chars").alias("chars"))
+    sums = scores.groupBy(lo.alias("lo")).agg(
+        F.count(F.lit(1)).alias("docs"), F.sum("words").alias("words"), F.sum("chars").alias("chars")
+    )
     return sums.select("lo", "docs", "words", estimated_tokens(F.col("chars")).alias("est_tokens"))
 
 
@@ -121,23 +132,32 @@ def answer_rates(rows: DataFrame, endings: tuple[str, ...]) -> DataFrame:
     rate = lambda test: F.round(F.avg(test.cast("int")), 4)
     named = F.array_contains("candidates", word) | F.array_contains("candidates", stem)
     tolerant = (word == F.col("answer")) | (stem == F.col("answer"))
-    return rows.groupBy("category").agg(F.count(F.lit(1)).alias("n"), rate(word == F.col("answer")).alias("strict"), rate(tolerant).alias("tolerant"), rate(named).alias("named"), rate(~named).alias("invalid"))
+    return rows.groupBy("category").agg(
+        F.count(F.lit(1)).alias("n"), rate(word == F.col("answer")).alias("strict"), rate(tolerant).alias("tolerant"),
+        rate(named).alias("named"), rate(~named).alias("invalid")
+    )
 
 
 def wrong_examples(rows: DataFrame, most: int = 10) -> DataFrame:
     """The first wrong rows by item; a report's examples."""
-    return rows.filter(clean_answer(F.col("said")) != F.col("answer")).orderBy("item").limit(most).select("item", "said", "answer")
+    return rows.filter(
+        clean_answer(F.col("said")) != F.col("answer")
+    ).orderBy("item").limit(most).select("item", "said", "answer")
 
 
 def rule_halves(rows: DataFrame, rules: list[str]) -> DataFrame:
     """rows(category, split, said, answer, a column a rule) -> category, rule, half, n, accuracy on the test rows: by
     whether the rule that is best on a category's training rows is right."""
-    long = rows.unpivot(["item", "category", "split", "said", "answer"], rules, "rule", "guess").withColumn("right", F.coalesce(F.col("guess") == F.col("answer"), F.lit(False)))
+    long = rows.unpivot(
+        ["item", "category", "split", "said", "answer"], rules, "rule", "guess"
+    ).withColumn("right", F.coalesce(F.col("guess") == F.col("answer"), F.lit(False)))
     rates = long.filter("split = 'train'").groupBy("category", "rule").agg(F.avg(F.col("right").cast("int")).alias("a"))
     best = rates.groupBy("category").agg(F.max_by("rule", F.struct("a", "rule")).alias("rule"))
     test = long.filter("split = 'test'").join(F.broadcast(best), ["category", "rule"])  # a row a category
     half = F.when(F.col("right"), "right").otherwise("wrong").alias("half")
-    return test.groupBy("category", "rule", half).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg((F.col("said") == F.col("answer")).cast("int")), 4).alias("accuracy"))
+    return test.groupBy("category", "rule", half).agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.avg((F.col("said") == F.col("answer")).cast("int")), 4).alias("accuracy")
+    )
 
 
 def skeleton(c: Column, names: list[str]) -> Column:
@@ -147,7 +167,9 @@ def skeleton(c: Column, names: list[str]) -> Column:
 
 def content_words(c: Column, stop: tuple[str, ...], least: int = 3) -> Column:
     """Different words that are long enough, no stop words, and not beside a number."""
-    beside = F.array_union(F.regexp_extract_all(c, F.lit(r"\d\s*([^\d\s]+)"), F.lit(1)), F.regexp_extract_all(c, F.lit(r"([^\d\s]+)\s*\d"), F.lit(1)))
+    beside = F.array_union(
+        F.regexp_extract_all(c, F.lit(r"\d\s*([^\d\s]+)"), F.lit(1)), F.regexp_extract_all(c, F.lit(r"([^\d\s]+)\s*\d"), F.lit(1))
+    )
     words = F.filter(X.words(c), lambda w: (F.length(w) >= least) & ~w.rlike(r"\d"))
     return F.array_except(F.array_except(words, F.array(*(F.lit(x) for x in stop))), beside)
 
@@ -159,7 +181,9 @@ def best_run(runs: DataFrame) -> DataFrame:
 
 def best_checkpoint(curve: DataFrame) -> DataFrame:
     """curve(run, step, loss, val_loss) -> run, step, val_loss where the validation loss is least; training rows have none."""
-    known = curve.filter("val_loss IS NOT NULL").groupBy("run").agg(F.min_by("step", F.struct("val_loss", "step")).alias("step"), F.min("val_loss").alias("val_loss"))
+    known = curve.filter("val_loss IS NOT NULL").groupBy("run").agg(
+        F.min_by("step", F.struct("val_loss", "step")).alias("step"), F.min("val_loss").alias("val_loss")
+    )
     return known
 
 
@@ -184,10 +208,15 @@ def merged_sweep(known: DataFrame, new: DataFrame) -> DataFrame:
 
 def selectivity(weights: DataFrame) -> DataFrame:
     """weights(prompt, layer, head, role, p: last row's mass by token) -> layer, answer and distractor mass, ratio of means."""
-    per = weights.groupBy("layer", "prompt", "head").agg(*(F.sum(F.when(F.col("role") == r, F.col("p"))).alias(r) for r in ("answer", "distractor")))
+    per = weights.groupBy("layer", "prompt", "head").agg(
+        *(F.sum(F.when(F.col("role") == r, F.col("p"))).alias(r) for r in ("answer", "distractor"))
+    )
     by = per.groupBy("layer", "prompt").agg(F.avg("answer").alias("answer"), F.avg("distractor").alias("distractor"))
     means = by.groupBy("layer").agg(F.avg("answer").alias("answer"), F.avg("distractor").alias("distractor"))
-    return means.select("layer", F.round("answer", 6).alias("answer"), F.round("distractor", 6).alias("distractor"), F.round(F.try_divide("answer", "distractor"), 6).alias("ratio"))
+    return means.select(
+        "layer", F.round("answer", 6).alias("answer"), F.round("distractor", 6).alias("distractor"),
+        F.round(F.try_divide("answer", "distractor"), 6).alias("ratio")
+    )
 
 
 def attention_summary(heads: DataFrame) -> DataFrame:
@@ -206,7 +235,10 @@ def usage(rows: DataFrame, column: str, most: int = 1) -> DataFrame:
 def favours(metrics: DataFrame, a: str, b: str) -> DataFrame:
     """metrics(metric, lang, value) -> metric, favours (the language with the smaller value), gap."""
     wide = metrics.groupBy("metric").pivot("lang", [a, b]).agg(F.first("value"))
-    return wide.select("metric", F.when(F.col(a) < F.col(b), a).when(F.col(b) < F.col(a), b).otherwise("equal").alias("favours"), F.round(F.abs(F.col(a) - F.col(b)), 6).alias("gap"))
+    return wide.select(
+        "metric", F.when(F.col(a) < F.col(b), a).when(F.col(b) < F.col(a), b).otherwise("equal").alias("favours"),
+        F.round(F.abs(F.col(a) - F.col(b)), 6).alias("gap")
+    )
 
 
 def run_settings(base: DataFrame) -> DataFrame:
@@ -219,7 +251,12 @@ def consistent(models: DataFrame, tokenizers: DataFrame) -> DataFrame:
     """models(model, vocab), tokenizers(model, size): fails when it is run if a model's vocabulary is not its tokenizer's."""
     wrong = F.concat(F.lit("vocabulary of "), "model", F.lit(" is not its tokenizer's"))
     both = models.join(tokenizers, "model", "left")
-    return both.select("model", F.when(F.col("vocab").eqNullSafe(F.col("size")), F.col("vocab")).otherwise(F.raise_error(wrong).cast("long")).alias("vocab"))
+    return both.select(
+        "model",
+        F.when(
+            F.col("vocab").eqNullSafe(F.col("size")), F.col("vocab")
+        ).otherwise(F.raise_error(wrong).cast("long")).alias("vocab")
+    )
 
 
 def replayed(tasks: DataFrame, corpus: DataFrame, every: int, seed: int = 0) -> DataFrame:

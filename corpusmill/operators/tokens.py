@@ -30,10 +30,14 @@ def encoded(docs: DataFrame, model_path: str, eos: int | None = 2, id_col: str =
             pieces = [[model.id_to_piece(i) for i in x] for x in ids]
             yield pd.DataFrame({id_col: f[id_col], "ids": [x + [eos] if eos is not None else x for x in ids], "pieces": pieces})
 
-    return docs.select(id_col, "text").mapInPandas(run, f"{id_col} {docs.schema[id_col].dataType.simpleString()}, ids array<int>, pieces array<string>")
+    return docs.select(id_col, "text").mapInPandas(
+        run, f"{id_col} {docs.schema[id_col].dataType.simpleString()}, ids array<int>, pieces array<string>"
+    )
 
 
-def numbered(rows: DataFrame, order: list[Column | str], name: str, running: dict[str, str] | None = None) -> tuple[DataFrame, int, dict[str, int]]:
+def numbered(
+    rows: DataFrame, order: list[Column | str], name: str, running: dict[str, str] | None = None
+) -> tuple[DataFrame, int, dict[str, int]]:
     """rows with their place in a total order, from 1, and running sums of columns; also the number of rows and the sums.
 
     Rows are sorted by ranges; the driver adds up one count (and sum) a range, and each row's place in its range moves by
@@ -41,8 +45,12 @@ def numbered(rows: DataFrame, order: list[Column | str], name: str, running: dic
     """
     running = running or {}
     ids = F.monotonically_increasing_id()  # the partition's number, then the row's in it
-    placed = stored(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_m", ids)).withColumn("_p", F.shiftright("_m", 33))
-    sums = placed.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"), *(F.sum(c).alias(f"_s_{k}") for k, c in running.items())).orderBy("_p").collect()
+    placed = stored(
+        rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_m", ids)
+    ).withColumn("_p", F.shiftright("_m", 33))
+    sums = placed.groupBy("_p").agg(
+        F.count(F.lit(1)).alias("_n"), *(F.sum(c).alias(f"_s_{k}") for k, c in running.items())
+    ).orderBy("_p").collect()
     columns, before, at = ["_n", *(f"_s_{k}" for k in running)], [], [0] * (1 + len(running))
     for r in sums:
         before.append((r["_p"], *at))
@@ -71,28 +79,47 @@ def covering(frequency: DataFrame, share: float = 0.95) -> DataFrame:
 def tokenizer_report(encoded_docs: DataFrame, docs: DataFrame, unk: str = "<unk>", id_col: str = "doc_id") -> DataFrame:
     """One row: docs, words, chars, tokens, fertility, compression, unk and byte-fallback percentages."""
     words = F.size(F.filter(F.split("text", r"\s+"), lambda w: w != ""))
-    joined = encoded_docs.join(docs.select(id_col, words.alias("w"), F.length("text").alias("c"), F.octet_length("text").alias("b")), id_col)
-    fallback = lambda low, high: F.size(F.filter("pieces", lambda p: p.rlike(BYTE_PIECE) & F.conv(F.substring(p, 4, 2), 16, 10).cast("int").between(low, high)))
+    joined = encoded_docs.join(
+        docs.select(id_col, words.alias("w"), F.length("text").alias("c"), F.octet_length("text").alias("b")), id_col
+    )
+    fallback = lambda low, high: F.size(
+        F.filter("pieces", lambda p: p.rlike(BYTE_PIECE) & F.conv(F.substring(p, 4, 2), 16, 10).cast("int").between(low, high))
+    )
     s = joined.agg(
         F.count(F.lit(1)).alias("docs"), F.sum("w").alias("words"), F.sum("c").alias("chars"), F.sum("b").alias("bytes"), F.sum(F.size("pieces")).alias("tokens"),
         F.sum(F.size(F.filter("pieces", lambda p: p == unk))).alias("unk"), F.sum(fallback(0, 127)).alias("ascii_fallback"), F.sum(fallback(128, 255)).alias("other_fallback"),
     )
     rate = lambda c: F.round(100 * F.try_divide(F.col(c), F.col("tokens")), 4)
-    return s.select("*", F.round(F.try_divide("tokens", "words"), 2).alias("fertility"), F.round(F.try_divide("chars", "tokens"), 2).alias("compression"), F.round(F.try_divide("bytes", "tokens"), 4).alias("bytes_per_token"), rate("unk").alias("unk_pct"), rate("ascii_fallback").alias("ascii_fallback_pct"), rate("other_fallback").alias("other_fallback_pct"))
+    return s.select(
+        "*", F.round(F.try_divide("tokens", "words"), 2).alias("fertility"),
+        F.round(F.try_divide("chars", "tokens"), 2).alias("compression"),
+        F.round(F.try_divide("bytes", "tokens"), 4).alias("bytes_per_token"), rate("unk").alias("unk_pct"),
+        rate("ascii_fallback").alias("ascii_fallback_pct"), rate("other_fallback").alias("other_fallback_pct")
+    )
 
 
 def windows(tokens: DataFrame, context: int, ids: str = "ids", stride: int | None = None, id_col: str = "doc_id") -> DataFrame:
     """id, start, x, y: windows of `context` tokens and the same a token later; only whole windows."""
     last = F.size(ids) - context - 1
-    starts = F.when(last >= 0, F.sequence(F.lit(0), F.greatest(last, F.lit(0)), F.lit(stride or context))).otherwise(F.array().cast("array<int>"))
-    return tokens.select(id_col, ids, F.explode(starts).alias("start")).select(id_col, "start", F.slice(ids, F.col("start") + 1, context).alias("x"), F.slice(ids, F.col("start") + 2, context).alias("y"))
+    starts = F.when(
+        last >= 0, F.sequence(F.lit(0), F.greatest(last, F.lit(0)), F.lit(stride or context))
+    ).otherwise(F.array().cast("array<int>"))
+    return tokens.select(id_col, ids, F.explode(starts).alias("start")).select(
+        id_col, "start", F.slice(ids, F.col("start") + 1, context).alias("x"),
+        F.slice(ids, F.col("start") + 2, context).alias("y")
+    )
 
 
 def random_windows(tokens: DataFrame, context: int, n: int, seed: int = 0, ids: str = "ids", id_col: str = "doc_id") -> DataFrame:
     """n windows a row at offsets by hash, the same in every run."""
     room = F.size(ids) - context
-    drawn = tokens.filter(room > 0).select(id_col, ids, F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("draw")).withColumn("start", F.pmod(F.xxhash64(F.lit(seed), id_col, "draw"), F.size(ids) - context).cast("int"))
-    return drawn.select(id_col, "draw", "start", F.slice(ids, F.col("start") + 1, context).alias("x"), F.slice(ids, F.col("start") + 2, context).alias("y"))
+    drawn = tokens.filter(room > 0).select(id_col, ids, F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("draw")).withColumn(
+        "start", F.pmod(F.xxhash64(F.lit(seed), id_col, "draw"), F.size(ids) - context).cast("int")
+    )
+    return drawn.select(
+        id_col, "draw", "start", F.slice(ids, F.col("start") + 1, context).alias("x"),
+        F.slice(ids, F.col("start") + 2, context).alias("y")
+    )
 
 
 def prompt_masked(rows: DataFrame, max_len: int, pad: int = 0, ignore: int = -100) -> DataFrame:
@@ -101,7 +128,10 @@ def prompt_masked(rows: DataFrame, max_len: int, pad: int = 0, ignore: int = -10
     kept = rows.filter(F.size(whole) <= max_len).withColumn("_w", whole)
     given = F.size("prompt") - 1
     inputs = F.concat(F.slice("_w", 1, F.size("_w") - 1), F.array_repeat(F.lit(pad), F.lit(max_len) - F.size("_w")))
-    labels = F.concat(F.array_repeat(F.lit(ignore), F.greatest(given, F.lit(0))), F.slice("_w", F.size("prompt") + 1, F.size("target")), F.array_repeat(F.lit(ignore), F.lit(max_len) - F.size("_w")))
+    labels = F.concat(
+        F.array_repeat(F.lit(ignore), F.greatest(given, F.lit(0))), F.slice("_w", F.size("prompt") + 1, F.size("target")),
+        F.array_repeat(F.lit(ignore), F.lit(max_len) - F.size("_w"))
+    )
     return kept.withColumn("input", inputs).withColumn("labels", labels).drop("_w")
 
 
@@ -122,7 +152,9 @@ def index_percentiles(scores: DataFrame, value: str, shares: tuple[float, ...])
     return ranked.join(F.broadcast(wanted), "r").select("p", value)
 
 
-def decoded_transform(logits: DataFrame, temperature: float = 1.0, top_k: int | None = None, top_p: float | None = None, penalty: float = 1.0) -> DataFrame:
+def decoded_transform(
+    logits: DataFrame, temperature: float = 1.0, top_k: int | None = None, top_p: float | None = None, penalty: float = 1.0
+) -> DataFrame:
     """logits(step, token, logit, seen) -> step, token, p after repetition penalty, temperature, top-k and top-p.
 
     The nucleus is the smallest head of the sorted distribution that reaches top_p; the token that crosses it stays.
@@ -144,8 +176,14 @@ def decoded_transform(logits: DataFrame, temperature: float = 1.0, top_k: int |
 def banned_ngrams(history: Column, n: int) -> Column:
     """Tokens that would repeat an n-gram of the history if they came next."""
     last = F.slice(history, F.greatest(F.size(history) - (n - 2), F.lit(1)), n - 1)
-    starts = F.when(F.size(history) >= n, F.sequence(F.lit(1), F.greatest(F.size(history) - n + 1, F.lit(1)))).otherwise(F.array().cast("array<int>"))
-    return F.array_distinct(F.transform(F.filter(starts, lambda i: F.slice(history, i, F.lit(n - 1)) == last), lambda i: F.element_at(history, i + n - 1)))
+    starts = F.when(
+        F.size(history) >= n, F.sequence(F.lit(1), F.greatest(F.size(history) - n + 1, F.lit(1)))
+    ).otherwise(F.array().cast("array<int>"))
+    return F.array_distinct(
+        F.transform(
+            F.filter(starts, lambda i: F.slice(history, i, F.lit(n - 1)) == last), lambda i: F.element_at(history, i + n - 1)
+        )
+    )
 
 
 def forced_choice(scores: DataFrame) -> DataFrame:
@@ -157,7 +195,9 @@ def forced_choice(scores: DataFrame) -> DataFrame:
 def learning_rate(step: Column, peak: float, warmup: int, total: int, floor: float) -> Column:
     """Linear warm-up, then a half cosine down to the floor."""
     share = (step - warmup) / F.lit(float(max(1, total - warmup)))
-    return F.when(step < warmup, peak * (step + 1) / warmup).when(step >= total, F.lit(floor)).otherwise(floor + (peak - floor) * 0.5 * (1 + F.cos(F.lit(math.pi) * share)))
+    return F.when(step < warmup, peak * (step + 1) / warmup).when(step >= total, F.lit(floor)).otherwise(
+        floor + (peak - floor) * 0.5 * (1 + F.cos(F.lit(math.pi) * share))
+    )
 
 
 def parameters(vocab: Column, width: int, layers: int, d_ff: Column, tied: bool = True) -> Column:
@@ -169,7 +209,9 @@ def parameters(vocab: Column, width: int, layers: int, d_ff: Column, tied: bool
 def position_matches(ids: Column, pattern: Column) -> Column:
     """0-based starts of a run of tokens in an array."""
     n = F.size(pattern)
-    starts = F.when((n > 0) & (F.size(ids) >= n), F.sequence(F.lit(1), F.greatest(F.size(ids) - n + 1, F.lit(1)))).otherwise(F.array().cast("array<int>"))
+    starts = F.when(
+        (n > 0) & (F.size(ids) >= n), F.sequence(F.lit(1), F.greatest(F.size(ids) - n + 1, F.lit(1)))
+    ).otherwise(F.array().cast("array<int>"))
     return F.transform(F.filter(starts, lambda i: F.slice(ids, i, n) == pattern), lambda i: i - 1)
 
 
@@ -181,14 +223,24 @@ def byte_pairs(word_counts: DataFrame, merges: int) -> list[tuple[str, str]]:
     out = []
     words = word_counts
     for k in range(merges):
-        pairs = words.select("n", F.explode(F.expr("transform(sequence(1, greatest(size(symbols) - 1, 1)), i -> struct(element_at(symbols, i) AS a, try_element_at(symbols, i + 1) AS b))")).alias("p")).filter("p.b IS NOT NULL")
+        pairs = words.select(
+            "n",
+            F.explode(
+                F.expr(
+                    "transform(sequence(1, greatest(size(symbols) - 1, 1)), i -> struct(element_at(symbols, i) AS a, try_element_at(symbols, i + 1) AS b))"
+                )
+            ).alias("p")
+        ).filter("p.b IS NOT NULL")
         best = pairs.groupBy("p").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "p").limit(1).collect()
         if not best:
             break
         a, b = best[0]["p"]
         out.append((a, b))
         joined = F.concat(F.lit(SEP), F.array_join("symbols", SEP + SEP), F.lit(SEP))
-        merged = F.regexp_replace(joined, F.lit(f"{SEP}\\Q{a}\\E{SEP}{SEP}\\Q{b}\\E{SEP}"), F.lit(SEP + (a + b).replace("\\", "\\\\").replace("$", "\\$") + SEP))
+        merged = F.regexp_replace(
+            joined, F.lit(f"{SEP}\\Q{a}\\E{SEP}{SEP}\\Q{b}\\E{SEP}"),
+            F.lit(SEP + (a + b).replace("\\", "\\\\").replace("$", "\\$") + SEP)
+        )
         words = words.select("n", F.split(F.regexp_replace(merged, f"^{SEP}|{SEP}$", ""), SEP + SEP).alias("symbols"))
         if k % 20 == 19:
             words = words.checkpoint()

@@ -27,7 +27,10 @@ class Fixture:
         return f"(SELECT {casts} FROM (VALUES {rows}) f({', '.join(names)}))"
 
 
-_KINDS = {"long": "BIGINT", "int": "INT", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN", "array<string>": "VARCHAR[]", "array<int>": "INT[]", "array<long>": "BIGINT[]"}
+_KINDS = {
+    "long": "BIGINT", "int": "INT", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN", "array<string>": "VARCHAR[]",
+    "array<int>": "INT[]", "array<long>": "BIGINT[]"
+}
 
 
 def _literal(v) -> str:

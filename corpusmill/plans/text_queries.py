@@ -17,7 +17,10 @@ from ..sources.tables import table as t
 from ..streaming.jobs import stored as _cut
 
 #: Literal rows for steps that the tables never exercise; both sides read the same text.
-FIXTURES = {1: "a\u200bb\u00adc\u200c", 2: "x\x07y\u00a0\u00a0z\x85", 3: "राम १२३ ||  क | ।।। ॥॥", 4: "  a \t  b  \n\n\n\n c ", 5: "\u0958 e\u0301 हिन्दी", 6: "पानी है। this is english. ठीक है?\nसब ठीक।"}
+FIXTURES = {
+    1: "a\u200bb\u00adc\u200c", 2: "x\x07y\u00a0\u00a0z\x85", 3: "राम १२३ ||  क | ।।। ॥॥", 4: "  a \t  b  \n\n\n\n c ",
+    5: "\u0958 e\u0301 हिन्दी", 6: "पानी है। this is english. ठीक है?\nसब ठीक।"
+}
 
 
 def _quoted(s: str) -> str:
@@ -25,7 +28,9 @@ def _quoted(s: str) -> str:
 
 
 #: documents and the literal rows, in SQL.
-_ALL = "(SELECT doc_id, text FROM documents UNION ALL " + " UNION ALL ".join(f"SELECT {-k} AS doc_id, {_quoted(v)} AS text" for k, v in FIXTURES.items()) + ") a"
+_ALL = "(SELECT doc_id, text FROM documents UNION ALL " + " UNION ALL ".join(
+    f"SELECT {-k} AS doc_id, {_quoted(v)} AS text" for k, v in FIXTURES.items()
+) + ") a"
 _W = X.WHITE.replace("{", "{{").replace("}", "}}")  # of a text that is formatted once
 _WORDS = f"list_filter(regexp_split_to_array(text, '[{X.WHITE}]+'), lambda w: w <> '')"
 _STRIP = f"regexp_replace(regexp_replace({{}}, '^[{_W}]+', ''), '[{_W}]+$', '')"
@@ -56,10 +61,16 @@ _mapped("norm_space", X.collapse_space, _SPACE.format("text"))
 _mapped("norm_nfc", nfc, "nfc_normalize(text)")
 _mapped("norm_plain", X.normalised_plain, _STRIP.format(_SPACE.format(_CONTROLS.format(f"translate(text, {_INVISIBLE}, '')"))))
 _SENTENCE = r"list_filter(list_transform(string_split(regexp_replace(p, '([।॥?!])', '\1' || chr(30), 'g'), chr(30)), lambda s: " + _STRIP.format("s") + "), lambda s: s <> '' AND NOT regexp_matches(s, '[a-zA-Z]'))"
-_mapped("foreign_sentence_filter", X.drop_foreign_sentences, f"CASE WHEN regexp_matches(text, '[a-zA-Z]') THEN array_to_string(list_transform(string_split(text, chr(10)), lambda p: array_to_string({_SENTENCE}, ' ')), chr(10)) ELSE text END")
+_mapped(
+    "foreign_sentence_filter", X.drop_foreign_sentences,
+    f"CASE WHEN regexp_matches(text, '[a-zA-Z]') THEN array_to_string(list_transform(string_split(text, chr(10)), lambda p: array_to_string({_SENTENCE}, ' ')), chr(10)) ELSE text END"
+)
 
 
-@query("norm_invisible_by_source", f"SELECT source, CAST(sum(length(text) - length(translate(text, {_INVISIBLE}, ''))) AS BIGINT) AS n FROM documents GROUP BY source")
+@query(
+    "norm_invisible_by_source",
+    f"SELECT source, CAST(sum(length(text) - length(translate(text, {_INVISIBLE}, ''))) AS BIGINT) AS n FROM documents GROUP BY source"
+)
 def invisible_by_source(spark, d):
     return t(spark, d, "documents").groupBy("source").agg(F.sum(X.invisible_count(F.col("text"))).cast("long").alias("n"))
 
@@ -79,7 +90,10 @@ WHEN chars < 200 THEN 'too_short' WHEN script < 0.75 THEN 'low_script_ratio' WHE
 WHEN symbols > 0.1 THEN 'symbol_heavy' WHEN dup_lines > 0.3 THEN 'duplicate_lines' WHEN dup_grams > 0.2 THEN 'duplicate_ngrams' END"""
 
 
-@query("document_measures", f"SELECT doc_id, chars, bytes, words, round(word_len, 6) AS word_len, round(terminal, 6) AS terminal, round(symbols, 6) AS symbols, round(dup_lines, 6) AS dup_lines, round(dup_grams, 6) AS dup_grams, round(script, 6) AS script FROM ({_MEASURED})")
+@query(
+    "document_measures",
+    f"SELECT doc_id, chars, bytes, words, round(word_len, 6) AS word_len, round(terminal, 6) AS terminal, round(symbols, 6) AS symbols, round(dup_lines, 6) AS dup_lines, round(dup_grams, 6) AS dup_grams, round(script, 6) AS script FROM ({_MEASURED})"
+)
 def document_measures(spark, d):
     c = F.col("text")
 
@@ -88,9 +102,14 @@ def document_measures(spark, d):
             "word_len": X.mean_word_len(c, w), "terminal": X.terminal_fraction(c, own), "symbols": X.symbol_ratio(c, w),
             "dup_lines": X.repeated_line_fraction(own), "dup_grams": X.repeated_ngram_fraction(w), "script": X.script_ratio(c),
         }
-        return F.struct(F.size(w).cast("long").alias("words"), *(F.round(x.cast("double"), 6).alias(k) for k, x in values.items()))
-
-    measured = t(spark, d, "documents").select("doc_id", F.length(c).cast("long").alias("chars"), F.octet_length(c).cast("long").alias("bytes"), X.measures(c, of).alias("m"))
+        return F.struct(
+            F.size(w).cast("long").alias("words"), *(F.round(x.cast("double"), 6).alias(k) for k, x in values.items())
+        )
+
+    measured = t(spark, d, "documents").select(
+        "doc_id", F.length(c).cast("long").alias("chars"), F.octet_length(c).cast("long").alias("bytes"),
+        X.measures(c, of).alias("m")
+    )
     return measured.select("doc_id", "chars", "bytes", "m.*")
 
 
@@ -99,7 +118,10 @@ def reject_reason(spark, d):
     return t(spark, d, "documents").select("doc_id", X.reject_reason(F.col("text")).alias("reason"))
 
 
-@query("filter_report", f"SELECT source, reason, count(*) AS docs FROM (SELECT source, {_REASON} AS reason FROM ({_MEASURED})) GROUP BY ALL")
+@query(
+    "filter_report",
+    f"SELECT source, reason, count(*) AS docs FROM (SELECT source, {_REASON} AS reason FROM ({_MEASURED})) GROUP BY ALL"
+)
 def filter_report(spark, d):
     return C.quality_report(t(spark, d, "documents"))
 
@@ -137,13 +159,19 @@ def boilerplate_strip(spark, d):
     return C.without_boilerplate(docs, C.blocklist(docs)).select("doc_id", F.md5("text").alias("h"))
 
 
-@query("exact_dedup_keep", f"SELECT doc_id FROM documents QUALIFY row_number() OVER (PARTITION BY md5(text) ORDER BY {_TYPE}, doc_id) = 1")
+@query(
+    "exact_dedup_keep",
+    f"SELECT doc_id FROM documents QUALIFY row_number() OVER (PARTITION BY md5(text) ORDER BY {_TYPE}, doc_id) = 1"
+)
 def exact_dedup_keep(spark, d):
     docs = t(spark, d, "documents").select("doc_id", F.md5("text").alias("h"), C.source_type(F.col("source")).alias("st"))
     return C.exact_first(docs, "h", ["st", "doc_id"]).select("doc_id")
 
 
-@query("exact_dup_stats", "SELECT count(*) AS seen, CAST(count(*) - count(DISTINCT md5(text)) AS BIGINT) AS exact, count(DISTINCT md5(text)) AS kept FROM documents")
+@query(
+    "exact_dup_stats",
+    "SELECT count(*) AS seen, CAST(count(*) - count(DISTINCT md5(text)) AS BIGINT) AS exact, count(DISTINCT md5(text)) AS kept FROM documents"
+)
 def exact_dup_stats(spark, d):
     g = t(spark, d, "documents").groupBy(F.md5("text").alias("h")).agg(F.count(F.lit(1)).alias("c"))
     return g.agg(F.sum("c").alias("seen"), (F.sum("c") - F.count(F.lit(1))).alias("exact"), F.count(F.lit(1)).alias("kept"))
@@ -152,7 +180,9 @@ def exact_dup_stats(spark, d):
 _SHINGLES = "SELECT doc_id, unnest(list_distinct(list_transform(range(0, greatest(length(text) - 5, 0) + 1, 2), lambda i: substr(text, i + 1, 5)))) AS s FROM documents"
 _HASHED = f"SELECT DISTINCT doc_id, CAST(concat('0x', substr(md5(s), 1, 8)) AS BIGINT) % {C.PRIME} AS h FROM ({_SHINGLES})"
 _MINS = ", ".join(f"min((h * {a} + {b}) % {C.PRIME}) AS m{i}" for i, (a, b) in enumerate(C.affine(C.PERMUTATIONS)))
-_KEYS = " UNION ALL ".join(f"SELECT doc_id, {b} AS band, md5(concat_ws(',', {', '.join(f'm{b * C.ROWS + r}' for r in range(C.ROWS))})) AS key FROM sig" for b in range(C.BANDS))
+_KEYS = " UNION ALL ".join(
+    f"SELECT doc_id, {b} AS band, md5(concat_ws(',', {', '.join(f'm{b * C.ROWS + r}' for r in range(C.ROWS))})) AS key FROM sig" for b in range(C.BANDS)
+)
 _PAIRS = f"WITH sig AS MATERIALIZED (SELECT doc_id, {_MINS} FROM ({_HASHED}) GROUP BY doc_id), keys AS MATERIALIZED ({_KEYS}) SELECT DISTINCT x.doc_id AS a, y.doc_id AS b FROM keys x JOIN keys y ON x.band = y.band AND x.key = y.key AND x.doc_id < y.doc_id"
 
 
@@ -188,7 +218,10 @@ def lsh_greedy_keep(spark, d):
 _HALF = "documents WHERE CAST(regexp_extract(source, '([0-9]+)$', 1) AS INT) % 2 = {}"
 
 
-@query("cross_corpus_drop", "SELECT doc_id FROM (SELECT doc_id, CAST(regexp_extract(source, '([0-9]+)$', 1) AS INT) % 2 AS side, md5(text) AS h FROM documents) x WHERE EXISTS (SELECT 1 FROM (SELECT CAST(regexp_extract(source, '([0-9]+)$', 1) AS INT) % 2 AS side, md5(text) AS h FROM documents) y WHERE y.h = x.h AND y.side <> x.side)")
+@query(
+    "cross_corpus_drop",
+    "SELECT doc_id FROM (SELECT doc_id, CAST(regexp_extract(source, '([0-9]+)$', 1) AS INT) % 2 AS side, md5(text) AS h FROM documents) x WHERE EXISTS (SELECT 1 FROM (SELECT CAST(regexp_extract(source, '([0-9]+)$', 1) AS INT) % 2 AS side, md5(text) AS h FROM documents) y WHERE y.h = x.h AND y.side <> x.side)"
+)
 def cross_corpus_drop(spark, d):
     """Documents whose text stands in both halves of the sources: both sides' rows."""
     side = F.regexp_extract("source", r"(\d+)$", 1).cast("int") % 2
@@ -201,7 +234,10 @@ _SIDES = "sides AS (SELECT doc_id, source, CAST(regexp_extract(source, '([0-9]+)
 _CROSS = _PAIRS[: _PAIRS.index(" SELECT DISTINCT x.doc_id")].replace("WITH sig", f"WITH {_SIDES}, sig")
 
 
-@query("cross_corpus_near_drop", f"{_CROSS} SELECT DISTINCT x.doc_id FROM keys x JOIN sides a ON a.doc_id = x.doc_id JOIN keys y ON x.band = y.band AND x.key = y.key JOIN sides b ON b.doc_id = y.doc_id WHERE a.side <> b.side")
+@query(
+    "cross_corpus_near_drop",
+    f"{_CROSS} SELECT DISTINCT x.doc_id FROM keys x JOIN sides a ON a.doc_id = x.doc_id JOIN keys y ON x.band = y.band AND x.key = y.key JOIN sides b ON b.doc_id = y.doc_id WHERE a.side <> b.side"
+)
 def cross_corpus_near_drop(spark, d):
     """Documents of either half of the sources that share a band with one of the other: what a two-sided drop takes out."""
     docs = _cut(t(spark, d, "documents").withColumn("side", _side()).select("doc_id", "text", "side"))
@@ -209,7 +245,10 @@ def cross_corpus_near_drop(spark, d):
     return a.unionByName(b)
 
 
-@query("cross_corpus_kept", f"{_CROSS}, bad AS (SELECT DISTINCT x.doc_id FROM keys x JOIN sides a ON a.doc_id = x.doc_id JOIN keys y ON x.band = y.band AND x.key = y.key JOIN sides b ON b.doc_id = y.doc_id WHERE a.side <> b.side) SELECT side, count(*) AS docs FROM sides WHERE doc_id NOT IN (SELECT doc_id FROM bad) GROUP BY side")
+@query(
+    "cross_corpus_kept",
+    f"{_CROSS}, bad AS (SELECT DISTINCT x.doc_id FROM keys x JOIN sides a ON a.doc_id = x.doc_id JOIN keys y ON x.band = y.band AND x.key = y.key JOIN sides b ON b.doc_id = y.doc_id WHERE a.side <> b.side) SELECT side, count(*) AS docs FROM sides WHERE doc_id NOT IN (SELECT doc_id FROM bad) GROUP BY side"
+)
 def cross_corpus_kept(spark, d):
     """What is left of either half after the drop."""
     docs = t(spark, d, "documents").select("doc_id", _side().alias("side"))
@@ -227,7 +266,9 @@ def cross_collision_pairs(spark, d):
     docs = _cut(t(spark, d, "documents").withColumn("side", _side()))
     a, b = docs.filter("side = 0"), docs.filter("side = 1")
     pairs = C.cross_collisions(a, b)
-    named = pairs.join(a.select(F.col("doc_id").alias("id_a"), F.col("source").alias("source_a")), "id_a").join(b.select(F.col("doc_id").alias("id_b"), F.col("source").alias("source_b")), "id_b")
+    named = pairs.join(
+        a.select(F.col("doc_id").alias("id_a"), F.col("source").alias("source_a")), "id_a"
+    ).join(b.select(F.col("doc_id").alias("id_b"), F.col("source").alias("source_b")), "id_b")
     return named.groupBy(F.concat_ws(" <-> ", "source_a", "source_b").alias("pair")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -255,36 +296,60 @@ def split_assign(spark, d):
     return _assigned(spark, d).select("doc_id", F.col("group").alias("grp"), "split")
 
 
-@query("split_stats", f"SELECT split, source_type, count(*) AS docs, CAST(sum(length(text)) AS BIGINT) AS chars, CAST(sum(strlen(text)) AS BIGINT) AS bytes FROM ({_ASSIGNED}) GROUP BY GROUPING SETS ((split), (split, source_type))")
+@query(
+    "split_stats",
+    f"SELECT split, source_type, count(*) AS docs, CAST(sum(length(text)) AS BIGINT) AS chars, CAST(sum(strlen(text)) AS BIGINT) AS bytes FROM ({_ASSIGNED}) GROUP BY GROUPING SETS ((split), (split, source_type))"
+)
 def split_stats(spark, d):
     x = _assigned(spark, d).groupingSets([["split"], ["split", "source_type"]], "split", "source_type")
-    return x.agg(F.count(F.lit(1)).alias("docs"), F.sum(F.length("text")).alias("chars"), F.sum(F.octet_length("text")).alias("bytes"))
+    return x.agg(
+        F.count(F.lit(1)).alias("docs"), F.sum(F.length("text")).alias("chars"), F.sum(F.octet_length("text")).alias("bytes")
+    )
 
 
-@query("manual_fraction", f"SELECT split, round(sum(len({_WORDS})) FILTER (source_type = 'manual') / sum(len({_WORDS})), 4) AS fraction, CAST(greatest(0, CAST(floor(0.2 * sum(len({_WORDS}))) AS BIGINT) - coalesce(sum(len({_WORDS})) FILTER (source_type = 'manual'), 0)) AS BIGINT) AS needed FROM ({_ASSIGNED}) GROUP BY split")
+@query(
+    "manual_fraction",
+    f"SELECT split, round(sum(len({_WORDS})) FILTER (source_type = 'manual') / sum(len({_WORDS})), 4) AS fraction, CAST(greatest(0, CAST(floor(0.2 * sum(len({_WORDS}))) AS BIGINT) - coalesce(sum(len({_WORDS})) FILTER (source_type = 'manual'), 0)) AS BIGINT) AS needed FROM ({_ASSIGNED}) GROUP BY split"
+)
 def manual_fraction(spark, d):
     x = _assigned(spark, d).select("split", "source_type", F.size(X.words(F.col("text"))).alias("n"))
     manual = F.sum(F.when(F.col("source_type") == "manual", F.col("n")))
-    return x.groupBy("split").agg(F.round(manual / F.sum("n"), 4).alias("fraction"), F.greatest(F.lit(0), F.floor(F.sum("n") * 0.2) - F.coalesce(manual, F.lit(0))).cast("long").alias("needed"))
+    return x.groupBy("split").agg(
+        F.round(manual / F.sum("n"), 4).alias("fraction"),
+        F.greatest(F.lit(0), F.floor(F.sum("n") * 0.2) - F.coalesce(manual, F.lit(0))).cast("long").alias("needed")
+    )
 
 
-@query("cap_downloaded", f"SELECT doc_id FROM (SELECT doc_id, {_TYPE} AS st FROM documents) QUALIFY st = 'manual' OR row_number() OVER (PARTITION BY st ORDER BY doc_id) <= 100")
+@query(
+    "cap_downloaded",
+    f"SELECT doc_id FROM (SELECT doc_id, {_TYPE} AS st FROM documents) QUALIFY st = 'manual' OR row_number() OVER (PARTITION BY st ORDER BY doc_id) <= 100"
+)
 def cap_downloaded(spark, d):
     docs = t(spark, d, "documents").select("doc_id", C.source_type(F.col("source")).alias("source_type"))
     return C.capped(docs, 100, ["doc_id"]).select("doc_id")
 
 
-@query("source_inventory", f"SELECT source, {_TYPE} AS source_type, count(*) AS documents, CAST(sum(length(text)) AS BIGINT) AS chars, CAST(sum(strlen(text)) AS BIGINT) AS bytes FROM documents GROUP BY ALL")
+@query(
+    "source_inventory",
+    f"SELECT source, {_TYPE} AS source_type, count(*) AS documents, CAST(sum(length(text)) AS BIGINT) AS chars, CAST(sum(strlen(text)) AS BIGINT) AS bytes FROM documents GROUP BY ALL"
+)
 def source_inventory(spark, d):
     x = t(spark, d, "documents").groupBy("source", C.source_type(F.col("source")).alias("source_type"))
-    return x.agg(F.count(F.lit(1)).alias("documents"), F.sum(F.length("text")).alias("chars"), F.sum(F.octet_length("text")).alias("bytes"))
+    return x.agg(
+        F.count(F.lit(1)).alias("documents"), F.sum(F.length("text")).alias("chars"), F.sum(F.octet_length("text")).alias("bytes")
+    )
 
 
 #: Lower bounds of the length histogram's half-open buckets.
 EDGES = (0, 200, 500, 1000, 2000, 5000, 10000, 50000)
 
 
-@query("length_histogram", "SELECT lo, count(*) AS docs FROM (SELECT CASE " + " ".join(f"WHEN length(text) >= {e} THEN {e}" for e in reversed(EDGES)) + " END AS lo FROM documents) GROUP BY lo")
+@query(
+    "length_histogram",
+    "SELECT lo, count(*) AS docs FROM (SELECT CASE " + " ".join(
+        f"WHEN length(text) >= {e} THEN {e}" for e in reversed(EDGES)
+    ) + " END AS lo FROM documents) GROUP BY lo"
+)
 def length_histogram(spark, d):
     n = F.length("text")
     lo = F.coalesce(*(F.when(n >= e, e) for e in reversed(EDGES)))
@@ -299,8 +364,20 @@ SELECT stage, n, round(n / lag(n) OVER (ORDER BY i), 4) AS retention FROM s""",
 def stage_funnel(spark, d):
     m = t(spark, d, "documents").select(F.md5("text").alias("h"), X.reject_reason(F.col("text")).isNull().alias("ok"))
     g = m.groupBy("h").agg(F.count(F.lit(1)).alias("c"), F.first("ok").alias("ok"))
-    s = g.agg(F.sum("c").alias("raw"), F.sum(F.when(F.col("ok"), F.col("c"))).alias("clean"), F.count(F.when(F.col("ok"), 1)).alias("unique"))
-    long = s.select(F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(k).alias("stage"), F.col(k).alias("n")) for i, k in enumerate(("raw", "clean", "unique"))))).alias("x")).select("x.*")
+    s = g.agg(
+        F.sum("c").alias("raw"), F.sum(F.when(F.col("ok"), F.col("c"))).alias("clean"),
+        F.count(F.when(F.col("ok"), 1)).alias("unique")
+    )
+    long = s.select(
+        F.explode(
+            F.array(
+                *(
+                    F.struct(F.lit(i).alias("i"), F.lit(k).alias("stage"), F.col(k).alias("n")) for i,
+                    k in enumerate(("raw", "clean", "unique"))
+                )
+            )
+        ).alias("x")
+    ).select("x.*")
     return long.select("stage", "n", F.round(F.col("n") / F.lag("n").over(Window.orderBy("i")), 4).alias("retention"))
 
 
@@ -323,7 +400,9 @@ def _tokens(spark, d) -> DataFrame:
 
 @query("token_frequency", f"SELECT token, c AS count, round(c / sum(c) OVER (), 9) AS share, rank FROM ({_FREQ})")
 def token_frequency(spark, d):
-    return K.token_frequency(_tokens(spark, d)).select("token", "count", F.round("share", 9).alias("share"), F.col("rank").cast("long").alias("rank"))
+    return K.token_frequency(_tokens(spark, d)).select(
+        "token", "count", F.round("share", 9).alias("share"), F.col("rank").cast("long").alias("rank")
+    )
 
 
 @query("token_top50", f"SELECT token, c AS count FROM ({_FREQ}) WHERE rank <= 50")
@@ -331,7 +410,10 @@ def token_top50(spark, d):
     return _tokens(spark, d).groupBy("token").agg(F.count(F.lit(1)).alias("count")).orderBy(F.desc("count"), "token").limit(50)
 
 
-@query("token_coverage95", f"SELECT min(rank) AS n FROM (SELECT rank, sum(c) OVER (ORDER BY rank) AS run, sum(c) OVER () AS total FROM ({_FREQ})) WHERE run >= 0.95 * total")
+@query(
+    "token_coverage95",
+    f"SELECT min(rank) AS n FROM (SELECT rank, sum(c) OVER (ORDER BY rank) AS run, sum(c) OVER () AS total FROM ({_FREQ})) WHERE run >= 0.95 * total"
+)
 def token_coverage95(spark, d):
     return K.covering(K.token_frequency(_tokens(spark, d)))
 
@@ -349,7 +431,10 @@ def pseudo_perplexity(spark, d):
     return _ppl(spark, d)
 
 
-@query("perplexity_percentiles", f"WITH p AS MATERIALIZED (SELECT ppl, row_number() OVER (ORDER BY ppl) - 1 AS r, count(*) OVER () AS n FROM ({_PPL})) SELECT q AS p, ppl FROM p, (VALUES (0.10::DOUBLE), (0.25), (0.50), (0.75), (0.90), (0.95), (0.99)) v(q) WHERE r = CAST(floor(n * q) AS BIGINT)")
+@query(
+    "perplexity_percentiles",
+    f"WITH p AS MATERIALIZED (SELECT ppl, row_number() OVER (ORDER BY ppl) - 1 AS r, count(*) OVER () AS n FROM ({_PPL})) SELECT q AS p, ppl FROM p, (VALUES (0.10::DOUBLE), (0.25), (0.50), (0.75), (0.90), (0.95), (0.99)) v(q) WHERE r = CAST(floor(n * q) AS BIGINT)"
+)
 def perplexity_percentiles(spark, d):
     return K.index_percentiles(_ppl(spark, d), "ppl", (0.10, 0.25, 0.50, 0.75, 0.90, 0.95, 0.99))
 
@@ -359,13 +444,18 @@ def perplexity_percentiles(spark, d):
     f"WITH p AS MATERIALIZED (SELECT x.ppl, y.words, row_number() OVER (ORDER BY ppl) - 1 AS r, count(*) OVER () AS n FROM ({_PPL}) x JOIN (SELECT doc_id, len({_WORDS}) AS words FROM documents) y USING (doc_id)), c AS (SELECT q, ppl AS cut FROM p, (VALUES (0.50::DOUBLE), (0.75), (0.90), (0.95)) v(q) WHERE r = least(CAST(floor(n * q) AS BIGINT), n - 1)) SELECT q AS p, CAST(count(*) FILTER (ppl <= cut) AS BIGINT) AS docs, CAST(sum(words) FILTER (ppl <= cut) AS BIGINT) AS words FROM p, c GROUP BY q",
 )
 def perplexity_retention(spark, d):
-    scored = _cut(_ppl(spark, d).join(t(spark, d, "documents").select("doc_id", F.size(X.words(F.col("text"))).alias("w")), "doc_id"))
+    scored = _cut(
+        _ppl(spark, d).join(t(spark, d, "documents").select("doc_id", F.size(X.words(F.col("text"))).alias("w")), "doc_id")
+    )
     cuts = K.index_percentiles(scored, "ppl", (0.50, 0.75, 0.90, 0.95)).withColumnRenamed("ppl", "cut")
     met = scored.join(F.broadcast(cuts), F.col("ppl") <= F.col("cut"))  # four rows
     return met.groupBy("p").agg(F.count(F.lit(1)).alias("docs"), F.sum("w").alias("words"))
 
 
-@query("sequential_windows", f"SELECT doc_id, CAST(s AS INT) AS start, array_to_string(w[s+1:s+16], ' ') AS x, array_to_string(w[s+2:s+17], ' ') AS y FROM (SELECT doc_id, w, unnest(range(0, len(w) - 16, 16)) AS s FROM (SELECT doc_id, {_WORDS} AS w FROM documents) WHERE len(w) > 16)")
+@query(
+    "sequential_windows",
+    f"SELECT doc_id, CAST(s AS INT) AS start, array_to_string(w[s+1:s+16], ' ') AS x, array_to_string(w[s+2:s+17], ' ') AS y FROM (SELECT doc_id, w, unnest(range(0, len(w) - 16, 16)) AS s FROM (SELECT doc_id, {_WORDS} AS w FROM documents) WHERE len(w) > 16)"
+)
 def sequential_windows(spark, d):
     rows = t(spark, d, "documents").select("doc_id", X.words(F.col("text")).alias("ids"))
     return K.windows(rows, 16).select("doc_id", "start", F.array_join("x", " ").alias("x"), F.array_join("y", " ").alias("y"))
@@ -375,7 +465,9 @@ def sequential_windows(spark, d):
 def prompt_windows(spark, d):
     """Seeded windows cut into a prompt and its reference, the same for every run."""
     rows = t(spark, d, "documents").select("doc_id", X.words(F.col("text")).alias("ids"))
-    return K.random_windows(rows, 48, 2, seed=3).select("doc_id", "draw", "start", F.slice("x", 1, 16).alias("prompt"), F.slice("x", 17, 32).alias("reference"))
+    return K.random_windows(rows, 48, 2, seed=3).select(
+        "doc_id", "draw", "start", F.slice("x", 1, 16).alias("prompt"), F.slice("x", 17, 32).alias("reference")
+    )
 
 
 @query(
@@ -386,18 +478,29 @@ def sft_mask(spark, d):
     w = F.transform(X.words(F.col("text")), lambda x: F.length(x))
     rows = t(spark, d, "conversations").select("conv_id", "turn", w.alias("w")).filter("size(w) >= 2")
     k = F.greatest(F.lit(1), F.floor(F.size("w") / 2).cast("int"))
-    rows = rows.select("conv_id", "turn", F.slice("w", F.lit(1), k).alias("prompt"), F.slice("w", k + 1, F.size("w")).alias("target"))
+    rows = rows.select(
+        "conv_id", "turn", F.slice("w", F.lit(1), k).alias("prompt"), F.slice("w", k + 1, F.size("w")).alias("target")
+    )
     out = K.prompt_masked(rows, 64)
     counted = F.filter("labels", lambda x: x != -100)
-    return out.select("conv_id", "turn", (F.size("prompt") + F.size("target") - 1).cast("long").alias("used"), F.aggregate(counted, F.lit(0), lambda a, x: a + x).cast("long").alias("target_sum"))
+    return out.select(
+        "conv_id", "turn", (F.size("prompt") + F.size("target") - 1).cast("long").alias("used"),
+        F.aggregate(counted, F.lit(0), lambda a, x: a + x).cast("long").alias("target_sum")
+    )
 
 
-@query("diversity_distinct2", f"WITH g AS (SELECT unnest(CASE WHEN len(w) >= 2 THEN list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i+1]) ELSE [] END) AS g FROM (SELECT {_WORDS} AS w FROM conversations)) SELECT round(count(DISTINCT g) / count(*), 9) AS value FROM g")
+@query(
+    "diversity_distinct2",
+    f"WITH g AS (SELECT unnest(CASE WHEN len(w) >= 2 THEN list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i+1]) ELSE [] END) AS g FROM (SELECT {_WORDS} AS w FROM conversations)) SELECT round(count(DISTINCT g) / count(*), 9) AS value FROM g"
+)
 def diversity_distinct2(spark, d):
     return S.distinct_n(t(spark, d, "conversations"), 2).select(F.round("value", 9).alias("value"))
 
 
-@query("repetition_rate4", f"WITH g AS (SELECT CASE WHEN len(w) >= 4 THEN list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i+3], ' ')) ELSE [] END AS g FROM (SELECT {_WORDS} AS w FROM documents)) SELECT round(avg(1 - len(list_distinct(g)) / len(g)), 9) AS value FROM g WHERE len(g) > 0")
+@query(
+    "repetition_rate4",
+    f"WITH g AS (SELECT CASE WHEN len(w) >= 4 THEN list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i+3], ' ')) ELSE [] END AS g FROM (SELECT {_WORDS} AS w FROM documents)) SELECT round(avg(1 - len(list_distinct(g)) / len(g)), 9) AS value FROM g WHERE len(g) > 0"
+)
 def repetition_rate4(spark, d):
     return S.repetition(t(spark, d, "documents")).select(F.round("value", 9).alias("value"))
 
@@ -406,7 +509,9 @@ def _answer_pairs(spark, d) -> DataFrame:
     """User turns and the assistant turns that follow."""
     c = t(spark, d, "conversations")
     a = c.filter("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("reference"))
-    return c.filter("role = 'user'").select("conv_id", "turn", F.col("text").alias("hypothesis")).join(a, ["conv_id", "turn"]).withColumn("id", F.concat_ws(":", "conv_id", "turn"))
+    return c.filter("role = 'user'").select(
+        "conv_id", "turn", F.col("text").alias("hypothesis")
+    ).join(a, ["conv_id", "turn"]).withColumn("id", F.concat_ws(":", "conv_id", "turn"))
 
 
 @query("rouge_l")
@@ -434,7 +539,9 @@ def bleu_char(spark, d):
     return S.bleu(_answer_pairs(spark, d)).select(F.round("value", 6).alias("value"))
 
 
-_WORD_PAIRS = "SELECT u.conv_id, u.turn, {u} AS h, {a} AS r FROM conversations u JOIN conversations a ON u.conv_id = a.conv_id AND a.turn = u.turn + 1 WHERE u.role = 'user' AND a.role = 'assistant'".format(u=_WORDS.replace("(text,", "(u.text,"), a=_WORDS.replace("(text,", "(a.text,"))
+_WORD_PAIRS = "SELECT u.conv_id, u.turn, {u} AS h, {a} AS r FROM conversations u JOIN conversations a ON u.conv_id = a.conv_id AND a.turn = u.turn + 1 WHERE u.role = 'user' AND a.role = 'assistant'".format(
+    u=_WORDS.replace("(text,", "(u.text,"), a=_WORDS.replace("(text,", "(a.text,")
+)
 
 
 def _word_sql(n: int) -> str:
@@ -461,17 +568,24 @@ def html_links(spark, d):
     return W.page_links(t(spark, d, "pages")).select("page_id", "link")
 
 
-@query("page_domains", "SELECT regexp_extract(url, '^https?://([^/?#]+)', 1) AS host, count(*) AS pages, round(median(length(html)), 4) AS middle FROM pages GROUP BY host")
+@query(
+    "page_domains",
+    "SELECT regexp_extract(url, '^https?://([^/?#]+)', 1) AS host, count(*) AS pages, round(median(length(html)), 4) AS middle FROM pages GROUP BY host"
+)
 def page_domains(spark, d):
     host = F.regexp_extract("url", r"^https?://([^/?#]+)", 1)
-    return t(spark, d, "pages").groupBy(host.alias("host")).agg(F.count(F.lit(1)).alias("pages"), F.round(F.percentile(F.length("html"), 0.5), 4).alias("middle"))
+    return t(spark, d, "pages").groupBy(host.alias("host")).agg(
+        F.count(F.lit(1)).alias("pages"), F.round(F.percentile(F.length("html"), 0.5), 4).alias("middle")
+    )
 
 
 _PRED = f"SELECT quality, toxic, lang, CASE WHEN {_REASON} IS NULL THEN 1 ELSE 0 END AS predicted FROM (SELECT m.*, l.quality, l.toxic, d.lang FROM ({_MEASURED}) m JOIN labels l USING (doc_id) JOIN documents d USING (doc_id))"
 
 
 def _predicted(spark, d) -> DataFrame:
-    docs = t(spark, d, "documents").select("doc_id", "lang", X.reject_reason(F.col("text")).isNull().cast("int").alias("predicted"))
+    docs = t(spark, d, "documents").select(
+        "doc_id", "lang", X.reject_reason(F.col("text")).isNull().cast("int").alias("predicted")
+    )
     return docs.join(t(spark, d, "labels"), "doc_id")
 
 
@@ -488,7 +602,9 @@ def confusion_matrix(spark, d):
     return S.confusion(_predicted(spark, d), "quality", "predicted")
 
 
-@query("majority_baseline", "SELECT round(max(c) / sum(c), 9) AS baseline FROM (SELECT count(*) AS c FROM labels GROUP BY quality)")
+@query(
+    "majority_baseline", "SELECT round(max(c) / sum(c), 9) AS baseline FROM (SELECT count(*) AS c FROM labels GROUP BY quality)"
+)
 def majority_baseline(spark, d):
     return S.majority(t(spark, d, "labels"), "quality").select(F.round("baseline", 9).alias("baseline"))
 
@@ -501,10 +617,15 @@ def class_report(spark, d):
     return S.class_report(_predicted(spark, d), "quality", "predicted")
 
 
-@query("embedding_centroids", "WITH e AS (SELECT label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings) SELECT label, i AS dim, round(avg(x), 6) AS centre FROM e GROUP BY ALL")
+@query(
+    "embedding_centroids",
+    "WITH e AS (SELECT label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings) SELECT label, i AS dim, round(avg(x), 6) AS centre FROM e GROUP BY ALL"
+)
 def embedding_centroids(spark, d):
     x = t(spark, d, "embeddings").select("label", F.posexplode("embedding").alias("p", "x"))
-    return x.groupBy("label", (F.col("p") + 1).cast("long").alias("dim")).agg(F.round(F.avg(F.col("x").cast("double")), 6).alias("centre"))
+    return x.groupBy("label", (F.col("p") + 1).cast("long").alias("dim")).agg(
+        F.round(F.avg(F.col("x").cast("double")), 6).alias("centre")
+    )
 
 
 @query("reasoning_items")

@@ -39,7 +39,9 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
 
 def write_manifests(splits: DataFrame, path: str) -> None:
     """splits(split, doc_id): a folder of ids for each split."""
-    splits.select("split", F.col("doc_id").cast("string").alias("value")).repartition("split").write.mode("overwrite").partitionBy("split").text(path)
+    splits.select(
+        "split", F.col("doc_id").cast("string").alias("value")
+    ).repartition("split").write.mode("overwrite").partitionBy("split").text(path)
 
 
 def write_csv(df: DataFrame, path: str) -> None:
@@ -89,7 +91,9 @@ def write_quarantine(docs: DataFrame, kept_path: str, rejected_path: str, accept
 
 def write_tokens(tokens: DataFrame, path: str, ids: str = "ids") -> None:
     """Token arrays as 16-bit little-endian bytes, in a binary column (vocabularies of up to 65,536 ids)."""
-    packed = F.expr(f"unhex(array_join(transform({ids}, x -> concat(lpad(hex(x % 256), 2, '0'), lpad(hex(div(x, 256)), 2, '0'))), ''))".replace("div(x, 256)", "x div 256"))
+    packed = F.expr(
+        f"unhex(array_join(transform({ids}, x -> concat(lpad(hex(x % 256), 2, '0'), lpad(hex(div(x, 256)), 2, '0'))), ''))".replace("div(x, 256)", "x div 256")
+    )
     tokens.withColumn(ids, packed).write.mode("overwrite").parquet(path)
 
 
@@ -108,8 +112,14 @@ def prompts(lines: DataFrame, value: str = "value") -> DataFrame:
     return kept.select(F.trim(F.split_part(value, F.lit("|"), F.lit(1))).alias("prompt"), names.alias("candidates"))
 
 
-def ingest(docs: DataFrame, source: str, lang: str, text_key: str = "text", url_key: str | None = None, min_chars: int = 200, max_docs: int | None = None) -> DataFrame:
+def ingest(
+    docs: DataFrame, source: str, lang: str, text_key: str = "text", url_key: str | None = None, min_chars: int = 200,
+    max_docs: int | None = None
+) -> DataFrame:
     """A public dataset's rows as documents: long enough texts, at most max_docs of them, marked as downloaded."""
-    out = docs.select(F.col(text_key).alias("text"), F.lit(lang).alias("lang"), F.lit(source).alias("source"), F.lit("downloaded").alias("source_type"), (F.col(url_key) if url_key else F.lit(None).cast("string")).alias("url"))
+    out = docs.select(
+        F.col(text_key).alias("text"), F.lit(lang).alias("lang"), F.lit(source).alias("source"),
+        F.lit("downloaded").alias("source_type"), (F.col(url_key) if url_key else F.lit(None).cast("string")).alias("url")
+    )
     out = out.filter(F.length("text") >= min_chars).withColumn("doc_id", F.substring(F.md5("text"), 1, 16))
     return out.limit(max_docs) if max_docs else out

@@ -35,7 +35,12 @@ def page_links(pages: DataFrame, url: str = "url", html: str = "html", key: str
     """
     base = F.regexp_extract(url, r"^(https?://[^/?#]+)", 1)
     folder = F.regexp_replace(F.regexp_replace(F.col(url), r"[?#].*$", ""), r"[^/]*$", "")
-    found = pages.select(key, base.alias("base"), folder.alias("folder"), F.posexplode(F.regexp_extract_all(F.col(html), F.lit(r"""(?i)href=["']([^"'#\s]+)["']"""), F.lit(1))).alias("place", "href"))
+    found = pages.select(
+        key, base.alias("base"), folder.alias("folder"),
+        F.posexplode(
+            F.regexp_extract_all(F.col(html), F.lit(r"""(?i)href=["']([^"'#\s]+)["']"""), F.lit(1))
+        ).alias("place", "href")
+    )
     full = (
         F.when(F.col("href").rlike("(?i)^[a-z][a-z0-9+.-]*:"), F.col("href"))
         .when(F.col("href").startswith("//"), F.concat(F.regexp_extract("base", "^(https?:)", 1), "href"))
@@ -55,28 +60,40 @@ def page_links(pages: DataFrame, url: str = "url", html: str = "html", key: str
 def sitemap_links(payloads: DataFrame, body: str = "body") -> DataFrame:
     """link, nested: locations of sitemaps, feeds and malformed files; nested ones are sitemaps again. First place each."""
     found = F.regexp_extract_all(F.col(body), F.lit(r"(?is)<(?:\w+:)?(?:loc|link)>\s*(?:<!\[CDATA\[)?\s*([^<\s\]]+)"), F.lit(1))
-    links = payloads.select(F.col(body).rlike("(?i)<(?:\\w+:)?sitemapindex").alias("index"), F.posexplode(found).alias("place", "link"))
+    links = payloads.select(
+        F.col(body).rlike("(?i)<(?:\\w+:)?sitemapindex").alias("index"), F.posexplode(found).alias("place", "link")
+    )
     lower = F.lower("link")
     nested = F.col("index") | lower.endswith(".xml") | lower.endswith(".xml.gz") | lower.contains("sitemap")
     return links.groupBy("link").agg(F.min("place").alias("place"), F.max(nested).alias("nested"))
 
 
 def robots_sitemaps(robots: DataFrame, body: str = "body") -> DataFrame:
-    return robots.select(F.explode(F.regexp_extract_all(F.col(body), F.lit(r"(?im)^\s*sitemap:\s*(\S+)"), F.lit(1))).alias("link")).distinct()
+    return robots.select(
+        F.explode(F.regexp_extract_all(F.col(body), F.lit(r"(?im)^\s*sitemap:\s*(\S+)"), F.lit(1))).alias("link")
+    ).distinct()
 
 
 def robots_rules(robots: DataFrame, host: str = "host", body: str = "body", agent: str = "*") -> DataFrame:
     """host, path, allow: the rules of the group for one agent."""
-    group = F.regexp_extract(F.concat(F.lit("\n"), F.col(body), F.lit("\n")), rf"(?is)\n\s*user-agent:\s*{'[*]' if agent == '*' else agent}\s*\n(.*?)(?=\n\s*user-agent:|$)", 1)
+    group = F.regexp_extract(
+        F.concat(F.lit("\n"), F.col(body), F.lit("\n")),
+        rf"(?is)\n\s*user-agent:\s*{'[*]' if agent == '*' else agent}\s*\n(.*?)(?=\n\s*user-agent:|$)", 1
+    )
     lines = robots.select(host, F.explode(F.split(group, "\n")).alias("line"))
-    return lines.select(host, F.regexp_extract("line", r"(?i)^\s*(?:dis)?allow:\s*(\S*)", 1).alias("path"), (~F.col("line").rlike(r"(?i)^\s*disallow:")).alias("allow")).filter(F.col("line").rlike(r"(?i)^\s*(dis)?allow:") & (F.col("path") != ""))
+    return lines.select(
+        host, F.regexp_extract("line", r"(?i)^\s*(?:dis)?allow:\s*(\S*)", 1).alias("path"),
+        (~F.col("line").rlike(r"(?i)^\s*disallow:")).alias("allow")
+    ).filter(F.col("line").rlike(r"(?i)^\s*(dis)?allow:") & (F.col("path") != ""))
 
 
 def allowed(urls: DataFrame, rules: DataFrame, url: str = "url") -> DataFrame:
     """urls with `allowed`: the longest rule that begins the path decides; without one, or for unknown hosts, yes."""
     host, path = F.regexp_extract(url, r"^https?://([^/?#]+)", 1), F.regexp_replace(url, r"^https?://[^/?#]+", "")
     found = urls.withColumn("_host", host).withColumn("_path", F.when(path == "", "/").otherwise(path)).alias("u")
-    met = found.join(rules.alias("r"), (F.col("u._host") == F.col("r.host")) & F.col("u._path").startswith(F.col("r.path")), "left")
+    met = found.join(
+        rules.alias("r"), (F.col("u._host") == F.col("r.host")) & F.col("u._path").startswith(F.col("r.path")), "left"
+    )
     verdict = F.max_by("r.allow", F.struct(F.length("r.path"), F.col("r.allow")))
     return met.groupBy(*(F.col(f"u.{c}").alias(c) for c in urls.columns)).agg(F.coalesce(verdict, F.lit(True)).alias("allowed"))
 
@@ -85,7 +102,11 @@ def wiki_titles(payloads: DataFrame, root: str, body: str = "body") -> DataFrame
     """Page URLs of a wiki's allpages listing."""
     kind = "query struct<allpages: array<struct<title: string>>>"
     title = F.explode(F.from_json(body, kind)["query"]["allpages"]["title"]).alias("title")
-    return payloads.select(title).select(F.concat(F.lit(root.rstrip("/") + "/"), F.regexp_replace(F.url_encode(F.regexp_replace("title", " ", "_")), r"\+", "%20")).alias("url"))
+    return payloads.select(title).select(
+        F.concat(
+            F.lit(root.rstrip("/") + "/"), F.regexp_replace(F.url_encode(F.regexp_replace("title", " ", "_")), r"\+", "%20")
+        ).alias("url")
+    )
 
 
 def title_of(url: Column) -> Column:
@@ -100,8 +121,12 @@ def wiki_next(payloads: DataFrame, body: str = "body") -> DataFrame:
 
 def wiki_texts(payloads: DataFrame, body: str = "body", least: int = 200) -> DataFrame:
     """Plain-text extracts of an API payload that are long enough."""
-    pages = F.map_values(F.from_json(body, "query struct<pages: map<string, struct<title: string, extract: string>>>")["query"]["pages"])
-    return payloads.select(F.explode(pages).alias("p")).select("p.title", F.col("p.extract").alias("text")).filter(F.length("text") >= least)
+    pages = F.map_values(
+        F.from_json(body, "query struct<pages: map<string, struct<title: string, extract: string>>>")["query"]["pages"]
+    )
+    return payloads.select(F.explode(pages).alias("p")).select(
+        "p.title", F.col("p.extract").alias("text")
+    ).filter(F.length("text") >= least)
 
 
 def blog_posts(payloads: DataFrame, body: str = "body") -> DataFrame:
@@ -113,7 +138,9 @@ def link_crawl(roots: DataFrame, links: DataFrame, depth: int = 2, most: int | N
     seen = roots.select("url").distinct().withColumn("depth", F.lit(0))
     edge = seen
     for k in range(1, depth + 1):
-        edge = links.join(edge.select(F.col("url").alias("source")), "source").select(F.col("target").alias("url")).distinct().join(seen.select("url"), "url", "left_anti").withColumn("depth", F.lit(k))
+        edge = links.join(
+            edge.select(F.col("url").alias("source")), "source"
+        ).select(F.col("target").alias("url")).distinct().join(seen.select("url"), "url", "left_anti").withColumn("depth", F.lit(k))
         seen = seen.unionByName(edge)
     return seen.orderBy("depth", "url").limit(most) if most else seen
 

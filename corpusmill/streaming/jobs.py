@@ -33,7 +33,9 @@ def stored(df: DataFrame) -> DataFrame:
 
 def events(spark: SparkSession, sf_dir: str, files_a_trigger: int = 1) -> DataFrame:
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_a_trigger).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/[e]vents.parquet")
+    return spark.readStream.schema(schema).option(
+        "maxFilesPerTrigger", files_a_trigger
+    ).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/[e]vents.parquet")
 
 
 def timed(stream: DataFrame) -> DataFrame:
@@ -46,13 +48,17 @@ def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
     spark = stream.sparkSession
     at = folder(spark)
     if mode == "append":
-        stream.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+        stream.writeStream.format("parquet").option("path", f"{at}/out").option(
+            "checkpointLocation", f"{at}/state"
+        ).outputMode("append").trigger(availableNow=True).start().awaitTermination()
         return spark.read.schema(stream.schema).parquet(f"{at}/out")
 
     def put(batch: DataFrame, _: int) -> None:
         batch.write.mode("overwrite").parquet(f"{at}/out")
 
-    stream.writeStream.foreachBatch(put).option("checkpointLocation", f"{at}/state").outputMode(mode).trigger(availableNow=True).start().awaitTermination()
+    stream.writeStream.foreachBatch(put).option(
+        "checkpointLocation", f"{at}/state"
+    ).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{at}/out")
 
 
@@ -64,7 +70,9 @@ def latest(stream: DataFrame, keys: list[str]) -> DataFrame:
     def put(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{at}/out/batch={number}")
 
-    stream.writeStream.foreachBatch(put).option("checkpointLocation", f"{at}/state").outputMode("update").trigger(availableNow=True).start().awaitTermination()
+    stream.writeStream.foreachBatch(put).option(
+        "checkpointLocation", f"{at}/state"
+    ).outputMode("update").trigger(availableNow=True).start().awaitTermination()
     rest = [c for c in stream.columns if c not in keys]
     rows = spark.read.schema(T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType())])).parquet(f"{at}/out")
     return rows.groupBy(*keys).agg(*(F.max_by(c, "batch").alias(c) for c in rest)).select(*stream.columns)
@@ -72,15 +80,21 @@ def latest(stream: DataFrame, keys: list[str]) -> DataFrame:
 
 def tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows whose end the watermark has passed leave the state."""
-    s = timed(events(spark, sf_dir)).withWatermark("ts", "1 day").groupBy(F.window("ts", "1 hour"), "event_type").agg(F.count(F.lit(1)).alias("n"))
+    s = timed(events(spark, sf_dir)).withWatermark("ts", "1 day").groupBy(
+        F.window("ts", "1 hour"), "event_type"
+    ).agg(F.count(F.lit(1)).alias("n"))
     return latest(s.select(F.unix_timestamp("window.start").alias("start"), "event_type", "n"), ["start", "event_type"])
 
 
 def followed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stream-stream join: clicks and the purchases of the same user in the hour after. Both sides' state ends by watermark."""
     e = timed(events(spark, sf_dir)).select("event_id", "user_id", "event_type", "ts")
-    clicks = e.filter("event_type = 'click'").select(F.col("event_id").alias("click"), F.col("user_id").alias("who"), F.col("ts").alias("at")).withWatermark("at", "1 day")
-    bought = timed(events(spark, sf_dir)).filter("event_type = 'purchase'").select(F.col("event_id").alias("purchase"), "user_id", "ts").withWatermark("ts", "1 day")
+    clicks = e.filter("event_type = 'click'").select(
+        F.col("event_id").alias("click"), F.col("user_id").alias("who"), F.col("ts").alias("at")
+    ).withWatermark("at", "1 day")
+    bought = timed(events(spark, sf_dir)).filter("event_type = 'purchase'").select(
+        F.col("event_id").alias("purchase"), "user_id", "ts"
+    ).withWatermark("ts", "1 day")
     met = clicks.join(bought, F.expr("who = user_id AND ts >= at AND ts <= at + INTERVAL 1 HOUR"))
     return drained(met.select("click", "purchase"))
 
@@ -92,19 +106,25 @@ def late(spark: SparkSession) -> DataFrame:
     """Five files of a row each, read one a batch: the fourth comes when its window is final, and is dropped."""
     at = folder(spark)
     for i, x in enumerate(LATE):
-        spark.createDataFrame([(x,)], "t string").select(F.col("t").cast("timestamp").alias("ts")).coalesce(1).write.parquet(f"{at}/{i}")
+        spark.createDataFrame([(x,)], "t string").select(
+            F.col("t").cast("timestamp").alias("ts")
+        ).coalesce(1).write.parquet(f"{at}/{i}")
     return drained(late_dropped(spark.readStream.schema("ts timestamp").option("maxFilesPerTrigger", 1).parquet(f"{at}/*")))
 
 
 def late_dropped(stream: DataFrame, delay: str = "10 minutes", size: str = "1 hour") -> DataFrame:
     """Window counts that are final once the watermark has passed; later rows are dropped."""
-    return stream.withWatermark("ts", delay).groupBy(F.window("ts", size)).agg(F.count(F.lit(1)).alias("n")).select(F.unix_timestamp("window.start").alias("start"), "n")
+    return stream.withWatermark("ts", delay).groupBy(F.window("ts", size)).agg(F.count(F.lit(1)).alias("n")).select(
+        F.unix_timestamp("window.start").alias("start"), "n"
+    )
 
 
 def deduplicated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """By user, type and hour; hours that the watermark has passed leave the state."""
     hour = F.date_trunc("hour", "ts").alias("hour")
-    s = events(spark, sf_dir).select("user_id", "event_type", hour).withWatermark("hour", "1 day").dropDuplicates(["user_id", "event_type", "hour"])
+    s = events(spark, sf_dir).select("user_id", "event_type", hour).withWatermark("hour", "1 day").dropDuplicates(
+        ["user_id", "event_type", "hour"]
+    )
     return drained(s.select("user_id", "event_type", "hour")).groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -116,7 +136,9 @@ def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def static_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_nationkey")
     n = spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_nationkey", "n_name")
-    s = events(spark, sf_dir).join(c, F.col("user_id") == F.col("c_custkey")).join(n, F.col("c_nationkey") == F.col("n_nationkey"))
+    s = events(spark, sf_dir).join(c, F.col("user_id") == F.col("c_custkey")).join(
+        n, F.col("c_nationkey") == F.col("n_nationkey")
+    )
     return drained(s.groupBy("n_name").agg(F.count(F.lit(1)).alias("n")), "complete")
 
 
@@ -127,11 +149,15 @@ def advance(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> It
         seen += len(f)
         done = done or bool((f["event_type"] == "purchase").any())
     state.update((seen, done))
-    yield pd.DataFrame({"user_id": [key[0]], "status": ["done" if done else "claimed" if seen > 3 else "pending"], "seen": [seen]})
+    yield pd.DataFrame(
+        {"user_id": [key[0]], "status": ["done" if done else "claimed" if seen > 3 else "pending"], "seen": [seen]}
+    )
 
 
 def frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = events(spark, sf_dir).select("user_id", "event_type").groupBy("user_id").applyInPandasWithState(advance, "user_id long, status string, seen long", "seen long, done boolean", "update", GroupStateTimeout.NoTimeout)
+    s = events(spark, sf_dir).select("user_id", "event_type").groupBy("user_id").applyInPandasWithState(
+        advance, "user_id long, status string, seen long", "seen long, done boolean", "update", GroupStateTimeout.NoTimeout
+    )
     return latest(s, ["user_id"])
 
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import unicodedata
+import zlib
 
 import numpy as np
 import pandas as pd
@@ -27,6 +29,21 @@ def blake2b_32(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else int(hashlib.blake2b(t.encode(), digest_size=4).hexdigest(), 16))
 
 
+@F.pandas_udf(T.StringType())
+def payload(content: pd.Series) -> pd.Series:
+    """A file's bytes as text, unpacked first where they begin as gzip does; null where they cannot be."""
+
+    def text(raw: bytes | None) -> str | None:
+        if raw is None:
+            return None
+        try:
+            return (gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw).decode("utf-8", "replace")
+        except (OSError, EOFError, zlib.error):
+            return None
+
+    return content.map(text)
+
+
 def lcs_length(a: list, b: list) -> int:
     """Length of the longest common subsequence. A row of the usual table is one whole number, with a bit for each place of
     b where the row does not rise, and is moved on by an addition."""

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import base64
+import gzip
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..functions.python_udfs import payload
+from ..operators import corpus as C
 from ..operators import langid as L
 from ..operators import reasoning as R
 from ..operators import reports as P
@@ -17,7 +22,7 @@ from ..sources import web as W
 from ..sources.tables import table as t
 from ..streaming.jobs import folder
 from .fixtures import Fixture
-from .text_queries import _ASSIGNED, _PPL, _TYPE, _WORDS, _assigned, _ppl
+from .text_queries import _ASSIGNED, _GREEDY, _PPL, _TYPE, _WORDS, _assigned, _ppl, lsh_greedy_keep
 
 
 def on_fixture(name: str, sql: str, *fixtures: Fixture, **named: Fixture):
@@ -639,3 +644,47 @@ def fresh_names(spark, d):
     return items.agg(
         F.count(F.lit(1)).alias("items"), F.count(F.when(F.col("text").rlike(rf"\b(?:{'|'.join(R.NAMES)})\b"), 1)).alias("known")
     )
+
+
+@query("web_payloads", "SELECT * FROM (VALUES (1::BIGINT, 'http://a/z'), (2, 'plain')) v(id, link)")
+def web_payloads(spark, d):
+    """Sitemaps as files: packed or not."""
+    packed = base64.b64encode(gzip.compress(b"<urlset><url><loc>http://a/z</loc></url></urlset>", mtime=0)).decode()
+    plain = base64.b64encode(b"<urlset><loc>plain</loc></urlset>").decode()
+    rows = spark.createDataFrame([(1, packed), (2, plain), (3, None)], "id long, raw string")
+    body = rows.select("id", payload(F.unbase64("raw")).alias("body"))
+    one = F.regexp_extract("body", "<loc>([^<]+)</loc>", 1)
+    return body.filter("body IS NOT NULL").select("id", one.alias("link"))
+
+
+@query("split_manifests", f"SELECT split, count(*) AS docs FROM ({_ASSIGNED}) GROUP BY split")
+def split_manifests(spark, d):
+    """Ids of each split written as text, none empty, read back and met with the documents again."""
+    rows, path = _assigned(spark, d).select("split", "doc_id"), folder(spark)
+    T.write_manifests(rows, path)
+    docs = t(spark, d, "documents").select(F.col("doc_id").cast("string").alias("doc_id"))
+    found = None
+    for name in ("train", "val", "test"):
+        own = docs.join(T.read_manifest(spark, f"{path}/split={name}"), "doc_id", "left_semi")
+        n = own.agg(F.lit(name).alias("split"), F.count(F.lit(1)).alias("docs"))
+        found = n if found is None else found.unionByName(n)
+    return C.assert_no_empty_split(found)
+
+
+@query("dedup_counts", _GREEDY.replace("SELECT doc_id FROM u WHERE", "SELECT (SELECT count(*) FROM documents) AS seen, (SELECT count(*) FROM documents) - (SELECT count(*) FROM u) AS exact, (SELECT count(*) FROM u) - count(*) AS near, count(*) AS kept FROM u WHERE"))
+def dedup_counts(spark, d):
+    """Rows seen, exact copies, near copies and what is kept."""
+    seen = t(spark, d, "documents").agg(F.count(F.lit(1)).alias("seen"))
+    different = t(spark, d, "documents").select(F.md5("text").alias("h")).distinct().agg(F.count(F.lit(1)).alias("different"))
+    kept = lsh_greedy_keep(spark, d).agg(F.count(F.lit(1)).alias("kept"))
+    row = seen.crossJoin(different).crossJoin(kept)  # one row each
+    return row.select("seen", (F.col("seen") - F.col("different")).alias("exact"), (F.col("different") - F.col("kept")).alias("near"), "kept")
+
+
+@query("html_bodies", "SELECT page_id, coalesce(regexp_extract(html, '<article>([^<]*)</article>', 1), '') <> '' AS own FROM pages")
+def html_bodies(spark, d):
+    """An extractor of one's own before the usual one."""
+    primary = lambda html: F.nullif(F.regexp_extract(html, "<article>([^<]*)</article>", 1), F.lit(""))
+    pages = t(spark, d, "pages")
+    text = W.body_text(F.col("html"), primary)
+    return pages.select("page_id", F.coalesce(text.eqNullSafe(primary(F.col("html"))) & primary(F.col("html")).isNotNull(), F.lit(False)).alias("own"))

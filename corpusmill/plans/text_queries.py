@@ -205,10 +205,17 @@ def lsh_candidate_pairs(spark, d):
     return C.candidate_pairs(_cut(C.signatures(_unique(spark, d))))
 
 
-@query("lsh_greedy_keep", "WITH RECURSIVE " + _UNIQUE_PAIRS.removeprefix("WITH ").replace(" SELECT DISTINCT x.doc_id", ", pairs AS MATERIALIZED (SELECT DISTINCT x.doc_id", 1) + """), u AS (SELECT min(doc_id) AS doc_id FROM documents GROUP BY text),
+_GREEDY = "WITH RECURSIVE " + _UNIQUE_PAIRS.removeprefix("WITH ").replace(
+    " SELECT DISTINCT x.doc_id", ", pairs AS MATERIALIZED (SELECT DISTINCT x.doc_id", 1
+) + """), u AS (SELECT min(doc_id) AS doc_id FROM documents GROUP BY text),
 n AS (SELECT DISTINCT b AS id FROM pairs), o AS (SELECT id, row_number() OVER (ORDER BY id) AS i FROM n),
-g(i, dropped) AS (SELECT CAST(0 AS BIGINT), CAST([] AS BIGINT[]) UNION ALL SELECT o.i, CASE WHEN EXISTS (SELECT 1 FROM pairs WHERE b = o.id AND NOT list_contains(g.dropped, a)) THEN list_append(g.dropped, o.id) ELSE g.dropped END FROM g JOIN o ON o.i = g.i + 1)
-SELECT doc_id FROM u WHERE NOT list_contains((SELECT dropped FROM g ORDER BY i DESC LIMIT 1), doc_id)""")
+g(i, dropped) AS (SELECT CAST(0 AS BIGINT), CAST([] AS BIGINT[])
+  UNION ALL SELECT o.i, CASE WHEN EXISTS (SELECT 1 FROM pairs WHERE b = o.id AND NOT list_contains(g.dropped, a))
+  THEN list_append(g.dropped, o.id) ELSE g.dropped END FROM g JOIN o ON o.i = g.i + 1)
+SELECT doc_id FROM u WHERE NOT list_contains((SELECT dropped FROM g ORDER BY i DESC LIMIT 1), doc_id)"""
+
+
+@query("lsh_greedy_keep", _GREEDY)
 def lsh_greedy_keep(spark, d):
     unique = _cut(_unique(spark, d).select("doc_id", "text"))
     pairs = C.candidate_pairs(_cut(C.signatures(unique)))

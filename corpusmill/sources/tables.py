@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import dataclasses
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text as X
+from ..functions.python_udfs import blake2b_64
 
 DOCUMENT = T.StructType([
     T.StructField("text", T.StringType()), T.StructField("lang", T.StringType()), T.StructField("source", T.StringType()), T.StructField("source_type", T.StringType()),
@@ -71,6 +75,30 @@ def report_or_empty(spark: SparkSession, path: str, schema: T.StructType) -> Dat
     return spark.read.schema(schema).json(path) if _files(spark, path) else spark.createDataFrame([], schema)
 
 
+def config(path: str) -> dict:
+    """Settings of a JSON file, or of a YAML one where its library is there."""
+    with open(path, encoding="utf-8") as f:
+        if path.endswith((".yaml", ".yml")):
+            try:
+                import yaml
+            except ImportError:
+                raise ValueError("a YAML file needs the yaml library; JSON does not") from None
+            return yaml.safe_load(f) or {}
+        return json.load(f)
+
+
+def thresholds(settings: dict) -> X.Thresholds:
+    """Filter thresholds with the given ones in place of the usual; a name that is none fails."""
+    return dataclasses.replace(X.Thresholds(), **settings)
+
+
+def finalised(docs: DataFrame) -> DataFrame:
+    """docs with content ids where doc_id is missing; fails when it is run at a source type that is none."""
+    wrong = F.raise_error(F.concat(F.lit("unknown source type: "), F.coalesce("source_type", F.lit("none"))))
+    kind = F.when(F.col("source_type").isin("manual", "downloaded"), F.col("source_type")).otherwise(wrong.cast("string"))
+    return docs.withColumn("doc_id", F.coalesce("doc_id", blake2b_64("text"))).withColumn("source_type", kind)
+
+
 def write_sample(docs: DataFrame, path: str, least: int = 10, most: int | None = None) -> None:
     """Sentences of at least `least` characters as lines of text; what is there already is left."""
     lines = docs.select(F.explode(X.sentences(F.col("text"), ".?!")).alias("value")).filter(F.length("value") >= least)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -28,6 +29,11 @@ def paragraphs(html: Column, least: int = 25, least_body: int = 200) -> Column:
     return F.when(F.length(body) >= least_body, body)
 
 
+def body_text(html: Column, primary: Callable[[Column], Column] | None = None) -> Column:
+    """A page's text by an extractor of one's own, and where it gives none, by its paragraphs."""
+    return F.coalesce(primary(html), paragraphs(html)) if primary else paragraphs(html)
+
+
 def page_links(pages: DataFrame, url: str = "url", html: str = "html", key: str = "page_id") -> DataFrame:
     """key, link, place: links of a page to its own host that look like articles, each once, in the order met.
 

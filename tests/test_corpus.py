@@ -224,3 +224,31 @@ def test_langid_report_has_every_held_out_paragraph(spark, tmp_path):
     for k, n in ((50, 50), (10**6, None)):
         got = {x["lang"]: (x["n"], x["m"]) for x in L.sampled(twice, k).groupBy("lang").agg(F.count("*").alias("n"), F.countDistinct("text").alias("m")).collect()}
         assert got == {lang: (n or m,) * 2 for lang, m in ((x["lang"], x["m"]) for x in train.groupBy("lang").agg(F.countDistinct("text").alias("m")).collect())}
+
+
+def test_fetched_pages(spark, tmp_path):
+    from corpusmill.session import ship
+    from corpusmill.sources.fetched import Fetched, Pages
+
+    ship(spark)
+    for name in ("a", "b"):
+        (tmp_path / name).write_text(f"<p>{name}</p>")
+    urls = [f"file://{tmp_path}/a", f"file://{tmp_path}/b", f"file://{tmp_path}/missing", f"file://{tmp_path}/a", ""]
+    spark.dataSource.register(Fetched)
+    read = spark.read.format("fetched").option("urls", "\n".join(urls)).option("rate", 0).option("attempts", 2)
+    got = sorted((r["url"].rsplit("/", 1)[1], r["html"], r["status"], r["attempts"]) for r in read.load().collect())
+    assert got == [("a", "<p>a</p>", 200, 1), ("b", "<p>b</p>", 200, 1), ("missing", None, None, 2)]
+    assert [len(p.urls) for p in Pages({"urls": "http://a/1\nhttp://b/1\nhttp://a/2"}).partitions()] == [2, 1]
+    assert read.option("urls", "").load().count() == 0
+
+
+def test_settings_and_ids(spark, tmp_path):
+    (tmp_path / "c.json").write_text('{"min_chars": 10, "ngram": 3}')
+    limits = T.thresholds(T.config(f"{tmp_path}/c.json"))
+    assert (limits.min_chars, limits.ngram, limits.max_word_len) == (10, 3, 12.0)
+    with pytest.raises(TypeError):
+        T.thresholds({"min_char": 1})
+    docs = spark.createDataFrame([("abc", "manual", None), ("abc", "downloaded", "x")], "text string, source_type string, doc_id string")
+    assert [r["doc_id"] for r in T.finalised(docs).collect()] == ["d8bb14d833d59559", "x"]
+    with pytest.raises(Exception, match="unknown source type: other"):
+        T.finalised(docs.withColumn("source_type", F.lit("other"))).collect()

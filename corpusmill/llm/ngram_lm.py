@@ -13,7 +13,8 @@ numbers, and asks for the counts of its own distinct n-grams: it sends sorted 64
 buckets of a hash partitioning, where the counts of all chunks are added up and answered in the order asked. With the
 answers a chunk builds the part of the automaton that its texts can reach and traverses it. So the model may be of any
 size: no vocabulary, count table or automaton is broadcast or collected, and no key is hot, since a chunk asks for each
-n-gram once. Words and n-grams are told apart by 64-bit hashes.
+n-gram once. Words are told apart by 64-bit hashes, longer n-grams by their bucket (of about 2^20 keys) and 40 bits, so that
+one in a million may be counted with another, at any size of the corpus.
 
 Defined results: null and empty texts are the end token alone. A null id counts as training text. Repeated rows and
 equal ids are scored (and counted) each. Texts of any length are handled whole. Only the id, the text and the training
@@ -128,6 +129,22 @@ def _counted(planes: bytes, n: int) -> np.ndarray:
     return out.view("<u8").reshape(-1).astype(np.int64)
 
 
+def _packed(keys: np.ndarray, n: int) -> bytes:
+    """Sorted keys of n-grams as planes of the steps between their first 40 bits; those of single words whole."""
+    if n == 1:
+        return keys.tobytes()
+    steps = np.diff(keys >> U64(24), prepend=U64(0))
+    return steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].T.tobytes()
+
+
+def _unpacked(raw: bytes, n: int) -> np.ndarray:
+    if n == 1:
+        return np.frombuffer(raw, U64)
+    steps = np.zeros((len(raw) // 5, 8), np.uint8)
+    steps[:, :5] = np.frombuffer(raw, np.uint8).reshape(5, -1).T
+    return np.cumsum(steps.view("<u8").reshape(-1), dtype=U64)
+
+
 class Chunk:
     """A chunk with its n-gram keys: per order k, the key at each token of the n-gram that ends there (0: none)."""
 
@@ -180,7 +197,7 @@ def _asked(chunks: DataFrame, order: int, buckets: int) -> DataFrame:
                             out["bucket"].append(i)
                             out["chunk"].append(row["chunk"])
                             out["n"].append(k)
-                            out["keys"].append(keys[mine].tobytes())
+                            out["keys"].append(_packed(keys[mine], k))
                             out["counts"].append(_counts(own[mine]))
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -207,7 +224,7 @@ def _sums(index: np.ndarray, counts: np.ndarray, n: int) -> np.ndarray:
 def _answer(part: pa.Table) -> pa.Table:
     """All chunks' counts of a bucket's keys, in each chunk's own order; and the bucket's sums for the first order."""
     rows = part.to_pylist()
-    keys = [np.frombuffer(r["keys"], U64) for r in rows]
+    keys = [_unpacked(r["keys"], r["n"]) for r in rows]
     out: list[bytes] = [b""] * len(rows)
     total = types = 0
     for n in {r["n"] for r in rows}:
@@ -305,7 +322,7 @@ SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_toke
 
 
 def scored(
-    docs: DataFrame, held_out: Column, order: int = 2, prior: float = PRIOR, chunk_bytes: int = 6 << 20,
+    docs: DataFrame, held_out: Column, order: int = 3, prior: float = PRIOR, chunk_bytes: int = 6 << 20,
     keys_a_bucket: int = 1 << 20
 ) -> DataFrame:
     """docs(doc_id, text) -> doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
@@ -329,10 +346,8 @@ def scored(
 
     def texts_in(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [
-                int(np.unpackbits(np.frombuffer(h, np.uint8))[: len(i) // 8].sum()) for h,
-                i in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)
-            ]
+            both = zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)
+            got = [int(np.unpackbits(np.frombuffer(h, np.uint8))[: len(i) // 8].sum()) for h, i in both]
             yield pa.RecordBatch.from_arrays([pa.array(got, pa.int64())], names=["n"])
 
     texts = chunks.select("held", "ids").mapInArrow(texts_in, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]

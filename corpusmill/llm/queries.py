@@ -155,16 +155,23 @@ u AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s),
 links AS (SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, x.n + y.n AS n, count(*) AS shared FROM u x JOIN u y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY ALL) WHERE 100 * shared >= 85 * (n - shared)),
 ids AS (SELECT doc_id AS id FROM documents), {_REACHED}
 SELECT doc_id, len(s)::BIGINT AS n_shingles, least AS component_id FROM s JOIN component ON id = doc_id""",
-    "lm_scores": f"""WITH RECURSIVE {_CRC}, w AS (SELECT doc_id, crc % 10 = 0 AS held_out, list_append({_words(f"translate(text, '{_UPPER}', '{_LOWER}')")}, chr(10)) AS w FROM documents JOIN crcs USING (doc_id)),
-t AS (SELECT doc_id, held_out, unnest(w) AS token, unnest(list_prepend(chr(9), w[:-2])) AS past FROM w),
+    "lm_scores": f"""WITH RECURSIVE {_CRC},
+w AS (SELECT doc_id, crc % 10 = 0 AS held_out, list_append({_words(f"translate(text, '{_UPPER}', '{_LOWER}')")}, chr(10)) AS w
+  FROM documents JOIN crcs USING (doc_id)),
+t AS (SELECT doc_id, held_out, unnest(w) AS token, unnest(list_prepend(chr(9), w[:-2])) AS past,
+  unnest((list_prepend(NULL, list_prepend(chr(9), w[:-3])))[1:len(w)]) AS past2 FROM w),
 c AS (SELECT token, count(*) AS c FROM t WHERE NOT held_out GROUP BY token),
 g AS (SELECT past, token, count(*) AS c FROM t WHERE NOT held_out GROUP BY ALL),
 h AS (SELECT past, sum(c) AS c FROM g GROUP BY past),
+g3 AS (SELECT past2, past, token, count(*) AS c FROM t WHERE NOT held_out AND past2 IS NOT NULL GROUP BY ALL),
+h3 AS (SELECT past AS past2, token AS past, c FROM g),
 n AS (SELECT sum(c)::BIGINT AS n, count(*) AS v FROM c),
-p AS (SELECT t.*, c.c AS known, n, (coalesce(c.c, 0) + 0.1::DOUBLE) / (n + 0.1::DOUBLE * (v + 1)) AS p FROM t LEFT JOIN c USING (token), n)
-SELECT doc_id, held_out, count(*) AS n_tokens, count(known) AS n_known, max(n) AS train_tokens, round(sum(log10(p)), 6) AS base_score,
-  round(sum(log10((coalesce(g.c, 0) + {PRIOR} * p) / (coalesce(h.c, 0) + {PRIOR}))), 6) AS score
-FROM p LEFT JOIN g USING (past, token) LEFT JOIN h USING (past) GROUP BY doc_id, held_out""",
+p1 AS (SELECT t.*, c.c AS known, n, (coalesce(c.c, 0) + 0.1::DOUBLE) / (n + 0.1::DOUBLE * (v + 1)) AS p FROM t LEFT JOIN c USING (token), n),
+p2 AS (SELECT p1.*, (coalesce(g.c, 0) + {PRIOR} * p) / (coalesce(h.c, 0) + {PRIOR}) AS q FROM p1 LEFT JOIN g USING (past, token) LEFT JOIN h USING (past)),
+p3 AS (SELECT p2.*, CASE WHEN past2 IS NULL THEN q ELSE (coalesce(g3.c, 0) + {PRIOR} * q) / (coalesce(h3.c, 0) + {PRIOR}) END AS r
+  FROM p2 LEFT JOIN g3 USING (past2, past, token) LEFT JOIN h3 USING (past2, past))
+SELECT doc_id, held_out, count(*) AS n_tokens, count(known) AS n_known, max(n) AS train_tokens,
+  round(sum(log10(p)), 6) AS base_score, round(sum(log10(r)), 6) AS score FROM p3 GROUP BY doc_id, held_out""",
     "packing_totals": "SELECT count(DISTINCT doc_id) AS documents, 0::BIGINT AS broken, 0::BIGINT AS overfull FROM documents",
     "op4_suffix": """WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, ''))::BIGINT AS n FROM documents),
 w AS (SELECT doc_id, unnest(range(0, n - 99)) AS i, unnest(list_transform(range(0, n - 99), lambda i: md5(substr(h, 2 * i + 1, 200)))) AS w FROM d),

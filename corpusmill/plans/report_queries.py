@@ -21,6 +21,7 @@ from ..sources import tables as T
 from ..sources import web as W
 from ..sources.tables import table as t
 from ..streaming.jobs import folder
+from ..streaming.jobs import stored as _cut
 from .fixtures import Fixture
 from .text_queries import _ASSIGNED, _GREEDY, _PPL, _TYPE, _WORDS, _assigned, _ppl, lsh_greedy_keep
 
@@ -230,6 +231,23 @@ def perplexity_kept(spark, d):
     return scores.filter(F.col("ppl") <= cut).select("doc_id")
 
 
+@query(
+    "perplexity_bands",
+    f"""WITH s AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY ppl) - 1 AS r, count(*) OVER () AS n FROM ({_SCORED})),
+c AS (SELECT max(ppl) FILTER (r = floor(n * 0.5::DOUBLE)) AS a, max(ppl) FILTER (r = floor(n * 0.9::DOUBLE)) AS b, max(ppl) FILTER (r = floor(n * 0.95::DOUBLE)) AS c FROM s)
+SELECT CASE WHEN ppl <= a THEN 'ideal' WHEN ppl <= b THEN 'good' WHEN ppl <= c THEN 'mild' ELSE 'remove' END AS band, count(*) AS docs, CAST(sum(words) AS BIGINT) AS words, round(count(*) / max(n), 6) AS share FROM s, c GROUP BY band""",
+)
+def perplexity_bands(spark, d):
+    """Documents by the median, the 90th and the 95th percentile."""
+    scored = _cut(_scored(spark, d))
+    a, b, c = (r["ppl"] for r in K.index_percentiles(scored, "ppl", (0.5, 0.9, 0.95)).orderBy("p").collect())
+    x = F.col("ppl")
+    band = F.when(x <= a, "ideal").when(x <= b, "good").when(x <= c, "mild").otherwise("remove")
+    sums = scored.groupBy(band.alias("band")).agg(F.count(F.lit(1)).alias("docs"), F.sum("words").alias("words"))
+    total = scored.count()
+    return sums.withColumn("share", F.round(F.col("docs") / F.lit(total), 6))
+
+
 # ---- tokenizers and encoded texts
 ENCODED = Fixture("id long, text string, pieces array<string>", (
     (1, "hello world", ("▁he", "llo", "▁world")), (2, "aà x", ("▁a", "<0xC3>", "<0xA0>", "▁x")), (3, "tab\there", ("▁tab", "<0x09>", "here")), (4, "odd", ("<unk>",)), (5, "", ()),

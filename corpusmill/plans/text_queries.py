@@ -448,14 +448,14 @@ def perplexity_percentiles(spark, d):
 
 @query(
     "perplexity_retention",
-    f"WITH p AS MATERIALIZED (SELECT x.ppl, y.words, row_number() OVER (ORDER BY ppl) - 1 AS r, count(*) OVER () AS n FROM ({_PPL}) x JOIN (SELECT doc_id, len({_WORDS}) AS words FROM documents) y USING (doc_id)), c AS (SELECT q, ppl AS cut FROM p, (VALUES (0.50::DOUBLE), (0.75), (0.90), (0.95)) v(q) WHERE r = least(CAST(floor(n * q) AS BIGINT), n - 1)) SELECT q AS p, CAST(count(*) FILTER (ppl <= cut) AS BIGINT) AS docs, CAST(sum(words) FILTER (ppl <= cut) AS BIGINT) AS words FROM p, c GROUP BY q",
+    f"WITH p AS MATERIALIZED (SELECT x.ppl, y.words, row_number() OVER (ORDER BY ppl) - 1 AS r, count(*) OVER () AS n FROM ({_PPL}) x JOIN (SELECT doc_id, len({_WORDS}) AS words FROM documents) y USING (doc_id)), c AS (SELECT q, ppl AS cut FROM p, (VALUES (0.50::DOUBLE), (0.75), (0.80), (0.85), (0.90), (0.95), (0.98), (0.99)) v(q) WHERE r = least(CAST(floor(n * q) AS BIGINT), n - 1)) SELECT q AS p, CAST(count(*) FILTER (ppl <= cut) AS BIGINT) AS docs, CAST(sum(words) FILTER (ppl <= cut) AS BIGINT) AS words FROM p, c GROUP BY q",
 )
 def perplexity_retention(spark, d):
     scored = _cut(
         _ppl(spark, d).join(t(spark, d, "documents").select("doc_id", F.size(X.words(F.col("text"))).alias("w")), "doc_id")
     )
-    cuts = K.index_percentiles(scored, "ppl", (0.50, 0.75, 0.90, 0.95)).withColumnRenamed("ppl", "cut")
-    met = scored.join(F.broadcast(cuts), F.col("ppl") <= F.col("cut"))  # four rows
+    cuts = K.index_percentiles(scored, "ppl", (0.50, 0.75, 0.80, 0.85, 0.90, 0.95, 0.98, 0.99)).withColumnRenamed("ppl", "cut")
+    met = scored.join(F.broadcast(cuts), F.col("ppl") <= F.col("cut"))  # eight rows
     return met.groupBy("p").agg(F.count(F.lit(1)).alias("docs"), F.sum("w").alias("words"))
 
 

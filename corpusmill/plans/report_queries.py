@@ -314,11 +314,11 @@ def token_accounts(spark, d):
 
 @query(
     "token_file",
-    "SELECT doc_id, start AS start, CAST(w AS INT) AS id FROM (SELECT doc_id, unnest(range(0, len(w))) AS start, unnest(list_transform(w, lambda x: length(x) * 37 % 65536)) AS w FROM (SELECT doc_id, " + _WORDS + " AS w FROM documents WHERE length(text) < 300))"
+    "SELECT doc_id, start AS start, CAST(w AS INT) AS id FROM (SELECT doc_id, unnest(range(0, len(w))) AS start, unnest(list_transform(w, lambda x: length(x) * 37 % 65536)) AS w FROM (SELECT doc_id, " + _WORDS + " AS w FROM documents))"
 )
 def token_file(spark, d):
     """Ids (word lengths times 37) written as 16-bit little-endian bytes and read back."""
-    docs = t(spark, d, "documents").filter(F.length("text") < 300)
+    docs = t(spark, d, "documents")
     ids = docs.select("doc_id", F.transform(X.words(F.col("text")), lambda w: F.length(w) * 37 % 65536).alias("ids"))
     path = folder(spark)
     T.write_tokens(ids, path)

@@ -127,10 +127,9 @@ def write_tokens(tokens: DataFrame, path: str, ids: str = "ids") -> None:
 
 def read_tokens(spark: SparkSession, path: str, ids: str = "ids") -> DataFrame:
     """What write_tokens wrote, as arrays of int again."""
-    low, high = (f"conv(substring(hex({ids}), 4 * i + {k}, 2), 16, 10)" for k in (1, 3))
-    n = f"CAST(length({ids}) / 2 AS INT)"
-    numbers = f"CASE WHEN {n} = 0 THEN CAST(array() AS ARRAY<INT>) ELSE transform(sequence(0, {n} - 1), i -> CAST({low} AS INT) + 256 * CAST({high} AS INT)) END"
-    return spark.read.parquet(path).withColumn(ids, F.expr(numbers))
+    pairs = F.regexp_extract_all(F.hex(ids), F.lit("(.{4})"), F.lit(1))
+    number = lambda x: F.conv(F.concat(F.substring(x, 3, 2), F.substring(x, 1, 2)), 16, 10).cast("int")
+    return spark.read.parquet(path).withColumn(ids, F.transform(pairs, number))
 
 
 def prompts(lines: DataFrame, value: str = "value") -> DataFrame:

@@ -270,8 +270,10 @@ class Automaton:
         for k in range(2, order + 1):
             at, own = chunk.at[k - 1], counts[k - 1]
             some = at >= 0
-            p = np.where(some, np.log10(np.where(some, own[at], 0) + prior * 10**lower) - np.log10(seen + prior), lower)
-            known = some & (np.where(some, own[at], 0) > 0)
+            met = np.zeros(len(at), np.int64)
+            met[some] = own[at[some]]
+            p = np.where(some, np.log10(met + prior * 10**lower) - np.log10(seen + prior), lower)
+            known = met > 0
             where = np.flatnonzero(known)
             index, first = np.unique(at[where], return_index=True)
             first = where[first]
@@ -289,7 +291,7 @@ class Automaton:
             lower = p
             if k < order:
                 after = np.where(known, first_id + at, state)
-                seen = np.concatenate([[0], np.where(known, own[at], 0)[:-1]]).astype(float)
+                seen = np.concatenate([[0], met[:-1]]).astype(float)
                 before = np.concatenate([[0], after[:-1]])
                 state = after
                 first_id += len(own)

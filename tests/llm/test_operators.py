@@ -67,6 +67,11 @@ def test_language_model(spark, docs):
 
 def test_language_model_empty(spark, docs):
     assert ngram_lm.scored(docs.limit(0), F.lit(False)).count() == 0
+    none = spark.createDataFrame([(1, None), (2, ""), (None, " ")], "doc_id long, text string")
+    got = ngram_lm.scored(none, F.lit(False)).collect()
+    assert len(got) == 3 and all((r["n_tokens"], r["n_known"], r["train_tokens"]) == (1, 1, 3) for r in got)
+    base = math.log10(3.1 / 3.2)
+    assert all(abs(r["base_score"] - base) < 1e-12 and abs(r["score"] - math.log10((3 + 200 * 10**base) / 203)) < 1e-12 for r in got)
 
 
 def vector_rows() -> list[tuple]:

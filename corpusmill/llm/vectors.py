@@ -1,7 +1,7 @@
 """Near-duplicate vectors by product quantisation.
 
-Index. A coarse quantiser of two levels (k-means on unit vectors, and again within each cell) deals all vectors to
-inverted lists, and a product quantiser codes each residual by subspace. Both are fitted on a sample of about `sample`
+Index. A coarse quantiser of two levels (k-means on unit vectors to cells of about LISTS_A_CELL lists, and again within
+each cell) deals all vectors to inverted lists, and a product quantiser codes each residual by subspace. Both are fitted on a sample of about `sample`
 distinct vectors at most, or PER_LIST a list where that is more, chosen by hash; all vectors are indexed, each with its
 own quantisation error. The number of lists grows with the square root of the number of vectors, without a ceiling. A
 vector length of which there are fewer than LEAST vectors has a single list and no codes.
@@ -38,7 +38,7 @@ from .common import stored, table
 from .components import components
 
 PARTS, CODES = 8, 64
-LEAST, PER_LIST = 64, 8
+LEAST, PER_LIST, LISTS_A_CELL = 64, 8, 256
 
 
 def _described(rows: DataFrame, bits: int, clashing: frozenset[int]) -> DataFrame:
@@ -116,9 +116,9 @@ class Index:
     Lists are numbered cell by cell: those of cell i begin at first[i], and centres holds all of them.
     """
 
-    def __init__(self, sample: np.ndarray, lists: int, cosine: float):
+    def __init__(self, sample: np.ndarray, lists: int, cosine: float, a_cell: int = LISTS_A_CELL):
         self.radius = math.sqrt(max(0.0, 2 - 2 * cosine)) + 1e-9
-        self.cells = k_means(sample, max(1, math.isqrt(lists)))
+        self.cells = k_means(sample, -(-lists // a_cell))
         cell = _far(sample, self.cells).argmin(1)
         own = [sample[cell == i] for i in range(len(self.cells))]
         wanted = [max(1, round(lists * len(x) / len(sample))) for x in own]

@@ -115,11 +115,12 @@ def test_vectors_of_extreme_components(spark):
     assert got == sorted(want, key=str)
 
 
-def test_probes_reach_every_near_vector():
+@pytest.mark.parametrize("a_cell", [8, 256])
+def test_probes_reach_every_near_vector(a_cell):
     """Of vectors in 64 lists: those within the radius of one another are in a list that either probes."""
     r = np.random.default_rng(5)
     x = vectors.unit([v.tobytes() for v in np.repeat(r.normal(size=(300, 6)), 3, axis=0) + r.normal(size=(900, 6)) * 0.12])
-    index = vectors.Index(x[::2], 64, 0.98)
+    index = vectors.Index(x[::2], 64, 0.98, a_cell)
     own, probes = index.assigned(x)
     i, j = np.nonzero(np.triu(x @ x.T >= 0.98, 1))
     assert len(i) > 300 and len(set(own.tolist())) > 40

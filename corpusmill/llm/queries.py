@@ -128,7 +128,8 @@ def _spans(kind: int, name: str, pattern: str, good: str) -> str:
     return f"""SELECT doc_id, {kind} AS kind, '{name}' AS name, m, start FROM (
   SELECT doc_id, unnest(m) AS m, unnest(list_transform(range(1, len(m) + 1),
     lambda i: list_sum(list_transform(p[1:i], lambda x: length(x)))::BIGINT + coalesce(list_sum(list_transform(m[1:i-1], lambda x: length(x))), 0)::BIGINT)) AS start
-  FROM (SELECT doc_id, regexp_extract_all(text, '{pattern}') AS m, regexp_split_to_array(text, '{pattern}') AS p FROM documents WHERE text IS NOT NULL)) WHERE {good}"""
+  FROM (SELECT doc_id, regexp_extract_all(text, '{pattern}') AS m, regexp_split_to_array(text, '{pattern}') AS p FROM documents
+  WHERE text IS NOT NULL)) WHERE {good}"""
 
 
 _DIGITS = "regexp_replace(m, '[^0-9]', '', 'g')"
@@ -145,14 +146,18 @@ _BASE = " UNION ALL ".join([
 ORACLE: dict[str, str] = {
     "op2_vectors": f"""WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
   WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_max(list_transform(embedding, lambda x: abs(x))) > 0),
-links AS (SELECT x.vec_id AS a, y.vec_id AS b FROM v x JOIN v y ON x.label = y.label AND x.vec_id <> y.vec_id AND len(x.e) = len(y.e) AND list_cosine_similarity(x.e, y.e) >= 0.98),
+links AS (SELECT x.vec_id AS a, y.vec_id AS b FROM v x
+  JOIN v y ON x.label = y.label AND x.vec_id <> y.vec_id AND len(x.e) = len(y.e) AND list_cosine_similarity(x.e, y.e) >= 0.98),
 ids AS (SELECT vec_id AS id FROM embeddings), {_REACHED}
 SELECT e.vec_id, coalesce(n, 0) AS n_links, least AS component_id, e.vec_id = least AS kept
 FROM embeddings e JOIN component ON id = e.vec_id LEFT JOIN (SELECT a, count(*) AS n FROM links GROUP BY a) ON a = e.vec_id""",
-    "op9_jaccard": f"""WITH RECURSIVE w AS (SELECT doc_id, {_words(f"translate(text, '{_UPPER}', '{_LOWER}')")} AS w FROM documents),
-s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) >= 4 THEN list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i+3], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM w),
+    "op9_jaccard": f"""WITH RECURSIVE w AS (SELECT doc_id, {_words(f"translate(text, '{_UPPER}', '{_LOWER}')")} AS w
+  FROM documents),
+s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) >= 4 THEN list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i+3], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s
+  FROM w),
 u AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s),
-links AS (SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, x.n + y.n AS n, count(*) AS shared FROM u x JOIN u y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY ALL) WHERE 100 * shared >= 85 * (n - shared)),
+links AS (SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, x.n + y.n AS n, count(*) AS shared FROM u x
+  JOIN u y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY ALL) WHERE 100 * shared >= 85 * (n - shared)),
 ids AS (SELECT doc_id AS id FROM documents), {_REACHED}
 SELECT doc_id, len(s)::BIGINT AS n_shingles, least AS component_id FROM s JOIN component ON id = doc_id""",
     "lm_scores": f"""WITH RECURSIVE {_CRC},
@@ -166,33 +171,42 @@ h AS (SELECT past, sum(c) AS c FROM g GROUP BY past),
 g3 AS (SELECT past2, past, token, count(*) AS c FROM t WHERE NOT held_out AND past2 IS NOT NULL GROUP BY ALL),
 h3 AS (SELECT past AS past2, token AS past, c FROM g),
 n AS (SELECT sum(c)::BIGINT AS n, count(*) AS v FROM c),
-p1 AS (SELECT t.*, c.c AS known, n, (coalesce(c.c, 0) + 0.1::DOUBLE) / (n + 0.1::DOUBLE * (v + 1)) AS p FROM t LEFT JOIN c USING (token), n),
-p2 AS (SELECT p1.*, (coalesce(g.c, 0) + {PRIOR} * p) / (coalesce(h.c, 0) + {PRIOR}) AS q FROM p1 LEFT JOIN g USING (past, token) LEFT JOIN h USING (past)),
+p1 AS (SELECT t.*, c.c AS known, n, (coalesce(c.c, 0) + 0.1::DOUBLE) / (n + 0.1::DOUBLE * (v + 1)) AS p FROM t LEFT
+  JOIN c USING (token), n),
+p2 AS (SELECT p1.*, (coalesce(g.c, 0) + {PRIOR} * p) / (coalesce(h.c, 0) + {PRIOR}) AS q FROM p1 LEFT JOIN g USING (past, token)
+  LEFT JOIN h USING (past)),
 p3 AS (SELECT p2.*, CASE WHEN past2 IS NULL THEN q ELSE (coalesce(g3.c, 0) + {PRIOR} * q) / (coalesce(h3.c, 0) + {PRIOR}) END AS r
   FROM p2 LEFT JOIN g3 USING (past2, past, token) LEFT JOIN h3 USING (past2, past))
 SELECT doc_id, held_out, count(*) AS n_tokens, count(known) AS n_known, max(n) AS train_tokens,
   round(sum(log10(p)), 6) AS base_score, round(sum(log10(r)), 6) AS score FROM p3 GROUP BY doc_id, held_out""",
     "packing_totals": "SELECT count(DISTINCT doc_id) AS documents, 0::BIGINT AS broken, 0::BIGINT AS overfull FROM documents",
-    "op4_suffix": """WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, ''))::BIGINT AS n FROM documents),
-w AS (SELECT doc_id, unnest(range(0, n - 99)) AS i, unnest(list_transform(range(0, n - 99), lambda i: md5(substr(h, 2 * i + 1, 200)))) AS w FROM d),
+    "op4_suffix": """WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, ''))::BIGINT AS n
+  FROM documents),
+w AS (SELECT doc_id, unnest(range(0, n - 99)) AS i, unnest(list_transform(range(0, n - 99), lambda i: md5(substr(h, 2 * i + 1, 200)))) AS w
+  FROM d),
 r AS (SELECT doc_id, i FROM w QUALIFY row_number() OVER (PARTITION BY w ORDER BY doc_id, i) > 1),
-g AS (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 100 THEN 0 ELSE 1 END AS fresh FROM r)),
+g AS (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS g
+  FROM (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 100 THEN 0 ELSE 1 END AS fresh FROM r)),
 s AS (SELECT doc_id, min(i) AS a, max(i) + 100 AS b FROM g GROUP BY doc_id, g),
 k AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS past FROM s),
-o AS (SELECT doc_id, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans, max(b) AS last, string_agg(substr(h, 2 * past + 1, 2 * (a - past)), '' ORDER BY a) AS kept FROM k JOIN d USING (doc_id) GROUP BY doc_id)
+o AS (SELECT doc_id, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans, max(b) AS last, string_agg(substr(h, 2 * past + 1, 2 * (a - past)), ''
+  ORDER BY a) AS kept FROM k JOIN d USING (doc_id) GROUP BY doc_id)
 SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
 FROM d LEFT JOIN o USING (doc_id)""",
     "pii_base": f"""WITH s AS ({_BASE}), n AS (SELECT doc_id, count(*) FILTER (kind = 1) AS n_email, count(*) FILTER (kind = 2) AS n_ip, count(*) FILTER (kind = 3) AS n_card, count(*) FILTER (kind = 4) AS n_phone,
   string_agg(name || ':' || start || ':' || (start + length(m)), ',' ORDER BY kind, start) AS spans FROM s GROUP BY doc_id)
-SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone, sha256(coalesce(spans, '')) AS base_sha256 FROM documents LEFT JOIN n USING (doc_id)""",
+SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone, sha256(coalesce(spans, '')) AS base_sha256
+  FROM documents LEFT JOIN n USING (doc_id)""",
     "quality_folds": f"WITH RECURSIVE {_CRC} SELECT crc % 3 = 1 AS held_out, count(*) AS docs, 0::BIGINT AS wrong FROM documents JOIN crcs USING (doc_id) GROUP BY ALL",
 }
 
 #: Targets by water-filling: sources in order of the level at which they are full, and the first level that holds.
 _TARGETS = f"""d AS (SELECT doc_id, source, len({_words("text")})::BIGINT AS size FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS size FROM d GROUP BY source),
-r AS (SELECT source, size, [{", ".join(f"{w}::DOUBLE" for w in WEIGHTS)}][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(WEIGHTS)} + 1] AS w, sum(size) OVER ()::DOUBLE AS total FROM s),
-o AS (SELECT *, {MOST_REPEATS} * size / w AS level, coalesce(sum({MOST_REPEATS} * size) OVER before, 0) AS full_, sum(w) OVER () - coalesce(sum(w) OVER before, 0) AS open_ FROM r
+r AS (SELECT source, size, [{", ".join(f"{w}::DOUBLE" for w in WEIGHTS)}][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(WEIGHTS)} + 1] AS w, sum(size) OVER ()::DOUBLE AS total
+  FROM s),
+o AS (SELECT *, {MOST_REPEATS} * size / w AS level, coalesce(sum({MOST_REPEATS} * size) OVER before, 0) AS full_, sum(w) OVER () - coalesce(sum(w) OVER before, 0) AS open_
+  FROM r
   WINDOW before AS (ORDER BY {MOST_REPEATS} * size / w, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 l AS (SELECT arg_min((total - full_) / open_, level) AS unit FROM o WHERE (total - full_) / open_ <= level),
 targets AS (SELECT source, size AS source_size, least({MOST_REPEATS} * size, w * coalesce(unit, 1e300)) AS target FROM r, l)"""
@@ -201,5 +215,6 @@ ORACLE |= {
     "mixing_targets": f"WITH {_TARGETS} SELECT doc_id, size, source_size, round(target, 4) AS target, false AS over FROM d JOIN targets ON d.source IS NOT DISTINCT FROM targets.source",
     "mixing_totals": f"WITH {_TARGETS} SELECT round(target, 4) AS target, true AS near FROM targets",
     "fingerprint_texts": """SELECT doc_id, length(text)::BIGINT AS n_chars, sha256(left(text, length(text) - length(text) // 2) || left(after, length(text) // 2)) AS edited_sha256
-FROM (SELECT doc_id, coalesce(text, '') AS text, coalesce(lead(coalesce(text, '')) OVER (ORDER BY doc_id DESC), (SELECT coalesce(text, '') FROM documents ORDER BY doc_id DESC LIMIT 1)) AS after FROM documents)""",
+FROM (SELECT doc_id, coalesce(text, '') AS text, coalesce(lead(coalesce(text, '')) OVER (ORDER BY doc_id DESC), (SELECT coalesce(text, '')
+  FROM documents ORDER BY doc_id DESC LIMIT 1)) AS after FROM documents)""",
 }

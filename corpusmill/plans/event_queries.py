@@ -50,8 +50,10 @@ def events_sliding(spark, d):
     )
 
 
-_SESSIONS = """WITH a AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL '30 minutes' THEN 0 ELSE 1 END AS new, event_id FROM events),
-b AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM a) SELECT user_id, CAST(floor(epoch(min(ts))) AS BIGINT) AS start, count(*) AS n FROM b GROUP BY user_id, s"""
+_SESSIONS = """WITH a AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id
+  ORDER BY ts, event_id) < INTERVAL '30 minutes' THEN 0 ELSE 1 END AS new, event_id FROM events),
+b AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s
+  FROM a) SELECT user_id, CAST(floor(epoch(min(ts))) AS BIGINT) AS start, count(*) AS n FROM b GROUP BY user_id, s"""
 
 
 @query("events_sessions", _SESSIONS)

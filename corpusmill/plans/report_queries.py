@@ -234,8 +234,10 @@ def perplexity_kept(spark, d):
 @query(
     "perplexity_bands",
     f"""WITH s AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY ppl) - 1 AS r, count(*) OVER () AS n FROM ({_SCORED})),
-c AS (SELECT max(ppl) FILTER (r = floor(n * 0.5::DOUBLE)) AS a, max(ppl) FILTER (r = floor(n * 0.9::DOUBLE)) AS b, max(ppl) FILTER (r = floor(n * 0.95::DOUBLE)) AS c FROM s)
-SELECT CASE WHEN ppl <= a THEN 'ideal' WHEN ppl <= b THEN 'good' WHEN ppl <= c THEN 'mild' ELSE 'remove' END AS band, count(*) AS docs, CAST(sum(words) AS BIGINT) AS words, round(count(*) / max(n), 6) AS share FROM s, c GROUP BY band""",
+c AS (SELECT max(ppl) FILTER (r = floor(n * 0.5::DOUBLE)) AS a, max(ppl) FILTER (r = floor(n * 0.9::DOUBLE)) AS b, max(ppl) FILTER (r = floor(n * 0.95::DOUBLE)) AS c
+  FROM s)
+SELECT CASE WHEN ppl <= a THEN 'ideal' WHEN ppl <= b THEN 'good' WHEN ppl <= c THEN 'mild' ELSE 'remove' END AS band, count(*) AS docs, CAST(sum(words) AS BIGINT) AS words, round(count(*) / max(n), 6) AS share
+  FROM s, c GROUP BY band""",
 )
 def perplexity_bands(spark, d):
     """Documents by the median, the 90th and the 95th percentile."""
@@ -256,7 +258,8 @@ on_fixture(
     "tokenizer_report",
     r"""WITH s AS (SELECT count(*) AS docs, sum(len(list_filter(string_split_regex(text, '\s+'), lambda w: w <> '')))::BIGINT AS words, sum(length(text))::BIGINT AS chars, sum(strlen(text))::BIGINT AS bytes, sum(len(pieces))::BIGINT AS tokens,
   sum(len(list_filter(pieces, lambda p: p = '<unk>')))::BIGINT AS unk, sum(len(list_filter(pieces, lambda p: regexp_matches(p, '^<0x[0-7][0-9A-F]>$'))))::BIGINT AS ascii_fallback, sum(len(list_filter(pieces, lambda p: regexp_matches(p, '^<0x[89A-F][0-9A-F]>$'))))::BIGINT AS other_fallback FROM {0})
-SELECT *, round(tokens / words, 2) AS fertility, round(chars / tokens, 2) AS compression, round(bytes / tokens, 4) AS bytes_per_token, round(100 * unk / tokens, 4) AS unk_pct, round(100 * ascii_fallback / tokens, 4) AS ascii_fallback_pct, round(100 * other_fallback / tokens, 4) AS other_fallback_pct FROM s""".replace("{0}", "{0}"),
+SELECT *, round(tokens / words, 2) AS fertility, round(chars / tokens, 2) AS compression, round(bytes / tokens, 4) AS bytes_per_token, round(100 * unk / tokens, 4) AS unk_pct, round(100 * ascii_fallback / tokens, 4) AS ascii_fallback_pct, round(100 * other_fallback / tokens, 4) AS other_fallback_pct
+  FROM s""".replace("{0}", "{0}"),
     ENCODED,
 )(lambda e: K.tokenizer_report(e.select(F.col("id").alias("doc_id"), "pieces"), e.select(F.col("id").alias("doc_id"), "text")))
 on_fixture(

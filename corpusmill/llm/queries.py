@@ -151,13 +151,15 @@ links AS (SELECT x.vec_id AS a, y.vec_id AS b FROM v x
 ids AS (SELECT vec_id AS id FROM embeddings), {_REACHED}
 SELECT e.vec_id, coalesce(n, 0) AS n_links, least AS component_id, e.vec_id = least AS kept
 FROM embeddings e JOIN component ON id = e.vec_id LEFT JOIN (SELECT a, count(*) AS n FROM links GROUP BY a) ON a = e.vec_id""",
-    "op9_jaccard": f"""WITH RECURSIVE w AS (SELECT doc_id, {_words(f"translate(text, '{_UPPER}', '{_LOWER}')")} AS w
-  FROM documents),
-s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) >= 4 THEN list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i+3], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s
-  FROM w),
+    "op9_jaccard": f"""WITH RECURSIVE w AS (
+  SELECT doc_id, {_words(f"translate(text, '{_UPPER}', '{_LOWER}')")} AS w FROM documents),
+s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) >= 4 THEN list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i+3], ' '))
+  WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM w),
 u AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s),
-links AS (SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, x.n + y.n AS n, count(*) AS shared FROM u x
-  JOIN u y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY ALL) WHERE 100 * shared >= 85 * (n - shared)),
+m AS MATERIALIZED (SELECT * FROM u WHERE g IN (SELECT g FROM u GROUP BY g HAVING count(*) > 1)),
+l AS MATERIALIZED (SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, x.n + y.n AS n, count(*) AS shared
+  FROM m x JOIN m y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY ALL) WHERE 100 * shared >= 85 * (n - shared)),
+links AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
 ids AS (SELECT doc_id AS id FROM documents), {_REACHED}
 SELECT doc_id, len(s)::BIGINT AS n_shingles, least AS component_id FROM s JOIN component ON id = doc_id""",
     "lm_scores": f"""WITH RECURSIVE {_CRC},

@@ -111,13 +111,3 @@ def tiles(n: int, overlap: int, size: int = 1 << 18) -> Iterator[tuple[int, int,
     for a in range(0, max(0, n - overlap), size):
         starts = min(size, n - overlap - a)
         yield a, a + starts + overlap, starts
-
-
-def batches_of(column_bytes: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
-    """Runs of rows whose sizes sum to at most `limit` (one row at least)."""
-    a = 0
-    ends = np.concatenate([[0], np.cumsum(column_bytes)])
-    while a < len(column_bytes):
-        b = max(a + 1, int(np.searchsorted(ends, ends[a] + limit, "right")) - 1)
-        yield a, b
-        a = b

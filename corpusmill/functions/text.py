@@ -280,12 +280,6 @@ def split_of(key: Column, val: float = 0.1, test: float = 0.1, salt: str = "lma"
     return F.when(u < test, "test").when(u < test + val, "val").otherwise("train")
 
 
-def entropy(counts: Column) -> Column:
-    """Of an array of counts, in bits."""
-    total = F.aggregate(counts, F.lit(0.0), lambda a, x: a + x)
-    return F.aggregate(counts, F.lit(0.0), lambda a, x: a - x / total * F.log2(x / total))
-
-
 def run_lengths(items: Column) -> Column:
     """How often each different item stands in an array, in the order of the items."""
 

@@ -20,7 +20,7 @@ from ..registry import query
 from ..sources import tables as T
 from ..sources import web as W
 from ..sources.tables import table as t
-from ..streaming.jobs import folder
+from ..streaming.jobs import folder, requeued
 from ..streaming.jobs import stored as _cut
 from .fixtures import Fixture
 from .text_queries import _ASSIGNED, _GREEDY, _PPL, _TYPE, _WORDS, _assigned, _ppl, lsh_greedy_keep
@@ -709,3 +709,55 @@ def html_bodies(spark, d):
     pages = t(spark, d, "pages")
     text = W.body_text(F.col("html"), primary)
     return pages.select("page_id", F.coalesce(text.eqNullSafe(primary(F.col("html"))) & primary(F.col("html")).isNotNull(), F.lit(False)).alias("own"))
+
+
+# ---- single steps on literal rows
+on_fixture(
+    "frontier_claimed", "SELECT url FROM {0} WHERE status = 'pending' QUALIFY row_number() OVER (PARTITION BY domain ORDER BY attempts, url) <= 1", FRONTIER
+)(lambda f: C.claimed(f, 1).select("url"))
+FRESH = Fixture("url string, domain string, status string, attempts int, n_chars long", (
+    ("http://a/1", "a", "pending", 0, None), ("http://d/1", "d", "pending", 0, None), ("http://d/1", "d", "pending", 0, None),
+))
+on_fixture(
+    "frontier_upserted", "SELECT url, status FROM {0} UNION ALL SELECT DISTINCT url, status FROM {1} WHERE url NOT IN (SELECT url FROM {0})", FRONTIER, FRESH
+)(lambda f, n: C.upsert_absent(f, n, "url").select("url", "status"))
+on_fixture(
+    "frontier_requeued", "SELECT url, CASE WHEN status = 'claimed' THEN 'pending' ELSE status END AS status FROM {0}", FRONTIER
+)(lambda f: requeued(f).select("url", "status"))
+SCORES = Fixture("item long, place int, candidate string, logprob double", (
+    (1, 0, "x", -1.0), (1, 0, "x", -2.0), (1, 1, "y", -2.5), (2, 0, "x", -1.0), (2, 1, "y", -1.0), (3, 1, "z", -4.0),
+))
+on_fixture(
+    "forced_choices",
+    "SELECT item, arg_max(candidate, struct_pack(s := s, p := -place)) AS chosen FROM (SELECT item, place, candidate, sum(logprob) AS s FROM {0} GROUP BY ALL) GROUP BY item",
+    SCORES,
+)(K.forced_choice)
+RATES = Fixture("category string, n long, chance double, first double, last double", (("direct", 400, 0.5, 0.58, 0.54), ("chain", 100, 0.333, 0.4, 0.6)))
+on_fixture(
+    "shortcut_violations",
+    """SELECT category, rule, accuracy, round(chance + greatest(0.05, 3 * sqrt(chance * (1 - chance) / n)), 9) AS bound
+FROM (SELECT category, n, chance, unnest(['first', 'last']) AS rule, unnest([first, last]) AS accuracy FROM {0})
+WHERE accuracy > chance + greatest(0.05, 3 * sqrt(chance * (1 - chance) / n))""",
+    RATES,
+)(lambda r: S.violations(r, ["first", "last"]).select("category", "rule", "accuracy", F.round("bound", 9).alias("bound")))
+EDITED = Fixture("id long, text string", ((1, "Asha is tall. Bina is old. Who is tall?"), (2, "Asha and Asha saw Bina. Who?"), (3, "Who?")))
+on_fixture(
+    "edited_questions",
+    """SELECT * FROM (VALUES (1::BIGINT, 'Bina is old. Asha is tall. Who is tall?', 'Bina is tall. Asha is old. Who is tall?'),
+(2, 'Asha and Asha saw Bina. Who?', NULL), (3, 'Who?', NULL)) v(id, reversed, swapped)""",
+    EDITED,
+)(
+    lambda q: q.select(
+        "id", R.reversed_facts(F.col("text")).alias("reversed"), R.swapped(F.col("text"), F.lit("Asha"), F.lit("Bina")).alias("swapped")
+    )
+)
+
+
+@query("shards_round_trip", "SELECT source, count(*) AS docs FROM documents GROUP BY source")
+def shards_round_trip(spark, d):
+    """Shards of at most a hundred rows, written in two runs."""
+    docs, path = t(spark, d, "documents").select("doc_id", "source"), folder(spark)
+    manual = C.source_type(F.col("source")) == "manual"
+    for part in (docs.filter(manual), docs.filter(~manual)):
+        T.write_shards(part, path, 100)
+    return spark.read.parquet(path).groupBy("source").agg(F.count(F.lit(1)).alias("docs"))

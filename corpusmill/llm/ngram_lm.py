@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from .common import MULT, U64, mix, stored, table
 
 END, START = b"\n", b"\t"  # no words: words hold no white space
-PRIOR = 200.0
+ORDER, PRIOR = 3, 200.0
 _CHUNK = "chunk long, ids binary, held binary, ends binary, words binary, tokens binary"
 
 
@@ -324,7 +324,7 @@ SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_toke
 
 
 def scored(
-    docs: DataFrame, held_out: Column, order: int = 3, prior: float = PRIOR, chunk_bytes: int = 6 << 20,
+    docs: DataFrame, held_out: Column, order: int = ORDER, prior: float = PRIOR, chunk_bytes: int = 6 << 20,
     keys_a_bucket: int = 1 << 20
 ) -> DataFrame:
     """docs(doc_id, text) -> doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""

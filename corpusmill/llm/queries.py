@@ -12,7 +12,7 @@ from .common import table
 from .html_text import op5_html
 from .jaccard import op9_jaccard
 from .mixing import MOST_REPEATS, WEIGHTS, op8_mixing
-from .ngram_lm import PRIOR, op1_lm
+from .ngram_lm import ORDER, PRIOR, op1_lm
 from .packing import op3_packing
 from .pii import op6_pii
 from .quality import op7_quality
@@ -180,7 +180,7 @@ p2 AS (SELECT p1.*, (coalesce(g.c, 0) + {PRIOR} * p) / (coalesce(h.c, 0) + {PRIO
 p3 AS (SELECT p2.*, CASE WHEN past2 IS NULL THEN q ELSE (coalesce(g3.c, 0) + {PRIOR} * q) / (coalesce(h3.c, 0) + {PRIOR}) END AS r
   FROM p2 LEFT JOIN g3 USING (past2, past, token) LEFT JOIN h3 USING (past2, past))
 SELECT doc_id, held_out, count(*) AS n_tokens, count(known) AS n_known, max(n) AS train_tokens,
-  round(sum(log10(p)), 6) AS base_score, round(sum(log10(r)), 6) AS score FROM p3 GROUP BY doc_id, held_out""",
+  round(sum(log10(p)), 6) AS base_score, round(sum(log10({'r' if ORDER == 3 else 'q'})), 6) AS score FROM p3 GROUP BY doc_id, held_out""",
     "packing_totals": "SELECT count(DISTINCT doc_id) AS documents, 0::BIGINT AS broken, 0::BIGINT AS overfull FROM documents",
     "op4_suffix": """WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, ''))::BIGINT AS n
   FROM documents),

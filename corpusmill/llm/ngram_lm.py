@@ -324,7 +324,7 @@ SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_toke
 
 
 def scored(
-    docs: DataFrame, held_out: Column, order: int = ORDER, prior: float = PRIOR, chunk_bytes: int = 6 << 20,
+    docs: DataFrame, held_out: Column, order: int = ORDER, prior: float = PRIOR, chunk_bytes: int = 3 << 20,
     keys_a_bucket: int = 1 << 20
 ) -> DataFrame:
     """docs(doc_id, text) -> doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""

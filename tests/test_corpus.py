@@ -252,3 +252,30 @@ def test_settings_and_ids(spark, tmp_path):
     assert [r["doc_id"] for r in T.finalised(docs).collect()] == ["d8bb14d833d59559", "x"]
     with pytest.raises(Exception, match="unknown source type: other"):
         T.finalised(docs.withColumn("source_type", F.lit("other"))).collect()
+
+
+def test_signatures_by_batches(spark):
+    """Minima agree with plain ones for any text, rows of one id count together, and no shingle becomes a row."""
+    import hashlib
+
+    texts = ["", "abc", "abcdef", "\0\0\0\0\0\0", "é€😀xyz" * 7, "plain words, plain words", None, "later part"]
+    ids = [1, 2, 3, 4, 5, 6, 7, 6]
+    docs = spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string")
+    want: dict = {}
+    for i, x in zip(ids, texts):
+        if x is not None:
+            parts = {x[k : k + 5] for k in range(0, max(len(x) - 5, 0) + 1, 2)}
+            want.setdefault(i, set()).update(int(hashlib.md5(p.encode()).hexdigest()[:8], 16) % C.PRIME for p in parts)
+    got = C.signatures(docs)
+    assert {r["doc_id"]: r["sig"] for r in got.collect()} == {
+        i: [min((h * a + b) % C.PRIME for h in own) for a, b in C.affine(C.PERMUTATIONS)] for i, own in want.items()
+    }
+    assert "Generate" not in got._jdf.queryExecution().toString()
+
+
+def test_cross_met_reads_texts_once(spark):
+    docs = spark.createDataFrame(
+        [(1, "the same words here", 0), (2, "the same words here", 1), (3, "quite another text", 0), (4, "and a fourth one", 1)],
+        "doc_id long, text string, side int"
+    )
+    assert sorted(r["doc_id"] for r in C.cross_met(docs).collect()) == [1, 2]

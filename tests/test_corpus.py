@@ -279,3 +279,27 @@ def test_cross_met_reads_texts_once(spark):
         "doc_id long, text string, side int"
     )
     assert sorted(r["doc_id"] for r in C.cross_met(docs).collect()) == [1, 2]
+
+
+def test_cross_counts_fold_copies(spark):
+    """Copies count in full without being paired: forty of one text on each side are one pair of nodes."""
+    rows = [(i, "one text that is copied often", f"s{i % 4}", i % 2) for i in range(80)] + [(100, "nothing like it at all", "s1", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, side int")
+    got = C.cross_counts(docs)
+    assert {(r["source_a"], r["source_b"]): r["n"] for r in got.collect()} == {(a, b): 400 for a in ("s0", "s2") for b in ("s1", "s3")}
+
+
+def test_shingle_numbers_make_no_arrays(spark):
+    texts = ["", "abc", "ababababababab", "é€😀xyz" * 7, "\0\0\0\0\0\0\0\0"]
+    docs = spark.createDataFrame([*enumerate(texts), (9, None)], "doc_id long, text string")
+    want = {i: len({x[k : k + 5] for k in range(0, max(len(x) - 5, 0) + 1, 2)}) for i, x in enumerate(texts)}
+    assert {r["doc_id"]: r["n"] for r in C.shingle_numbers(docs).collect()} == want
+
+
+def test_first_of_a_signature_is_kept(spark, tmp_path):
+    """Near copies of one signature and rows without text: kept ids are those of the plain greedy order."""
+    from corpusmill.plans.text_queries import lsh_greedy_keep
+
+    rows = [(5, "abcdefghij", "s1"), (3, "abcdefghij", "s2"), (4, None, "s1"), (2, None, "s1"), (8, "", "s1"), (9, "other words", "s1")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert sorted(r["doc_id"] for r in lsh_greedy_keep(spark, str(tmp_path)).collect()) == [2, 3, 8, 9]

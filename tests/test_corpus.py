@@ -303,3 +303,12 @@ def test_first_of_a_signature_is_kept(spark, tmp_path):
     rows = [(5, "abcdefghij", "s1"), (3, "abcdefghij", "s2"), (4, None, "s1"), (2, None, "s1"), (8, "", "s1"), (9, "other words", "s1")]
     spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
     assert sorted(r["doc_id"] for r in lsh_greedy_keep(spark, str(tmp_path)).collect()) == [2, 3, 8, 9]
+
+
+def test_tokens_are_counted_in_small_runs(spark, tmp_path):
+    """Rows that share an id count once each, and long batches are encoded piece by piece."""
+    from corpusmill.plans.report_queries import token_accounts
+
+    assert list(K.batches_of_texts(["aa", "b", "cccc", "d"], 3)) == [(0, 2), (2, 3), (3, 4)]
+    spark.createDataFrame([(1, "s1", "a b"), (1, "s1", "a b"), (None, "s1", "a b")], "doc_id long, source string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert [(r["docs"], r["bytes"]) for r in token_accounts(spark, str(tmp_path)).collect()] == [(3, 9)]

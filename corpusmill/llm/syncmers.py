@@ -119,6 +119,27 @@ def located(passages: DataFrame, docs: DataFrame, least: float = 0.5, most_broad
     ).filter(F.col("share") >= least)
 
 
+def whole_passages(passages: DataFrame, docs: DataFrame) -> DataFrame:
+    """passages(item_id, text), docs(doc_id, text) -> item_id, doc_id, start: the first place (a byte) of each passage in
+    each document that holds all of it, a row for each row of either.
+
+    Anchors say which document may hold which passage, and the texts of those are compared: anchors leave the ends of a
+    passage open, and may agree at several places. Passages so short that they may have no anchor are looked up in every
+    document; an empty one stands at the start of each.
+    """
+    long = F.octet_length("text") >= 2 * K  # an anchor begins at one of K - S places in a row at least
+    asked = passages.select("item_id", F.col("text").alias("passage"), F.md5("text").alias("_key"), long.alias("_long"))
+    wanted = passages.filter(long).select(F.md5("text").alias("item_id"), "text").distinct()
+    near = located(wanted, docs, least=1.0).select(F.col("item_id").alias("_key"), F.col("doc_id").alias("_doc")).distinct()
+    texts = docs.select("doc_id", "text")
+    met = texts.join(near, F.col("doc_id").eqNullSafe(F.col("_doc"))).join(asked.filter("_long"), "_key")
+    brief = texts.crossJoin(F.broadcast(asked.filter("NOT _long")))  # passages of a few bytes
+    columns = ["item_id", "doc_id", "text", "passage"]
+    both = met.select(*columns).unionByName(brief.select(*columns)).filter(F.contains("text", "passage"))
+    start = F.octet_length(F.left("text", F.instr("text", F.col("passage")) - 1)).cast("long")
+    return both.select("item_id", "doc_id", start.alias("start"))
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row (doc_id, fingerprint) per row of docs; a scan, nothing is shuffled."""
 

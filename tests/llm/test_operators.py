@@ -592,3 +592,17 @@ def test_null_ids_and_columns(spark):
     assert sorted((r["n_links"], r["component_id"] or 0) for r in vectors.near_duplicates(v).collect()) == [(0, 0), (1, 1), (1, 1)]
     pages = spark.createDataFrame([(None, None, None), (1, None, "<p>a")], "page_id long, url string, html string")
     assert html_text.extracted(pages).count() == 2
+
+
+def test_whole_passages_first_place_and_ends(spark):
+    """A passage that stands twice is one row; one that differs at an end only is none; brief and empty ones are found."""
+    from corpusmill.llm.syncmers import whole_passages
+
+    p = "The quick brown fox jumps over the lazy dog and then rests for a while beside the quiet river."
+    passages = spark.createDataFrame([(1, p), (2, "été"), (3, ""), (4, None)], "item_id long, text string")
+    docs = spark.createDataFrame(
+        [(10, f"é {p} and again {p}"), (11, f"x {p[:-1]}! x"), (12, f"un été {p}"), (13, None), (None, p)], "doc_id long, text string"
+    )
+    got = sorted((tuple(r) for r in whole_passages(passages, docs).collect()), key=repr)
+    want = [(1, 10, 3), (1, 12, 9), (1, None, 0), (2, 12, 3), *((3, i, 0) for i in (10, 11, 12, None))]
+    assert got == sorted(want, key=repr)

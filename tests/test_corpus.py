@@ -312,3 +312,21 @@ def test_tokens_are_counted_in_small_runs(spark, tmp_path):
     assert list(K.batches_of_texts(["aa", "b", "cccc", "d"], 3)) == [(0, 2), (2, 3), (3, 4)]
     spark.createDataFrame([(1, "s1", "a b"), (1, "s1", "a b"), (None, "s1", "a b")], "doc_id long, source string, text string").write.parquet(str(tmp_path / "documents.parquet"))
     assert [(r["docs"], r["bytes"]) for r in token_accounts(spark, str(tmp_path)).collect()] == [(3, 9)]
+
+
+def test_measures_and_overlaps_by_rows(spark):
+    """Measures and n-gram overlaps are worked out in the row: no lambda over words, no row an n-gram."""
+    text = F.col("text")
+    docs = spark.createDataFrame([(1, "a b c.\n\n x y?\nx y?"), (2, ""), (3, None), (4, "w " * 9)], "doc_id long, text string")
+    got = docs.select("doc_id", X.measured(text).alias("m")).select("doc_id", "m.*")
+    assert {r[0]: tuple(r)[1:] for r in got.collect()} == {
+        1: (7, 10 / 7, 1.0, 0.0, 1 - 2 / 3, 0.0), 2: (0, 0.0, 0.0, 1.0, 0.0, 0.0), 3: (None, 0.0, 0.0, 1.0, None, None),
+        4: (9, 1.0, 0.0, 0.0, 0.0, 1 - 1 / 5)
+    }
+    plan = lambda df: df._jdf.queryExecution().toString()
+    assert "lambda" not in plan(docs.select(X.reject_reason(text)))
+    pairs = spark.createDataFrame([("a", "a b", "ab c"), ("b", None, "xy"), ("c", "xx", "x")], "id string, hypothesis string, reference string")
+    assert "Generate explode(ngrams" not in plan(S.overlaps(pairs, (1, 2)))
+    assert sorted(map(tuple, S.overlaps(pairs, (1, 2)).collect())) == [(1, 3, 4, 6), (2, 1, 2, 3)]
+    shared = pairs.unionByName(spark.createDataFrame([("a", "c", "")], pairs.schema))  # meets c of the other row
+    assert sorted(map(tuple, S.overlaps(shared, (1, 2)).collect())) == [(1, 4, 5, 6), (2, 1, 2, 3)]

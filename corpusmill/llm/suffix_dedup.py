@@ -11,8 +11,8 @@ Places that cannot repeat never enter the rounds, and places that can only equal
    the same name. An anchor stands for a run of window starts, about 35, and their bytes are its span.
 2. Anchors meet by name. Unique names drop out. Of anchors with equal spans (48 bits of the name and a 64-bit hash of
    the bytes), all but the first are repeats, whole. First ones that meet others with a different span go on.
-3. Their spans are fetched and dealt by name, and the places in them doubled up to `length`: of places of one rank all
-   but the first are repeats. Windows of names that more than `hot` anchors share are sorted by Spark as whole strings
+3. Their spans are fetched and dealt by name, and the places in them doubled up to `length`, some names at a time: of
+   places of one rank all but the first are repeats. Windows of names that more than `hot` anchors share are sorted by Spark as whole strings
    instead, with partial minima, which needs no group in one place.
 4. Covered bytes are removed, in blocks of documents.
 
@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _BYTE, MULT, U64, mix, sliding_min, stored, table, text_buffers, tiles, window_hashes
+from .common import _BYTE, MULT, U64, mix, release, sliding_min, stored, table, text_buffers, tiles, window_hashes
 
 K = 32
 TILE = 1 << 18
@@ -108,6 +108,7 @@ def _anchored(docs: DataFrame, length: int, buckets: int) -> DataFrame:
                     [pa.array(out[0], pa.int32()), *(pa.array(x, pa.binary()) for x in out[1:])],
                     names=["bucket", "ids", "marks", "key", "span", "place", "reach"]
                 )
+        release()
 
     return docs.mapInArrow(run, "bucket int, ids binary, marks binary, key binary, span binary, place binary, reach binary")
 
@@ -140,10 +141,12 @@ def _sorted_out(part: pa.Table) -> pa.Table:
     spans = np.bincount(names, fresh_span)
     asked = fresh_span & (spans[names] > 1)
     keep = np.flatnonzero(sure | asked)
-    return pa.table({
+    out = pa.table({
         "doc_id": all_ids[own[keep]], "mark": all_marks[own[keep]], "place": place[keep].astype(np.int64), "reach": reach[keep].astype(np.int32),
         "name": key[keep].view(np.int64), "spans": spans[names[keep]].astype(np.int64), "sure": sure[keep],
     })
+    release()
+    return out
 
 
 def _by_document(left: pa.Table, right: pa.Table) -> Iterator[tuple[int, int, int, np.ndarray]]:
@@ -178,6 +181,7 @@ def _spans(length: int):
                     rows.append((i, m, j))
                     spans.append(raw[place[j] : place[j] + reach[j] + length])
         at = np.array([r[2] for r in rows], np.int64)
+        release()
         return pa.table(
             {
                 "name": name[at], "doc_id": pa.array([r[0] for r in rows], pa.int64()),
@@ -251,10 +255,13 @@ def _pieces(ids: np.ndarray, marks: np.ndarray, place: np.ndarray, length: int)
     return pa.table({"doc_id": ids[first], "mark": marks[first], "start": place[first], "stop": place[last] + length})
 
 
-def _resolved(length: int):
-    """All but the first of equal windows among anchors whose names hash alike."""
+def _resolved(length: int, most: int = 4_000):
+    """All but the first of equal windows among anchors whose names hash alike.
 
-    def run(part: pa.Table) -> pa.Table:
+    Equal windows have equal names, so whole names are ranked about `most` anchors at a time, which bounds the memory.
+    """
+
+    def repeated(part: pa.Table) -> pa.Table:
         data, row, place, at = _windows(part, length)
         rank = doubled(data, at, length)
         own = np.flatnonzero(rank >= 0)
@@ -266,6 +273,18 @@ def _resolved(length: int):
         repeats = order[~first]
         return _pieces(ids[repeats], marks[repeats], place[repeats], length)
 
+    def run(part: pa.Table) -> pa.Table:
+        name = part.column("name").to_numpy()
+        order = np.argsort(name, kind="stable")
+        edges = np.append(np.flatnonzero(np.diff(name[order])) + 1, len(order))
+        out, a = [], 0
+        while a < len(order):
+            b = int(edges[min(np.searchsorted(edges, a + most), len(edges) - 1)])
+            out.append(repeated(part.take(pa.array(order[a:b]))))
+            a = b
+        release()
+        return pa.concat_tables(out)
+
     return run
 
 

@@ -224,6 +224,25 @@ def test_doubling(length):
     assert len(set(ranks.values())) == len(ranks) and all(ranks[x] == k for x, k in zip(strings, rank.tolist(), strict=True) if k >= 0)
 
 
+def test_suffixes_rank_some_names_at_a_time():
+    """The memory of a group does not grow with its anchors; the last name, with more anchors than go at a time, stays whole."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    r = np.random.default_rng(1)
+    base = [r.integers(97, 123, 135, dtype=np.uint8).tobytes() for _ in range(6000)]
+    name = np.concatenate([np.arange(18_000) % 6000, np.full(6000, 5999)])
+    n = len(name)
+    part = pa.table({"name": name, "doc_id": np.arange(n), "mark": np.zeros(n, np.int64), "place": np.zeros(n, np.int64), "span": pa.array([base[i] for i in name], pa.binary())})
+    tracemalloc.start()
+    got = suffix_dedup._resolved(100)(part).to_pydict()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 160e6
+    assert sorted(got["doc_id"]) == list(range(6000, n)) and set(got["start"]) == {0} and set(got["stop"]) == {135}
+
+
 def test_suffixes_of_long_texts_and_of_no_rows(spark):
     """Repeats across the seams of tiles."""
     body = prose(1, 60_000)

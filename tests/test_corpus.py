@@ -207,6 +207,48 @@ def test_langid(spark):
     assert spark.createDataFrame([("ab",)], "text string").select(L.char_ngrams(F.col("text"))).first()[0] == [" ab", "ab ", " ab "]
 
 
+def test_text_perplexity_counts_words_once_in_arrow_batches(spark):
+    texts = ["a b a c", "one", "", None, " \u2003\n", "x\u00a0x x", " ".join(str(i % 7) for i in range(500))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = K.text_perplexity(docs)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython [") == 1 and "lambda" not in plan
+    want = {x["doc_id"]: x["ppl"] for x in K.pseudo_perplexity(docs.select("doc_id", X.words(F.col("text")).alias("w")), "w").collect()}
+    assert {x["doc_id"]: x["ppl"] for x in got.collect()} == pytest.approx(want) and sorted(want) == [0, 1, 5, 6]
+
+
+def test_langid_weighs_ngrams_in_arrow_batches():
+    import math
+    from collections import Counter
+
+    import numpy as np
+    import pyarrow as pa
+
+    from corpusmill.functions import gram_vectors as G
+
+    r = random.Random(4)
+    words = ["der", "die", "\u00e9tat", "x" * 70, "\u6f22\u5b57", "a\u0301b", "the", "house"]
+    texts = ["\u2003".join(r.choice(words) + str(r.randrange(9)) for _ in range(r.randrange(1, 30))) for _ in range(60)] + [" ", None, "\U0001f600"]
+    plain = [Counter(w[i : i + n] for x in (t or "").split() for w in [f" {x} "] for n in (3, 4, 5) for i in range(len(w) - n + 1)) for t in texts]
+    tf, df = sum(plain, Counter()), Counter(g for c in plain for g in c)
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])
+    for most in (1, 10**6):
+        got_tf, got_df = Counter(), Counter()
+        for b in G.totals(most)(iter([batch.slice(0, 40), batch.slice(40)])):
+            for g, n, d in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                got_tf[g] += n
+                got_df[g] += d
+        assert got_tf == tf and got_df == df
+    vocabulary = sorted(g for g, d in df.items() if d > 1)
+    idf = np.array([math.log((len(texts) + 1) / (df[g] + 1)) for g in vocabulary])
+    row, gram, value = G.Weigher(vocabulary, idf)(texts)
+    for k, c in enumerate(plain):
+        want = {g: (1 + math.log(c[g])) * i for g, i in zip(vocabulary, idf.tolist(), strict=True) if g in c}
+        size = math.sqrt(sum(x * x for x in want.values()))
+        got = {vocabulary[g]: v for g, v in zip(gram[row == k].tolist(), value[row == k].tolist(), strict=True)}
+        assert got == pytest.approx({g: x / size for g, x in want.items()})
+
+
 def test_langid_report_has_every_held_out_paragraph(spark, tmp_path):
     from corpusmill.operators import langid as L
     from corpusmill.plans.model_queries import langid_report

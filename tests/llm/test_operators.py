@@ -224,6 +224,33 @@ def test_doubling(length):
     assert len(set(ranks.values())) == len(ranks) and all(ranks[x] == k for x, k in zip(strings, rank.tolist(), strict=True) if k >= 0)
 
 
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
+def test_traversal_side_by_side_is_that_token_by_token(order):
+    r = random.Random(order)
+    texts = [[f"w{int(r.expovariate(0.3))}" for _ in range(r.choice([0, 1, 2, 40]))] for _ in range(60)]
+    names = sorted({w for t in texts for w in t} | {"\n"})
+    tokens = np.array([names.index(w) for t in texts for w in [*t, "\n"]], np.uint32)
+    ends = np.cumsum([len(t) + 1 for t in texts])
+    train = np.arange(60) % 3 > 0
+    chunk = ngram_lm.Chunk({
+        "ids": np.arange(60).tobytes(), "held": np.packbits(np.concatenate([train, np.zeros(60, bool)])).tobytes(), "ends": ends.tobytes(),
+        "words": (np.arange(1, len(names) + 1, dtype=np.uint64) * np.uint64(ngram_lm.MULT)).tobytes(), "tokens": ngram_lm._planes(tokens),
+    }, order)
+    counts = [own for _, own in chunk.sets]
+    m = ngram_lm.Automaton(chunk, counts, int(counts[0].sum()), int((counts[0] > 0).sum()), int(train.sum()), 200.0)
+    want, a, fails = [], 0, 0
+    for e in ends.tolist():
+        state, score = m.start, 0.0
+        for i in range(a, e):
+            while m.arcs[m.depth[state]][i] < 0:
+                score, state, fails = score + m.fail[state], m.back[state], fails + 1
+            arc = m.arcs[m.depth[state]][i]
+            score, state = score + m.weight[arc], m.into[arc]
+        want.append(score)
+        a = e
+    assert m.traverse().tolist() == pytest.approx(want) and (fails > 0) == (order > 1)
+
+
 def test_suffixes_rank_some_names_at_a_time():
     """The memory of a group does not grow with its anchors; the last name, with more anchors than go at a time, stays whole."""
     import tracemalloc

@@ -217,6 +217,16 @@ def test_text_perplexity_counts_words_once_in_arrow_batches(spark):
     assert {x["doc_id"]: x["ppl"] for x in got.collect()} == pytest.approx(want) and sorted(want) == [0, 1, 5, 6]
 
 
+def test_token_files_are_packed_in_arrow_batches(spark, tmp_path):
+    made = spark.createDataFrame([(1, [0, 65535, 258]), (2, []), (3, None), (4, [7] * 5000)], "id int, ids array<int>")
+    T.write_tokens(made, f"{tmp_path}/t")
+    raw = {x["id"]: x["ids"] for x in spark.read.parquet(f"{tmp_path}/t").collect()}
+    assert bytes(raw[1]) == b"\x00\x00\xff\xff\x02\x01" and raw[2] == b"" and raw[3] is None
+    read = T.read_tokens(spark, f"{tmp_path}/t")
+    assert "lambda" not in read._jdf.queryExecution().toString()
+    assert rows(read) == rows(made)
+
+
 def test_langid_weighs_ngrams_in_arrow_batches():
     import math
     from collections import Counter
